@@ -6,7 +6,6 @@ open bin (sequence) whose choice makes the sum over gaps g of N(g)^2 smallest, N
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -21,21 +20,17 @@ from pyspark.sql import functions as F
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one packing group holds on average; the bins left open at a group's end are what grouping costs.
 GROUP_ROWS = 40_000
-#: Distinct words whose ids a Python worker remembers.
-CACHE_WORDS = 500_000
 #: Fixed value: the pre-tokenizer's pattern of the byte-level tokenizer file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_SPACES = re.compile(r" (?:\s|\Z)")
 
-_TOKENIZERS: dict[str, "WordIds"] = {}
+_TOKENIZERS: dict[str, "TextIds"] = {}
 
 
-class WordIds:
-    """Ids of whole texts under a byte-level BPE tokenizer file, remembering the ids of each space-led word.
+class TextIds:
+    """Ids of whole texts under a byte-level BPE tokenizer file.
 
-    The pre-tokenizer always starts a new unit at a space that a non-space follows, so the ids of a text are those of its words one
-    after another. Where a space is followed by another white-space character that need not be so; such a text is encoded whole. The
-    file's own vocabulary is loaded as ranks into the faster of the two installed byte-level encoders (the tests hold it to the first).
+    The file's own vocabulary is loaded as ranks into the faster of the two installed byte-level encoders; the tests hold its ids to
+    those of the first.
     """
 
     def __init__(self, path: str):
@@ -46,34 +41,9 @@ class WordIds:
         vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
         ranks = {bytes(as_byte[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
         self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.token_bytes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
-        self.token_bytes[list(ranks.values())] = [len(token) for token in ranks]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(array("I", self.bpe.encode_ordinary(text)), np.uint32) if text else np.zeros(0, np.uint32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode the words in one go; each ends where its bytes end."""
-        ids = self._ids(" " + " ".join(words))
-        ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(w.encode()) + 1 for w in words])) + 1
-        raw, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist(), strict=True):
-            self.known[word] = raw[at:end]
-            at = end
 
     def encode(self, text: str) -> np.ndarray:
-        if _SPACES.search(text):
-            return self._ids(text)
-        head, *words = text.split(" ")
-        known = self.known
-        new = {w for w in words if w not in known}
-        if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(words)
-            self._learn(list(new))
-        return np.frombuffer(self._ids(head).tobytes() + b"".join([known[w] for w in words]), np.uint32)
+        return np.array(array("I", self.bpe.encode_ordinary(text)), np.uint32)
 
 
 def _byte_letters() -> list[str]:
@@ -83,9 +53,9 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
-def tokenizer_at(path: str) -> WordIds:
+def tokenizer_at(path: str) -> TextIds:
     if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
+        _TOKENIZERS[path] = TextIds(path)
     return _TOKENIZERS[path]
 
 
