@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat_format, decontaminate, language_id, packing, secret_scan, url_filter
+from strandline.llm import chat_format, decontaminate, jaccard_join, language_id, packing, secret_scan, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.format_chats(_read(spark, sf_dir, "conversations"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(_read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -35,5 +39,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op8_url_filter, op9_secret_scan, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op8_url_filter, op9_secret_scan, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL}
