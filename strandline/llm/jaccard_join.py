@@ -29,8 +29,8 @@ SIZE, PERCENT = 5, 80
 ORDERS = [0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 #: Bytes of text that one bucket of the index answers for, and postings of one token that one bucket takes before the token is salted.
 BUCKET_TEXT, HOT = 16 << 20, 200_000
-#: The frequency sketch has 2^bits counters, a counter for about 64 tokens of the corpus; never more than 2^MAX_BITS (one byte each when sent).
-MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 26, 14
+#: The frequency sketch has 2^bits counters, a counter for about TOKENS_EACH tokens of the corpus; never more than 2^MAX_BITS (one byte each when sent).
+MIN_BITS, MAX_BITS, BLOCK_BITS, TOKENS_EACH = 16, 25, 14, 8
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -39,7 +39,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(total_bytes: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, total_bytes / 6 / 64)))))
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, total_bytes / 6 / TOKENS_EACH)))))
 
 
 def frequency_classes(docs: DataFrame, bits: int, size: int) -> np.ndarray:
@@ -54,7 +54,7 @@ def frequency_classes(docs: DataFrame, bits: int, size: int) -> np.ndarray:
         for batch in batches:
             for _, flat, offsets in text_slices(batch.column(0), batch.column(0)):
                 marks, _ = shingle_sets(flat, offsets, size)
-                seen += np.bincount((marks >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(seen, (marks >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         parts = seen.reshape(-1, 1 << block)
         some = np.flatnonzero(parts.any(axis=1))
         pack = zstandard.ZstdCompressor(level=1).compress
@@ -177,13 +177,13 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 prefixes = []
                 for salt in ORDERS:
                     at, owner = _first(marks, bounds, mix64(marks ^ np.uint64(salt)))
-                    prefixes.append((marks[at].view(np.int64), np.searchsorted(owner, np.arange(len(bounds)))))
+                    prefixes.append((marks[at].astype(np.uint32).view(np.int32), np.searchsorted(owner, np.arange(len(bounds)))))
                 parts = [p[0][p[1][i] : p[1][i + 1]] for i in range(len(bounds) - 1) for p in prefixes]
-                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), pa.int64()))
+                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
                 orders = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds)) * len(ORDERS), pa.int32()), inner)
                 yield pa.RecordBatch.from_arrays([pa.array(set_prints(marks, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int64()), orders, pa.ListArray.from_arrays(*ends)], ["cls", "n", "orders", "marks"])
 
-    made = docs.select("text").mapInArrow(build, "cls long, n long, orders array<array<long>>, marks array<long>")
+    made = docs.select("text").mapInArrow(build, "cls long, n long, orders array<array<int>>, marks array<long>")
     return made.select("cls", F.struct("n", "orders", "marks").alias("s"))
 
 
