@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, packing, secret_scan, suffix_dedup, url_filter
+from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, packing, secret_scan, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup_embeddings(_read(spark, sf_dir, "embeddings"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(_read(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
@@ -47,5 +51,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_suffix_dedup, op6_embedding_dedup, op8_url_filter, op9_secret_scan, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_suffix_dedup, op6_embedding_dedup, op7_lm_score, op8_url_filter, op9_secret_scan, op10_best_fit_packing)}
 ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL}
