@@ -2,8 +2,9 @@
 
 A LENGTH-byte string is removed where it also starts in a document with a smaller id. Every LENGTH-byte window has an anchor, the K-gram
 in it that comes first in one global order (rare first, by a frequency sketch over all texts, then by hash), and equal windows have equal
-anchors at equal places. Consecutive windows with one anchor form a piece of at most 2 LENGTH - K bytes. Pieces are dealt to buckets by
-anchor, so that all windows that could be equal meet, and each bucket is a collection of many short documents.
+anchors at equal places. Consecutive windows with one anchor form a piece of at most 2 LENGTH - K bytes. Texts are gathered in chunks;
+a chunk first asks which of its anchors another chunk has as well (5 bytes an anchor), and then deals only the pieces of such anchors to
+buckets by anchor, so that all windows that could be equal meet. Each bucket is a collection of many short documents.
 
 In a bucket the Burrows-Wheeler transform and the common prefixes of the collection are built column by column from the right: each
 round puts the next symbol in front of every piece's suffix, and the whole list is read once in order and dealt to one run per symbol,
@@ -24,14 +25,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, mix64
+from strandline.llm.common import mix64
 from strandline.llm.shingles import text_slices
 
-LENGTH, K = 50, 16
+LENGTH, K = 50, 24
 WIDTH = 2 * LENGTH - K
 #: Bytes of text whose pieces one bucket takes, of a slice that is cut at once, and pieces that one construction takes.
 BUCKET_TEXT, SLICE_BYTES, COLLECTION = 8 << 20, 4 << 20, 20_000
-#: The sketch has a counter for about 256 bytes of text, at most 2^MAX_BITS of one byte each when sent.
+#: Bytes of an anchor's hash that a chunk asks with, besides what its bucket says.
+ASK_BYTES = 5
+#: The sketch has a counter for about 1024 bytes of text, at most 2^MAX_BITS of one byte each when sent.
 MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 26, 14
 
 
@@ -41,8 +44,14 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     raw = np.ascontiguousarray(flat)
-    head, tail = np.ndarray((n,), "<u8", raw, 0, (1,)), np.ndarray((n,), "<u8", raw, K - 8, (1,))
-    return mix64(head * np.uint64(0x9E3779B97F4A7C15) ^ mix64(tail))
+    return _gram_hash(*(np.ndarray((n,), "<u8", raw, k, (1,)) for k in range(0, K, 8)))
+
+
+def _gram_hash(*parts: np.ndarray) -> np.ndarray:
+    mark = np.zeros(len(parts[0]), np.uint64)
+    for part in parts:
+        mark = mix64(mark * np.uint64(0xD6E8FEB86659FD93) + part)
+    return mark
 
 
 def cut_pieces(flat: np.ndarray, offsets: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -128,22 +137,19 @@ def equal_windows(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.
     return run[used], piece[used], (length[piece] - size)[used]
 
 
-def _pack(docs: np.ndarray, tags: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, rows: np.ndarray) -> bytes:
-    """One bucket's pieces of one slice, in document order."""
-    own, many = np.unique(doc, return_counts=True)
+def _pack(own: np.ndarray, ids: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, rows: np.ndarray) -> bytes:
+    """Some of a chunk's pieces, in document order: place of the document in the chunk and its id, start, length, anchor, and the bytes."""
     text = rows[np.arange(rows.shape[1])[None, :] < length[:, None]].tobytes()
-    head = struct.pack("<qq", len(own), len(doc))
-    return head + docs[own].tobytes() + tags[own].tobytes() + many.astype("<i8").tobytes() + start.astype("<i8").tobytes() + length.astype("u1").tobytes() + place.astype("u1").tobytes() + text
+    parts = [own[doc], ids[doc], start]
+    return struct.pack("<q", len(doc)) + b"".join(p.astype("<i8").tobytes() for p in parts) + length.astype("u1").tobytes() + place.astype("u1").tobytes() + text
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, ...]:
-    d, n = struct.unpack_from("<qq", raw)
-    take = np.frombuffer(raw, "<i8", 3 * d + n, 16)
-    many = take[2 * d : 3 * d]
-    at = 16 + 8 * (3 * d + n)
+    (n,) = struct.unpack_from("<q", raw)
+    own, ids, start = np.frombuffer(raw, "<i8", 3 * n, 8).reshape(3, n)
+    at = 8 + 24 * n
     length, place = np.frombuffer(raw, "u1", n, at).astype(np.int64), np.frombuffer(raw, "u1", n, at + n).astype(np.int64)
-    flat = np.frombuffer(raw, "u1", -1, at + 2 * n)
-    return np.repeat(take[:d], many), np.repeat(take[d : 2 * d], many), take[3 * d :], length, place, piece_rows(flat, np.cumsum(length) - length, length)
+    return own, ids, start, length, place, piece_rows(np.frombuffer(raw, "u1", -1, at + 2 * n), np.cumsum(length) - length, length)
 
 
 def frequency_classes(docs: DataFrame, bits: int) -> np.ndarray:
@@ -171,40 +177,118 @@ def frequency_classes(docs: DataFrame, bits: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-_DEALT = "bucket long, doc_id long, tag long, body binary"
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each chunk of whole texts: ids, where each text ends, and the bytes."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        for ids, flat, offsets in text_slices(batch.column(0), batch.column(1), SLICE_BYTES):
+            body = flat.tobytes()
+            name = hashlib.blake2b(body + offsets.tobytes() + repr(ids.to_pylist()).encode(), digest_size=7).digest()
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little")], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([pack(body)], pa.binary())], ["chunk", "ids", "offsets", "body"])
+
+
+class Cut:
+    """A chunk's pieces. Those that an equal piece of a smaller id of the chunk covers are late; the others may ask and be dealt."""
+
+    def __init__(self, row: dict, classes: np.ndarray, bits: int, buckets: int):
+        self.offsets = np.frombuffer(row["offsets"], "<i8")
+        flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8) if self.offsets[-1] else np.zeros(0, np.uint8)
+        named = np.array([i is not None for i in row["ids"]], bool)
+        self.ids = np.array([i if i is not None else 0 for i in row["ids"]], np.int64)
+        hashes = gram_hashes(flat)
+        doc, start, length, place = cut_pieces(flat, self.offsets, classes[(hashes >> np.uint64(64 - bits)).astype(np.int64)], hashes)
+        keep = named[doc]
+        self.doc, first, self.length, self.place = doc[keep], start[keep], length[keep], place[keep]
+        self.rows, self.start = piece_rows(flat, first, self.length), first - self.offsets[self.doc]
+        self.anchor = hashes[first + self.place] if len(first) else np.zeros(0, np.uint64)
+        self.late = np.zeros(len(first), bool)
+        if len(first):
+            order, fresh = same_rows(self.rows, self.length)
+            own = self.ids[self.doc[order]]
+            self.late[order] = own > np.minimum.reduceat(own, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+        stay = np.flatnonzero(~self.late)
+        self.stay = stay[np.lexsort((self.anchor[stay] // np.uint64(buckets), self.anchor[stay] % np.uint64(buckets)))]
+        marks = self.anchor[self.stay]
+        self.head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.zeros(0, np.int64)
+        self.bucket = (marks[self.head] % np.uint64(buckets)).astype(np.int64)
+        self.ask = marks[self.head] // np.uint64(buckets)
+
+
+_TABLE = "bucket long, chunk long, body binary"
+
+
+def _table(bucket, chunk, body) -> pa.Table:
+    return pa.table({"bucket": pa.array(bucket, pa.int64()), "chunk": pa.array(chunk, pa.int64()), "body": pa.array(body, pa.binary())})
+
+
+def _by_bucket(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)] if len(bucket) else [0]
+    yield from ((int(bucket[a]), a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _ask(classes, bits: int, buckets: int):
+    """The anchors of each chunk, once each, by bucket."""
+
+    def run(chunks: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        for row in chunks.to_pylist():
+            c = Cut(row, classes.value, bits, buckets)
+            small = np.ascontiguousarray(c.ask).view("u1").reshape(-1, 8)[:, :ASK_BYTES]
+            for b, i, j in _by_bucket(c.bucket):
+                for column, v in zip(out, (b, row["chunk"], small[i:j].T.tobytes()), strict=True):
+                    column.append(v)
+        return _table(*out)
 
+    return run
 
-def _deal(classes, bits: int, buckets: int):
-    """Pieces by bucket; spans that a smaller id of the same slice already covers go straight on, in buckets below zero."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
-            keys = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "tag"])
-            for ids, flat, offsets in text_slices(keys, batch.column(2), SLICE_BYTES):
-                docs, tags = np.asarray(ids.field("doc_id")), np.asarray(ids.field("tag"))
-                hashes = gram_hashes(flat)
-                doc, start, length, place = cut_pieces(flat, offsets, classes.value[(hashes >> np.uint64(64 - bits)).astype(np.int64)], hashes)
-                if not len(doc):
-                    continue
-                rows = piece_rows(flat, start, length)
-                order, fresh = same_rows(rows, length)
-                least = np.minimum.reduceat(docs[doc[order]], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
-                late = np.zeros(len(doc), bool)
-                late[order] = docs[doc[order]] > least
-                within = start - offsets[doc]
-                yield from _spans_batch(docs[doc[late]], tags[doc[late]], within[late], (within + length)[late])
-                stay = np.flatnonzero(~late)
-                bucket = (hashes[start[stay] + place[stay]] % np.uint64(buckets)).astype(np.int64)
-                by = np.argsort(bucket, kind="stable")
-                groups = np.split(stay[by], np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []
-                bodies = [pack(_pack(docs, tags, doc[g], within[g], length[g], place[g], rows[g])) for g in groups]
-                size = len(bodies)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(bucket), pa.int64()), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "doc_id", "tag", "body"])
+def _tell(table: pa.Table) -> pa.Table:
+    """For each chunk that asked this bucket: a bit for each anchor, in the order asked, set if another chunk asked for it."""
+    asked = []
+    for body in table["body"]:
+        small = np.frombuffer(body.as_py(), "u1").reshape(ASK_BYTES, -1).T
+        wide = np.zeros((len(small), 8), np.uint8)
+        wide[:, :ASK_BYTES] = small
+        asked.append(wide.view("<u8").reshape(-1))
+    _, where, many = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
+    shared = np.split(many[where] > 1, np.cumsum([len(a) for a in asked])[:-1])
+    return _table(table["bucket"], table["chunk"], [np.packbits(x).tobytes() for x in shared])
+
+
+def _deal(classes, bits: int, buckets: int):
+    """Pieces whose anchor another chunk or another document of the chunk has, by bucket; spans of late pieces, in buckets below zero."""
+
+    def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
+        out, pack = [[], [], []], zstandard.ZstdCompressor(level=3).compress
+        bits_of = {(c, b): body for c, b, body in zip(told["chunk"].to_pylist(), told["bucket"].to_pylist(), told["body"].to_pylist(), strict=True)}
+        for row in chunks.to_pylist():
+            c = Cut(row, classes.value, bits, buckets)
+            late = np.flatnonzero(c.late)
+            if len(late):
+                for column, v in zip(out, (-1, row["chunk"], _spans(c.doc[late], c.start[late], (c.start + c.length)[late])), strict=True):
+                    column.append(v)
+            if not len(c.stay):
+                continue
+            shared = np.zeros(len(c.head), bool)
+            for b, i, j in _by_bucket(c.bucket):
+                shared[i:j] = np.unpackbits(np.frombuffer(bits_of[row["chunk"], b], "u1"), count=j - i).astype(bool)
+            own = c.doc[c.stay]
+            shared |= np.minimum.reduceat(own, c.head) < np.maximum.reduceat(own, c.head)
+            many = np.diff(np.append(c.head, len(c.stay)))
+            chosen, bucket = c.stay[np.repeat(shared, many)], np.repeat(c.bucket, many)[np.repeat(shared, many)]
+            for b, i, j in _by_bucket(bucket):
+                g = np.sort(chosen[i:j])
+                for column, v in zip(out, (b, row["chunk"], pack(_pack(np.arange(len(c.ids)), c.ids, c.doc[g], c.start[g], c.length[g], c.place[g], c.rows[g]))), strict=True):
+                    column.append(v)
+        return _table(*out)
 
     return run
 
 
+def _spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    return np.stack([doc, start, end]).astype("<i8").tobytes()
+
+
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs that the half-open spans cover together."""
     if not len(start):
@@ -215,40 +299,29 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
 
 
-def _spans_batch(docs: np.ndarray, tags: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """One row for each document: its spans, merged."""
-    if not len(docs):
-        return
-    order = np.lexsort((start, tags, docs))
-    docs, tags, start, end = docs[order], tags[order], start[order], end[order]
-    cuts = np.flatnonzero((docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1])) + 1
-    first = np.append(0, cuts)
-    bodies = [np.stack(merge_spans(s, e)).astype("<i8").tobytes() for s, e in zip(np.split(start, cuts), np.split(end, cuts), strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(-1 - (tags[first] & 63), pa.int64()), pa.array(docs[first], pa.int64()), pa.array(tags[first], pa.int64()), pa.array(bodies, pa.binary())], ["bucket", "doc_id", "tag", "body"])
-
-
-def _bucket_spans(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
-    """Spans of one bucket's documents."""
+def _bucket_spans(table: pa.Table) -> pa.Table:
+    """Spans to remove that one bucket finds, a row for each chunk."""
     unpack = zstandard.ZstdDecompressor().decompress
-    doc, tag, start, length, place, rows = (np.concatenate(c) for c in zip(*(_unpack(unpack(b)) for b in bodies), strict=True))
+    parts = [_unpack(unpack(b.as_py())) for b in table["body"]]
+    chunk = np.repeat(np.asarray(table["chunk"]), [len(p[0]) for p in parts])
+    own, doc, start, length, place, rows = (np.concatenate(c) for c in zip(*parts, strict=True))
     at = np.arange(len(rows))[:, None]
-    anchor = np.ascontiguousarray(rows[at, place[:, None] + np.arange(K)[None, :]]).view("<u8")
-    anchor = mix64(anchor[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(anchor[:, 1]))
+    gram = np.ascontiguousarray(rows[at, place[:, None] + np.arange(K)[None, :]]).view("<u8")
+    anchor = _gram_hash(*gram.T)
     order, fresh = same_rows(rows, length, anchor)
-    text = np.cumsum(fresh) - 1
-    first = np.flatnonzero(fresh)
+    text, first = np.cumsum(fresh) - 1, np.flatnonzero(fresh)
     least = np.minimum.reduceat(doc[order], first)
     late = doc[order] > least[text]
     got = [(order[late], np.zeros(late.sum(), np.int64), length[order[late]])]
     # only anchors with different texts of different documents can hold further equal windows
     heads = np.flatnonzero(np.append(True, anchor[order[first]][1:] != anchor[order[first]][:-1]))
     many = np.diff(np.append(heads, len(first)))
-    open_ = np.repeat((many > 1) & (np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads)), many)
-    groups, begin = np.repeat(np.arange(len(heads)), many), 0
-    texts = np.flatnonzero(open_)
+    groups = np.repeat(np.arange(len(heads)), many)
+    texts = np.flatnonzero(np.repeat((many > 1) & (np.minimum.reduceat(least, heads) < np.maximum.reduceat(least, heads)), many))
     early = order[~late]
     entries_of = np.argsort(text[~late], kind="stable")
     bounds = np.searchsorted(text[~late][entries_of], np.arange(len(first) + 1))
+    begin = 0
     while begin < len(texts):
         end = min(len(texts), begin + COLLECTION)
         while end < len(texts) and groups[texts[end]] == groups[texts[end - 1]]:
@@ -258,46 +331,38 @@ def _bucket_spans(bodies: list[bytes]) -> Iterator[pa.RecordBatch]:
         group, piece, offset = equal_windows(rows[order[first[part]]], length[order[first[part]]])
         if not len(group):
             continue
-        lows = np.minimum.reduceat(least[part[piece]], np.flatnonzero(np.append(True, group[1:] != group[:-1])))
-        low = lows[np.cumsum(np.append(False, group[1:] != group[:-1]))]
+        fresh_group = np.append(True, group[1:] != group[:-1])
+        low = np.minimum.reduceat(least[part[piece]], np.flatnonzero(fresh_group))[np.cumsum(fresh_group) - 1]
         hit = least[part[piece]] > low
         owner, offset = part[piece[hit]], offset[hit]
         size = bounds[owner + 1] - bounds[owner]
         entry = early[entries_of[np.repeat(bounds[owner] - np.cumsum(size) + size, size) + np.arange(size.sum())]]
         got.append((entry, np.repeat(offset, size), np.full(len(entry), LENGTH)))
     entry, offset, size = (np.concatenate([g[k] for g in got]) for k in range(3))
-    yield from _spans_batch(doc[entry], tag[entry], start[entry] + offset, start[entry] + offset + size)
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for text, bodies in zip(batch.column(1), batch.column(2), strict=True):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            spans = [np.frombuffer(b, "<i8").reshape(2, -1) for b in bodies.as_py() or []]
-            start, end = merge_spans(*np.concatenate(spans, axis=1)) if spans else (np.zeros(0, np.int64),) * 2
-            kept = b"".join(raw[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True))
-            rows.append((len(raw), len(raw) - len(kept), len(start), hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-
-def _covered(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, bodies): the spans to remove of each document that has any."""
-    spark, named = docs.sparkSession, docs.where("doc_id is not null and text is not null")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(total // 256).bit_length()))
-    buckets = max(64, -(-total // BUCKET_TEXT))
-    classes = spark.sparkContext.broadcast(frequency_classes(docs, bits))
-    dealt = named.select("doc_id", "tag", "text").mapInArrow(_deal(classes, bits, buckets), _DEALT)
-
-    def meet(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key[0].as_py() < 0:
-            yield from batches
-        else:
-            yield from _bucket_spans([b.as_py() for batch in batches for b in batch["body"]])
-
-    return dealt.groupBy("bucket").applyInArrow(meet, _DEALT).groupBy("doc_id", "tag").agg(F.collect_list("body").alias("bodies"))
+    by = np.argsort(chunk[entry], kind="stable")
+    entry, begin, end = entry[by], (start[entry] + offset)[by], (start[entry] + offset + size)[by]
+    spans = [(c, _spans(own[entry[i:j]], begin[i:j], end[i:j])) for c, i, j in _by_bucket(chunk[entry])]
+    return _table([-1] * len(spans), [c for c, _ in spans], [b for _, b in spans])
+
+
+def _digest(chunks: pa.Table, spans: pa.Table) -> pa.Table:
+    """n_bytes, n_removed, n_spans and kept_sha256 of each document of a chunk."""
+    out = {"doc_id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": []}
+    found = [np.frombuffer(b.as_py(), "<i8").reshape(3, -1) for b in spans["body"]]
+    doc, start, end = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    order = np.argsort(doc, kind="stable")
+    doc, start, end = doc[order], start[order], end[order]
+    for row in chunks.to_pylist():
+        offsets = np.frombuffer(row["offsets"], "<i8")
+        flat = zstandard.ZstdDecompressor().decompress(row["body"]) if offsets[-1] else b""
+        bounds = np.searchsorted(doc, np.arange(len(offsets)))
+        for i, id_ in enumerate(row["ids"]):
+            raw = flat[offsets[i] : offsets[i + 1]]
+            a, b = merge_spans(start[bounds[i] : bounds[i + 1]], end[bounds[i] : bounds[i + 1]])
+            kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)], strict=True))
+            for column, v in zip(out.values(), (id_, len(raw), len(raw) - len(kept), len(a), hashlib.sha256(kept).hexdigest()), strict=True):
+                column.append(v)
+    return pa.table(out, schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +372,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row with a null id keeps all its bytes and covers nothing. Rows that repeat an id don't cover each other. An empty table gives an
     empty result. Ids are integers.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tag", F.xxhash64("text"))
-    spans = Scratch(docs.sparkSession, "repeats").keep(_covered(picked))
-    joined = picked.join(spans, ["doc_id", "tag"], "left")
-    return joined.select("doc_id", "text", "bodies").mapInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MAX_BITS, max(MIN_BITS, int(total // 1024).bit_length()))
+    buckets = max(64, -(-total // BUCKET_TEXT))
+    classes = docs.sparkSession.sparkContext.broadcast(frequency_classes(picked, bits))
+
+    chunks = picked.mapInArrow(_chunks, "chunk long, ids array<long>, offsets binary, body binary")
+    told = chunks.groupBy("chunk").applyInArrow(_ask(classes, bits, buckets), _TABLE).groupBy("bucket").applyInArrow(_tell, _TABLE)
+    dealt = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_deal(classes, bits, buckets), _TABLE)
+    # spans that a chunk found by itself pass through under keys of their own
+    spread = dealt.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod("chunk", F.lit(4096))).otherwise(F.col("bucket")))
+
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
+        return table if key[0].as_py() < 0 else _bucket_spans(table)
+
+    spans = spread.groupBy("bucket").applyInArrow(meet, _TABLE)
+    return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
