@@ -1 +1 @@
-
+"""Derived tables, pipelines and the registered queries."""
