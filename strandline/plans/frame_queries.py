@@ -114,12 +114,12 @@ def _matrix(name: str, m) -> str:
     return f"{name}(i, j, w) AS (VALUES {rows})"
 
 
-def _over_time(source: str, h, window: int, value: str = "v", keys: str = "pos") -> str:
-    """SQL of the polynomial filter along frames of source(series_id, frame_index, keys, value)."""
+def _over_time(source: str, h, window: int, value: str = "v", keys: str = "pos", tag: str = "") -> str:
+    """SQL of the polynomial filter along frames of source(series_id, frame_index, keys, value): table f + tag with column out."""
     half = window // 2
-    return f"""{_matrix('h', h)}, n AS (SELECT series_id, max(frame_index) + 1 AS n FROM {source} GROUP BY 1),
-    b AS (SELECT s.series_id, s.frame_index, s.{keys}, least(greatest(s.frame_index - {half}, 0), n.n - {window}) AS b FROM {source} s JOIN n USING (series_id) WHERE n.n >= {window}),
-    f AS (SELECT b.series_id, b.frame_index, b.{keys}, sum(h.w * s.{value}) AS out FROM b JOIN h ON h.i = b.frame_index - b.b JOIN {source} s ON s.series_id = b.series_id AND s.{keys} = b.{keys} AND s.frame_index = b.b + h.j GROUP BY ALL)"""
+    return f"""{_matrix('h' + tag, h)}, n{tag} AS (SELECT series_id, max(frame_index) + 1 AS n FROM {source} GROUP BY 1),
+    b{tag} AS (SELECT s.series_id, s.frame_index, s.{keys}, least(greatest(s.frame_index - {half}, 0), z.n - {window}) AS b FROM {source} s JOIN n{tag} z USING (series_id) WHERE z.n >= {window}),
+    f{tag} AS (SELECT y.series_id, y.frame_index, y.{keys}, sum(x.w * s.{value}) AS out FROM b{tag} y JOIN h{tag} x ON x.i = y.frame_index - y.b JOIN {source} s ON s.series_id = y.series_id AND s.{keys} = y.{keys} AND s.frame_index = y.b + x.j GROUP BY ALL)"""
 
 
 @query(f"WITH {fx.SQL['embx']}, {_over_time('embx', linear.fit_matrix(7, 3), 7)} SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(out, 6) + 0.0 AS value FROM f")

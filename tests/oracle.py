@@ -18,7 +18,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    clean = [tuple(None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in r) for r in df.itertuples(index=False)]
+    clean = [tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r) for r in df.itertuples(index=False)]
     return sorted(clean, key=lambda r: tuple((v is not None, str(type(v)), v) if not isinstance(v, (int, float, bool)) else (True, "n", float(v)) for v in r))
 
 
