@@ -4,8 +4,10 @@ Two sets of Jaccard similarity t or more share a token among the first n - ceil(
 The first order (rare tokens first) is indexed: tokens of all prefixes are dealt to buckets and the sets on one token's list are
 candidates. A candidate pair must also share a prefix token under each further order before it is verified exactly.
 
+A pair must also pass the position filter on the list of its first common token: from there on enough tokens must be left in both sets.
+
 Sets that are equal are one class from the start. Candidates come in two rounds, so that a group of g near copies costs about g
-verifications and not g^2: first each set against the leader of its lists; then, of what these links have not joined, all pairs that
+verifications and not g^2: first each set against the leader of its lists (the one with the fewest tokens before the list's own); then, of what these links have not joined, all pairs that
 share a list and lie in different components. A link that neither round verifies can only lie inside a component.
 """
 
@@ -84,8 +86,6 @@ def _first(marks: np.ndarray, bounds: np.ndarray, rank: np.ndarray) -> tuple[np.
 
 def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type: str) -> DataFrame:
     """Rows of documents (doc_id, n, cls) and packed postings (bucket, hot, blob) from one pass over the texts."""
-    pack_type = np.dtype([("token", "<u8"), ("cls", "<i8")])
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             postings = []
@@ -95,12 +95,11 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
                 yield _rows(id_type, ids, n, cls)
                 frequency = classes.value[(marks >> np.uint64(64 - bits)).astype(np.int64)]
                 at, owner = _first(marks, bounds, frequency)
-                named = np.asarray(ids.is_valid())[owner]
-                at, owner = at[named], owner[named]
-                p = np.empty(len(at), [*pack_type.descr, ("salts", "<i8")])
-                p["token"], p["cls"] = marks[at], cls[owner]
+                p = np.empty(len(at), [*_POSTING.descr, ("salts", "<i8")])
+                p["token"], p["cls"], p["n"] = marks[at], cls[owner], n[owner]
+                p["left"] = p["n"] - (np.arange(len(at)) - np.searchsorted(owner, owner))
                 p["salts"] = np.exp2(frequency[at] / 4.0 + 0.25).astype(np.int64) // HOT + 1
-                postings.append(p)
+                postings.append(p[np.asarray(ids.is_valid())[owner]])
             if not postings or not sum(map(len, postings)):
                 continue
             p = np.unique(np.concatenate(postings))
@@ -110,15 +109,32 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
             order = np.argsort(bucket * 2 + hot, kind="stable")
             group = (bucket * 2 + hot)[order]
             cuts = np.flatnonzero(np.diff(group)) + 1
-            plain = np.empty(len(p), pack_type)
-            plain["token"], plain["cls"] = p["token"][order], p["cls"][order]
             first = group[np.append(0, cuts)]
-            blobs = [x.tobytes() for x in np.split(plain, cuts)]
+            blobs = [_pack(x) for x in np.split(p[order], cuts)]
             yield _rows(id_type, bucket=first // 2, hot=first % 2 == 1, blob=blobs)
 
     return docs.select("doc_id", "text").mapInArrow(deal, _schema(id_type)[0])
 
 
+_POSTING = np.dtype([("token", "<u8"), ("cls", "<i8"), ("n", "<u4"), ("left", "<u4")])
+
+
+def _pack(postings: np.ndarray) -> bytes:
+    """The postings column by column, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(postings[f]).tobytes() for f in _POSTING.names))
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out = np.empty(len(raw) // _POSTING.itemsize, _POSTING)
+    at = 0
+    for f in _POSTING.names:
+        kind = _POSTING[f]
+        out[f] = np.frombuffer(raw, kind, len(out), at)
+        at += len(out) * kind.itemsize
+    return out
+
+
 def _schema(id_type: str) -> tuple[str, list[str]]:
     names = ["doc_id", "n", "cls", "bucket", "hot", "blob"]
     return f"doc_id {id_type}, n long, cls long, bucket long, hot boolean, blob binary", names
@@ -133,28 +149,40 @@ def _rows(id_type, ids=None, n=None, cls=None, bucket=None, hot=None, blob=None)
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """The lists of one bucket: (list, cls) rows of each list of two or more sets. Lists with the same members are listed once."""
+    """The lists of one bucket: (list, cls, n, left) rows of each list of two or more sets, left being the tokens from the list's own on.
+
+    Lists with the same members are listed once, with the most left that each member has on them.
+    """
     found = []
     for hot in (False, True):
         blobs = [b.as_py() for b, h in zip(table["blob"], table["hot"], strict=True) if h.as_py() is hot]
         if not blobs:
             continue
-        p = np.unique(np.concatenate([np.frombuffer(b, np.dtype([("token", "<u8"), ("cls", "<i8")])) for b in blobs]))
+        p = np.concatenate([_unpack(b) for b in blobs])
+        p = p[np.lexsort((p["cls"], p["token"]))]
+        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1]))]
         start = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
         count = np.diff(np.append(start, len(p)))
         if hot:
-            name = p["token"][start]
-            chosen = np.ones(len(start), bool)
+            name, chosen = p["token"][start], np.ones(len(start), bool)
         else:
-            print_ = np.add.reduceat(mix64(p["cls"].view(np.uint64)), start)
-            name = mix64(print_ + count.astype(np.uint64))
-            chosen = np.zeros(len(start), bool)
-            chosen[np.unique(name, return_index=True)[1]] = True
-            chosen &= count > 1
+            name = mix64(np.add.reduceat(mix64(p["cls"].view(np.uint64)), start) + count.astype(np.uint64))
+            chosen = count > 1
         rows = np.repeat(chosen, count)
-        found.append((np.repeat(name, count)[rows].view(np.int64), p["cls"][rows]))
-    lists = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
-    return pa.table({"list": lists, "cls": np.concatenate([f[1] for f in found]) if found else lists})
+        q, names = p[rows], np.repeat(name, count)[rows]
+        order = np.lexsort((q["cls"], names))
+        q, names = q[order], names[order]
+        head = np.flatnonzero(np.append(True, (names[1:] != names[:-1]) | (q["cls"][1:] != q["cls"][:-1]))) if len(q) else np.zeros(0, np.int64)
+        most = np.maximum.reduceat(q["left"], head) if len(q) else q["left"]
+        found.append((names[head].view(np.int64), q["cls"][head], q["n"][head].astype(np.int64), most.astype(np.int64)))
+    cat = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(4)]
+    return pa.table(dict(zip(("list", "cls", "n", "left"), cat, strict=True)))
+
+
+def _fits(a: str, b: str) -> Column:
+    """Can sets of these sizes, of which so much is left on a list, have the overlap that a link needs?"""
+    need = F.ceil((F.col(f"{a}n") + F.col(f"{b}n")) * PERCENT / (100 + PERCENT))
+    return F.least(f"{a}left", f"{b}left") >= need
 
 
 def _linked(a: str, b: str) -> Column:
@@ -204,21 +232,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = spark.sparkContext.broadcast(frequency_classes(picked, bits, size))
 
     dealt = _index(picked, classes, bits, buckets, size, id_type)
-    rows_schema = f"doc_id {id_type}, n long, cls long, list long"
+    rows_schema = f"doc_id {id_type}, n long, cls long, list long, left long"
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         if key[0].as_py() < 0:
-            return table.select(["doc_id", "n", "cls"]).append_column("list", pa.nulls(len(table), pa.int64()))
+            none = pa.nulls(len(table), pa.int64())
+            return table.select(["doc_id", "n", "cls"]).append_column("list", none).append_column("left", none)
         out = _meet(table)
-        return pa.table({"doc_id": pa.nulls(len(out), table.schema.field("doc_id").type), "n": pa.nulls(len(out), pa.int64()), "cls": out["cls"], "list": out["list"]})
+        return pa.table({"doc_id": pa.nulls(len(out), table.schema.field("doc_id").type), **{k: out[k] for k in ("n", "cls", "list", "left")}})
 
     met = scratch.keep(dealt.groupBy("bucket").applyInArrow(meet, rows_schema))
     members = met.where("list is null").select("doc_id", "n", "cls")
-    lists = met.where("list is not null").select("list", "cls").distinct()
+    lists = met.where("list is not null").groupBy("list", "cls").agg(F.first("n").alias("n"), F.max("left").alias("left"))
 
     kinds = members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
-    leaders = lists.groupBy("list").agg(F.min("cls").alias("leader"))
-    stars = lists.join(leaders, "list").where("cls <> leader").select(F.col("leader").alias("a"), F.col("cls").alias("b")).distinct()
+    leaders = lists.groupBy("list").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "cls", "n", "left")).alias("l"))
+    leaders = leaders.select("list", F.col("l.cls").alias("a"), F.col("l.n").alias("an"), F.col("l.left").alias("aleft"))
+    named = lists.select("list", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bleft"))
+    stars = named.join(leaders, (named["list"] == leaders["list"]) & (F.col("a") != F.col("b")) & _fits("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     reps = kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct()
     sets = scratch.keep(_sets(picked.join(reps, "doc_id", "left_semi"), size))
 
@@ -229,13 +260,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     links = scratch.keep(verified(stars))
     roots = scratch.keep(connected_components(links, scratch).withColumnsRenamed({"node": "cls", "root": "comp"}))
-    placed = lists.join(roots, "cls", "left").select("list", "cls", F.coalesce("comp", "cls").alias("comp"))
+    placed = lists.join(roots, "cls", "left").select("list", "cls", "n", "left", F.coalesce("comp", "cls").alias("comp"))
     open_lists = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    left = scratch.keep(placed.join(open_lists, "list", "left_semi"))
-    other = left.select("list", F.col("cls").alias("cls2"), F.col("comp").alias("comp2"))
-    across = left.join(other, "list").where("cls < cls2 and comp <> comp2").select(F.col("cls").alias("a"), F.col("cls2").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.keep(verified(across.join(tried, ["a", "b"], "left_anti")))
+    still = scratch.keep(placed.join(open_lists, "list", "left_semi"))
+    one, two = (still.select("list", *(F.col(c).alias(f"{side}{c}") for c in ("cls", "n", "left", "comp"))) for side in "ab")
+    across = one.join(two, (one["list"] == two["list"]) & (F.col("acls") < F.col("bcls")) & (F.col("acomp") != F.col("bcomp")) & _fits("a", "b")).select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct()
+    more = scratch.keep(verified(across.join(stars, ["a", "b"], "left_anti")))
     roots2 = connected_components(links.unionByName(more), scratch).withColumnsRenamed({"node": "cls", "root": "comp"})
 
     owned = kinds.join(roots2, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
