@@ -24,9 +24,9 @@ from strandline.llm.shingles import text_slices, words
 #: Fixed marks of the two tokens that aren't words.
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 #: Tokens of one chunk at most (a longer text is a chunk of its own), and bytes of text whose counts one bucket keeps.
-CHUNK_TOKENS, BUCKET_TEXT = 3_000_000, 8 << 20
+CHUNK_TOKENS, BUCKET_TEXT = 1_000_000, 8 << 20
 #: Buckets of context frequency (by powers of two), and steps an octave of the histogram's count and ratio classes.
-CONTEXTS, STEPS, EM_ROUNDS = 20, 8, 60
+CONTEXTS, STEPS, EM_ROUNDS = 20, 3, 60
 _PAIR_BITS = 40
 
 
@@ -189,7 +189,7 @@ def _merge(buckets: int, id_type: pa.DataType):
 
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         """Kind 0: a chunk with the corpus counts of its words and pairs; 1: the histogram of its held-out counts; 2: a bucket's N and V."""
-        rows = []
+        rows, parts = [], []
         if len(chunks) == 0:
             sums = np.sum([_swell(x.as_py(), "<u8") for x in told["words"]], axis=0)
             return pa.Table.from_pylist([{"kind": 2, "cell": int(sums[1]), "weight": int(sums[0])}], schema)
@@ -208,8 +208,8 @@ def _merge(buckets: int, id_type: pa.DataType):
             cell = (context_bucket(context) * 1024 + ratio_class(ratio)) * 1024 + count_class(np.maximum(words_[c.pairs[seen] & 0xFFFFFFFF] - 1, 0))
             cells, where = np.unique(cell, return_inverse=True)
             total = np.bincount(where, weights=weight[seen], minlength=len(cells)).astype(np.int64)
-            rows += [{"kind": 1, "cell": int(k), "weight": int(n)} for k, n in zip(cells, total, strict=True)]
-        return pa.Table.from_pylist(rows, schema)
+            parts.append(pa.table({"kind": pa.array(np.ones(len(cells), np.int32)), "cell": pa.array(cells), "weight": pa.array(total)}))
+        return pa.concat_tables([pa.Table.from_pylist(rows, schema), *parts], promote_options="default").cast(schema)
 
     return run
 
