@@ -101,7 +101,7 @@ def tight_box(xs: Column, ys: Column) -> Column:
 def portable_hash(key: Column, seed: int) -> Column:
     """An integer hash below 2^31 from modular steps that any SQL engine repeats exactly."""
     step = (key * 48271 + seed * 69621 + 12345) % 2147483647
-    step = (step * 16807 + 97) % 2147483647
+    step = (step * step + 97) % 2147483647
     return (step * 40692 + 7) % 2147483647
 
 

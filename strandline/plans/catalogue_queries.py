@@ -11,11 +11,9 @@ from strandline.plans.fixtures import with_tables
 from strandline.plans.registry import query
 from strandline.sources import files
 
-HASH = "(((({k} * 48271 + {s} * 69621 + 12345) % 2147483647) * 16807 + 97) % 2147483647 * 40692 + 7) % 2147483647"
-
-
 def _hash(key: str, seed: int) -> str:
-    return HASH.format(k=key, s=seed)
+    first = f"(({key} * 48271 + {seed} * 69621 + 12345) % 2147483647)"
+    return f"((({first} * {first} + 97) % 2147483647) * 40692 + 7) % 2147483647"
 
 
 #: Tiers in SQL: rows around matches are those within two places of one in a directory.
