@@ -34,6 +34,7 @@ WIDTH = 2 * LENGTH - K
 BUCKET_TEXT, SLICE_BYTES, COLLECTION = 8 << 20, 4 << 20, 20_000
 #: Bytes of an anchor's hash that a chunk asks with, besides what its bucket says.
 ASK_BYTES = 5
+_ASK_SHIFT = 8 * ASK_BYTES
 #: The sketch has a counter for about 1024 bytes of text, at most 2^MAX_BITS of one byte each when sent.
 MIN_BITS, MAX_BITS, BLOCK_BITS = 16, 26, 14
 
@@ -47,10 +48,13 @@ def gram_hashes(flat: np.ndarray) -> np.ndarray:
     return _gram_hash(*(np.ndarray((n,), "<u8", raw, k, (1,)) for k in range(0, K, 8)))
 
 
-def _gram_hash(*parts: np.ndarray) -> np.ndarray:
-    mark = np.zeros(len(parts[0]), np.uint64)
-    for part in parts:
-        mark = mix64(mark * np.uint64(0xD6E8FEB86659FD93) + part)
+def _gram_hash(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+    mark = (second ^ (second >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    mark += first * np.uint64(0x9E3779B97F4A7C15)
+    mark += (third ^ (third >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    mark ^= mark >> np.uint64(32)
+    mark *= np.uint64(0x94D049BB133111EB)
+    mark ^= mark >> np.uint64(29)
     return mark
 
 
@@ -82,27 +86,42 @@ def cut_pieces(flat: np.ndarray, offsets: np.ndarray, rank: np.ndarray, hashes:
 
 def piece_rows(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
     """The pieces as rows of WIDTH bytes padded to whole words, zero behind the end."""
-    wide = -(-WIDTH // 8) * 8
-    padded = np.append(flat, np.zeros(wide, np.uint8))
-    rows = padded[first[:, None] + np.arange(wide)[None, :]]
-    rows[np.arange(wide)[None, :] >= length[:, None]] = 0
+    padded = np.append(flat, np.zeros(_WIDE, np.uint8))
+    rows = np.ndarray((len(padded) - _WIDE + 1, _WIDE), np.uint8, padded, 0, (1, 1))[first]
+    words = rows.view("<u8")
+    words &= _MASKS[length]
     return rows
 
 
-def same_rows(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, fresh): equal rows with equal keys stand together in order; fresh marks the first of each."""
+#: Bytes of a padded row, and for each length the words that keep its bytes.
+_WIDE = -(-WIDTH // 8) * 8
+_MASKS = np.where(np.arange(_WIDE)[None, :] < np.arange(_WIDE + 1)[:, None], np.uint8(255), np.uint8(0)).view("<u8")
+
+
+def same_rows(rows: np.ndarray, length: np.ndarray, anchor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(order, fresh): equal rows of equal length (and anchor) stand together in order; fresh marks the first of each."""
     words = rows.view("<u8")
-    mark = np.zeros(len(rows), np.uint64)
+    mark = length.astype(np.uint64)
     for i in range(words.shape[1]):
-        mark = mix64(mark * np.uint64(0xD6E8FEB86659FD93) + words[:, i])
-    order = np.lexsort((mark, *keys))
+        mark = (mark ^ (mark >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + words[:, i]
+    order = np.argsort(mark) if anchor is None else np.lexsort((mark, anchor))
     fresh = np.ones(len(rows), bool)
     fresh[1:] = (words[order[1:]] != words[order[:-1]]).any(axis=1)
-    for key in keys:
+    for key in (length, anchor) if anchor is not None else (length,):
         fresh[1:] |= key[order[1:]] != key[order[:-1]]
     return order, fresh
 
 
+#: Whole part of the logarithm (base 2) of each number.
+_LEVEL = (np.frexp(np.arange(1 << 20).astype(np.float64))[1] - 1).astype(np.int8)
+
+
+def _levels(n: np.ndarray) -> np.ndarray:
+    if n.max(initial=0) < len(_LEVEL):
+        return _LEVEL[n].astype(np.int64)
+    return np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+
+
 def equal_windows(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(group, piece, offset) of each LENGTH-byte window of the pieces that equals another: the column-wise construction."""
     n = len(rows)
@@ -117,17 +136,18 @@ def equal_windows(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.
         order = np.argsort(before, kind="stable")
         order = order[np.searchsorted(before[order], 1) :]
         # the least common prefix between neighbours of the new list, over the old list's (earlier, later]
-        later, earlier = order[1:], order[:-1]
-        together = before[later] == before[earlier]
+        kept = before[order]
+        together = np.flatnonzero(kept[1:] == kept[:-1])
+        begin, end = order[together] + 1, order[together + 1]
+        level = _levels(end - begin + 1)
+        tables = [common]
+        for k in range(int(level.max(initial=0))):
+            last = tables[-1]
+            tables.append(np.append(np.minimum(last[: -(1 << k)], last[1 << k :]), np.zeros(1 << k, np.uint8)))
+        table = np.concatenate(tables)
+        base = level * len(common)
         least = np.zeros(len(order), np.uint8)
-        a, b = earlier[together] + 1, later[together]
-        level = np.frexp((b - a + 1).astype(np.float64))[1] - 1
-        found, table = np.zeros(len(a), np.uint8), common
-        for k in range(int(level.max(initial=-1)) + 1):
-            at = level == k
-            found[at] = np.minimum(table[a[at]], table[b[at] - (1 << k) + 1])
-            table = np.minimum(table[: -(1 << k)], table[1 << k :]) if len(table) > (1 << k) else table[:0]
-        least[1:][together] = found + 1
+        least[together + 1] = np.minimum(table[base + begin], table[base + end + 1 - (np.int64(1) << level)]) + 1
         piece = np.append(empty, piece[order])
         size = np.append(np.zeros(n, np.int16), size[order] + 1)
         common = np.append(np.zeros(n, np.uint8), least)
@@ -196,7 +216,7 @@ class Cut:
         named = np.array([i is not None for i in row["ids"]], bool)
         self.ids = np.array([i if i is not None else 0 for i in row["ids"]], np.int64)
         hashes = gram_hashes(flat)
-        doc, start, length, place = cut_pieces(flat, self.offsets, classes[(hashes >> np.uint64(64 - bits)).astype(np.int64)], hashes)
+        doc, start, length, place = cut_pieces(flat, self.offsets, classes[(hashes >> np.uint64(64 - bits)).view(np.int64)], hashes)
         keep = named[doc]
         self.doc, first, self.length, self.place = doc[keep], start[keep], length[keep], place[keep]
         self.rows, self.start = piece_rows(flat, first, self.length), first - self.offsets[self.doc]
@@ -207,11 +227,13 @@ class Cut:
             own = self.ids[self.doc[order]]
             self.late[order] = own > np.minimum.reduceat(own, np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
         stay = np.flatnonzero(~self.late)
-        self.stay = stay[np.lexsort((self.anchor[stay] // np.uint64(buckets), self.anchor[stay] % np.uint64(buckets)))]
+        # by bucket and then by the anchor's lower bits; should anchors that differ there alternate, they ask more than once
+        key = (self.anchor[stay] % np.uint64(buckets) << np.uint64(_ASK_SHIFT)) | (self.anchor[stay] // np.uint64(buckets) & np.uint64((1 << _ASK_SHIFT) - 1))
+        self.stay = stay[np.argsort(key)]
         marks = self.anchor[self.stay]
         self.head = np.flatnonzero(np.append(True, marks[1:] != marks[:-1])) if len(marks) else np.zeros(0, np.int64)
         self.bucket = (marks[self.head] % np.uint64(buckets)).astype(np.int64)
-        self.ask = marks[self.head] // np.uint64(buckets)
+        self.ask = marks[self.head] // np.uint64(buckets) & np.uint64((1 << _ASK_SHIFT) - 1)
 
 
 _TABLE = "bucket long, chunk long, body binary"
