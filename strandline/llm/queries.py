@@ -52,4 +52,4 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_suffix_dedup, op6_embedding_dedup, op7_lm_score, op8_url_filter, op9_secret_scan, op10_best_fit_packing)}
-ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL}
+ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_embedding_dedup": embedding_dedup.SQL}

@@ -411,3 +411,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     spans = spread.groupBy("bucket").applyInArrow(meet, _TABLE)
     return chunks.groupBy("chunk").cogroup(spans.groupBy("chunk")).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same result in SQL: every 50-byte string of every text, as hex.
+SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM h)),
+m AS (SELECT s, min(doc_id) AS d FROM w GROUP BY s),
+c AS (SELECT w.doc_id, w.i FROM w JOIN m ON m.s = w.s WHERE w.doc_id > m.d),
+f AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh FROM c),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM f),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY 1, 2),
+k AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS prev FROM r),
+t AS (SELECT k.doc_id, string_agg(substr(h.h, CAST(2 * prev + 1 AS BIGINT), CAST(2 * (a - prev) AS BIGINT)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS removed, count(*) AS spans
+      FROM k JOIN h ON h.doc_id = k.doc_id GROUP BY 1)
+SELECT h.doc_id, CAST(len(h.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(h.h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+FROM h LEFT JOIN t ON t.doc_id = h.doc_id
+"""
