@@ -31,6 +31,8 @@ SIZE, PERCENT = 5, 80
 ORDERS = [0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 #: Bytes of text that one bucket of the index answers for, and postings of one token that one bucket takes before the token is salted.
 BUCKET_TEXT, HOT = 16 << 20, 200_000
+#: Ids that are sent to all tasks at most (16 bytes each or so); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 #: The frequency sketch has 2^bits counters, a counter for about TOKENS_EACH tokens of the corpus; never more than 2^MAX_BITS (one byte each when sent).
 MIN_BITS, MAX_BITS, BLOCK_BITS, TOKENS_EACH = 16, 25, 14, 8
 
@@ -250,8 +252,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     leaders = leaders.select("list", F.col("l.cls").alias("a"), F.col("l.n").alias("an"), F.col("l.left").alias("aleft"))
     named = lists.select("list", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bleft"))
     stars = named.join(leaders, (named["list"] == leaders["list"]) & (F.col("a") != F.col("b")) & _fits("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    reps = kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct()
-    sets = scratch.keep(_sets(picked.join(reps, "doc_id", "left_semi"), size))
+    reps = scratch.keep(kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct())
+    sets = scratch.keep(_sets(picked.join(_small(reps), "doc_id", "left_semi"), size))
 
     def verified(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
@@ -280,9 +282,17 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Documents without shingles or with a null id stay; of rows that repeat an id one stays.
     """
-    found = jaccard_components(docs, id_col, text_col, size)
-    chosen = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(chosen, id_col, "left_semi").dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    found = Scratch(docs.sparkSession, "kept").keep(jaccard_components(docs, id_col, text_col, size))
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    left = docs.join(_small(gone), id_col, "left_anti")
+    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are at most BROADCAST_IDS; otherwise joins shuffle both sides."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 #: The same result in SQL: all pairs that share a shingle.
