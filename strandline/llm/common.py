@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b").distinct()
+        large = both.join(low, "a").where("b > a and b <> m").select(F.col("m").alias("a"), "b")
         low2 = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low2, "b").select(F.col("m").alias("a"), F.explode(F.array("a", "b")).alias("b")).where("a <> b").distinct()
         new = scratch.keep(small)

@@ -8,7 +8,7 @@ A pair must also pass the position filter on the list of its first common token:
 
 Sets that are equal are one class from the start. Candidates come in two rounds, so that a group of g near copies costs about g
 verifications and not g^2: first each set against the leader of its lists (the one with the fewest tokens before the list's own); then, of what these links have not joined, all pairs that
-share a list and lie in different components. A link that neither round verifies can only lie inside a component.
+share a list and aren't known to be in one component. A link that neither round verifies can only lie inside a component.
 """
 
 from __future__ import annotations
@@ -261,7 +261,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return pairs.join(left, "a").join(right, "b").where(_linked("sa", "sb")).select("a", "b").distinct()
 
     links = scratch.keep(verified(stars))
-    roots = scratch.keep(connected_components(links, scratch).withColumnsRenamed({"node": "cls", "root": "comp"}))
+    roots = _near_labels(links)
     placed = lists.join(roots, "cls", "left").select("list", "cls", "n", "left", F.coalesce("comp", "cls").alias("comp"))
     open_lists = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
     still = scratch.keep(placed.join(open_lists, "list", "left_semi"))
@@ -277,6 +277,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """(cls, comp): the smallest of the sets within two links. Sets with one label are in one component, and a star has one label."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), F.least("a", "m").alias("m"))
+    two = both.join(one, "b").groupBy("a").agg(F.min("m").alias("m"))
+    return two.select(F.col("a").alias("cls"), F.least("a", "m").alias("comp"))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """docs with one document of each component, that of the smallest id; all columns stay as they are.
 
