@@ -7,6 +7,7 @@ sample of labelled rows (SAMPLE_PER_LANG a language); prediction is one pass ove
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LETTER, crc_mod
+from strandline.llm.common import LETTER, blob_of, crc_mod
 
 #: Language families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -43,13 +44,12 @@ def features(text: str) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the bias) of a linear SVM: averaged sub-gradient steps on the class-balanced hinge loss; y is +1 or -1."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     y = y.astype(np.float32)
     cost = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    w, mean = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    w, mean, shrink = np.zeros(x.shape[1] + 1, np.float32), np.zeros(x.shape[1] + 1, np.float32), np.float32(1 - reg)
     for t in range(rounds):
-        active = y * (x @ w) < 1
-        w = w * np.float32(1 - reg) + np.float32(2.0 / (1 + t / 50)) * ((y * cost * active) @ x)
+        push = y * cost * (y * (x @ w[:-1] + w[-1]) < 1)
+        w = w * shrink + np.float32(2.0 / (1 + t / 50)) * np.append(push @ x, push.sum())
         if t >= rounds // 2:
             mean += w
     return mean / (rounds - rounds // 2)
@@ -134,10 +134,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     got = chosen.select("lang", "text").mapInArrow(_with_features, "lang string, x binary").limit(MAX_SAMPLE).toArrow()
     if not got.num_rows:
         return None
-    x = np.stack([np.frombuffer(v.as_py(), np.float32) for v in got["x"]])
-    langs = got["lang"].to_pylist()
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
-    return fit_hierarchy(x[order], [langs[i] for i in order])
+    # the sample is tens of MB: no more than one copy of it beside the received one
+    langs, column = got["lang"].to_pylist(), got["x"].combine_chunks()
+    del got
+    raw = blob_of(column)[0].view(np.float32).reshape(len(langs), -1)
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], hashlib.blake2b(raw[i]).digest()))
+    x = raw[order]
+    del raw, column
+    return fit_hierarchy(x, [langs[i] for i in order])
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
