@@ -11,10 +11,12 @@ shuffle, and the answers come back in the order of the questions. What EM needs
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,8 @@ def _swell(raw: bytes, kind: str) -> np.ndarray:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk: ids and training flags of its texts, tokens a text, distinct words, and each token's number among them."""
+    # a partition reads the same rows at every attempt, so partition and place name a chunk
+    names = count(TaskContext.get().partitionId() << 32)
     for batch in batches:
         parts, waiting = [], 0
         keys = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "train"])
@@ -49,22 +53,21 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts.append((rows, np.insert(mark, at, END), np.bincount(text, minlength=len(rows)) + 1))
             waiting += len(parts[-1][1])
             if waiting > CHUNK_TOKENS:
-                yield _chunk(parts)
+                yield _chunk(parts, next(names))
                 parts, waiting = [], 0
         if parts:
-            yield _chunk(parts)
+            yield _chunk(parts, next(names))
 
 
-def _chunk(parts: list) -> pa.RecordBatch:
+def _chunk(parts: list, name: int) -> pa.RecordBatch:
     rows = pa.concat_arrays([p[0] for p in parts])
     marks, many = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
     vocabulary, number = np.unique(np.append(marks, START), return_inverse=True)
-    name = mix64(np.cumsum(mix64(marks ^ np.arange(len(marks), dtype=np.uint64)), dtype=np.uint64)[-1:] + np.uint64(len(rows)))
     train = np.asarray(rows.field("train").fill_null(False)).astype(np.uint8)
     ids = rows.field("doc_id")
     cell = lambda x: pa.array([x], pa.binary())
     return pa.RecordBatch.from_arrays(
-        [pa.array((name >> np.uint64(1)).astype(np.int64)), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), cell(_squeeze(train)), cell(_squeeze(many.astype("<i8"))), cell(_squeeze(vocabulary)), cell(_squeeze(number[:-1].astype("<u4")))],
+        [pa.array([name], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), cell(_squeeze(train)), cell(_squeeze(many.astype("<i8"))), cell(_squeeze(vocabulary)), cell(_squeeze(number[:-1].astype("<u4")))],
         ["chunk", "ids", "train", "many", "vocabulary", "tokens"],
     )
 

@@ -280,7 +280,7 @@ def test_lm_score(spark):
     assert sum(got[i]["score"] for i in out) > sum(got[i]["base_score"] for i in out)
     assert lm_score.score_texts(df.where("false")).count() == 0
     odd = lm_score.score_texts(table(spark, ["a", "a"], [None, 1])).collect()
-    assert {(r["doc_id"], r["held_out"]) for r in odd} == {(None, None), (1, False)}
+    assert {(r["doc_id"], r["held_out"]) for r in odd} == {(None, None), (1, zlib.crc32(b"1") % 7 == 2)}
 
 
 def test_lm_weights_sum_to_one_and_follow_the_data():
