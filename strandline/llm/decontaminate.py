@@ -103,7 +103,7 @@ class ItemIndex:
         for b in bands[counts >= need]:
             inside = diagonal[(diagonal >= b * width) & (diagonal < (b + 2) * width)]
             lo, hi = max(0, int(inside.min()) - e), int(inside.max()) + m + e
-            edits = banded_edits(self.texts[i], raw[lo:hi])
+            edits = banded_edits(self.texts[i], raw[lo:hi], e)
             if edits <= e and (best is None or edits < best):
                 best = edits
             if best == 0:
@@ -111,13 +111,20 @@ class ItemIndex:
         return best
 
 
-def banded_edits(item: bytes, region: bytes) -> int:
-    """Least edits between item and any part of region. Only diagonals that region's length allows are computed."""
+def banded_edits(item: bytes, region: bytes, reach: int) -> int:
+    """Least edits between item and any part of region, if that is at most reach; else some number above reach.
+
+    A path of at most reach edits stays within reach of the diagonals that region's length allows, so those are computed: region gets
+    reach bytes on both sides that normalised text never holds.
+    """
     m = len(item)
     if item in region:
         return 0
-    spare = max(0, len(region) - m)
-    pad = np.frombuffer(region.ljust(m + spare, b"\0"), np.uint8)
+    spare = len(region) + 2 * reach - m
+    if spare < 0:
+        return reach + 1
+    side = b"\0" * reach
+    pad = np.frombuffer(side + region + side, np.uint8)
     steps = np.arange(spare + 1)
     row, far = np.zeros(spare + 1, np.int64), 1 << 30
     for r, c in enumerate(item):

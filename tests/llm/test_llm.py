@@ -144,6 +144,28 @@ def test_decontamination(spark):
     assert decontaminate.find_contamination(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_decontamination_at_the_ends_of_a_text():
+    rng = random.Random(8)
+    for n in range(60):
+        item = decontaminate.normalise(prose(rng, 30))[:200].strip()
+        e = decontaminate.edit_budget(len(item))
+        near = list(item.decode())
+        kind = n % 3
+        for _ in range(rng.choice([1, 4, e // 2, e])):
+            at = rng.choice([0, 1, len(near) // 2, len(near) - 2, len(near) - 1, rng.randrange(len(near))])
+            if kind == 0 or kind == 2 and rng.random() < 0.5:
+                del near[at]
+            else:
+                near.insert(at, rng.choice("xyz"))
+        near, other = "".join(near), prose(rng, 20)
+        for text in (near, near + " " + other, other + " " + near):
+            raw = decontaminate.normalise(text)
+            want = edits(item.decode(), raw.decode())
+            found = decontaminate.ItemIndex.build([(1, item.decode())]).find(text)
+            assert found == ([(1, want)] if want <= e else []), (n, text)
+    assert decontaminate.banded_edits(b"abcdef", b"abdef", 1) == 1
+
+
 def test_chat_format(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "bot", "b"), (2, 0, "user", "a"), (2, 1, "bot", "b"), (2, 2, "user", "c"), (3, 0, "user", "a"), (3, 1, "bot", "b"), (3, 2, "user", "c"),
             (4, 0, None, None), (5, 0, "user", "x"), (5, 0, "user", "x"), (6, 1, "b", "y"), (6, 1, "a", "z"), (None, 0, "u", "t"), (7, None, "u", "t")]
