@@ -74,10 +74,13 @@ def literal_score(name: str, value: str) -> float:
     return sensitivity(name) * randomness(value)
 
 
-def lex_assignments(text: str) -> list[tuple[str, str, int, int]]:
-    """(name, value, start, end) of each assignment whose right side resolves to a literal; the span is the last literal's own."""
-    env: dict[str, tuple[str, int, int]] = {}
-    out, done = [], 0
+def lex_assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, value, spans) of each assignment whose right side resolves to literals.
+
+    spans are those of all literals that the value is made of, wherever they stand; literals joined on the spot share one span.
+    """
+    env: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    done = 0
     for op in _OPERATOR.finditer(text):
         p = op.start()
         if p < done:
@@ -94,26 +97,29 @@ def lex_assignments(text: str) -> list[tuple[str, str, int, int]]:
         if not name or text[p : p + 2] == "==" or text[p : p + 3] in ("://",):
             continue
         at = _TAIL.match(text, p).end()
-        value, span = "", None
+        value, spans, here = "", [], None
         while m := _TERM.match(text, at):
-            quoted = m[1] if m[1] is not None else m[2]
-            if quoted is not None:
-                value, span = value + quoted, span or m.span()
-            elif _IDENT.match(m[3]) and m[3] in env:
-                value, span = value + env[m[3]][0], span or env[m[3]][1:]
+            quoted, end = m[1] if m[1] is not None else m[2], m.end()
+            parts = [] if quoted is not None else m[3].rstrip("+").split("+")
+            if parts and all(v in env for v in parts):
+                value, here = value + "".join(env[v][0] for v in parts), None
+                spans += [s for v in parts for s in env[v][1]]
+                end = m.start() + len(m[3].rstrip("+"))
+            elif quoted is not None or not spans or not _IDENT.match(m[3]):
+                # a name that isn't known is a literal only where it comes first
+                value += m[3] if quoted is None else quoted
+                spans = [*spans[:-1], (here, end)] if here is not None else [*spans, m.span()]
+                here = m.start() if here is None else here
             else:
-                value, span = value + m[3], span or m.span()
-            if quoted is not None and span and span[1] <= m.start():
-                span = (span[0], m.end())
-            at = m.end()
+                value, here = value + m[3], None
+            at = end
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
-        if span:
-            env[name] = (value, *span)
-            out.append((name, value, *span))
+        if spans:
+            env[name] = (value, list(dict.fromkeys(spans)))
+            yield name, *env[name]
             done = max(done, p + 1)
-    return out
 
 
 def find_spans(text: str, min_score: float = MIN_SCORE) -> tuple[list[tuple[int, str, int]], list[tuple[int, str, int]]]:
@@ -121,7 +127,7 @@ def find_spans(text: str, min_score: float = MIN_SCORE) -> tuple[list[tuple[int,
     base = base_spans(text)
     if ":" not in text and "=" not in text:
         return base, base
-    extra = {(s, e) for name, value, s, e in lex_assignments(text) if literal_score(name, value) >= min_score}
+    extra = {s for name, value, spans in lex_assignments(text) if literal_score(name, value) >= min_score for s in spans}
     added = [(s, "lexed", e) for s, e in extra if not any(b <= s and e <= f for b, _, f in base)]
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1])))
 

@@ -369,6 +369,25 @@ def test_secret_scan(spark):
     assert clean[0] == "[SECRET] x" and clean[6] is None and clean[7] == "" and clean[12] == texts[12]
 
 
+def test_secret_scan_of_joined_constants(spark):
+    a, b, clean = "Xk29fQ7wLm", "q8ZtR41vNb", "plain words of the text\n" * 200
+    texts = [
+        f'base = "{a}"\n{clean}token = base + "{b}"\n',
+        f'first = "{a}"\nsecond = "{b}"\n{clean}password = first + second\n',
+        f'first = "{a}"\n{clean}second = "{b}"\npassword=first+second\n',
+        f'base = "{a}"\n{clean}token = "{b}" + base\n',
+        f'base = "{a}"\n{clean}token=base+"{b}"\n',
+        f'base = "{a}"\n{clean}token = "Vw3" + base + "{b}" + "7Pc"\n',
+    ]
+    got = {r["doc_id"]: r for r in secret_scan.scan_secrets(table(spark, texts)).collect()}
+    redacted = {r["doc_id"]: r["text"] for r in secret_scan.redact(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        assert a not in redacted[i] and b not in redacted[i] and clean in redacted[i], i
+        found = {tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s.startswith("lexed")}
+        want = [f'"{a}"', f'"{b}" + "7Pc"' if i == 5 else f'"{b}"'] + ['"Vw3"'] * (i == 5)
+        assert found == {(t.index(w), t.index(w) + len(w)) for w in want}, i
+
+
 def test_tokenizer_ids_are_the_files(spark):
     from tokenizers import Tokenizer
 
