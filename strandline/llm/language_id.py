@@ -1,13 +1,15 @@
 """Language identification by hierarchical discrimination.
 
 First a linear SVM per language family picks the family; then one-versus-one linear SVMs among the languages of that family vote for
-the language. Both read one vector of hashed character trigrams of the whole text. The models are fitted on the driver on a bounded
-sample of labelled rows (SAMPLE_PER_LANG a language); prediction is one pass over the texts without a shuffle.
+the language. Both read one vector of hashed character trigrams of the whole text. Margins only say which language fits best, so a text
+is also held against the trigram frequencies of each language and is undetermined if it fits none. The models are fitted on the driver
+on a bounded sample of labelled rows (SAMPLE_PER_LANG a language); prediction is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
@@ -32,6 +34,11 @@ FAMILIES = {
 #: At most about so many labelled texts of each language are used to fit, and at most MAX_SAMPLE in all.
 SAMPLE_PER_LANG, MAX_SAMPLE = 250, 4000
 BITS = 13
+#: A text fits a language if the mean log frequency of its words' trigrams, with FIT_SIGMAS standard errors for its length added, is at most FIT_SLACK
+#: below what all but FIT_SHARE of the language's sample reach when each half is scored by the other one. Fewer rows set no bound.
+FIT_SHARE, FIT_SLACK, FIT_SIGMAS, FIT_ROWS = 0.1, 2.0, 3.0, 4
+SHARES = np.dtype([("at", "<u2"), ("share", "<f4")])
+_WORD = re.compile(r"\w+")
 
 
 def features(text: str) -> np.ndarray:
@@ -42,6 +49,18 @@ def features(text: str) -> np.ndarray:
     return x / max(np.float32(1e-12), np.sqrt(np.float32(x @ x)))
 
 
+def word_trigrams(text: str) -> tuple[np.ndarray, int]:
+    """(place and share of each hashed byte trigram, how many there are) of the words of letters alone: digits and signs are in no language."""
+    words = " ".join(w for w in _WORD.findall(text.lower()) if w.isalpha())
+    if not words:
+        return np.zeros(0, SHARES), 0
+    x = features(words)
+    out = np.zeros(np.count_nonzero(x), SHARES)
+    out["at"] = np.flatnonzero(x)
+    out["share"] = np.square(x[out["at"]])
+    return out, len(words.encode("utf-8", "replace"))
+
+
 def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, reg: float = 1e-4) -> np.ndarray:
     """Weights (the last one is the bias) of a linear SVM: averaged sub-gradient steps on the class-balanced hinge loss; y is +1 or -1."""
     y = y.astype(np.float32)
@@ -63,8 +82,14 @@ class Hierarchy:
     weights: np.ndarray
     family_at: dict[str, int] = field(default_factory=dict)
     pair_at: dict[tuple[str, str], int] = field(default_factory=dict)
+    #: Languages with a bound; a row of log frequencies, a standard deviation and a bound for each.
+    bounded: list[str] = field(default_factory=list)
+    logs: np.ndarray | None = None
+    spread: np.ndarray | None = None
+    least: np.ndarray | None = None
 
     def predict(self, text: str) -> tuple[str, float]:
+        """(language, score); `und` and 0 if the text fits no language."""
         x = features(text)
         margins = (self.weights[:, :-1] @ x + self.weights[:, -1]).astype(float)
         names = list(self.langs)
@@ -81,9 +106,16 @@ class Hierarchy:
             votes[a][1] += m
             votes[b][1] -= m
         best = min(votes, key=lambda k: (-votes[k][0], -votes[k][1], k))
+        if best in self.bounded and not self.fits(text):
+            return "und", 0.0
         least = min((m if best == a else -m for (a, b), at in self.pair_at.items() if best in (a, b) for m in [margins[at]]), default=None)
         return best, float(score if least is None else score * _sure(2 * least))
 
+    def fits(self, text: str) -> bool:
+        """Whether the words of text reach the bound of any language; true if there are none."""
+        found, n = word_trigrams(text)
+        return not n or bool((self.logs[:, found["at"]] @ found["share"] + FIT_SIGMAS * self.spread / np.sqrt(n) >= self.least).any())
+
 
 def _sure(margin: float) -> float:
     return float(1 / (1 + np.exp(-min(30.0, max(-30.0, 2 * margin)))))
@@ -114,9 +146,39 @@ def fit_hierarchy(x: np.ndarray, langs: list[str]) -> Hierarchy:
     return out
 
 
+def _frequencies(rows: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Log trigram frequencies of texts, each text counting the same, and the standard deviation of one trigram's."""
+    flat = np.concatenate(rows)
+    p = np.bincount(flat["at"], flat["share"], 1 << BITS) / len(rows) + 1 / (30 << BITS)
+    p /= p.sum()
+    logs = np.log(p)
+    return logs.astype(np.float32), float(np.sqrt(max(0.0, p @ (logs * logs) - (p @ logs) ** 2)))
+
+
+def fit_bounds(model: Hierarchy, sample: list[tuple[str, bytes, int]]) -> None:
+    """Set what texts of each language reach, from the distinct ones of sample: (language, word_trigrams as bytes, their number)."""
+    bounds = []
+    for lang in sorted({v for v, _, _ in sample}):
+        distinct = sorted({(raw, n) for v, raw, n in sample if v == lang and n}, key=lambda r: hashlib.blake2b(r[0]).digest())
+        if len(distinct) < FIT_ROWS:
+            continue
+        rows = [np.frombuffer(raw, SHARES) for raw, _ in distinct]
+        logs, spread = _frequencies(rows)
+        reached = []
+        for k in (0, 1):
+            other = _frequencies(rows[1 - k :: 2])[0]
+            reached += [other[r["at"]] @ r["share"] + FIT_SIGMAS * spread / np.sqrt(n) for r, (_, n) in zip(rows[k::2], distinct[k::2], strict=True)]
+        bounds.append((lang, logs, spread, np.quantile(reached, FIT_SHARE) - FIT_SLACK))
+    if bounds:
+        model.bounded, logs, spread, least = map(list, zip(*bounds, strict=True))
+        model.logs, model.spread, model.least = np.array(logs), np.array(spread), np.array(least)
+
+
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["lang", "x"])
+        x = pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+        words = [word_trigrams(t.as_py()) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), x, pa.array([w.tobytes() for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["lang", "x", "words", "n"])
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Hierarchy | None:
@@ -131,21 +193,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     spread = 1 << 40
     cut = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(spread, spread * per_lang // n))])
     chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < F.coalesce(cut[F.col("lang")], F.lit(0)))
-    got = chosen.select("lang", "text").mapInArrow(_with_features, "lang string, x binary").limit(MAX_SAMPLE).toArrow()
+    got = chosen.select("lang", "text").mapInArrow(_with_features, "lang string, x binary, words binary, n long").limit(MAX_SAMPLE).toArrow()
     if not got.num_rows:
         return None
     # the sample is tens of MB: no more than one copy of it beside the received one
     langs, column = got["lang"].to_pylist(), got["x"].combine_chunks()
+    sample = list(zip(langs, got["words"].to_pylist(), got["n"].to_pylist(), strict=True))
     del got
     raw = blob_of(column)[0].view(np.float32).reshape(len(langs), -1)
     order = sorted(range(len(langs)), key=lambda i: (langs[i], hashlib.blake2b(raw[i]).digest()))
     x = raw[order]
     del raw, column
-    return fit_hierarchy(x, [langs[i] for i in order])
+    model = fit_hierarchy(x, [langs[i] for i in order])
+    fit_bounds(model, sample)
+    return model
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score. `und` with score 0 if the text is null or has no letter, or if there is no model.
+    """Per row: doc_id, lang_pred, score. `und` with score 0 if the text is null, has no letter or fits no language, or if there is no model.
 
     Repeated rows give a row each and a null id stays null. An empty table gives an empty result.
     """

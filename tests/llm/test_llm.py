@@ -101,6 +101,18 @@ def test_language_id(spark):
     assert language_id.identify(empty).count() == 0
 
 
+def test_language_id_rejects_other_languages(spark):
+    rng = random.Random(9)
+    parts = {"en": ["the", "ing", "wh", "th"], "de": ["sch", "ung", "ß", "ei"], "fr": ["eau", "è", "oi", "que"], "es": ["ción", "ñ", "os", "ll"]}
+    rows = [(i, prose(rng, rng.choice([3, 30, 300]), parts[v]), v) for i in range(400) for v in [list(parts)[i % 4]]]
+    none = [prose(rng, 40, ["ää", "yö", "kk", "nen"]), prose(rng, 40, ["щу", "кра", "ться", "ые"]), prose(rng, 40, ["漢", "字", "です"]), prose(rng, 40, ["zx", "qj", "kv", "bp"]), "Pchnąć w tę łódź jeża lub ośm skrzyń fig"]
+    rows += [(1000 + i, t, lang) for i, t in enumerate(none) for lang in (None, "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in language_id.keep_identified(df).collect()} == set(range(400))
+    model = language_id.train(df)
+    assert {(r["lang_pred"], r["score"]) for r in language_id.predict(df.where("doc_id >= 1000"), model).collect()} == {("und", 0.0)}
+
+
 def test_language_prediction_ignores_columns(spark):
     df = table(spark, corpus())
     model = language_id.train(df)
