@@ -72,17 +72,30 @@ def running_total(frames: DataFrame, value: str = "value", out: str = "total", b
     return blocked.withColumn(out, inside).join(ahead, ["series_id", "_block"]).withColumn(out, F.col(out) + F.col("_ahead")).drop("_block", "_ahead")
 
 
-def run_lengths(frames: DataFrame, flag: str = "flag", out: str = "run_length") -> DataFrame:
-    """Frames with the length of the run of equal flags that each lies in."""
-    order = Window.partitionBy("series_id").orderBy("frame_index")
+def run_lengths(frames: DataFrame, flag: str = "flag", out: str = "run_length", block: int | None = None) -> DataFrame:
+    """Frames with the length of the run of equal flags that each lies in.
+
+    With block, runs are counted inside blocks of so many frame numbers and joined where the flag stays the same from one block to the next.
+    """
+    keys = ["series_id"] if block is None else ["series_id", "_block"]
+    blocked = frames if block is None else frames.withColumn("_block", F.floor(F.col("frame_index") / block))
+    order = Window.partitionBy(*keys).orderBy("frame_index")
     changed = F.coalesce((F.col(flag) != F.lag(flag).over(order)).cast("int"), F.lit(0))
-    runs = frames.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order))
-    return runs.withColumn(out, F.count("*").over(Window.partitionBy("series_id", "_run"))).drop("_changed", "_run")
+    runs = blocked.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(order))
+    if block is None:
+        return runs.withColumn(out, F.count("*").over(Window.partitionBy("series_id", "_run"))).drop("_changed", "_run")
+    by_block = Window.partitionBy("series_id").orderBy("_block")
+    ends = runs.groupBy(*keys).agg(F.min_by(flag, "frame_index").alias("_first"), F.max_by(flag, "frame_index").alias("_last"), F.max("_run").alias("_runs"))
+    step = F.coalesce((F.col("_first") != F.lag("_last").over(by_block)).cast("long"), F.lit(0)) + F.coalesce(F.lag("_runs").over(by_block), F.lit(0))
+    ahead = ends.withColumn("_step", step).withColumn("_ahead", F.sum("_step").over(by_block)).select(*keys, "_ahead")
+    parts = runs.groupBy(*keys, "_run").agg(F.count("*").alias("_n")).join(ahead, keys).withColumn("_whole", F.col("_run") + F.col("_ahead"))
+    lengths = parts.withColumn(out, F.sum("_n").over(Window.partitionBy("series_id", "_whole"))).select(*keys, "_run", out)
+    return runs.join(lengths, [*keys, "_run"]).drop("_changed", "_run", "_block")
 
 
-def keep_long_tracks(frames: DataFrame, least: int, flag: str = "flag", out: str = "kept") -> DataFrame:
+def keep_long_tracks(frames: DataFrame, least: int, flag: str = "flag", out: str = "kept", block: int | None = None) -> DataFrame:
     """out is true where flag is and its run is least frames or longer."""
-    return run_lengths(frames, flag, "_length").withColumn(out, F.col(flag) & (F.col("_length") >= least)).drop("_length")
+    return run_lengths(frames, flag, "_length", block).withColumn(out, F.col(flag) & (F.col("_length") >= least)).drop("_length")
 
 
 def around_matches(rows: DataFrame, by: str, order: list[str], match: str = "has_face", reach: int = 2, strict_window: bool = False) -> DataFrame:

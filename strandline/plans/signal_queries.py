@@ -243,6 +243,13 @@ def d10_overlay_tracks(spark, sf):
     return windows.keep_long_tracks(d, 2).select("frame_index", "overlay", "kept")
 
 
+@query(with_tables("box", DECIDED + ", fl AS (SELECT frame_index, NOT skip AND distance IS NOT NULL AS flag, coalesce(hash_distance <= 9, false) AS overlay FROM dd), g AS (SELECT *, row_number() OVER (ORDER BY frame_index) - row_number() OVER (PARTITION BY flag ORDER BY frame_index) AS g FROM fl) SELECT frame_index, overlay, flag AND count(*) OVER (PARTITION BY flag, g) >= 2 AS kept FROM g"))
+def d10_overlay_tracks_whole(spark, sf):
+    """d10_overlay_tracks over one sequence: tracks run on from block to block."""
+    d = _decided(spark, sf).withColumn("series_id", F.lit(0)).withColumn("flag", ~F.col("skip") & F.col("distance").isNotNull())
+    return windows.keep_long_tracks(d, 2, block=4096).select("frame_index", "overlay", "kept")
+
+
 @query(with_tables("line", "SELECT series_id, CAST(floor(count(*) * 1.5) AS BIGINT) AS samples FROM line GROUP BY 1"))
 def d11_resample_lengths(spark, sf):
     return pipelines.sinc_resample(fx.line(spark, sf), 1.5).groupBy("series_id").agg(F.count("*").alias("samples"))

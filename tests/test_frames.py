@@ -150,3 +150,16 @@ def test_tiered_selection(spark, counts):
     assert [r["tier"] for r in got] == sorted(r["tier"] for r in got)
     faces = [r["event_id"] for r in got if r["has_face"]]
     assert faces == [r[0] for r in rows if r[3]]
+
+
+def test_runs_across_blocks(spark):
+    rng = np.random.default_rng(11)
+    flags = [None if v == 0 else bool(v > 3) for v in rng.integers(0, 7, 60)] + [True] * 40 + [False] + [True] * 2
+    rows = [(s, i, f) for s in (0, 1) for i, f in enumerate(flags[s * 7 :]) if not 20 <= i < 33] + [(2, 4095, True), (2, 4096, True)]
+    df = spark.createDataFrame(rows, "series_id int, frame_index long, flag boolean")
+    whole = sorted(map(tuple, windows.run_lengths(df).collect()))
+    for block in (1, 5, 4096):
+        got = windows.run_lengths(df, block=block).select("series_id", "frame_index", "flag", "run_length")
+        assert sorted(map(tuple, got.collect())) == whole
+    kept = windows.keep_long_tracks(df.where("series_id = 2"), 2, block=4096).collect()
+    assert len(kept) == 2 and all(r["kept"] for r in kept)
