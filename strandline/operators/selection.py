@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import capture_time, portable_hash
@@ -51,3 +51,15 @@ def chain(*sources: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, by: str, order: list[str], out: str = "position") -> DataFrame:
     """Zero-based position in order inside each by."""
     return rows.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
+
+
+def placed(rows: DataFrame, order: list[str | Column], block: Column, out: str = "place") -> DataFrame:
+    """All rows with their 1-based place in order; block must not be null and must not fall along order.
+
+    Places are counted inside blocks, and the rows of earlier blocks are added, so no task sorts the whole table.
+    """
+    blocked = rows.withColumn("_block", block)
+    ahead = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = blocked.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
+    return blocked.withColumn("_inside", inside).join(offsets, "_block").withColumn(out, F.col("_inside") + F.col("_ahead")).drop("_block", "_inside", "_ahead")

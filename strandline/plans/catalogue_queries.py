@@ -83,12 +83,28 @@ def o1_capture_sorted(spark, sf):
     return top.agg(F.array_sort(F.collect_list(F.struct("dir_no", "capture_ts", "name", "event_id"))).alias("l")).select(F.posexplode("l").alias("p", "r")).select(F.col("r.event_id").alias("event_id"), F.col("r.dir_no").alias("dir_no"), (F.col("p") + 1).cast("long").alias("place"))
 
 
+@query(with_tables("cat", "SELECT event_id, dir_no, row_number() OVER (ORDER BY dir_no, ts, name, event_id) AS place FROM cat WHERE has_face"))
+def o1_capture_sorted_all(spark, sf):
+    """All matches with their place in capture order."""
+    timed = fx.cat(spark, sf).where("has_face").withColumn("capture_ts", S.capture_time(F.col("name")))
+    hour = F.struct("dir_no", F.date_trunc("hour", "capture_ts").alias("hour"))
+    return selection.placed(timed, ["dir_no", "capture_ts", "name", "event_id"], hour).select("event_id", "dir_no", "place")
+
+
 @query("SELECT event_id AS number, 'item_' || event_id AS name FROM events ORDER BY event_id DESC LIMIT 100")
 def o2_natural_sort(spark, sf):
     named = fx.table(spark, sf, "events").select(S.item_name(F.lit("item"), F.col("event_id")).alias("name"))
     return named.orderBy(S.trailing_number(F.col("name")).desc()).limit(100).select(S.trailing_number(F.col("name")).cast("long").alias("number"), "name")
 
 
+@query("SELECT event_id AS number, 'item_' || event_id AS name, row_number() OVER (ORDER BY event_id DESC) AS place FROM events")
+def o2_natural_sort_all(spark, sf):
+    """All names with their place by number, the largest first."""
+    named = fx.table(spark, sf, "events").select(S.item_name(F.lit("item"), F.col("event_id")).alias("name"))
+    numbered = named.withColumn("number", S.trailing_number(F.col("name")).cast("long"))
+    return selection.placed(numbered, [F.desc("number")], -F.floor(F.col("number") / 4096)).select("number", "name", "place")
+
+
 @query(with_tables("cat", TIERS + " SELECT event_id, tier FROM t ORDER BY tier, CASE WHEN tier = 4 THEN shuffle_key ELSE 0 END, dir_no, ts, name, event_id LIMIT 3000"))
 def o4_select_in_tiers(spark, sf):
     return selection.select_in_tiers(fx.cat(spark, sf), 3000).select("event_id", "tier")
@@ -99,11 +115,25 @@ def o5_shuffled(spark, sf):
     return selection.shuffled(fx.cat(spark, sf), "event_id", 11).limit(500).select("event_id", "shuffle_key")
 
 
+@query(with_tables("cat", ", k AS (SELECT event_id, " + _hash("event_id", 11) + " AS shuffle_key FROM cat) SELECT event_id, shuffle_key, row_number() OVER (ORDER BY shuffle_key, event_id) AS place FROM k"))
+def o5_shuffled_all(spark, sf):
+    """All rows with their place in the shuffled order."""
+    keyed = fx.cat(spark, sf).withColumn("shuffle_key", S.portable_hash(F.col("event_id"), 11))
+    return selection.placed(keyed, ["shuffle_key", "event_id"], F.floor(F.col("shuffle_key") / (1 << 20))).select("event_id", "shuffle_key", "place")
+
+
 @query(with_tables("cat", "SELECT dir_no || '/' || name AS path FROM cat ORDER BY 1 LIMIT 300"))
 def o6_path_sort(spark, sf):
     return fx.cat(spark, sf).select(F.concat_ws("/", F.col("dir_no").cast("string"), "name").alias("path")).orderBy("path").limit(300)
 
 
+@query(with_tables("cat", "SELECT path, row_number() OVER (ORDER BY path) AS place FROM (SELECT dir_no || '/' || name AS path FROM cat)"))
+def o6_path_sort_all(spark, sf):
+    """All paths with their place in binary order."""
+    paths = fx.cat(spark, sf).select(F.concat_ws("/", F.col("dir_no").cast("string"), "name").alias("path"))
+    return selection.placed(paths, ["path"], F.substring("path", 1, 24)).select("path", "place")
+
+
 @query(with_tables("cat", TIERS + ", s AS (SELECT tier FROM t ORDER BY tier, CASE WHEN tier = 4 THEN shuffle_key ELSE 0 END, dir_no, ts, name, event_id LIMIT 3000) SELECT tier, count(*) AS rows_taken FROM s GROUP BY ROLLUP (tier)"))
 def a6_tier_counts(spark, sf):
     return aggregates.tier_counts(selection.select_in_tiers(fx.cat(spark, sf), 3000))

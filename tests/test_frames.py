@@ -163,3 +163,13 @@ def test_runs_across_blocks(spark):
         assert sorted(map(tuple, got.collect())) == whole
     kept = windows.keep_long_tracks(df.where("series_id = 2"), 2, block=4096).collect()
     assert len(kept) == 2 and all(r["kept"] for r in kept)
+
+
+def test_places_cover_the_whole_table(spark):
+    from strandline.plans import catalogue_queries as q
+    from strandline.plans import fixtures as fx
+
+    cat = fx.cat(spark, "/root/testdata/sf0.01")
+    for f, rows in ((q.o1_capture_sorted_all, cat.where("has_face")), (q.o2_natural_sort_all, cat), (q.o5_shuffled_all, cat), (q.o6_path_sort_all, cat)):
+        got = sorted(r["place"] for r in f(spark, "/root/testdata/sf0.01").select("place").collect())
+        assert got == list(range(1, rows.count() + 1)) and len(got) > 500
