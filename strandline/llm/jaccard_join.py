@@ -1,14 +1,15 @@
 """N-gram Jaccard self-join by filtering under several global token orders.
 
 Two sets of Jaccard similarity t or more share a token among the first n - ceil(t n) + 1 of each, under every total order of the tokens.
-The first order (rare tokens first) is indexed: tokens of all prefixes are dealt to buckets and the sets on one token's list are
-candidates. A candidate pair must also share a prefix token under each further order before it is verified exactly.
-
-A pair must also pass the position filter on the list of its first common token: from there on enough tokens must be left in both sets.
+Candidates of the first order (rare tokens first) come from an index: the tokens of all prefixes are dealt to buckets, and sets on one
+token's list are candidates if the position filter leaves enough tokens in both. Candidates of the further orders are those whose
+prefixes meet there. The filters of all orders are intersected on rows of prefixes alone; whole sets are fetched for the pairs that pass
+them all, and verified exactly.
 
 Sets that are equal are one class from the start. Candidates come in two rounds, so that a group of g near copies costs about g
-verifications and not g^2: first each set against the leader of its lists (the one with the fewest tokens before the list's own); then, of what these links have not joined, all pairs that
-share a list and aren't known to be in one component. A link that neither round verifies can only lie inside a component.
+verifications and not g^2: first each set against the leader of its lists (the one with the fewest tokens before the list's own); then,
+of what these links have not joined, the pairs that share a list. A pair is looked for only where its smaller set has the token among its
+first n - ceil(2 t n / (1 + t)) + 1, and sets meet by list and size, so that a common token doesn't pair all that hold it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import Scratch, connected_components, mix64
-from strandline.llm.shingles import set_prints, shingle_sets, text_slices
+from strandline.llm.shingles import set_prints, shingle_sets, sort_each, text_slices
 
 SIZE, PERCENT = 5, 80
 #: Further orders: each ranks tokens by a hash of its own.
@@ -58,11 +59,11 @@ def frequency_classes(docs: DataFrame, bits: int, size: int) -> np.ndarray:
         for batch in batches:
             for _, flat, offsets in text_slices(batch.column(0), batch.column(0)):
                 marks, _ = shingle_sets(flat, offsets, size)
-                np.add.at(seen, (marks >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
-        parts = seen.reshape(-1, 1 << block)
-        some = np.flatnonzero(parts.any(axis=1))
-        pack = zstandard.ZstdCompressor(level=1).compress
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([pack(parts[i].tobytes()) for i in some], pa.binary())], ["block", "counts"])
+                np.add.at(seen, (marks >> np.uint64(64 - bits)).view(np.int64), np.uint32(1))
+        parts, pack = seen.reshape(-1, 1 << block), zstandard.ZstdCompressor(level=1).compress
+        for i in range(len(parts)):
+            if parts[i].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pack(parts[i].tobytes())], pa.binary())], ["block", "counts"])
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total, unpack = np.zeros(1 << block, np.uint64), zstandard.ZstdDecompressor().decompress
@@ -76,44 +77,57 @@ def frequency_classes(docs: DataFrame, bits: int, size: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _first(marks: np.ndarray, bounds: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in marks of each set's prefix under (rank, mark), and the set of each."""
-    size = np.diff(bounds)
-    owner = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((marks, rank, owner))
-    place = np.arange(len(marks)) - bounds[owner]
-    chosen = place < prefix_size(size)[owner]
-    return order[chosen], owner[chosen]
+def first_tokens(keys: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, set, place) of each set's prefix; keys are its tokens as numbers in their order, and are sorted in place."""
+    sort_each(keys, bounds)
+    sizes = np.diff(bounds)
+    many = np.minimum(prefix_size(sizes), sizes)
+    owner = np.repeat(np.arange(len(sizes)), many)
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return keys[bounds[:-1][owner] + place], owner, place
 
 
 def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type: str) -> DataFrame:
     """Rows of documents (doc_id, n, cls) and packed postings (bucket, hot, blob) from one pass over the texts."""
+
+    def postings(ids: pa.Array, marks: np.ndarray, bounds: np.ndarray, cls: np.ndarray, seen: set[int]) -> np.ndarray:
+        """Of the sets that this batch hasn't shown before."""
+        _, at = np.unique(cls, return_index=True)
+        fresh = np.zeros(len(cls), bool)
+        fresh[[i for i in at.tolist() if int(cls[i]) not in seen]] = True
+        seen.update(cls[fresh].tolist())
+        # a token's number: its frequency class and then most of its hash
+        keys = (classes.value[(marks >> np.uint64(64 - bits)).view(np.int64)].astype(np.uint64) << np.uint64(56)) | (marks >> np.uint64(8))
+        token, owner, place = first_tokens(keys, bounds)
+        used = fresh[owner] & np.asarray(ids.is_valid())[owner]
+        p = np.empty(used.sum(), _POSTING)
+        p["token"], p["cls"], p["n"] = token[used], cls[owner[used]], np.diff(bounds)[owner[used]]
+        p["left"] = p["n"] - place[used]
+        return p
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            postings = []
+            found, seen = [], set()
             for ids, flat, offsets in text_slices(batch.column(0), batch.column(1)):
                 marks, bounds = shingle_sets(flat, offsets, size)
-                cls, n = set_prints(marks, bounds), np.diff(bounds)
-                yield _rows(id_type, ids, n, cls)
-                frequency = classes.value[(marks >> np.uint64(64 - bits)).astype(np.int64)]
-                at, owner = _first(marks, bounds, frequency)
-                p = np.empty(len(at), [*_POSTING.descr, ("salts", "<i8")])
-                p["token"], p["cls"], p["n"] = marks[at], cls[owner], n[owner]
-                p["left"] = p["n"] - (np.arange(len(at)) - np.searchsorted(owner, owner))
-                p["salts"] = np.exp2(frequency[at] / 4.0 + 0.25).astype(np.int64) // HOT + 1
-                postings.append(p[np.asarray(ids.is_valid())[owner]])
-            if not postings or not sum(map(len, postings)):
+                cls = set_prints(marks, bounds)
+                yield _rows(id_type, ids, np.diff(bounds), cls)
+                # an id that is null keeps its set from being shown, not that of another row
+                named = np.asarray(ids.is_valid())
+                found.append(postings(ids, marks, bounds, np.where(named, cls, -1 - np.arange(len(cls))), seen))
+            p = np.concatenate(found) if found else np.zeros(0, _POSTING)
+            if not len(p):
                 continue
-            p = np.unique(np.concatenate(postings))
-            hot = p["salts"] > 1
-            salt = p["cls"].view(np.uint64) % p["salts"].astype(np.uint64)
-            bucket = ((p["token"] + np.where(hot, mix64(salt + np.uint64(1)), np.uint64(0))) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket * 2 + hot, kind="stable")
-            group = (bucket * 2 + hot)[order]
-            cuts = np.flatnonzero(np.diff(group)) + 1
-            first = group[np.append(0, cuts)]
-            blobs = [_pack(x) for x in np.split(p[order], cuts)]
-            yield _rows(id_type, bucket=first // 2, hot=first % 2 == 1, blob=blobs)
+            salts = np.exp2((p["token"] >> np.uint64(56)).astype(np.float64) / 4 + 0.25).astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
+            hot = salts > 1
+            salt = np.where(hot, mix64(p["cls"].view(np.uint64) % salts + np.uint64(1)), np.uint64(0))
+            group = (mix64(p["token"] + salt) % np.uint64(buckets)).astype(np.int64) * 2 + hot
+            order = np.argsort(group, kind="stable")
+            cuts = np.flatnonzero(np.diff(group[order])) + 1
+            first = group[order[np.append(0, cuts)]]
+            for i in range(0, len(first), 64):
+                blobs = [_pack(p[order[a:b]]) for a, b in zip(np.append(0, cuts)[i : i + 64], np.append(cuts, len(p))[i : i + 64], strict=True)]
+                yield _rows(id_type, bucket=first[i : i + 64] // 2, hot=first[i : i + 64] % 2 == 1, blob=blobs)
 
     return docs.select("doc_id", "text").mapInArrow(deal, _schema(id_type)[0])
 
@@ -161,8 +175,16 @@ def _meet(table: pa.Table) -> pa.Table:
         if not blobs:
             continue
         p = np.concatenate([_unpack(b) for b in blobs])
+        del blobs
+        if not hot:  # most tokens are in one set alone
+            order = np.argsort(p["token"])
+            token = p["token"][order]
+            again = np.append(False, token[1:] == token[:-1])
+            p = p[order[again | np.append(again[1:], False)]]
         p = p[np.lexsort((p["cls"], p["token"]))]
-        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1]))]
+        p = p[np.append(True, (p["token"][1:] != p["token"][:-1]) | (p["cls"][1:] != p["cls"][:-1]))[: len(p)]]
+        if not len(p):
+            continue
         start = np.flatnonzero(np.append(True, p["token"][1:] != p["token"][:-1]))
         count = np.diff(np.append(start, len(p)))
         if hot:
@@ -182,39 +204,48 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def _fits(a: str, b: str) -> Column:
-    """Can sets of these sizes, of which so much is left on a list, have the overlap that a link needs?"""
-    need = F.ceil((F.col(f"{a}n") + F.col(f"{b}n")) * PERCENT / (100 + PERCENT))
-    return F.least(f"{a}left", f"{b}left") >= need
+    """Are the sizes of two sets near enough, and is so much left of both on a list that they can have the overlap that a link needs?"""
+    near = F.least(f"{a}n", f"{b}n") * 100 >= F.greatest(f"{a}n", f"{b}n") * PERCENT
+    return near & (F.least(f"{a}left", f"{b}left") * (100 + PERCENT) >= (F.col(f"{a}n") + F.col(f"{b}n")) * PERCENT)
+
 
+def _band(n: Column) -> Column:
+    """Sizes in bands that grow by 100 / PERCENT, so that sets near enough in size are in one band or in neighbouring ones."""
+    return F.floor(F.log(n.cast("double")) / math.log(100 / PERCENT)).cast("int")
 
-def _linked(a: str, b: str) -> Column:
-    """The filters under the further orders, and then the exact test; a and b name structs (n, orders, marks)."""
-    common = F.size(F.array_intersect(f"{a}.marks", f"{b}.marks"))
-    shares = [F.arrays_overlap(F.col(f"{a}.orders")[k], F.col(f"{b}.orders")[k]) for k in range(len(ORDERS))]
-    fits = F.least(f"{a}.n", f"{b}.n") * 100 >= F.greatest(f"{a}.n", f"{b}.n") * PERCENT
-    ok = F.when(fits & shares[0] & shares[1], common * 100 >= (F.col(f"{a}.n") + F.col(f"{b}.n") - common) * PERCENT)
-    return F.coalesce(ok, F.lit(False))
+
+def _sharing(probes: DataFrame, indexed: DataFrame) -> DataFrame:
+    """(a, b) pairs of different components that share a list and fit, b of indexed being no larger than a of probes."""
+    p = probes.select("list", *(F.col(c).alias(f"a{c}") for c in ("cls", "n", "left", "comp")))
+    # what is left of a bounds how large b can be
+    most = F.least(F.col("an"), F.floor(F.col("aleft") * (100 + PERCENT) / PERCENT) - F.col("an"))
+    least = F.ceil(F.col("an") * PERCENT / 100)
+    p = p.where(most >= least).withColumn("band", F.explode(F.sequence(_band(least), _band(most))))
+    i = indexed.where(F.col("left") * (100 + PERCENT) >= F.col("n") * 2 * PERCENT).select("list", _band(F.col("n")).alias("band"), *(F.col(c).alias(f"b{c}") for c in ("cls", "n", "left", "comp")))
+    below = (F.col("bn") < F.col("an")) | ((F.col("bn") == F.col("an")) & (F.col("bcls") < F.col("acls")))
+    met = p.join(i, (p["list"] == i["list"]) & (p["band"] == i["band"]) & (F.col("acomp") != F.col("bcomp")) & below & _fits("a", "b"))
+    return met.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"))
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(cls, s): each text's fingerprint and its set with the prefixes under the further orders."""
+    """(cls, n, orders, marks): each text's fingerprint, its size, its prefixes under the further orders, and its set."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, flat, offsets in text_slices(batch.column(0), batch.column(0)):
                 marks, bounds = shingle_sets(flat, offsets, size)
-                ends = [pa.array(bounds, pa.int32()), pa.array(marks.view(np.int64), pa.int64())]
-                prefixes = []
+                columns = [pa.array(set_prints(marks, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int64())]
                 for salt in ORDERS:
-                    at, owner = _first(marks, bounds, mix64(marks ^ np.uint64(salt)))
-                    prefixes.append((marks[at].astype(np.uint32).view(np.int32), np.searchsorted(owner, np.arange(len(bounds)))))
-                parts = [p[0][p[1][i] : p[1][i + 1]] for i in range(len(bounds) - 1) for p in prefixes]
-                inner = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
-                orders = pa.ListArray.from_arrays(pa.array(np.arange(len(bounds)) * len(ORDERS), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([pa.array(set_prints(marks, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int64()), orders, pa.ListArray.from_arrays(*ends)], ["cls", "n", "orders", "marks"])
+                    token, owner, _ = first_tokens(mix64(marks ^ np.uint64(salt)), bounds)
+                    ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(bounds) - 1)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(marks.view(np.int64), pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", *_ORDER_NAMES, "marks"])
+
+    return docs.select("text").mapInArrow(build, f"cls long, n long, {', '.join(f'{c} array<int>' for c in _ORDER_NAMES)}, marks array<long>")
+
 
-    made = docs.select("text").mapInArrow(build, "cls long, n long, orders array<array<int>>, marks array<long>")
-    return made.select("cls", F.struct("n", "orders", "marks").alias("s"))
+_ORDER_NAMES = [f"order{k + 1}" for k in range(len(ORDERS))]
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -225,6 +256,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     an id are documents of their own with that id. Shingles and sets are compared by 64-bit fingerprints. An empty table gives an empty
     result.
     """
+    return _components(docs, id_col, text_col, size).select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """jaccard_components() with cls, the fingerprint of each row's set, and comp, a name that no other component has."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = picked.schema["doc_id"].dataType.simpleString()
@@ -245,36 +281,46 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     met = scratch.keep(dealt.groupBy("bucket").applyInArrow(meet, rows_schema))
     members = met.where("list is null").select("doc_id", "n", "cls")
-    lists = met.where("list is not null").groupBy("list", "cls").agg(F.first("n").alias("n"), F.max("left").alias("left"))
+    lists = scratch.keep(met.where("list is not null").groupBy("list", "cls").agg(F.first("n").alias("n"), F.max("left").alias("left")))
 
     kinds = members.where("n > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("first"))
     leaders = lists.groupBy("list").agg(F.min(F.struct((F.col("n") - F.col("left")).alias("before"), "cls", "n", "left")).alias("l"))
     leaders = leaders.select("list", F.col("l.cls").alias("a"), F.col("l.n").alias("an"), F.col("l.left").alias("aleft"))
     named = lists.select("list", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bleft"))
-    stars = named.join(leaders, (named["list"] == leaders["list"]) & (F.col("a") != F.col("b")) & _fits("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    stars = named.join(leaders, (named["list"] == leaders["list"]) & (F.col("a") != F.col("b")) & _fits("a", "b"))
+    stars = scratch.keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     reps = scratch.keep(kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct())
     sets = scratch.keep(_sets(picked.join(_small(reps), "doc_id", "left_semi"), size))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left = sets.select(F.col("cls").alias("a"), F.col("s").alias("sa"))
-        right = sets.select(F.col("cls").alias("b"), F.col("s").alias("sb"))
-        return pairs.join(left, "a").join(right, "b").where(_linked("sa", "sb")).select("a", "b").distinct()
+        """The pairs that share a prefix token under each further order, and then have the overlap; only these fetch whole sets."""
+        for order in _ORDER_NAMES:
+            prefix = sets.select("cls", order)
+            left, right = (prefix.select(F.col("cls").alias(side), F.col(order).alias(f"p{side}")) for side in "ab")
+            pairs = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
+        pairs = scratch.keep(pairs.distinct())
+        used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+        whole = sets.select("cls", "n", "marks").join(used, "cls", "left_semi")
+        left, right = (whole.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")) for side in "ab")
+        common = F.size(F.array_intersect("ma", "mb"))
+        return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
 
     links = scratch.keep(verified(stars))
     roots = _near_labels(links)
     placed = lists.join(roots, "cls", "left").select("list", "cls", "n", "left", F.coalesce("comp", "cls").alias("comp"))
-    open_lists = placed.groupBy("list").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("list")
-    still = scratch.keep(placed.join(open_lists, "list", "left_semi"))
-    one, two = (still.select("list", *(F.col(c).alias(f"{side}{c}") for c in ("cls", "n", "left", "comp"))) for side in "ab")
-    across = one.join(two, (one["list"] == two["list"]) & (F.col("acls") < F.col("bcls")) & (F.col("acomp") != F.col("bcomp")) & _fits("a", "b")).select(F.col("acls").alias("a"), F.col("bcls").alias("b")).distinct()
+    # of an open list's largest component no two sets need meet
+    largest = placed.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
+    still = scratch.keep(placed.join(largest.where("comps > 1").select("list", "main"), "list").withColumn("rest", F.col("comp") != F.col("main")))
+    across = _sharing(still, still.where("rest")).union(_sharing(still.where("rest"), still.where("not rest"))).distinct()
     more = scratch.keep(verified(across.join(stars, ["a", "b"], "left_anti")))
     roots2 = connected_components(links.unionByName(more), scratch).withColumnsRenamed({"node": "cls", "root": "comp"})
 
     owned = kinds.join(roots2, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     named = owned.groupBy("comp").agg(F.min("first").alias("component_id"))
-    final = owned.select("cls", "comp").join(named, "comp").select("cls", "component_id")
+    final = owned.select("cls", "comp").join(named, "comp").select("cls", "comp", "component_id")
     out = members.join(final, "cls", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "cls", "comp")
 
 
 def _near_labels(links: DataFrame) -> DataFrame:
@@ -288,14 +334,33 @@ def _near_labels(links: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """docs with one document of each component, that of the smallest id; all columns stay as they are.
 
-    Documents without shingles or with a null id stay; of rows that repeat an id one stays.
+    Documents without shingles or with a null id stay. Rows that repeat an id are documents of their own: of several rows of a component
+    with its smallest id, one of the set with the smallest fingerprint stays.
     """
-    found = Scratch(docs.sparkSession, "kept").keep(jaccard_components(docs, id_col, text_col, size))
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    left = docs.join(_small(gone), id_col, "left_anti")
-    if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return left
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(left.where(F.col(id_col).isNull()))
+    found = Scratch(docs.sparkSession, "kept").keep(_components(docs, id_col, text_col, size))
+    named = found.where("doc_id is not null and n_shingles > 0")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = named.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col))
+        return docs.join(_small(gone), id_col, "left_anti").select(docs.columns)
+    stays = named.where("doc_id = component_id").groupBy("comp").agg(F.min("cls").alias("_cls"), F.first("component_id").alias(id_col)).select(id_col, "_cls")
+    marked = docs.withColumn("_cls", _print_of(size)(F.coalesce(F.col(text_col), F.lit(""))))
+    free = F.col(id_col).isNull() | F.col("_cls").isNull()
+    one = marked.where(~free).join(stays, [id_col, "_cls"], "left_semi").dropDuplicates([id_col, "_cls"])
+    return one.unionByName(marked.where(free)).select(docs.columns)
+
+
+def _print_of(size: int):
+    """A function of texts that gives the fingerprint of each one's set, null for one without shingles."""
+
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        out = [pa.array([], pa.int64())]
+        for _, flat, offsets in text_slices(texts, texts):
+            marks, bounds = shingle_sets(flat, offsets, size)
+            out.append(pa.array(set_prints(marks, bounds), pa.int64(), mask=np.diff(bounds) == 0))
+        return pa.concat_arrays(out)
+
+    return prints
 
 
 def _small(ids: DataFrame) -> DataFrame:

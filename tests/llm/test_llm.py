@@ -221,6 +221,20 @@ def test_jaccard_join_edges(spark):
     assert jaccard_join.jaccard_components(df.where("false")).count() == 0
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    a, b = "a b c d e f g", "h i j k l m n"
+    df = table(spark, [a, a, b, "o p q r s", a, b, None, None, "x y"], [5, 5, 5, 5, 7, 4, None, 5, None])
+    kept = jaccard_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, a), (4, b), (5, "o p q r s"), (None, None), (5, None), (None, "x y")], key=str)
+
+
+def test_jaccard_join_of_a_common_line(spark):
+    texts = [f"one very common line w{i}" if i % 2 else f"w{i} one very common line and w{i % 7} more words to follow it" for i in range(400)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(table(spark, texts)).collect()}
+    assert got == brute_jaccard(list(range(len(texts))), texts)
+
+
 def brute_repeats(ids, texts, n=50):
     seen, out = {}, {}
     raws = [(t or "").encode() for t in texts]
