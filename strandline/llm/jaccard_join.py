@@ -35,7 +35,7 @@ BUCKET_TEXT, HOT = 16 << 20, 200_000
 #: Ids that are sent to all tasks at most (16 bytes each or so); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: The frequency sketch has 2^bits counters, a counter for about TOKENS_EACH tokens of the corpus; never more than 2^MAX_BITS (one byte each when sent).
-MIN_BITS, MAX_BITS, BLOCK_BITS, TOKENS_EACH = 16, 25, 14, 8
+MIN_BITS, MAX_BITS, BLOCK_BITS, TOKENS_EACH = 16, 24, 14, 32
 
 
 def prefix_size(n: np.ndarray) -> np.ndarray:
@@ -44,7 +44,7 @@ def prefix_size(n: np.ndarray) -> np.ndarray:
 
 
 def sketch_bits(total_bytes: int) -> int:
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, total_bytes / 6 / TOKENS_EACH)))))
+    return min(MAX_BITS, max(MIN_BITS, round(math.log2(max(1, total_bytes / 6 / TOKENS_EACH)))))
 
 
 def frequency_classes(docs: DataFrame, bits: int, size: int) -> np.ndarray:
@@ -294,13 +294,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that share a prefix token under each further order, and then have the overlap; only these fetch whole sets."""
+        prefixes = sets.join(_classes_of(pairs), "cls", "left_semi")
         for order in _ORDER_NAMES:
-            prefix = sets.select("cls", order)
-            left, right = (prefix.select(F.col("cls").alias(side), F.col(order).alias(f"p{side}")) for side in "ab")
+            left, right = (prefixes.select(F.col("cls").alias(side), F.col(order).alias(f"p{side}")) for side in "ab")
             pairs = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
         pairs = scratch.keep(pairs.distinct())
-        used = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        whole = sets.select("cls", "n", "marks").join(used, "cls", "left_semi")
+        whole = sets.join(_classes_of(pairs), "cls", "left_semi")
         left, right = (whole.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")) for side in "ab")
         common = F.size(F.array_intersect("ma", "mb"))
         return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
@@ -312,7 +311,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     largest = placed.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
     still = scratch.keep(placed.join(largest.where("comps > 1").select("list", "main"), "list").withColumn("rest", F.col("comp") != F.col("main")))
     across = _sharing(still, still.where("rest")).union(_sharing(still.where("rest"), still.where("not rest"))).distinct()
-    more = scratch.keep(verified(across.join(stars, ["a", "b"], "left_anti")))
+    more = scratch.keep(verified(scratch.keep(across.join(stars, ["a", "b"], "left_anti"))))
     roots2 = connected_components(links.unionByName(more), scratch).withColumnsRenamed({"node": "cls", "root": "comp"})
 
     owned = kinds.join(roots2, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
@@ -363,6 +362,11 @@ def _print_of(size: int):
     return prints
 
 
+def _classes_of(pairs: DataFrame) -> DataFrame:
+    """The classes that a kept table of pairs names."""
+    return _small(pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct())
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """ids, to be broadcast if they are at most BROADCAST_IDS; otherwise joins shuffle both sides."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
