@@ -3,7 +3,7 @@
 First a linear SVM per language family picks the family; then one-versus-one linear SVMs among the languages of that family vote for
 the language. Both read one vector of hashed character trigrams of the whole text. Margins only say which language fits best, so a text
 is also held against the trigram frequencies of each language and is undetermined if it fits none. The models are fitted on the driver
-on a bounded sample of labelled rows (SAMPLE_PER_LANG a language); prediction is one pass over the texts without a shuffle.
+on a bounded sample of labelled texts, some of every language however rare; prediction is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LETTER, blob_of, crc_mod
+from strandline.llm.common import LETTER, crc_mod
 
 #: Language families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -31,8 +31,9 @@ FAMILIES = {
     "turkic": ["tr", "az", "kk"],
     "indic": ["hi", "bn", "ur", "mr", "gu", "pa"],
 }
-#: At most about so many labelled texts of each language are used to fit, and at most MAX_SAMPLE in all.
-SAMPLE_PER_LANG, MAX_SAMPLE = 250, 4000
+#: About SAMPLE_PER_LANG labelled texts of each language are used to fit; of many languages fewer, so that all have about MAX_SAMPLE, but never
+#: fewer than LEAST_PER_LANG (where there are as many). Every language that has a row is learned.
+SAMPLE_PER_LANG, MAX_SAMPLE, LEAST_PER_LANG = 250, 4000, 8
 BITS = 13
 #: A text fits a language if the mean log frequency of its words' trigrams, with FIT_SIGMAS standard errors for its length added, is at most FIT_SLACK
 #: below what all but FIT_SHARE of the language's sample reach when each half is scored by the other one. Fewer rows set no bound.
@@ -176,34 +177,48 @@ def fit_bounds(model: Hierarchy, sample: list[tuple[str, bytes, int]]) -> None:
 
 def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        x = pa.array([features(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())
+        x = []
+        for t in batch.column(1):
+            dense = features(t.as_py())
+            part = np.zeros(np.count_nonzero(dense), SHARES)
+            part["at"] = np.flatnonzero(dense)
+            part["share"] = dense[part["at"]]
+            x.append(part.tobytes())
         words = [word_trigrams(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), x, pa.array([w.tobytes() for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["lang", "x", "words", "n"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary()), pa.array([w.tobytes() for w, _ in words], pa.binary()), pa.array([n for _, n in words], pa.int64())], ["lang", "x", "words", "n"])
+
+
+def quota(languages: int, per_lang: int = SAMPLE_PER_LANG) -> int:
+    """Texts of each language that are used to fit."""
+    return max(LEAST_PER_LANG, min(per_lang, MAX_SAMPLE // max(1, languages)))
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_lang: int = SAMPLE_PER_LANG) -> Hierarchy | None:
-    """Fit on about per_lang texts of each language, chosen by a hash of the text, so that neither ids nor row order matter.
+    """Fit on about quota() texts of each language, chosen by a hash of the text, so that neither ids nor row order matter.
 
-    Rows with a null language or a text without a letter teach nothing. None if nothing is left.
+    Rows with a null language or a text without a letter teach nothing; copies of a text teach once. None if nothing is left.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(LETTER))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_SAMPLE // 2).collect()}
+    rows = rows.withColumn("mark", F.xxhash64("text"))
+    # an estimate of distinct texts is enough to choose a share of them by hash, and merges before it is shuffled
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("mark", 0.02).alias("n")).toLocalIterator()}
     if not counts:
         return None
-    spread = 1 << 40
-    cut = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(spread, spread * per_lang // n))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(spread)) < F.coalesce(cut[F.col("lang")], F.lit(0)))
-    got = chosen.select("lang", "text").mapInArrow(_with_features, "lang string, x binary, words binary, n long").limit(MAX_SAMPLE).toArrow()
+    spread, want = 1 << 40, quota(len(counts), per_lang)
+    cut = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, spread if n <= 1.1 * want else spread * want // n)])
+    chosen = rows.where(F.pmod("mark", F.lit(spread)) < cut[F.col("lang")]).groupBy("lang", "mark").agg(F.first("text").alias("text"))
+    got = chosen.select("lang", "text").mapInArrow(_with_features, "lang string, x binary, words binary, n long").toArrow()
     if not got.num_rows:
         return None
-    # the sample is tens of MB: no more than one copy of it beside the received one
-    langs, column = got["lang"].to_pylist(), got["x"].combine_chunks()
+    langs, raw = got["lang"].to_pylist(), got["x"].to_pylist()
     sample = list(zip(langs, got["words"].to_pylist(), got["n"].to_pylist(), strict=True))
     del got
-    raw = blob_of(column)[0].view(np.float32).reshape(len(langs), -1)
     order = sorted(range(len(langs)), key=lambda i: (langs[i], hashlib.blake2b(raw[i]).digest()))
-    x = raw[order]
-    del raw, column
+    x = np.zeros((len(order), 1 << BITS), np.float32)
+    for row, i in zip(x, order, strict=True):
+        part = np.frombuffer(raw[i], SHARES)
+        row[part["at"]] = part["share"]
+    del raw
     model = fit_hierarchy(x, [langs[i] for i in order])
     fit_bounds(model, sample)
     return model
@@ -231,12 +246,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.2) -> DataFrame:
-    """docs without the rows whose language isn't determined or scores under min_score; all columns stay as they are."""
+    """docs without the rows whose language isn't determined or scores under min_score; all columns stay as they are.
+
+    Null, empty and letter-free texts go; a null id or language doesn't matter; repeated rows are judged alike. Only texts go to Python.
+    """
     model = train(docs.where(crc_mod(F.col(id_col), 5) != 0), text_col, lang_col)
-    at = docs.columns.index(text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([bool(model) and model.predict(t.as_py())[1] >= min_score for t in batch.column(at)], pa.bool_()))
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([t.is_valid and bool(model) and model.predict(t.as_py())[1] >= min_score for t in texts], pa.bool_())
 
-    return docs.where(F.col(text_col).rlike(LETTER)).mapInArrow(keep, docs.schema)
+    return docs.where(F.col(text_col).rlike(LETTER)).where(known(F.col(text_col)))
