@@ -2,7 +2,8 @@
 
 Three base patterns find credentials anywhere in a text. On top of them a small lexer reads source and configuration syntax into
 name-literal pairs (`name = "x"`, `name: x`, `"name": "x"`, `NAME := 'x' + 'y'`), propagates constants through later names
-(`key = "..."`, `password = key`) and scores each literal by how sensitive its target name is and how random it looks.
+(`key = "..."`, `password = key`) and scores each literal by how sensitive its target name is and how random it looks. Of a value only
+what the score needs is kept, and which literals it is made of as a graph that is walked once, so the work grows with the text.
 """
 
 from __future__ import annotations
@@ -10,8 +11,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +32,14 @@ SENSITIVE = {
     "password": 3.0, "passwd": 3.0, "passphrase": 3.0, "pwd": 2.5, "secret": 3.0, "token": 2.5, "apikey": 3.0, "accesskey": 3.0,
     "privatekey": 3.0, "credential": 2.5, "auth": 1.5, "signature": 1.0, "key": 1.0,
 }
-PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|(?:your|my|example|sample|dummy|test|change|replace|todo|none|null|true|false)[\w .-]*)$", re.I)
+#: A literal is a placeholder if it is one of these signs repeated, stands between one of these pairs, or starts with one of these words and goes on in words.
+SIGNS, PAIRS = ["xX", "*", "."], [("<", ">"), ("${", "}"), ("%", "%")]
+WORDS = ["your", "my", "example", "sample", "dummy", "test", "change", "replace", "todo", "none", "null", "true", "false"]
 MIN_SCORE = 6.0
 
 _OPERATOR = re.compile(r"[:=]")
 _TAIL = re.compile(r"(?::=|=>|=|:)[ \t]*")
-_TERM = re.compile(r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.=$-]+))""")
+_TERM = re.compile(r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([A-Za-z0-9_+/.$-]+(?:=+(?![A-Za-z0-9_+/.$=-]))?))""")
 _PLUS = re.compile(r"[ \t]*\+[ \t]*(?=[\"'A-Za-z_])")
 _IDENT = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]*\Z")
 _HEX_RUN = re.compile(r"[0-9a-f]{16,}")
@@ -57,29 +62,94 @@ def sensitivity(name: str) -> float:
     return max((w for k, w in SENSITIVE.items() if k in flat), default=0.0)
 
 
-def randomness(value: str) -> float:
-    """Shannon entropy in bits a character, plus half a bit for each class of characters beyond the first."""
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
-    return entropy + 0.5 * max(0, classes - 1)
+_HEAD, _MANY = 16, 1e12
+_ODD = re.compile(rb"[\x00-\x1f!-,/:-@\[-^`{-\x7f]")
 
 
-def literal_score(name: str, value: str) -> float:
+class Value:
+    """What the score needs of a literal: its first characters, the last one, and how often each byte of it occurs."""
+
+    __slots__ = ("head", "last", "counts", "cased", "plain")
+
+    def __init__(self, text: str = ""):
+        raw = text.encode("utf-8", "replace")
+        self.head, self.last, self.counts = text[:_HEAD], text[-1:], Counter(raw)
+        self.cased = (any(c.islower() for c in text), any(c.isupper() or c.istitle() for c in text))
+        self.plain = not _ODD.search(raw)
+
+    @staticmethod
+    def join(parts: list["Value"]) -> "Value":
+        """The values one after another. Counts beyond _MANY are scaled down together: only their shares matter by then."""
+        out, at = Value(), 0
+        while at < len(parts) and len(out.head) < _HEAD:
+            out.head, at = (out.head + parts[at].head)[:_HEAD], at + 1
+        out.last = next((v.last for v in reversed(parts) if v.last), "")
+        once = {id(v): v for v in parts}
+        for key, times in Counter(map(id, parts)).items():
+            v = once[key]
+            for byte, n in v.counts.items():
+                out.counts[byte] += n * times
+            out.cased = (out.cased[0] or v.cased[0], out.cased[1] or v.cased[1])
+            out.plain = out.plain and v.plain
+        if (total := len(out)) > _MANY:
+            out.counts = Counter({byte: n * _MANY / total for byte, n in out.counts.items()})
+        return out
+
+    def __len__(self) -> int:
+        return int(sum(self.counts.values()))
+
+    def has(self, first: str, last: str) -> bool:
+        return any(ord(first) <= byte <= ord(last) for byte in self.counts)
+
+    def placeholder(self) -> bool:
+        head, used = self.head.lower(), set(self.counts)
+        if any(used <= set(sign.encode()) for sign in SIGNS):
+            return True
+        if any(self.head.startswith(a) and self.last == b and len(self) >= len(a + b) for a, b in PAIRS):
+            return True
+        return self.plain and head.startswith(tuple(WORDS))
+
+    def randomness(self) -> float:
+        """Shannon entropy in bits a byte, plus half a bit for each class of characters beyond the first."""
+        n = sum(self.counts.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c > 0)
+        return entropy + 0.5 * max(0, self.has("a", "z") + self.has("A", "Z") + self.has("0", "9") - 1)
+
+
+def literal_score(name: str, value: Value) -> float:
     """Sensitivity of the name times the randomness of the literal; 0 for short, spaced and placeholder literals."""
-    if len(value) < 8 or " " in value or PLACEHOLDER.match(value):
+    weight = sensitivity(name)
+    if not weight or len(value) < 8 or ord(" ") in value.counts or value.placeholder():
         return 0.0
-    if not re.search("[0-9]", value) and value.islower():
+    if not value.has("0", "9") and value.cased == (True, False):
         return 0.0
-    return sensitivity(name) * randomness(value)
+    return weight * value.randomness()
 
 
-def lex_assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value, spans) of each assignment whose right side resolves to literals.
+class Made:
+    """What a value is made of: one span, or the parts of other values."""
 
-    spans are those of all literals that the value is made of, wherever they stand; literals joined on the spot share one span.
-    """
-    env: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    __slots__ = ("span", "parts")
+
+    def __init__(self, span: tuple[int, int] | None, parts: list["Made"]):
+        self.span, self.parts = span, parts
+
+
+def spans_of(made: Made, done: set[int]) -> Iterator[tuple[int, int]]:
+    """The spans of all literals below made, but for those under a part in done; what is walked is added to done."""
+    todo = [made]
+    while todo:
+        if id(now := todo.pop()) in done:
+            continue
+        done.add(id(now))
+        if now.span is not None:
+            yield now.span
+        todo += now.parts
+
+
+def lex_assignments(text: str) -> Iterator[tuple[str, Value, Made]]:
+    """(name, value, what it is made of) of each assignment whose right side resolves to literals; literals joined on the spot share one span."""
+    env: dict[str, tuple[Value, Made]] = {}
     done = 0
     for op in _OPERATOR.finditer(text):
         p = op.start()
@@ -88,7 +158,7 @@ def lex_assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]
         b = p
         while b and text[b - 1] in " \t":
             b -= 1
-        if b and text[b - 1] in "\"']":
+        if b and text[b - 1] in "\"'":
             b -= 1
         a = b
         while a and (text[a - 1].isalnum() or text[a - 1] in "_.-"):
@@ -97,27 +167,33 @@ def lex_assignments(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]
         if not name or text[p : p + 2] == "==" or text[p : p + 3] in ("://",):
             continue
         at = _TAIL.match(text, p).end()
-        value, spans, here = "", [], None
+        values, made, here = [], [], None
         while m := _TERM.match(text, at):
             quoted, end = m[1] if m[1] is not None else m[2], m.end()
             parts = [] if quoted is not None else m[3].rstrip("+").split("+")
             if parts and all(v in env for v in parts):
-                value, here = value + "".join(env[v][0] for v in parts), None
-                spans += [s for v in parts for s in env[v][1]]
-                end = m.start() + len(m[3].rstrip("+"))
-            elif quoted is not None or not spans or not _IDENT.match(m[3]):
+                values += [env[v][0] for v in parts]
+                made += [env[v][1] for v in dict.fromkeys(parts)]
+                here, end = None, m.start() + len(m[3].rstrip("+"))
+            elif quoted is not None or not made or not _IDENT.match(m[3]):
                 # a name that isn't known is a literal only where it comes first
-                value += m[3] if quoted is None else quoted
-                spans = [*spans[:-1], (here, end)] if here is not None else [*spans, m.span()]
-                here = m.start() if here is None else here
+                values.append(Value(m[3] if quoted is None else quoted))
+                if here is not None:
+                    made[-1] = Made((here, end), [])
+                else:
+                    here = m.start()
+                    made.append(Made(m.span(), []))
             else:
-                value, here = value + m[3], None
+                values.append(Value(m[3]))
+                here = None
+            if quoted is None:
+                done = max(done, end)
             at = end
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
-        if spans:
-            env[name] = (value, list(dict.fromkeys(spans)))
+        if made:
+            env[name] = (values[0] if len(values) == 1 else Value.join(values), made[0] if len(made) == 1 else Made(None, made))
             yield name, *env[name]
             done = max(done, p + 1)
 
@@ -127,8 +203,11 @@ def find_spans(text: str, min_score: float = MIN_SCORE) -> tuple[list[tuple[int,
     base = base_spans(text)
     if ":" not in text and "=" not in text:
         return base, base
-    extra = {s for name, value, spans in lex_assignments(text) if literal_score(name, value) >= min_score for s in spans}
-    added = [(s, "lexed", e) for s, e in extra if not any(b <= s and e <= f for b, _, f in base)]
+    done: set[int] = set()
+    found = [(name, value, made) for name, value, made in lex_assignments(text)]  # kept, so that no id is used twice
+    extra = {s for name, value, made in found if id(made) not in done and literal_score(name, value) >= min_score for s in spans_of(made, done)}
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))
+    added = [(s, "lexed", e) for s, e in extra if not ((k := bisect_right(starts, s)) and reach[k - 1] >= e)]
     return base, sorted([*base, *added], key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -164,23 +243,26 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", min_score: float = MIN_SCORE) -> DataFrame:
-    """docs with every span of scan_secrets replaced by mark, all columns kept. Overlapping spans become one mark; null texts stay null."""
+    """docs with every span of scan_secrets replaced by mark, all columns kept.
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            texts = []
-            for value in batch.column(at):
-                text = value.as_py()
-                if text:
-                    _, spans = find_spans(text, min_score)
-                    parts, done = [], 0
-                    for start, _, end in spans:
-                        if start >= done:
-                            parts += [text[done:start], mark]
-                        done = max(done, end)
-                    text = "".join([*parts, text[done:]]) if spans else text
-                texts.append(text)
-            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
-
-    return docs.mapInArrow(clean, docs.schema)
+    Overlapping spans become one mark; null texts stay null and empty ones empty; null ids and repeated rows don't matter. Only texts go to
+    Python.
+    """
+
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        out = []
+        for value in texts:
+            text = value.as_py()
+            _, spans = find_spans(text or "", min_score)
+            if spans:
+                parts, done = [], 0
+                for start, _, end in spans:
+                    if start >= done:
+                        parts += [text[done:start], mark]
+                    done = max(done, end)
+                text = "".join([*parts, text[done:]])
+            out.append(text)
+        return pa.array(out, pa.string())
+
+    return docs.withColumn(text_col, clean(F.col(text_col)))
