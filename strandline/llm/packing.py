@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import Scratch
+
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one packing group holds on average; the bins left open at a group's end are what grouping costs.
 GROUP_ROWS = 40_000
@@ -30,7 +32,7 @@ class TextIds:
     """Ids of whole texts under a byte-level BPE tokenizer file.
 
     The file's own vocabulary is loaded as ranks into the faster of the two installed byte-level encoders; the tests hold its ids to
-    those of the first.
+    those of the first. As there, the string of an added token in a text is that token.
     """
 
     def __init__(self, path: str):
@@ -38,12 +40,13 @@ class TextIds:
         from tokenizers import Tokenizer
 
         as_byte = {shown: b for b, shown in enumerate(_byte_letters())}
-        vocab = Tokenizer.from_file(path).get_vocab(with_added_tokens=True)
-        ranks = {bytes(as_byte[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
-        self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        file = Tokenizer.from_file(path)
+        added = {t.content: i for i, t in file.get_added_tokens_decoder().items()}
+        ranks = {bytes(as_byte[c] for c in token): i for token, i in file.get_vocab(with_added_tokens=True).items() if token not in added}
+        self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(array("I", self.bpe.encode_ordinary(text)), np.uint32)
+        return np.array(array("I", self.bpe.encode(text, allowed_special="all")), np.uint32)
 
 
 def _byte_letters() -> list[str]:
@@ -117,20 +120,25 @@ def _pieces(path: str, capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone. Pieces are spread over groups by a hash of id and start, so that no source or id fills
-    one; within a group they are placed from the longest to the shortest. Full pieces need no partner and are never grouped with others.
-    Repeated rows are packed as documents of their own. An empty table gives an empty result.
+    A null or empty text is the end id alone; a null id stays null. Full pieces are sequences of their own and are not shuffled: they are
+    named by partition and place, below zero. The others, at most one of each document, are spread over groups by a hash of all but their
+    text and a row number, so that no source, id or repeated row fills one; within a group they are placed from the longest to the
+    shortest. Repeated rows are packed as documents of their own. An empty table gives an empty result.
     """
+    spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
-    groups = max(1, round(picked.count() / group_rows))
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
-    pieces = picked.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), schema)
-    grouped = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+    # texts are encoded once; both ways on read what was written
+    pieces = Scratch(spark, "pieces").keep(picked.mapInArrow(_pieces(tokenizer or default_tokenizer(), capacity), schema).withColumn("row", F.monotonically_increasing_id()))
+    whole = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.col("row")).withColumn("offset", F.lit(0).cast("long")).drop("row")
+    short = pieces.where(F.col("length") < capacity)
+    groups = max(1, round(short.count() / group_rows))
+    grouped = short.withColumn("grp", F.pmod(F.xxhash64("doc_id", "row"), F.lit(groups))).drop("row")
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(), capacity)
         return pdf.drop(columns="grp").assign(sequence_id=bins + (pdf["grp"].to_numpy() << 32), offset=offsets)
 
-    return grouped.groupBy("grp").applyInPandas(place, f"{schema}, sequence_id long, offset long")
+    return whole.unionByName(grouped.groupBy("grp").applyInPandas(place, f"{schema}, sequence_id long, offset long"))
