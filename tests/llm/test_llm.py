@@ -5,11 +5,13 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, packing, secret_scan, shingles, suffix_dedup, url_filter
 
@@ -113,6 +115,53 @@ def test_language_id_rejects_other_languages(spark):
     assert {(r["lang_pred"], r["score"]) for r in language_id.predict(df.where("doc_id >= 1000"), model).collect()} == {("und", 0.0)}
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    rng = random.Random(12)
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xE0, 0xF6), *range(0x3B1, 0x3C9), *range(0x430, 0x44F)]]
+    own = {f"q{k:02d}": rng.sample(letters, 9) for k in range(40)}
+    word = lambda v: "".join(rng.choice(own[v]) for _ in range(rng.randint(3, 7)))
+    rows = [(i, " ".join(word(v) for _ in range(25)), v) for i in range(6000) for v in [f"q{i % 40:02d}"]]
+    rows += [(6000 + i, "the same copied text", "q00") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    assert language_id.quota(40) == 100 and language_id.quota(4) == 250 and language_id.quota(100_000) == language_id.LEAST_PER_LANG
+    monkeypatch.setattr(language_id, "MAX_SAMPLE", 600)
+    model = language_id.train(df)
+    assert sorted(v for members in model.langs.values() for v in members) == sorted(own)
+    got = language_id.predict(df.where("doc_id < 400"), model).collect()
+    assert np.mean([r["lang_pred"] == f"q{r['doc_id'] % 40:02d}" for r in got]) > 0.9
+
+
+def brute_vote(model, text):
+    """The same decision from the margins alone, written out: families first, then every pair inside the best one."""
+    x = language_id.features(text).astype(float)
+    margin = lambda row: float(np.dot(model.weights[row, :-1].astype(float), x) + model.weights[row, -1])
+    family = next(iter(model.langs)) if len(model.langs) == 1 else max(sorted(model.langs), key=lambda f: margin(model.family_at[f]))
+    wins, sums = Counter(), Counter()
+    for (a, b), row in model.pair_at.items():
+        if a in model.langs[family]:
+            wins[a if margin(row) >= 0 else b] += 1
+            sums[a] += margin(row)
+            sums[b] -= margin(row)
+    return min(model.langs[family], key=lambda v: (-wins[v], -sums[v], v))
+
+
+def test_language_id_votes_and_ties(spark):
+    rng = random.Random(13)
+    parts = {"en": ["the", "ing", "wh"], "de": ["sch", "ung", "ei"], "nl": ["ij", "oe", "aa"], "sv": ["sk", "å", "ör"], "fr": ["eau", "è", "oi"], "es": ["ción", "ñ", "os"]}
+    rows = [(i, prose(rng, 20, parts[v]), v) for i in range(300) for v in [list(parts)[i % 6]]]
+    mixed = [prose(rng, 20, parts["en"] + parts["de"]) for _ in range(30)] + [rows[0][1]] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(df)
+    model.bounded = []  # the vote alone
+    for text in [r[1] for r in rows] + mixed:
+        assert model.predict(text)[0] == brute_vote(model, text)
+    tie = language_id.Hierarchy({"f": ["a", "b", "c"]}, np.zeros((3, (1 << language_id.BITS) + 1), np.float32), {}, {("a", "b"): 0, ("a", "c"): 1, ("b", "c"): 2})
+    assert tie.predict("any text") == ("a", 0.5) and brute_vote(tie, "any text") == "a"
+    clash = df.withColumnsRenamed({"lang": "lang_pred", "doc_id": "score"}).withColumn("held_out", F.lit("x")).withColumn("has_letter", F.lit("y"))
+    got = language_id.identify(clash, "score", "text", "lang_pred")
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 300
+
+
 def test_language_prediction_ignores_columns(spark):
     df = table(spark, corpus())
     model = language_id.train(df)
@@ -144,8 +193,8 @@ def test_decontamination(spark):
     docs = table(spark, texts)
     want = {}
     for d, t in enumerate(texts):
-        raw = decontaminate.normalise(t or "").decode()
-        hits = [(i, edits(decontaminate.normalise(x or "").decode(), raw)) for i, x in enumerate(items) if len(decontaminate.normalise(x or "")) >= decontaminate.Q]
+        raw = decontaminate.normalise(t or "")
+        hits = [(i, edits(decontaminate.normalise(x or ""), raw)) for i, x in enumerate(items) if len(decontaminate.normalise(x or "")) >= decontaminate.Q]
         want[d] = ",".join(f"{i}:{e}" for i, e in hits if e <= decontaminate.edit_budget(len(decontaminate.normalise(items[i]))))
     got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, bench).collect()}
     assert {d: r["items"] for d, r in got.items()} == want and any(want.values())
@@ -161,7 +210,7 @@ def test_decontamination_at_the_ends_of_a_text():
     for n in range(60):
         item = decontaminate.normalise(prose(rng, 30))[:200].strip()
         e = decontaminate.edit_budget(len(item))
-        near = list(item.decode())
+        near = list(item)
         kind = n % 3
         for _ in range(rng.choice([1, 4, e // 2, e])):
             at = rng.choice([0, 1, len(near) // 2, len(near) - 2, len(near) - 1, rng.randrange(len(near))])
@@ -172,10 +221,59 @@ def test_decontamination_at_the_ends_of_a_text():
         near, other = "".join(near), prose(rng, 20)
         for text in (near, near + " " + other, other + " " + near):
             raw = decontaminate.normalise(text)
-            want = edits(item.decode(), raw.decode())
-            found = decontaminate.ItemIndex.build([(1, item.decode())]).find(text)
+            want = edits(item, raw)
+            found = decontaminate.ItemIndex.build([(1, item)]).find(text)
             assert found == ([(1, want)] if want <= e else []), (n, text)
-    assert decontaminate.banded_edits(b"abcdef", b"abdef", 1) == 1
+    index = decontaminate.ItemIndex.build([(1, "abcdefghijklmnopqrst")])
+    assert index.find("abcdefghijlmnopqrst") == [(1, 1)] and index.budgets.tolist() == [1]
+
+
+def test_decontamination_counts_characters():
+    rng = random.Random(14)
+    item = decontaminate.normalise(prose(rng, 30, ["ä", "ß", "漢", "щу", "é", "a", "ñ"]))
+    for n in range(0, 14):
+        near = list(item)
+        for at in rng.sample(range(len(near)), n):
+            near[at] = rng.choice("öüя字z")
+        text = "vor " + "".join(near) + " nach"
+        want = edits(item, decontaminate.normalise(text))
+        found = decontaminate.ItemIndex.build([(1, item)]).find(text)
+        assert found == ([(1, want)] if want <= decontaminate.edit_budget(len(item)) else []), n
+
+
+def test_decontamination_of_templated_items(monkeypatch):
+    rng = random.Random(15)
+    stem = "which of the following sentences is the right answer to the question about "
+    items = [(i, f"{stem}{prose(rng, 4)} number {i}") for i in range(1000)]
+    index = decontaminate.ItemIndex.build(items)
+    text = " ".join(f"{stem}{prose(rng, 4)}." if k % 3 else items[k][1] + "x" for k in range(90))[:10_000]
+    began = time.process_time()
+    got = index.find(text)
+    assert time.process_time() - began < 5
+    raw = decontaminate.normalise(text)
+    some = [0, 3, 6, *rng.sample(range(1000), 12)]
+    want = {i: e for i in some for e in [edits(index.texts[i], raw)] if e <= index.budgets[i]}
+    assert {i: e for i, e in got if i in some} == want and len(want) >= 3
+    monkeypatch.setattr(decontaminate, "MAX_HITS", 2000)
+    monkeypatch.setattr(decontaminate, "MAX_CELLS", 5000)
+    short = text[:1500]
+    assert index.find(short) == decontaminate.ItemIndex.build(items).find(short)
+    same = [(1, "a" * 600), (2, "ab" * 200)]
+    assert decontaminate.ItemIndex.build(same).find("a" * 3000 + "ab" * 199) == [(1, 0), (2, 1)]
+
+
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = random.Random(16)
+    items = [(i // 2 if i < 6 else None, prose(rng, 20)) for i in range(8)] + [(9, items_text) for items_text in [prose(rng, 20)] * 2]
+    texts = [items[0][1], items[0][1] + " and " + items[9][1], None, "", items[7][1], prose(rng, 50), items[3][1]]
+    docs = table(spark, texts, [5, 5, None, None, None, 1, 2]).withColumnRenamed("tag", "found")
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("item_id", "contaminated")
+    args = {"item_col": "contaminated"}
+    one = sorted(map(str, decontaminate.find_contamination(docs, bench, **args).collect()))
+    assert len(one) == len(texts) and sum("contaminated=True" in r for r in one) == 4
+    assert sorted(map(str, decontaminate.find_contamination(docs, bench, block_bytes=300, **args).collect())) == one
+    kept = [sorted(map(str, decontaminate.drop_contaminated(docs, bench, block_bytes=b, **args).collect())) for b in (1 << 20, 300)]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
 
 
 def test_chat_format(spark):
@@ -414,14 +512,72 @@ def test_secret_scan_of_joined_constants(spark):
         assert found == {(t.index(w), t.index(w) + len(w)) for w in want}, i
 
 
+def brute_lexed(text):
+    """Spans that the lexer adds, with values as whole strings: a plain version for texts of simple lines."""
+    env, out = {}, set()
+    for m in re.finditer(r"""(?m)^(\w+) = (.+)$""", text):
+        value, spans = "", []
+        for part in re.finditer(r"""'([^']*)'|"([^"]*)"|(\w+)""", m[2]):
+            span = (m.start(2) + part.start(), m.start(2) + part.end())
+            if part[3] is None:
+                literal = part[1] if part[1] is not None else part[2]
+                value, spans = value + literal, spans + [span]
+            else:
+                value, spans = value + env[part[3]][0], spans + env[part[3]][1]
+        env[m[1]] = (value, spans)
+        weight = max((w for k, w in secret_scan.SENSITIVE.items() if k in re.sub("[^a-z0-9]", "", m[1].lower())), default=0)
+        if not weight or len(value) < 8 or " " in value or (value.islower() and not re.search("[0-9]", value)):
+            continue
+        if re.match(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|%.*%|(?:your|my|example|sample|dummy|test|change|replace|todo|none|null|true|false)[\w .-]*)$", value):
+            continue
+        n = len(value)
+        entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+        classes = sum(bool(re.search(p, value)) for p in ("[a-z]", "[A-Z]", "[0-9]"))
+        if weight * (entropy + 0.5 * max(0, classes - 1)) >= secret_scan.MIN_SCORE:
+            out |= set(spans)
+    base = brute_spans(text)
+    return {s for s in out if not any(a <= s[0] and s[1] <= b for a, _, b in base)}
+
+
+def test_secret_lexer_against_whole_strings():
+    rng = random.Random(17)
+    names = ["host", "db_key", "password", "auth_header", "title", "private_key", "pwd"]
+    words = ["changeme", "xxxxxxxxxx", "hello world", "<token>", "${SECRET}", "Qx7-uP2.mV", "zz", "AAAAbbbb1111", "lowercaseword", "******", "9f8e7d6c", "your_key_1", "Ab1", "%x%"]
+    for _ in range(300):
+        lines, known = [], []
+        for _ in range(rng.randint(1, 8)):
+            name = rng.choice(names) + str(rng.randint(0, 3))
+            if known and rng.random() < 0.5:
+                right = f'"{rng.choice(words)}"' if rng.random() < 0.3 else " + ".join(rng.choice(known) for _ in range(rng.randint(1, 3)))
+            else:
+                right = f'"{rng.choice(words)}"'
+            lines.append(f"{name} = {right}")
+            known.append(name)
+        text = "\n".join(lines)
+        got = {(a, b) for a, kind, b in secret_scan.find_spans(text)[1] if kind == "lexed"}
+        assert got == brute_lexed(text), text
+
+
+def test_secret_scan_of_hostile_texts():
+    began = time.process_time()
+    grown = 'a = "Xk29fQ7wLm"\n' + "a = a + a\n" * 4000 + "password = a\n"
+    assert ("lexed", 4, 16) in [(k, a, b) for a, k, b in secret_scan.find_spans(grown)[1]]
+    assert secret_scan.find_spans("a=" * 500_000)[1] == []
+    chained = 'token = "q8ZtR41vNb"\n' + "".join(f'token = token + "x{i}"\n' for i in range(10_000))
+    assert len(secret_scan.find_spans(chained)[1]) == 10_001
+    secret_scan.find_spans("token = " + "a+" * 300_000 + "a")
+    secret_scan.find_spans("password = 'Xy12abCD9kk' " * 20_000)
+    secret_scan.find_spans("password " * 50_000 + '="' * 50_000 + "api_key" + " " * 200_000)
+    assert time.process_time() - began < 40
+
+
 def test_tokenizer_ids_are_the_files(spark):
     from tokenizers import Tokenizer
 
     path = packing.default_tokenizer()
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     fast = packing.tokenizer_at(path)
-    for t in [*filter(None, corpus()), "a  b", " \n ", "<|endoftext|> x", "don't we'll", "漢字 😀", "x\n \ny  "]:
+    for t in [*filter(None, corpus()), "a  b", " \n ", "<|endoftext|> x", "a<|endoftext|><|endoftext|>", "<|endoftext|", " <| endoftext|>", "don't we'll", "漢字 😀", "x\n \ny  "]:
         assert fast.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
