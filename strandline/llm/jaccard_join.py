@@ -32,6 +32,8 @@ SIZE, PERCENT = 5, 80
 ORDERS = [0x1D8E4E27C47D124F, 0xEB44ACCAB455D165]
 #: Bytes of text that one bucket of the index answers for, and postings of one token that one bucket takes before the token is salted.
 BUCKET_TEXT, HOT = 16 << 20, 200_000
+#: Postings that a task gathers before it sends them.
+SEND = 1 << 18
 #: Ids that are sent to all tasks at most (16 bytes each or so); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 #: The frequency sketch has 2^bits counters, a counter for about TOKENS_EACH tokens of the corpus; never more than 2^MAX_BITS (one byte each when sent).
@@ -105,6 +107,19 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
         p["left"] = p["n"] - place[used]
         return p
 
+    def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        p = np.concatenate(found)
+        salts = np.exp2((p["token"] >> np.uint64(56)).astype(np.float64) / 4 + 0.25).astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
+        hot = salts > 1
+        salt = np.where(hot, mix64(p["cls"].view(np.uint64) % salts + np.uint64(1)), np.uint64(0))
+        group = (mix64(p["token"] + salt) % np.uint64(buckets)).astype(np.int64) * 2 + hot
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        first = group[order[np.append(0, cuts)]]
+        for i in range(0, len(first), 64):
+            blobs = [_pack(p[order[a:b]]) for a, b in zip(np.append(0, cuts)[i : i + 64], np.append(cuts, len(p))[i : i + 64], strict=True)]
+            yield _rows(id_type, bucket=first[i : i + 64] // 2, hot=first[i : i + 64] % 2 == 1, blob=blobs)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, seen = [], set()
@@ -114,20 +129,14 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
                 yield _rows(id_type, ids, np.diff(bounds), cls)
                 # an id that is null keeps its set from being shown, not that of another row
                 named = np.asarray(ids.is_valid())
-                found.append(postings(ids, marks, bounds, np.where(named, cls, -1 - np.arange(len(cls))), seen))
-            p = np.concatenate(found) if found else np.zeros(0, _POSTING)
-            if not len(p):
-                continue
-            salts = np.exp2((p["token"] >> np.uint64(56)).astype(np.float64) / 4 + 0.25).astype(np.uint64) // np.uint64(HOT) + np.uint64(1)
-            hot = salts > 1
-            salt = np.where(hot, mix64(p["cls"].view(np.uint64) % salts + np.uint64(1)), np.uint64(0))
-            group = (mix64(p["token"] + salt) % np.uint64(buckets)).astype(np.int64) * 2 + hot
-            order = np.argsort(group, kind="stable")
-            cuts = np.flatnonzero(np.diff(group[order])) + 1
-            first = group[order[np.append(0, cuts)]]
-            for i in range(0, len(first), 64):
-                blobs = [_pack(p[order[a:b]]) for a, b in zip(np.append(0, cuts)[i : i + 64], np.append(cuts, len(p))[i : i + 64], strict=True)]
-                yield _rows(id_type, bucket=first[i : i + 64] // 2, hot=first[i : i + 64] % 2 == 1, blob=blobs)
+                p = postings(ids, marks, bounds, np.where(named, cls, -1 - np.arange(len(cls))), seen)
+                if len(p):
+                    found.append(p)
+                if sum(map(len, found)) > SEND:
+                    yield from dealt(found)
+                    found = []
+            if found:
+                yield from dealt(found)
 
     return docs.select("doc_id", "text").mapInArrow(deal, _schema(id_type)[0])
 
@@ -227,27 +236,39 @@ def _sharing(probes: DataFrame, indexed: DataFrame) -> DataFrame:
     return met.select(F.least("acls", "bcls").alias("a"), F.greatest("acls", "bcls").alias("b"))
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """(cls, n, orders, marks): each text's fingerprint, its size, its prefixes under the further orders, and its set."""
+def _prefixes(docs: DataFrame, size: int) -> DataFrame:
+    """(cls, order1, order2, ...): each text's fingerprint and its prefixes under the further orders."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, flat, offsets in text_slices(batch.column(0), batch.column(0)):
                 marks, bounds = shingle_sets(flat, offsets, size)
-                columns = [pa.array(set_prints(marks, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int64())]
+                columns = [pa.array(set_prints(marks, bounds), pa.int64())]
                 for salt in ORDERS:
                     token, owner, _ = first_tokens(mix64(marks ^ np.uint64(salt)), bounds)
                     ends = np.append(0, np.cumsum(np.bincount(owner, minlength=len(bounds) - 1)))
                     columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array((token >> np.uint64(32)).astype(np.uint32).view(np.int32))))
-                columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(marks.view(np.int64), pa.int64())))
-                yield pa.RecordBatch.from_arrays(columns, ["cls", "n", *_ORDER_NAMES, "marks"])
+                yield pa.RecordBatch.from_arrays(columns, ["cls", *_ORDER_NAMES])
 
-    return docs.select("text").mapInArrow(build, f"cls long, n long, {', '.join(f'{c} array<int>' for c in _ORDER_NAMES)}, marks array<long>")
+    return docs.select("text").mapInArrow(build, f"cls long, {', '.join(f'{c} array<int>' for c in _ORDER_NAMES)}")
 
 
 _ORDER_NAMES = [f"order{k + 1}" for k in range(len(ORDERS))]
 
 
+def _sets(docs: DataFrame, size: int) -> DataFrame:
+    """(cls, n, marks): each text's fingerprint, the size of its set, and the set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, flat, offsets in text_slices(batch.column(0), batch.column(0)):
+                marks, bounds = shingle_sets(flat, offsets, size)
+                sets = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(marks.view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(set_prints(marks, bounds), pa.int64()), pa.array(np.diff(bounds), pa.int64()), sets], ["cls", "n", "marks"])
+
+    return docs.select("text").mapInArrow(build, "cls long, n long, marks array<long>")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest id reachable by links of Jaccard PERCENT / 100 or more).
 
@@ -289,17 +310,18 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
     named = lists.select("list", F.col("cls").alias("b"), F.col("n").alias("bn"), F.col("left").alias("bleft"))
     stars = named.join(leaders, (named["list"] == leaders["list"]) & (F.col("a") != F.col("b")) & _fits("a", "b"))
     stars = scratch.keep(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    reps = scratch.keep(kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select(F.col("first").alias("doc_id")).distinct())
-    sets = scratch.keep(_sets(picked.join(_small(reps), "doc_id", "left_semi"), size))
+    reps = scratch.keep(kinds.join(lists.select("cls").distinct(), "cls", "left_semi").select("cls", F.col("first").alias("doc_id")))
+    texts = lambda some: picked.join(_small(some.select("doc_id").distinct()), "doc_id", "left_semi")
+    prefixes = scratch.keep(_prefixes(texts(reps), size))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that share a prefix token under each further order, and then have the overlap; only these fetch whole sets."""
-        prefixes = sets.join(_classes_of(pairs), "cls", "left_semi")
+        """The pairs that share a prefix token under each further order, and then have the overlap; only for these sets are built."""
+        named = prefixes.join(_classes_of(pairs), "cls", "left_semi")
         for order in _ORDER_NAMES:
-            left, right = (prefixes.select(F.col("cls").alias(side), F.col(order).alias(f"p{side}")) for side in "ab")
+            left, right = (named.select(F.col("cls").alias(side), F.col(order).alias(f"p{side}")) for side in "ab")
             pairs = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("pa", "pb")).select("a", "b")
         pairs = scratch.keep(pairs.distinct())
-        whole = sets.join(_classes_of(pairs), "cls", "left_semi")
+        whole = scratch.keep(_sets(texts(reps.join(_classes_of(pairs), "cls", "left_semi")), size))
         left, right = (whole.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")) for side in "ab")
         common = F.size(F.array_intersect("ma", "mb"))
         return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
