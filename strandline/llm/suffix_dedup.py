@@ -4,7 +4,8 @@ A LENGTH-byte string is removed where it also starts in a document with a smalle
 in it that comes first in one global order (rare first, by a frequency sketch over all texts, then by hash), and equal windows have equal
 anchors at equal places. Consecutive windows with one anchor form a piece of at most 2 LENGTH - K bytes. Texts are gathered in chunks;
 a chunk first asks which of its anchors another chunk has as well (5 bytes an anchor), and then deals only the pieces of such anchors to
-buckets by anchor, so that all windows that could be equal meet. Each bucket is a collection of many short documents.
+buckets by anchor, so that all windows that could be equal meet. Each bucket is a collection of many short documents: the pieces that have
+a window's length around their anchor in common with another one, cut to that.
 
 In a bucket the Burrows-Wheeler transform and the common prefixes of the collection are built column by column from the right: each
 round puts the next symbol in front of every piece's suffix, and the whole list is read once in order and dealt to one run per symbol,
@@ -17,11 +18,13 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,8 @@ LENGTH, K = 50, 24
 WIDTH = 2 * LENGTH - K
 #: Bytes of text whose pieces one bucket takes, of a slice that is cut at once, and pieces that one construction takes.
 BUCKET_TEXT, SLICE_BYTES, COLLECTION = 8 << 20, 4 << 20, 20_000
+#: Windows whose anchors are found at once (fewer than 2^20 less LENGTH).
+ANCHOR_BLOCK = 128 << 10
 #: Bytes of an anchor's hash that a chunk asks with, besides what its bucket says.
 ASK_BYTES = 5
 _ASK_SHIFT = 8 * ASK_BYTES
@@ -58,30 +63,50 @@ def _gram_hash(first: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.n
     return mark
 
 
-def cut_pieces(flat: np.ndarray, offsets: np.ndarray, rank: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(document, start, length, anchor place) of each piece of a slice; rank and hashes are those of the K-grams."""
+def window_anchors(flat: np.ndarray, classes: np.ndarray, bits: int) -> np.ndarray:
+    """For each LENGTH-byte window of flat: how far in its anchor starts, by frequency class and then hash; block by block."""
+    n = len(flat) - LENGTH + 1
+    out, width = np.zeros(max(0, n), np.uint8), LENGTH - K + 1
+    for begin in range(0, n, ANCHOR_BLOCK):
+        end = min(n, begin + ANCHOR_BLOCK)
+        hashes = gram_hashes(flat[begin : end + LENGTH - 1])
+        place = np.arange(len(hashes), dtype=np.uint64)
+        rank = classes[(hashes >> np.uint64(64 - bits)).view(np.int64)].astype(np.uint64)
+        low = (rank << np.uint64(56)) | ((hashes >> np.uint64(28)) << np.uint64(20)) | place
+        span = 1
+        while span * 2 <= width:
+            low = np.minimum(low[:-span], low[span:])
+            span *= 2
+        if span < width:
+            low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+        out[begin:end] = (low & np.uint64((1 << 20) - 1)).view(np.int64) - np.arange(end - begin)
+    return out
+
+
+def cut_pieces(flat: np.ndarray, offsets: np.ndarray, classes: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+    """(document, start, length, anchor place) of each piece of a slice; classes is the frequency sketch of K-grams."""
     none = (np.zeros(0, np.int64),) * 4
     if len(flat) < LENGTH:
         return none
-    place = np.arange(len(hashes), dtype=np.uint64)
-    bits = np.uint64(max(1, int(len(hashes)).bit_length()))
-    low = (rank.astype(np.uint64) << np.uint64(56)) | ((hashes >> (np.uint64(8) + bits)) << bits) | place
-    span, width = 1, LENGTH - K + 1
-    while span * 2 <= width:
-        low = np.minimum(low[:-span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    inside = doc[: len(anchor)] == doc[LENGTH - 1 :]
+    inside = np.ones(len(flat) - LENGTH + 1, bool)
+    for end in offsets[1:-1].tolist():
+        inside[max(0, end - LENGTH + 1) : end] = False
+    anchor = window_anchors(flat, classes, bits)
     fresh = inside.copy()
-    fresh[1:] &= ~inside[:-1] | (anchor[1:] != anchor[:-1]) | (doc[1 : len(anchor)] != doc[: len(anchor) - 1])
+    # the anchor stays the same where its place in the window falls by one
+    fresh[1:] &= ~inside[:-1] | (anchor[1:] + np.uint8(1) != anchor[:-1])
     first = np.flatnonzero(fresh)
     if not len(first):
         return none
-    windows = np.diff(np.append(np.cumsum(inside)[first] - 1, inside.sum()))
-    return doc[first], first, windows + LENGTH - 1, anchor[first] - first
+    windows = np.diff(np.append(np.cumsum(inside, dtype=np.int32)[first] - 1, np.count_nonzero(inside)))
+    return np.searchsorted(offsets, first, side="right") - 1, first, windows + LENGTH - 1, anchor[first].astype(np.int64)
+
+
+def grams_at(flat: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The hashes of the K-grams of flat at these places."""
+    if not len(place):
+        return np.zeros(0, np.uint64)
+    return _gram_hash(*np.ndarray((len(flat) - K + 1, K), np.uint8, np.ascontiguousarray(flat), 0, (1, 1))[place].view("<u8").T)
 
 
 def piece_rows(flat: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -157,6 +182,27 @@ def equal_windows(rows: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.
     return run[used], piece[used], (length[piece] - size)[used]
 
 
+def shared_reach(rows: np.ndarray, length: np.ndarray, place: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before and behind its anchor each piece has in common with some other piece of that anchor, LENGTH - K at most.
+
+    A window that two pieces share lies within what they share, so pieces with less than a window's length need not be looked at, and of
+    the others only that part.
+    """
+    far, steps = LENGTH - K, np.arange(LENGTH - K)
+    out = []
+    for at in (place[:, None] - 1 - steps, place[:, None] + K + steps):
+        there = (at >= 0) & (at < length[:, None])
+        side = np.where(there, np.take_along_axis(rows, np.clip(at, 0, rows.shape[1] - 1), axis=1).astype(np.int16) + 1, 0)
+        order = np.lexsort([*side.T[::-1], anchor])
+        sides, anchors = side[order], anchor[order]
+        same = (sides[1:] == sides[:-1]) & (sides[1:] > 0) & (anchors[1:] == anchors[:-1])[:, None]
+        reach = np.where(same.all(axis=1), far, same.argmin(axis=1))
+        most = np.zeros(len(rows), np.int64)
+        most[order] = np.maximum(np.append(0, reach), np.append(reach, 0))
+        out.append(most)
+    return out[0], out[1]
+
+
 def _pack(own: np.ndarray, ids: np.ndarray, doc: np.ndarray, start: np.ndarray, length: np.ndarray, place: np.ndarray, rows: np.ndarray) -> bytes:
     """Some of a chunk's pieces, in document order: place of the document in the chunk and its id, start, length, anchor, and the bytes."""
     text = rows[np.arange(rows.shape[1])[None, :] < length[:, None]].tobytes()
@@ -176,10 +222,10 @@ def frequency_classes(docs: DataFrame, bits: int) -> np.ndarray:
     """For each counter of a sketch over the K-grams of all texts: four times the logarithm (base 2) of its count."""
     block = min(bits, BLOCK_BITS)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            for _, flat, _ in text_slices(batch.column(0), batch.column(0), SLICE_BYTES):
+            for _, flat, _ in text_slices(batch.column(0), batch.column(0), ANCHOR_BLOCK):
                 np.add.at(seen, (gram_hashes(flat) >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
         parts, pack = seen.reshape(-1, 1 << block), zstandard.ZstdCompressor(level=1).compress
         some = np.flatnonzero(parts.any(axis=1))
@@ -192,19 +238,18 @@ def frequency_classes(docs: DataFrame, bits: int) -> np.ndarray:
         return pd.DataFrame({"block": pdf["block"][:1], "classes": [np.rint(4 * np.log2(total + 1.0)).astype(np.uint8).tobytes()]})
 
     out = np.zeros(1 << bits, np.uint8).reshape(-1, 1 << block)
-    for r in docs.select("text").mapInArrow(count, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, classes binary").toLocalIterator():
+    for r in docs.select("text").mapInArrow(tally, "block long, counts binary").groupBy("block").applyInPandas(add, "block long, classes binary").toLocalIterator():
         out[r["block"]] = np.frombuffer(r["classes"], np.uint8)
     return out.reshape(-1)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each chunk of whole texts: ids, where each text ends, and the bytes."""
-    pack = zstandard.ZstdCompressor(level=3).compress
+    """One row for each chunk of whole texts: its name (partition and place), ids, where each text ends, and the bytes."""
+    pack, names = zstandard.ZstdCompressor(level=3).compress, count(TaskContext.get().partitionId() << 40)
     for batch in batches:
         for ids, flat, offsets in text_slices(batch.column(0), batch.column(1), SLICE_BYTES):
             body = flat.tobytes()
-            name = hashlib.blake2b(body + offsets.tobytes() + repr(ids.to_pylist()).encode(), digest_size=7).digest()
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name, "little")], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([pack(body)], pa.binary())], ["chunk", "ids", "offsets", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([next(names)], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([offsets.astype("<i8").tobytes()], pa.binary()), pa.array([pack(body)], pa.binary())], ["chunk", "ids", "offsets", "body"])
 
 
 class Cut:
@@ -215,12 +260,11 @@ class Cut:
         flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["body"]), np.uint8) if self.offsets[-1] else np.zeros(0, np.uint8)
         named = np.array([i is not None for i in row["ids"]], bool)
         self.ids = np.array([i if i is not None else 0 for i in row["ids"]], np.int64)
-        hashes = gram_hashes(flat)
-        doc, start, length, place = cut_pieces(flat, self.offsets, classes[(hashes >> np.uint64(64 - bits)).view(np.int64)], hashes)
+        doc, start, length, place = cut_pieces(flat, self.offsets, classes, bits)
         keep = named[doc]
         self.doc, first, self.length, self.place = doc[keep], start[keep], length[keep], place[keep]
         self.rows, self.start = piece_rows(flat, first, self.length), first - self.offsets[self.doc]
-        self.anchor = hashes[first + self.place] if len(first) else np.zeros(0, np.uint64)
+        self.anchor = grams_at(flat, first + self.place)
         self.late = np.zeros(len(first), bool)
         if len(first):
             order, fresh = same_rows(self.rows, self.length)
@@ -350,9 +394,17 @@ def _bucket_spans(table: pa.Table) -> pa.Table:
             end += 1
         part = texts[begin:end]
         begin = end
-        group, piece, offset = equal_windows(rows[order[first[part]]], length[order[first[part]]])
+        at = order[first[part]]
+        before, behind = shared_reach(rows[at], length[at], place[at], anchor[at])
+        wide = before + behind >= LENGTH - K
+        part, at, before, behind = part[wide], at[wide], before[wide], behind[wide]
+        if not len(part):
+            continue
+        cut, size = place[at] - before, K + before + behind
+        group, piece, offset = equal_windows(piece_rows(rows[at].reshape(-1), np.arange(len(at)) * rows.shape[1] + cut, size), size)
         if not len(group):
             continue
+        offset += cut[piece]
         fresh_group = np.append(True, group[1:] != group[:-1])
         low = np.minimum.reduceat(least[part[piece]], np.flatnonzero(fresh_group))[np.cumsum(fresh_group) - 1]
         hit = least[part[piece]] > low
