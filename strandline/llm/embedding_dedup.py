@@ -1,15 +1,15 @@
 """Embedding near-dedup through a pivot-permutation index.
 
-Every vector is described by the NEAREST pivots (reference vectors) that are closest to it. Vectors of one label that share SHARED of
-these pivots meet on an inverted list, one list for each choice of SHARED pivots, and are verified by their exact cosine in double
-precision. Equal vectors are one class from the start; a list beyond BLOCK vectors is verified block against block.
+Every vector is described by the NEAREST pivots (reference vectors) that are closest to it, in order. An inverted list for each label and
+pivot holds the vectors with that pivot among theirs. Two vectors of a list are candidates if their shared pivots count MIN_SHARED or more,
+a shared pivot counting the more the nearer it stands in both orders; candidates are verified by their exact cosine in double precision.
+Equal vectors are one class from the start; a list beyond BLOCK vectors is taken block against block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from strandline.llm.common import Scratch, connected_components
 
 CUT = 0.93
-#: Nearest pivots that describe a vector, and how many of them two vectors must share.
-NEAREST, SHARED = 6, 3
+#: Nearest pivots that describe a vector. A pivot at places i and j (from 0) of two orders counts (NEAREST - i) (NEAREST - j) / NEAREST^2,
+#: so the same nearest pivot is enough alone.
+NEAREST, MIN_SHARED = 6, 0.75
 #: Pivots: about 2 sqrt(vectors) of each dimension, a bounded sample of the vectors themselves; none within PIVOT_CUT of another.
 MIN_PIVOTS, MAX_PIVOTS, PIVOT_CUT = 64, 4096, 0.8
 #: Vectors of a list that are compared as one block, and postings that one task takes.
@@ -42,7 +43,7 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect():
         want = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(2 * math.sqrt(r["count"]))))
-        drawn = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("h", F.lit(1)), "rep").limit(want).select("vec").toArrow()
+        drawn = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("cls", F.lit(1)), "cls").limit(want).select("vec").toArrow()
         x, kept = unit(np.stack(rows_of(drawn["vec"].combine_chunks()))), []
         near = x @ x.T
         for i in range(len(x)):
@@ -52,23 +53,12 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def describe(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """The NEAREST pivots of each row, as sorted pivot numbers; fewer if there are fewer pivots."""
+def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The NEAREST pivots of each row, the nearest first; fewer if there are fewer pivots."""
     near = -(unit(x) @ pivots.T)
     k = min(NEAREST, len(pivots))
-    return np.sort(np.argpartition(near, k - 1, axis=1)[:, :k], axis=1)
-
-
-def list_codes(top: np.ndarray) -> np.ndarray:
-    """One code for each choice of SHARED of the described pivots (of all, if they are fewer)."""
-    take = min(SHARED, top.shape[1])
-    codes = []
-    for places in combinations(range(top.shape[1]), take):
-        code = np.zeros(len(top), np.int64)
-        for p in places:
-            code = code * MAX_PIVOTS + top[:, p]
-        codes.append(code)
-    return np.stack(codes, axis=1)
+    some = np.argpartition(near, k - 1, axis=1)[:, :k]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
 def _postings(pivots: dict[int, np.ndarray]):
@@ -78,99 +68,120 @@ def _postings(pivots: dict[int, np.ndarray]):
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 basis = pivots.get(int(dim))
-                top = np.zeros((len(at), 1), np.int64) if basis is None else describe(np.stack([vecs[i] for i in at]), basis)
-                codes = list_codes(top)
-                again = np.repeat(at, codes.shape[1])
-                yield pa.RecordBatch.from_arrays([batch["rep"].take(again), batch["label"].take(again), batch["dim"].take(again), pa.array(codes.reshape(-1)), pa.array(np.repeat(top, codes.shape[1], axis=0).tolist(), pa.list_(pa.int64()))], ["rep", "label", "dim", "code", "top"])
+                order = np.zeros((len(at), 1), np.int64) if basis is None else permutations(np.stack([vecs[i] for i in at]), basis)
+                again, shown = np.repeat(at, order.shape[1]), np.repeat(order, order.shape[1], axis=0).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shown) + 1) * shown.shape[1], pa.int32()), pa.array(shown.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(again) for c in ("cls", "label", "dim")), pa.array(order.reshape(-1).astype(np.int32)), lists], ["cls", "label", "dim", "pivot", "nearest"])
 
     return run
 
 
-def _canonical(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The code of the first SHARED pivots that the described rows a and b have in common."""
+def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each row of a with each row of b: their shared pivots, counted by place."""
+    names, place = np.unique(np.concatenate([a.reshape(-1), b.reshape(-1)]), return_inverse=True)
+    worth = (NEAREST - np.arange(a.shape[1])) / NEAREST
+    sides = []
+    for rows, at in ((a, place[: a.size]), (b, place[a.size :])):
+        table = np.zeros((len(rows), len(names)), np.float32)
+        table[np.arange(len(rows))[:, None], at.reshape(rows.shape)] = worth
+        sides.append(table)
+    return sides[0] @ sides[1].T
+
+
+def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest pivot that each row of a has in common with the same row of b."""
     both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-    take = min(SHARED, a.shape[1])
-    both &= np.cumsum(both, axis=1) <= take
-    code = np.zeros(len(a), np.int64)
-    for p in range(a.shape[1]):
-        code = np.where(both[:, p], code * MAX_PIVOTS + a[:, p], code)
-    return code
+    return np.where(both, a, np.iinfo(a.dtype).max).min(axis=1)
+
+
+def _cell_links(x: np.ndarray, nearest: np.ndarray, pivot: int, cut: float, across: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i before j, of linked vectors of one cell. A pair is looked at on the list of its first shared pivot alone.
+
+    across: if given, the block of each vector; only pairs of different blocks count.
+    """
+    i, j = np.nonzero(np.triu(shared_counts(nearest, nearest) >= MIN_SHARED - 1e-6, 1))
+    if across is not None:
+        apart = across[i] != across[j]
+        i, j = i[apart], j[apart]
+    here = _first_shared(nearest[i], nearest[j]) == pivot
+    i, j = i[here], j[here]
+    linked = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65_536]], x[j[k : k + 65_536]]) >= cut for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
+    return i[linked], j[linked]
 
 
 def _verify(table: pa.Table, cut: float) -> pa.Table:
-    """(rep, links, root) of the cells of one bucket: links counts vectors, each pair only on its canonical list."""
+    """(cls, links, root) of the cells of one bucket: links counts vectors, root is a class that this one is linked with inside the cell."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cols = {c: np.asarray(table[c].combine_chunks()) for c in ("rep", "dim", "code", "lo", "hi", "block", "mult", "label")}
-    order = np.lexsort((cols["rep"], cols["hi"], cols["lo"], cols["code"], cols["dim"], cols["label"]))
+    cols = {c: np.asarray(table[c].combine_chunks()) for c in ("cls", "dim", "pivot", "lo", "hi", "block", "mult")}
+    cols["label"] = np.unique(np.asarray(table["label"].combine_chunks(), dtype=object).astype(str), return_inverse=True)[1]
+    order = np.lexsort((cols["cls"], cols["hi"], cols["lo"], cols["pivot"], cols["dim"], cols["label"]))
     cols = {k: v[order] for k, v in cols.items()}
-    vecs, tops = rows_of(table["vec"].combine_chunks()), rows_of(table["top"].combine_chunks())
-    keys = np.stack([cols[k] for k in ("label", "dim", "code", "lo", "hi")])
+    vecs, nearest = rows_of(table["vec"].combine_chunks()), rows_of(table["nearest"].combine_chunks())
+    keys = np.stack([cols[k] for k in ("label", "dim", "pivot", "lo", "hi")])
     starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
     for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
         if b - a < 2:
             continue
         x = unit(np.stack([vecs[i] for i in order[a:b]]))
-        top = np.stack([tops[i] for i in order[a:b]]).astype(np.int64)
-        linked = x @ x.T >= cut
-        block = cols["block"][a:b]
-        if cols["lo"][a] != cols["hi"][a]:
-            linked &= block[:, None] != block[None, :]
-        np.fill_diagonal(linked, False)
-        if not linked.any():
+        pivots = np.stack([nearest[i] for i in order[a:b]]).astype(np.int64)
+        i, j = _cell_links(x, pivots, int(cols["pivot"][a]), cut, cols["block"][a:b] if cols["lo"][a] != cols["hi"][a] else None)
+        if not len(i):
             continue
-        i, j = np.nonzero(linked)
-        here = _canonical(top[i], top[j]) == cols["code"][a]
-        links = np.bincount(i[here], weights=cols["mult"][a:b][j[here]], minlength=b - a).astype(np.int64)
+        cls, mult = cols["cls"][a:b], cols["mult"][a:b]
+        links = (np.bincount(i, weights=mult[j], minlength=b - a) + np.bincount(j, weights=mult[i], minlength=b - a)).astype(np.int64)
         root = np.arange(b - a)
         while True:
-            low = np.minimum(root, np.where(linked, root[None, :], b - a).min(axis=1))
+            low = root.copy()
+            np.minimum.at(low, i, root[j])
+            np.minimum.at(low, j, root[i])
             low = low[low]
             if (low == root).all():
                 break
             root = low
-        used = (links > 0) | (root != np.arange(b - a))
-        out.append((cols["rep"][a:b][used], links[used], cols["rep"][a:b][root[used]]))
+        used = links > 0
+        out.append((cls[used], links[used], cls[root[used]]))
     cat = [np.concatenate([o[k] for o in out]) if out else np.zeros(0, np.int64) for k in range(3)]
-    return pa.table({"rep": cat[0], "links": cat[1], "root": cat[2]})
+    return pa.table({"cls": cat[0], "links": cat[1], "root": cat[2]})
 
 
 def dedup_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", cut: float = CUT) -> DataFrame:
     """Per row: vec_id, n_links, component_id, kept.
 
-    Vectors link when their labels are equal and not null, their lengths are equal, and their cosine is cut or more. A vector that is
-    null, empty or zero, that holds a null or a non-finite component, or whose id is null links with nothing: n_links 0, its own
-    component, kept. Rows that repeat an id count as vectors of their own. Ids are integers; equal vectors are found by a 64-bit
-    fingerprint. An empty table gives an empty result.
+    Vectors link when their labels (of any type that has a text form) are equal and not null, their lengths are equal, and their cosine is
+    cut or more. A vector that is null, empty or zero, that holds a null or a non-finite component, or whose id is null links with nothing:
+    n_links 0, its own component, kept. Rows that repeat an id are vectors of their own with that id: each has the links and the component
+    of its vector. Ids are integers; equal vectors of a label are found by a 64-bit fingerprint. An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "embeddings")
-    vec, label = F.col(vec_col).cast("array<double>"), F.col(label_col).cast("long")
+    vec, label = F.col(vec_col).cast("array<double>"), F.col(label_col).cast("string")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), label.alias("label"), vec.alias("vec"))
     finite = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf"))))
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("vec", lambda v: v != 0), F.lit(False))
-    marked = rows.withColumn("good", good).withColumn("h", F.when(F.col("good"), F.xxhash64("vec")))
-    classes = scratch.keep(marked.where("good").groupBy("label", "h").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("vec").alias("vec"), F.first(F.size("vec")).alias("dim")))
+    marked = rows.withColumn("good", good).withColumn("cls", F.when(F.col("good"), F.xxhash64("label", "vec")))
+    classes = scratch.keep(marked.where("good").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first(F.size("vec")).alias("dim")))
     pivots = choose_pivots(classes)
 
-    posted = scratch.keep(classes.select("rep", "label", "dim", "vec").mapInArrow(_postings(pivots), "rep long, label long, dim int, code long, top array<long>"))
-    lists = posted.groupBy("label", "dim", "code").agg(F.count("*").alias("size")).where("size > 1")
+    posted = scratch.keep(classes.select("cls", "label", "dim", "vec").mapInArrow(_postings(pivots), "cls long, label string, dim int, pivot int, nearest array<int>"))
+    lists = posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = posted.join(lists, ["label", "dim", "code"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("rep", "label", "dim", "code", "top", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    placed = posted.join(lists, ["label", "dim", "pivot"]).withColumn("blocks", blocks).withColumn("block", F.pmod("cls", F.col("blocks")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cls", "label", "dim", "pivot", "nearest", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     n = cells.count()
     buckets = max(64, -(-n // BUCKET_ROWS))
-    full = cells.join(classes.select("rep", "vec", "mult"), "rep").withColumn("bucket", F.pmod(F.xxhash64("label", "dim", "code", "lo", "hi"), F.lit(buckets)))
+    full = cells.join(classes.select("cls", "vec", "mult"), "cls").withColumn("bucket", F.pmod(F.xxhash64("label", "dim", "pivot", "lo", "hi"), F.lit(buckets)))
 
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, cut)
 
-    met = scratch.keep(full.groupBy("bucket").applyInArrow(verify, "rep long, links long, root long"))
-    counts = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    roots = connected_components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch).withColumnsRenamed({"node": "rep", "root": "comp"})
-    judged = classes.select("label", "h", "rep", "mult").join(counts, "rep", "left").join(roots, "rep", "left")
-    judged = judged.select("label", "h", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("comp"))
-    out = marked.select("vec_id", "label", "h").join(judged, ["label", "h"], "left")
-    component = F.coalesce("comp", "vec_id")
+    met = scratch.keep(full.groupBy("bucket").applyInArrow(verify, "cls long, links long, root long"))
+    counts = met.groupBy("cls").agg(F.sum("links").alias("links"))
+    roots = connected_components(met.select(F.col("cls").alias("a"), F.col("root").alias("b")), scratch).withColumnsRenamed({"node": "cls", "root": "comp"})
+    joined = classes.select("cls", "rep", "mult").join(counts, "cls", "left").join(roots, "cls", "left")
+    judged = joined.select("cls", "rep", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("n_links"), F.coalesce("comp", "cls").alias("comp"))
+    least = judged.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    out = marked.select("vec_id", "cls").join(judged.join(least, "comp").select("cls", "n_links", "component_id"), "cls", "left")
+    component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
 
 
