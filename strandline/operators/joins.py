@@ -39,14 +39,12 @@ def copy_plan(files: DataFrame, existing: DataFrame, order: list[str], skip_name
     return named.where(F.col("name") != skip_name).join(existing, ["destination", "md5"], "left_anti")
 
 
-def files_by_models(files: DataFrame, models: DataFrame) -> DataFrame:
-    """Every file with every model of a small model list, and the name of the result."""
-    listed = models.select("model_index", "model_name").distinct().limit(10_000)
-    rows = [(r["model_index"], r["model_name"]) for r in listed.collect()]
-    if not rows:
-        return files.select("*", F.lit(0).alias("model_index"), F.lit("").alias("output_name")).where("false")
-    each = F.array(*[F.struct(F.lit(i).alias("model_index"), F.lit(n).alias("model_name")) for i, n in sorted(rows)])
-    return files.withColumn("_m", F.explode(each)).select(*files.columns, F.col("_m.model_index").alias("model_index"), F.concat(F.lit("network_"), F.col("_m.model_name"), F.lit("_"), F.col("file_hash")).alias("output_name"))
+def files_by_models(files: DataFrame, models: DataFrame, parts: int = 8) -> DataFrame:
+    """Every file with every model, and the name of the result. The model list is joined in parts, so neither side is one task's or the driver's."""
+    listed = models.select("model_index", "model_name").distinct().withColumn("_part", F.pmod(F.xxhash64("model_index", "model_name"), F.lit(parts)))
+    each = files.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    named = F.concat(F.lit("network_"), F.col("model_name"), F.lit("_"), F.col("file_hash"))
+    return each.join(listed, "_part").select(*files.columns, "model_index", named.alias("output_name"))
 
 
 def hash_mismatches(given: DataFrame, projections: DataFrame, waived: bool = False) -> DataFrame:
@@ -136,21 +134,46 @@ def hamming(left: str, right: str, words: int = 4):
     return sum((F.bit_count(F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))) for k in range(1, words)), F.bit_count(F.col(f"{left}.s0").bitwiseXOR(F.col(f"{right}.s0"))))
 
 
-def near_signatures(signed: DataFrame, block: str, limit: int) -> DataFrame:
-    """Pairs of a block whose signatures differ in at most limit bits. Blocks are meant to be small; within one all pairs are compared."""
-    a, b = signed.alias("a"), signed.alias("b")
+def signature_distances(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """pairs (left_id, right_id) with hash_distance, the differing bits of their signatures (id, s0 ... s3); null where one is missing."""
+    sides = [signed.select(F.col("id").alias(f"{side}_id"), F.struct("s0", "s1", "s2", "s3").alias(side)) for side in ("left", "right")]
+    return pairs.join(sides[0], "left_id", "left").join(sides[1], "right_id", "left").withColumn("hash_distance", hamming("left", "right").cast("int")).drop("left", "right")
+
+
+#: Signatures of a label that one cell compares with as many others.
+CELL = 2048
+
+
+def near_signatures(signed: DataFrame, block: str, limit: int, cell: int = CELL) -> DataFrame:
+    """Pairs of a label (block) whose signatures differ in at most limit bits.
+
+    Limits of a third of the bits leave no band of bits that near pairs must share, so all pairs of a label are compared; a label of many
+    rows is cut into parts by hash, and each part meets each other one in a cell of its own, so no task gets more than cell^2 pairs.
+    """
+    parts = signed.groupBy(block).agg(F.ceil(F.count("*") / cell).cast("int").alias("_parts"))
+    mine = F.pmod(F.xxhash64("frame_index"), F.col("_parts")).cast("int")
+    placed = signed.join(parts, block).withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    celled = placed.withColumn("_lo", F.least("_mine", "_other")).withColumn("_hi", F.greatest("_mine", "_other")).drop("_parts", "_other")
+    a, b = celled.alias("a"), celled.alias("b")
     far = hamming("a", "b")
-    return a.join(b, (F.col(f"a.{block}") == F.col(f"b.{block}")) & (F.col("a.frame_index") < F.col("b.frame_index")) & (far <= limit)).select(F.col("a.frame_index").alias("left_frame"), F.col("b.frame_index").alias("right_frame"), far.cast("int").alias("distance"))
+    # in a cell of two parts, pairs inside one part belong to that part's own cell
+    once = (F.col("a._lo") == F.col("a._hi")) | (F.col("a._mine") != F.col("b._mine"))
+    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (block, "_lo", "_hi")] + [F.col("a.frame_index") < F.col("b.frame_index"), once, far <= limit])
+    return met.select(F.col("a.frame_index").alias("left_frame"), F.col("b.frame_index").alias("right_frame"), far.cast("int").alias("distance"))
+
+
+# The band around a region's centre, in shares of the box.
+BAND_W, BAND_H = 0.058, 0.098
 
 
 def overlay_points(points: DataFrame, regions: DataFrame, cell: int = 32) -> DataFrame:
     """Points (frame_index, x, y, fg, bg) with the value shown: fg inside any region band of the frame, else bg.
 
-    A band is 0.058 w above and below the centre of the box and 0.098 h beyond both its sides, edges included. Regions are spread over
+    A band is BAND_W w above and below the centre of the box and BAND_H h beyond both its sides, edges included. Regions are spread over
     the cells they touch, so points meet only regions nearby.
     """
     mid = F.col("y") + F.col("h") / 2
-    band = regions.select("frame_index", (F.col("x") - 0.098 * F.col("h")).alias("x0"), (F.col("x") + F.col("w") + 0.098 * F.col("h")).alias("x1"), (mid - 0.058 * F.col("w")).alias("y0"), (mid + 0.058 * F.col("w")).alias("y1"))
+    band = regions.select("frame_index", (F.col("x") - BAND_H * F.col("h")).alias("x0"), (F.col("x") + F.col("w") + BAND_H * F.col("h")).alias("x1"), (mid - BAND_W * F.col("w")).alias("y0"), (mid + BAND_W * F.col("w")).alias("y1"))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     near = band.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1")).withColumnRenamed("frame_index", "f2")
     placed = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))

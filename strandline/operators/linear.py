@@ -84,33 +84,76 @@ def apply_matrix_native(frames: DataFrame, matrix: np.ndarray, vec: str = "vec")
     return frames.withColumn(vec, F.expr(f"transform(array({rows}), r -> aggregate(zip_with(r, {vec}, (a, b) -> a * b), 0D, (s, x) -> s + x))"))
 
 
-def smooth_over_time(frames: DataFrame, window: int = 7, order: int = 3, derivative: int = 0, vec: str = "vec") -> DataFrame:
-    """Polynomial smoothing along frames, position by position; frame numbers must be dense from 0 and at least window.
+#: Frames of a series that one task smooths at once.
+BLOCK = 2048
 
-    The ends use the polynomial of the first and last full window. Each frame goes to the up to 2 window - 1 frames that it feeds, with
-    its weight, so one long series spreads over all tasks.
-    """
-    h = fit_matrix(window, order, derivative)
-    half = window // 2
-    weights = frames.sparkSession.createDataFrame([(i, j, float(h[i, j])) for i in range(window) for j in range(window)], "place int, used int, weight double")
-    n = frames.groupBy("series_id").agg((F.max("frame_index") + 1).alias("_n"))
-    at = F.col("frame_index")
-    fed = frames.join(n, "series_id").where(F.when(F.col("_n") < window, F.raise_error(F.lit("the series is shorter than the window")).cast("boolean")).otherwise(True))
-    fed = fed.withColumn("_to", F.explode(F.sequence(F.greatest(at - window + 1, F.lit(0)), F.least(at + window - 1, F.col("_n") - 1))))
-    start = F.least(F.greatest(F.col("_to") - half, F.lit(0)), F.col("_n") - window)
-    fed = fed.withColumn("_start", start).where((at >= F.col("_start")) & (at < F.col("_start") + window))
-    fed = fed.select("series_id", F.col("_to").alias("_frame"), (F.col("_to") - F.col("_start")).cast("int").alias("place"), (at - F.col("_start")).cast("int").alias("used"), F.col(vec).alias("_vec"))
-    part = fed.join(F.broadcast(weights), ["place", "used"]).select("series_id", F.col("_frame").alias("frame_index"), "weight", F.posexplode("_vec").alias("pos", "v"))
-    summed = part.groupBy("series_id", "frame_index", "pos").agg(F.sum(F.col("weight") * F.col("v")).alias("value"))
-    return summed.groupBy("series_id", "frame_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda i: i["value"]).alias(vec))
+
+def _column_matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """A column of equally long lists, or of numbers, as rows of a matrix."""
+    col = col.combine_chunks()
+    flat = col.flatten() if pa.types.is_list(col.type) else col
+    return np.asarray(flat, np.float64).reshape(len(col), -1)
+
+
+def _with_column(table: pa.Table, name: str, values: np.ndarray, vectors: bool) -> pa.Table:
+    made = pa.array(values.reshape(-1))
+    if vectors:
+        made = pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), made)
+    at = table.schema.get_field_index(name)
+    return table.append_column(name, made) if at < 0 else table.set_column(at, name, made)
 
 
-def smooth_series(frames: DataFrame, window: int = 7, order: int = 3, derivative: int = 0, value: str = "value", out: str = "smoothed") -> DataFrame:
+def _schema_with(frames: DataFrame, name: str, kind: str) -> str:
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frames.schema if f.name != name]
+    at = frames.columns.index(name) if name in frames.columns else len(fields)
+    return ", ".join([*fields[:at], f"`{name}` {kind}", *fields[at:]])
+
+
+def _polynomial(frames: DataFrame, window: int, order: int, derivative: int, column: str, out: str, vectors: bool, short: str, block: int) -> DataFrame:
+    """out: column after a polynomial over window frames, along each series, block by block.
+
+    Each frame goes to its block and, near a border, to the next one, so a long series spreads over all tasks. Inside a block the window is
+    a few scaled additions of whole columns; the ends of a series use the polynomial of the first and last full window.
+    """
+    h, half, reach = fit_matrix(window, order, derivative), window // 2, window - 1
+    at = F.col("frame_index")
+    last = F.floor((at + reach) / block)
+    spread = frames.withColumn("_block", F.explode(F.sequence(F.greatest(F.floor((at - reach) / block), F.lit(0)), last)))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        first = key[1].as_py() * block
+        table = table.sort_by("frame_index")
+        place = np.asarray(table["frame_index"].combine_chunks()).astype(np.int64)
+        own = np.flatnonzero((place >= first) & (place < first + block))
+        low, high = int(place[0]), int(place[-1])
+        # frames are dense, so a series that ends before the reach of this block ends at its last frame here
+        ends = high < first + block - 1 + reach
+        if len(own) and ends and high + 1 < window and short == "error":
+            raise ValueError("the series is shorter than the window")
+        x = _column_matrix(table[column])
+        if not len(own) or ends and high + 1 < window:
+            return _with_column(table.slice(0, 0), out, np.zeros((0, x.shape[1])), vectors).drop_columns(["_block"])
+        middle = place[own] - half
+        start = np.clip(middle, 0, high - window + 1 if ends else None)
+        y = np.zeros((len(own), x.shape[1]))
+        usual = start == middle
+        for k in range(window):
+            y[usual] += h[half, k] * x[start[usual] + k - low]
+        for i in np.flatnonzero(~usual).tolist():
+            y[i] = h[place[own[i]] - start[i]] @ x[start[i] - low : start[i] - low + window]
+        return _with_column(table.take(pa.array(own)), out, y, vectors).drop_columns(["_block"])
+
+    return spread.groupBy("series_id", "_block").applyInArrow(run, _schema_with(frames, out, "array<double>" if vectors else "double"))
+
+
+def smooth_over_time(frames: DataFrame, window: int = 7, order: int = 3, derivative: int = 0, vec: str = "vec", block: int = BLOCK) -> DataFrame:
+    """Polynomial smoothing along frames, position by position; frame numbers must be dense from 0 and at least window (else an error)."""
+    return _polynomial(frames.select("series_id", "frame_index", vec), window, order, derivative, vec, vec, True, "error", block)
+
+
+def smooth_series(frames: DataFrame, window: int = 7, order: int = 3, derivative: int = 0, value: str = "value", out: str = "smoothed", block: int = BLOCK) -> DataFrame:
     """smooth_over_time for a series of scalars; the input stays beside the result. Series shorter than window are left out."""
-    sizes = frames.groupBy("series_id").agg(F.count("*").alias("_c")).where(F.col("_c") >= window).select("series_id")
-    long = frames.join(sizes, "series_id", "left_semi")
-    done = smooth_over_time(long.select("series_id", "frame_index", F.array(F.col(value).cast("double")).alias("vec")), window, order, derivative)
-    return long.join(done.select("series_id", "frame_index", F.col("vec")[0].alias(out)), ["series_id", "frame_index"])
+    return _polynomial(frames.withColumn(value, F.col(value).cast("double")), window, order, derivative, value, out, False, "leave out", block)
 
 
 def derive_series(frames: DataFrame, window: int = 5, order: int = 2, value: str = "value", out: str = "slope") -> DataFrame:

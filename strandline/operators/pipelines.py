@@ -82,15 +82,17 @@ def noise_blend(frames: DataFrame, length: int, alpha: float, amplitude: tuple[f
     return both.withColumn("combined", blend(F.col("a_vec"), F.col("b_vec"), alpha))
 
 
-def projection_blend(latents: DataFrame, frames: DataFrame, length: int, alpha: float, amplitude: tuple[float, float], depth: int, blend_depth: int, factor: int, models: int, roll: bool = False) -> DataFrame:
+def projection_blend(latents: DataFrame, frames: DataFrame, length: int, alpha: float, amplitude: tuple[float, float], depth: int, blend_depth: int, factor: int, models: int, roll: bool = False, shared_signal: bool = False) -> DataFrame:
     """Latents repeated factor times and promoted to depth rows, the first blend_depth rows blended with the spectrum of frames.
 
-    latents: (series_id, frame_index, vec), one row a frame. Frames that either side lacks are left out.
+    latents: (series_id, frame_index, vec), one row a frame. Each series has its own signal, or with shared_signal all have the one series
+    of frames. Frames that either side lacks are left out.
     """
-    spectrum = spectrum_layer(frames, length, amplitude, roll).withColumnRenamed("vec", "b_vec")
+    on = ["frame_index"] if shared_signal else ["series_id", "frame_index"]
+    spectrum = spectrum_layer(frames, length, amplitude, roll).select(*on, F.col("vec").alias("b_vec"))
     repeated = repeat_frames(latents, factor).withColumnRenamed("vec", "a_vec")
-    index = levels_of(reduce_rolling_average(power_series(frames), 3, 3, 2), models)
-    both = repeated.join(spectrum, ["series_id", "frame_index"]).join(index, ["series_id", "frame_index"])
+    index = levels_of(reduce_rolling_average(power_series(frames), 3, 3, 2), models).select(*on, "model_index")
+    both = repeated.join(spectrum.join(index, on), on)
     return both.withColumn("mat", splice_depth(promote(F.col("a_vec"), depth), blend(F.col("a_vec"), F.col("b_vec"), alpha), blend_depth))
 
 
@@ -136,25 +138,41 @@ def sinc_resample(samples: DataFrame, ratio: float, half_width: int = 16, block:
         x = np.zeros(int(pdf["sample_index"].max()) - lo + 1)
         x[pdf["sample_index"].to_numpy() - lo] = pdf["value"].to_numpy()
         centre = at / ratio
-        near = np.floor(centre).astype(np.int64)[:, None] + np.arange(-reach, reach + 1)[None, :]
-        d = (near - centre[:, None]) * cut
-        weight = np.sinc(d) * np.where(np.abs(d) <= half_width, 0.5 + 0.5 * np.cos(np.pi * d / half_width), 0.0)
-        weight /= weight.sum(axis=1, keepdims=True)
-        inside = (near >= lo) & (near < lo + len(x))
-        y = (np.where(inside, x[np.clip(near - lo, 0, len(x) - 1)], 0.0) * weight).sum(axis=1)
+        floor = np.floor(centre).astype(np.int64)
+        # outputs with the same place between two inputs share their weights; of a simple ratio there are few such places
+        part, which = np.unique(np.round(centre - floor, 9), return_inverse=True)
+        steps = np.arange(-reach, reach + 1)
+        padded = np.concatenate([np.zeros(2 * reach + 1), x, np.zeros(2 * reach + 1)])
+        y, total_weight = np.zeros(len(at)), np.zeros(len(part))
+        for k in steps.tolist():
+            d = (k - part) * cut
+            weight = np.sinc(d) * np.where(np.abs(d) <= half_width, 0.5 + 0.5 * np.cos(np.pi * d / half_width), 0.0)
+            total_weight += weight
+            y += weight[which] * padded[np.clip(floor + k - lo + 2 * reach + 1, 0, len(padded) - 1)]
+        y /= total_weight[which]
         return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "sample_index": at, "value": y})
 
     kind = samples.schema["series_id"].dataType.simpleString()
     return fed.groupBy("series_id", "blk").applyInPandas(run, f"series_id {kind}, sample_index long, value double")
 
 
-def scale_audio(samples: DataFrame, sample_rate: float, length: int, fps: float | None = None, count: int | None = None) -> DataFrame:
-    """A signal resampled so that frames of length samples come fps a second, or count in all; exactly one of the two. One series."""
+def scale_audio(samples: DataFrame, sample_rate: float, length: int, fps: float | None = None, count: int | None = None, pad: bool = False) -> DataFrame:
+    """A signal resampled so that frames of length samples come fps a second, or count in all; exactly one of the two. One series.
+
+    With pad zeros follow up to a whole number of frames.
+    """
     if (fps is None) == (count is None):
         raise ValueError("give either a frame rate or a frame count")
     n = samples.agg((F.max("sample_index") + 1).alias("n")).first()["n"]
-    ratio = length * fps / sample_rate if fps is not None else count * length / n
-    return sinc_resample(samples, ratio)
+    # with a frame rate the new rate is a whole number of samples a second
+    ratio = int(round(length * fps, 6)) / sample_rate if fps is not None else count * length / n
+    scaled = sinc_resample(samples, ratio)
+    total = int(n * ratio)
+    if not pad or total % length == 0:
+        return scaled
+    missing = F.sequence(F.lit(total).cast("long"), F.lit(-(-total // length) * length - 1).cast("long"))
+    rest = samples.select("series_id").limit(1).select("series_id", F.explode(missing).alias("sample_index"), F.lit(0.0).alias("value"))
+    return scaled.unionByName(rest)
 
 
 def check_multiple(output_fps: float, projection_fps: float) -> int:

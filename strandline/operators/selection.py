@@ -40,6 +40,16 @@ def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     return rows.withColumn("shuffle_key", portable_hash(F.col(key), seed)).orderBy("shuffle_key", key)
 
 
+def path_sorted(rows: DataFrame, path: str = "path") -> DataFrame:
+    """Rows by path, byte by byte."""
+    return rows.orderBy(path)
+
+
+def distinct_by(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key."""
+    return rows.dropDuplicates(list(keys))
+
+
 def chain(*sources: DataFrame) -> DataFrame:
     """All rows of the sources, copies kept, with source_no in the order given."""
     out = sources[0].withColumn("source_no", F.lit(0))

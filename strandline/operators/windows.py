@@ -1,17 +1,23 @@
 """Rolling and run-length operators over frame order, keyed on (series_id, frame_index).
 
-Each takes an optional block size: then a long series is cut into blocks of so many frames, every frame also goes to the neighbouring
-blocks whose windows reach it, and windows run per block. Without it windows run per series.
+Each takes a block size: a long series is cut into blocks of so many frames, every frame also goes to the neighbouring blocks whose windows
+reach it, and windows run per block. With None windows run per series, for series that are known to be short.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Frames of a series that one window task takes.
+BLOCK = 16_384
+
+
 def with_halo(frames: DataFrame, block: int, before: int, after: int) -> DataFrame:
     """Frames with _block, each also in the blocks within before / after frames of it; _own marks the one that owns it."""
     at = F.col("frame_index")
@@ -20,7 +26,7 @@ def with_halo(frames: DataFrame, block: int, before: int, after: int) -> DataFra
     return spread.withColumn("_own", F.col("_block") == F.floor(at / block))
 
 
-def rolling(frames: DataFrame, before: int, after: int, columns, block: int | None = None) -> DataFrame:
+def rolling(frames: DataFrame, before: int, after: int, columns, block: int | None = BLOCK) -> DataFrame:
     """frames with columns(window) added, window being before .. after rows around each frame; frame numbers must be dense."""
     if block is None:
         over = Window.partitionBy("series_id").orderBy("frame_index").rowsBetween(-before, after)
@@ -34,33 +40,46 @@ def full_window(agg, value: str, over, size: int) -> Column:
     return F.when(F.count(value).over(over) == size, agg(value).over(over))
 
 
-def rolling_mean(frames: DataFrame, size: int = 3, value: str = "value", out: str = "rolled", block: int | None = None) -> DataFrame:
+def rolling_mean(frames: DataFrame, size: int = 3, value: str = "value", out: str = "rolled", block: int | None = BLOCK) -> DataFrame:
     """Trailing mean; where the window isn't full, the mean of the series."""
     means = frames.groupBy("series_id").agg(F.avg(value).alias("_mean"))
     done = rolling(frames, size - 1, 0, lambda w: {out: full_window(F.avg, value, w, size)}, block)
     return done.join(means, "series_id").withColumn(out, F.coalesce(out, "_mean")).drop("_mean")
 
 
-def rolling_sum(frames: DataFrame, size: int, value: str = "value", out: str = "rolled", block: int | None = None) -> DataFrame:
+def rolling_sum(frames: DataFrame, size: int, value: str = "value", out: str = "rolled", block: int | None = BLOCK) -> DataFrame:
     """Trailing sum, null until the window is full."""
     return rolling(frames, size - 1, 0, lambda w: {out: full_window(F.sum, value, w, size)}, block)
 
 
-def rolling_max(frames: DataFrame, share: int = 80, value: str = "value", out: str = "rolled", size: int | None = None, block: int | None = None) -> DataFrame:
+def rolling_max(frames: DataFrame, share: int = 80, value: str = "value", out: str = "rolled", size: int | None = None, block: int | None = BLOCK) -> DataFrame:
     """Centred maximum over int(n / share) frames of an n-frame series (or size frames); size 0 is the value itself.
 
-    With size the windows are row frames, in blocks if asked for. Without it the size differs by series, so each frame is sent to the
-    windows that hold it and the maximum is a grouped aggregate.
+    With size the windows are row frames, in blocks. Without it the size differs by series: a window of s frames that starts in one block
+    of s frames ends in the next, so its maximum is that of the rest of one block and the start of the other. Every frame sends its block's
+    maxima up to it and from it to the windows that they belong to; frame numbers must be dense from 0.
     """
     if size is not None:
         if size == 0:
             return frames.withColumn(out, F.col(value))
         return rolling(frames, size // 2, size - size // 2 - 1, lambda w: {out: F.max(value).over(w)}, block)
-    sizes = frames.groupBy("series_id").agg(F.expr(f"cast(max(frame_index) + 1 as bigint) div {share}").alias("_size"), (F.max("frame_index") + 1).alias("_n"))
-    width = F.greatest("_size", F.lit(1))
-    low, high = F.col("frame_index") - (width - F.expr("greatest(_size, 1) div 2") - 1), F.col("frame_index") + F.expr("greatest(_size, 1) div 2")
-    fed = frames.join(sizes, "series_id").select("series_id", F.explode(F.sequence(F.greatest(low, F.lit(0)), F.least(high, F.col("_n") - 1))).alias("frame_index"), F.col(value).alias("_v"))
-    return frames.join(fed.groupBy("series_id", "frame_index").agg(F.max("_v").alias(out)), ["series_id", "frame_index"])
+    sizes = frames.groupBy("series_id").agg((F.max("frame_index") + 1).cast("long").alias("_n"))
+    sizes = sizes.withColumn("_s", F.greatest(F.expr(f"_n div {share}"), F.lit(1)))
+    at, before = F.col("frame_index"), F.expr("_s div 2")
+    behind = F.col("_s") - before - 1
+    placed = frames.join(sizes, "series_id").withColumn("_block", F.expr("frame_index div _s"))
+    over = Window.partitionBy("series_id", "_block")
+    upto = F.max(value).over(over.orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
+    onward = F.max(value).over(over.orderBy(F.desc("frame_index")).rowsBetween(Window.unboundedPreceding, 0))
+    maxima = placed.withColumns({"_upto": upto, "_onward": onward})
+    # windows cut off at the end of the series end at its last frame; those that start in the last block hold only the rest of it
+    lo, hi = F.col("_n") - behind, F.least(F.col("_n") - 1, F.expr("(_n - 1) div _s * _s") + before)
+    sent = lambda to, v: F.struct(to.cast("long").alias("to"), F.col(v).alias("v"))
+    ends = F.when((at == F.col("_n") - 1) & (lo <= hi), F.transform(F.sequence(lo, hi), lambda t: sent(t, "_upto")))
+    none = F.array().cast(f"array<struct<to:bigint,v:{frames.schema[value].dataType.simpleString()}>>")
+    fed = maxima.select("series_id", "_n", F.explode(F.concat(F.array(sent(at + before, "_onward"), sent(at - behind, "_upto")), F.coalesce(ends, none))).alias("m"))
+    best = fed.where("m.to >= 0 and m.to < _n").groupBy("series_id", F.col("m.to").alias("frame_index")).agg(F.max("m.v").alias(out))
+    return frames.join(best, ["series_id", "frame_index"])
 
 
 def running_total(frames: DataFrame, value: str = "value", out: str = "total", block: int = 4096) -> DataFrame:
@@ -72,7 +91,7 @@ def running_total(frames: DataFrame, value: str = "value", out: str = "total", b
     return blocked.withColumn(out, inside).join(ahead, ["series_id", "_block"]).withColumn(out, F.col(out) + F.col("_ahead")).drop("_block", "_ahead")
 
 
-def run_lengths(frames: DataFrame, flag: str = "flag", out: str = "run_length", block: int | None = None) -> DataFrame:
+def run_lengths(frames: DataFrame, flag: str = "flag", out: str = "run_length", block: int | None = BLOCK) -> DataFrame:
     """Frames with the length of the run of equal flags that each lies in.
 
     With block, runs are counted inside blocks of so many frame numbers and joined where the flag stays the same from one block to the next.
@@ -93,7 +112,7 @@ def run_lengths(frames: DataFrame, flag: str = "flag", out: str = "run_length",
     return runs.join(lengths, [*keys, "_run"]).drop("_changed", "_run", "_block")
 
 
-def keep_long_tracks(frames: DataFrame, least: int, flag: str = "flag", out: str = "kept", block: int | None = None) -> DataFrame:
+def keep_long_tracks(frames: DataFrame, least: int, flag: str = "flag", out: str = "kept", block: int | None = BLOCK) -> DataFrame:
     """out is true where flag is and its run is least frames or longer."""
     return run_lengths(frames, flag, "_length", block).withColumn(out, F.col(flag) & (F.col("_length") >= least)).drop("_length")
 
@@ -121,14 +140,33 @@ def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:
     return [(k, w / total) for k, w in raw]
 
 
-def circular_smooth(frames: DataFrame, sigma: float, vec: str = "vec") -> DataFrame:
+def circular_smooth(frames: DataFrame, sigma: float, vec: str = "vec", block: int = 2048) -> DataFrame:
     """Normal smoothing over frames, wrapped at the ends; frame numbers must be dense from 0.
 
-    Each frame goes to the 2 radius + 1 frames it feeds, weighted, and is summed there position by position.
+    Every frame stands at its number plus any multiple of the series' length; each place goes to the blocks whose kernels reach it, and a
+    block is a few scaled additions of whole columns.
     """
-    kernel = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in gaussian_kernel(sigma)])
-    n = frames.groupBy("series_id").agg((F.max("frame_index") + 1).alias("_n"))
-    fed = frames.join(n, "series_id").withColumn("_f", F.explode(kernel))
-    fed = fed.select("series_id", F.pmod(F.col("frame_index") + F.col("_f.k"), F.col("_n")).alias("frame_index"), F.col("_f.w").alias("_w"), F.posexplode(vec).alias("pos", "_v"))
-    summed = fed.groupBy("series_id", "frame_index", "pos").agg(F.sum(F.col("_w") * F.col("_v")).alias("value"))
-    return summed.groupBy("series_id", "frame_index").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda i: i["value"]).alias(vec))
+    from strandline.operators.linear import _column_matrix, _with_column
+
+    weights = [w for _, w in gaussian_kernel(sigma)]
+    radius = len(weights) // 2
+    n = frames.groupBy("series_id").agg((F.max("frame_index") + 1).cast("long").alias("_n"))
+    at = F.col("frame_index")
+    turns = F.sequence(F.ceil((-radius - at) / F.col("_n")), F.floor((F.col("_n") - 1 + radius - at) / F.col("_n")))
+    placed = frames.select("series_id", "frame_index", vec).join(n, "series_id").withColumn("_turn", F.explode(turns)).withColumn("_at", at + F.col("_turn") * F.col("_n"))
+    first, last = F.greatest(F.floor((F.col("_at") - radius) / block), F.lit(0)), F.least(F.floor((F.col("_at") + radius) / block), F.floor((F.col("_n") - 1) / block))
+    spread = placed.withColumn("_block", F.explode(F.sequence(first, last)))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        place, own = np.asarray(table["_at"].combine_chunks()), np.asarray(table["frame_index"].combine_chunks())
+        mine = np.flatnonzero((place == own) & (own // block == key[1].as_py()))
+        x = _column_matrix(table[vec])
+        start = place[mine] - radius - int(place[0])
+        y = np.zeros((len(mine), x.shape[1]))
+        for k, w in enumerate(weights):
+            y += w * x[start + k]
+        return _with_column(table.take(pa.array(mine)), vec, y, True).select(["series_id", "frame_index", vec])
+
+    kind = {f.name: f.dataType.simpleString() for f in frames.schema}
+    return spread.groupBy("series_id", "_block").applyInArrow(run, f"series_id {kind['series_id']}, frame_index {kind['frame_index']}, {vec} array<double>")

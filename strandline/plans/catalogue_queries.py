@@ -9,7 +9,8 @@ from strandline.operators import aggregates, joins, selection, windows
 from strandline.plans import fixtures as fx
 from strandline.plans.fixtures import with_tables
 from strandline.plans.registry import query
-from strandline.sources import files
+from strandline.sources import files, store
+from strandline.sources.shared import shared_folder
 
 def _hash(key: str, seed: int) -> str:
     first = f"(({key} * 48271 + {seed} * 69621 + 12345) % 2147483647)"
@@ -76,11 +77,10 @@ def w12_numbered(spark, sf):
     return selection.numbered(fx.cat(spark, sf), "dir_no", ["name", "event_id"]).select("event_id", "position")
 
 
-@query(with_tables("cat", "SELECT event_id, dir_no, row_number() OVER (ORDER BY dir_no, ts, name) AS place FROM cat WHERE has_face QUALIFY place <= 200"))
+@query(with_tables("cat", "SELECT event_id, dir_no, ts AS capture_ts FROM cat WHERE has_face ORDER BY dir_no, ts, name"))
 def o1_capture_sorted(spark, sf):
-    """The first 200 matches in capture order, as a top-k report."""
-    top = selection.capture_sorted(fx.cat(spark, sf).where("has_face")).limit(200)
-    return top.agg(F.array_sort(F.collect_list(F.struct("dir_no", "capture_ts", "name", "event_id"))).alias("l")).select(F.posexplode("l").alias("p", "r")).select(F.col("r.event_id").alias("event_id"), F.col("r.dir_no").alias("dir_no"), (F.col("p") + 1).cast("long").alias("place"))
+    """All matches in capture order."""
+    return selection.capture_sorted(fx.cat(spark, sf).where("has_face")).select("event_id", "dir_no", F.col("capture_ts").cast("timestamp_ntz").alias("capture_ts"))
 
 
 @query(with_tables("cat", "SELECT event_id, dir_no, row_number() OVER (ORDER BY dir_no, ts, name, event_id) AS place FROM cat WHERE has_face"))
@@ -91,10 +91,11 @@ def o1_capture_sorted_all(spark, sf):
     return selection.placed(timed, ["dir_no", "capture_ts", "name", "event_id"], hour).select("event_id", "dir_no", "place")
 
 
-@query("SELECT event_id AS number, 'item_' || event_id AS name FROM events ORDER BY event_id DESC LIMIT 100")
+@query("SELECT event_id AS number, 'item_' || event_id AS name FROM events ORDER BY event_id")
 def o2_natural_sort(spark, sf):
+    """All names by their number."""
     named = fx.table(spark, sf, "events").select(S.item_name(F.lit("item"), F.col("event_id")).alias("name"))
-    return named.orderBy(S.trailing_number(F.col("name")).desc()).limit(100).select(S.trailing_number(F.col("name")).cast("long").alias("number"), "name")
+    return store.item_order(named).select(S.trailing_number(F.col("name")).cast("long").alias("number"), "name")
 
 
 @query("SELECT event_id AS number, 'item_' || event_id AS name, row_number() OVER (ORDER BY event_id DESC) AS place FROM events")
@@ -110,9 +111,10 @@ def o4_select_in_tiers(spark, sf):
     return selection.select_in_tiers(fx.cat(spark, sf), 3000).select("event_id", "tier")
 
 
-@query(with_tables("cat", "SELECT event_id, " + _hash("event_id", 11) + " AS shuffle_key FROM cat ORDER BY 2, 1 LIMIT 500"))
+@query(with_tables("cat", "SELECT event_id, " + _hash("event_id", 11) + " AS shuffle_key FROM cat ORDER BY 2, 1"))
 def o5_shuffled(spark, sf):
-    return selection.shuffled(fx.cat(spark, sf), "event_id", 11).limit(500).select("event_id", "shuffle_key")
+    """All rows in shuffled order."""
+    return selection.shuffled(fx.cat(spark, sf), "event_id", 11).select("event_id", "shuffle_key")
 
 
 @query(with_tables("cat", ", k AS (SELECT event_id, " + _hash("event_id", 11) + " AS shuffle_key FROM cat) SELECT event_id, shuffle_key, row_number() OVER (ORDER BY shuffle_key, event_id) AS place FROM k"))
@@ -122,9 +124,10 @@ def o5_shuffled_all(spark, sf):
     return selection.placed(keyed, ["shuffle_key", "event_id"], F.floor(F.col("shuffle_key") / (1 << 20))).select("event_id", "shuffle_key", "place")
 
 
-@query(with_tables("cat", "SELECT dir_no || '/' || name AS path FROM cat ORDER BY 1 LIMIT 300"))
+@query(with_tables("cat", "SELECT dir_no || '/' || name AS path FROM cat ORDER BY 1"))
 def o6_path_sort(spark, sf):
-    return fx.cat(spark, sf).select(F.concat_ws("/", F.col("dir_no").cast("string"), "name").alias("path")).orderBy("path").limit(300)
+    """All paths in binary order."""
+    return selection.path_sorted(fx.cat(spark, sf).select(F.concat_ws("/", F.col("dir_no").cast("string"), "name").alias("path")))
 
 
 @query(with_tables("cat", "SELECT path, row_number() OVER (ORDER BY path) AS place FROM (SELECT dir_no || '/' || name AS path FROM cat)"))
@@ -148,7 +151,7 @@ def u1_chain(spark, sf):
 @query(with_tables("cat", "SELECT DISTINCT name FROM cat"))
 def u2_distinct(spark, sf):
     c = fx.cat(spark, sf)
-    return selection.chain(c, c.where("has_face")).dropDuplicates(["name"]).select("name")
+    return selection.distinct_by(selection.chain(c, c.where("has_face")), "name").select("name")
 
 
 @query(with_tables("cat", TIERS + " SELECT event_id FROM t WHERE tier = 4"))
@@ -184,6 +187,38 @@ def j6_files_by_models(spark, sf):
     return joins.files_by_models(src, names).select("event_id", "model_index", "output_name")
 
 
-@query(with_tables("cat", "SELECT 'tier_summary' AS kind, count(*) AS total, count(*) FILTER (has_face) AS faces FROM cat"))
+@query(with_tables("cat", TIERS + " SELECT CAST(tier AS INTEGER) AS tier, count(*) AS rows_taken FROM t GROUP BY ROLLUP (tier)"))
 def s12_summary(spark, sf):
-    return fx.cat(spark, sf).agg(F.count("*").alias("total"), F.count_if("has_face").alias("faces")).select(F.lit("tier_summary").alias("kind"), "total", "faces")
+    """The summary of all tiers, written to the shared folder and read again."""
+    path = shared_folder(spark, "summary")
+    files.write_summary(aggregates.tier_counts(selection.select_in_tiers(fx.cat(spark, sf), None)), path)
+    return files.read_summary(spark, path)
+
+
+@query("SELECT row_number() OVER (ORDER BY s, k) - 1 AS model_index, path FROM (SELECT 1 AS s, n_nationkey AS k, '/models/' || n_name || '.pkl' AS path FROM nation UNION ALL SELECT 2, r_regionkey, '/listed/' || r_name || '.pkl' FROM region)")
+def s7_model_catalogue(spark, sf):
+    """Given paths, then those of a JSON list in the shared folder."""
+    named = lambda table, key, folder, name: [r[0] for r in fx.table(spark, sf, table).orderBy(key).select(F.concat(F.lit(folder), name, F.lit(".pkl"))).collect()]
+    path = shared_folder(spark, "models")
+    spark.range(1).select(F.to_json(F.array(*map(F.lit, named("region", "r_regionkey", "/listed/", "r_name"))))).write.text(path)
+    return files.model_catalogue(spark, paths=named("nation", "n_nationkey", "/models/", "n_name"), json_path=path).withColumn("model_index", F.col("model_index").cast("long"))
+
+
+def _records(spark, sf):
+    rows = fx.table(spark, sf, "embeddings").select(F.lit("net.pkl").alias("network_path"), F.md5(F.lit("net")).alias("network_hash"), F.concat(F.lit("/img/"), "vec_id").alias("image_path"), F.md5(F.col("vec_id").cast("string")).alias("image_hash"), F.expr("transform(embedding, x -> cast(x as double))").alias("vec"))
+    path = shared_folder(spark, "records")
+    files.write_records(rows, path)
+    return path
+
+
+@query("SELECT '/img/' || vec_id AS image_path, md5(CAST(vec_id AS VARCHAR)) AS image_hash, 'net.pkl' AS network_path, 2 AS version, i AS pos, CAST(embedding[i + 1] AS DOUBLE) AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS i)")
+def s3_read_records(spark, sf):
+    """Records written as JSON lines to the shared folder and read again, every value of every vector."""
+    got = files.read_records(spark, _records(spark, sf), lines=True)
+    return got.select("image_path", "image_hash", "network_path", "version", F.posexplode("vec").alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("SELECT '/img/' || vec_id AS image_path, 2 AS version, len(embedding) AS n FROM embeddings")
+def s4_write_records(spark, sf):
+    """What the written lines hold, read as plain JSON."""
+    return spark.read.json(_records(spark, sf)).select("image_path", F.col("version").cast("int").alias("version"), F.size("vector").cast("long").alias("n"))

@@ -29,19 +29,20 @@ def p1_split_signal(spark, sf):
     return frames.explode_frames(_frames(spark, sf))
 
 
-@query(with_tables("emb", "SELECT series_id, frame_index // 4 AS frame_index, vec[1] AS first FROM emb WHERE frame_index % 4 = 0"))
+@query(with_tables("embx", "SELECT series_id, frame_index // 4 AS frame_index, CAST(pos AS INTEGER) AS pos, v AS value FROM embx WHERE frame_index % 4 = 0"))
 def p2_reduce_rate(spark, sf):
-    return frames.reduce_rate(fx.emb(spark, sf), 60, 15).select("series_id", "frame_index", F.col("vec")[0].alias("first"))
+    return frames.explode_frames(frames.reduce_rate(fx.emb(spark, sf), 60, 15))
 
 
-@query(with_tables("emb", "SELECT frame_index, vec[64] AS last FROM emb WHERE frame_index >= 10 AND frame_index < 200"))
+@query(with_tables("embx", "SELECT series_id, frame_index, CAST(pos AS INTEGER) AS pos, v AS value FROM embx WHERE frame_index >= 10 AND frame_index < 200"))
 def p3_frame_range(spark, sf):
-    return frames.frame_range(fx.emb(spark, sf), 10, 200).select("frame_index", F.col("vec")[63].alias("last"))
+    return frames.explode_frames(frames.frame_range(fx.emb(spark, sf), 10, 200))
 
 
-@query(with_tables("pf", "SELECT projection_id, frame_index, latent[1] AS first FROM pf WHERE frame_index = 5"))
+@query(with_tables("pf", "SELECT projection_id AS series_id, frame_index, CAST(generate_subscripts(latent, 1) - 1 AS INTEGER) AS pos, unnest(latent) AS value FROM pf WHERE frame_index = 5"))
 def p4_frame_lookup(spark, sf):
-    return fx.proj_frames(spark, sf).where("frame_index = 5").select("projection_id", "frame_index", F.col("latent")[0].alias("first"))
+    latents = fx.proj_frames(spark, sf).select(F.col("projection_id").alias("series_id"), "frame_index", F.col("latent").alias("vec"))
+    return frames.explode_frames(frames.frame_range(latents, 5, 6))
 
 
 @query(with_tables("evtx rms", "SELECT 0 AS series_id, frame_index, round(rms, 6) + 0.0 AS rms FROM rms"))

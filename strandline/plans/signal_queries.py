@@ -5,13 +5,15 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from strandline.operators import aggregates, frames, generators, joins, linear, pipelines, windows
+from strandline.operators import aggregates, extension, frames, generators, joins, linear, pipelines, windows
 from strandline.functions import scalar as S
 from strandline.plans import fixtures as fx
 from strandline.plans.catalogue_queries import _hash
 from strandline.plans.fixtures import FRAME, with_tables
 from strandline.plans.frame_queries import _matrix, _over_time, r6
 from strandline.plans.registry import query
+from strandline.sources import store
+from strandline.sources.shared import shared_folder
 
 M = FRAME - 2
 
@@ -63,7 +65,12 @@ def d3_smooth_spectrogram(spark, sf):
     return _long(pipelines.smooth_spectrogram(_evt_frames(spark, sf), FRAME, (-1.0, 1.0)))
 
 
-@query()
+TURNED = f"""{CHAIN}, {POWER}, l3 AS (SELECT frame_index, CASE WHEN hi = lo THEN 0 ELSE round_even((out - lo) / (hi - lo) * 2, 0) END AS v FROM f2, (SELECT min(out) AS lo, max(out) AS hi FROM f2)),
+tu AS (SELECT frame_index, CAST(sum(v) OVER (ORDER BY frame_index) AS BIGINT) AS turn FROM l3),
+d3t AS (SELECT frame_index, (pos - turn % {FRAME} + {FRAME}) % {FRAME} AS pos, v FROM d3 JOIN tu USING (frame_index)), {_matrix('sw', linear.smoothing_matrix(FRAME, 51, 2))}"""
+
+
+@query(f"WITH {TURNED} SELECT frame_index, sw.i AS pos, round(sum(sw.w * v), 6) + 0.0 AS value FROM d3t JOIN sw ON sw.j = d3t.pos GROUP BY 1, 2")
 def d4_rolled_spectrum(spark, sf):
     return _long(pipelines.spectrum_layer(_evt_frames(spark, sf), FRAME, (-1.0, 1.0), True))
 
@@ -81,11 +88,18 @@ def d5_noise_blend(spark, sf):
     return out.select("frame_index", "model_index", F.posexplode("combined").alias("pos", "v")).select("frame_index", "pos", (F.round("v", 5) + 0.0).alias("combined"), "model_index")
 
 
-@query()
+POWER3 = POWER.replace(_matrix("h2", linear.fit_matrix(7, 3)), _matrix("h2", linear.fit_matrix(3, 2))).replace("z.n - 7", "z.n - 3").replace("s.frame_index - 3", "s.frame_index - 1").replace("z.n >= 7", "z.n >= 3")
+
+
+@query(f"""WITH {CHAIN}, {POWER3}, {fx.SQL['pf']}, px AS (SELECT projection_id, 2 * frame_index + r.k AS frame_index, generate_subscripts(latent, 1) - 1 AS pos, unnest(latent) AS a FROM pf, (SELECT unnest([0, 1]) AS k) r)
+SELECT projection_id, px.frame_index, model_index, CAST(dp.i AS INTEGER) AS depth, CAST(px.pos AS INTEGER) AS pos, round(CASE WHEN dp.i < 2 THEN a * 0.75 + d3.v * 0.25 ELSE a END, 5) + 0.0 AS value
+FROM px JOIN d3 ON d3.frame_index = px.frame_index AND d3.pos = px.pos JOIN lv ON lv.frame_index = px.frame_index, (SELECT unnest(range(0, 4)) AS i) dp""")
 def d6_projection_blend(spark, sf):
-    latents = fx.proj_frames(spark, sf).where("projection_id = 0").select(F.lit(0).alias("series_id"), "frame_index", F.col("latent").alias("vec"))
-    out = pipelines.projection_blend(latents, _evt_frames(spark, sf), FRAME, 0.25, (-1.0, 1.0), 4, 2, 2, 4)
-    return out.select("frame_index", "model_index", F.posexplode("mat").alias("depth", "row")).select("frame_index", "model_index", "depth", r6(F.col("row")[0], "first"), r6(F.aggregate("row", F.lit(0.0), lambda a, x: a + x), "total"))
+    """All projections, each blended with the one event signal."""
+    latents = fx.proj_frames(spark, sf).select(F.col("projection_id").alias("series_id"), "frame_index", F.col("latent").alias("vec"))
+    out = pipelines.projection_blend(latents, _evt_frames(spark, sf), FRAME, 0.25, (-1.0, 1.0), 4, 2, 2, 4, shared_signal=True)
+    rows = out.select(F.col("series_id").alias("projection_id"), "frame_index", "model_index", F.posexplode("mat").alias("depth", "row"))
+    return rows.select("projection_id", "frame_index", "model_index", "depth", F.posexplode("row").alias("pos", "v")).select("projection_id", "frame_index", "model_index", "depth", "pos", (F.round("v", 5) + 0.0).alias("value"))
 
 
 @query(with_tables("pr", "SELECT projection_id, 2 AS factor, 2 * projection_frame_count AS output_frames FROM pr WHERE complete"))
@@ -204,9 +218,29 @@ def j11_with_final(spark, sf):
     return joins.with_final(fx.proj_steps(spark, sf), fx.proj_frames(spark, sf), 10).select("projection_id", "frame_index", "step", r6(total("final"), "final_total"), r6(total("latent"), "step_total"))
 
 
-@query(with_tables("pf pr", "SELECT projection_id, frame_index, latent[1] AS first, complete FROM pf JOIN pr USING (projection_id)"))
+@query(with_tables("pf", "SELECT projection_id, frame_index, generate_subscripts(latent, 1) - 1 AS pos, unnest(latent) AS value, projection_id <> 3 AS complete FROM pf"))
 def s5_store_read(spark, sf):
-    return fx.proj_frames(spark, sf).join(fx.projections(spark, sf).select("projection_id", "complete"), "projection_id").select("projection_id", "frame_index", F.col("latent")[0].alias("first"), "complete")
+    """A store in the shared folder, written and read again; projection 3 stays open."""
+    path, projections = shared_folder(spark, "store"), fx.projections(spark, sf)
+    store.begin_store(path, projections)
+    store.add_to_store(path, fx.proj_frames(spark, sf))
+    store.finish_store(spark, path, projections.where("projection_id <> 3"))
+    done = store.read_store(spark, path, "projections").select("projection_id", "complete")
+    rows = store.read_store(spark, path).join(done, "projection_id")
+    return rows.select("projection_id", "frame_index", F.posexplode("latent").alias("pos", "value"), "complete").withColumn("pos", F.col("pos").cast("long"))
+
+
+@query(with_tables("pf ps", "SELECT projection_id, frame_index, CAST(step AS INTEGER) AS step, round(sqrt(sum(v * v)), 6) + 0.0 AS norm FROM psx WHERE step % 2 = 0 GROUP BY ALL"))
+def x4_for_each_step(spark, sf):
+    """A caller's function over every step of every history: the norm of even steps."""
+    norm = lambda projection, frame, step, latent: (projection, frame, step, float(np.sqrt(latent @ latent))) if step % 2 == 0 else None
+    return extension.for_each_step(fx.proj_steps(spark, sf), norm, "projection_id int, frame_index long, step int, norm double").withColumn("norm", F.round("norm", 6) + 0.0)
+
+
+@query(with_tables("embx", "SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY frame_index)), 6) + 0.0 AS value FROM embx"))
+def x5_map_vectors(spark, sf):
+    """A caller's function over every vector: each scaled to length 1."""
+    return _long(extension.map_vectors(fx.emb(spark, sf), lambda x: x / np.sqrt(x @ x)))
 
 
 @query(with_tables("evtu", ", s AS (SELECT series_id, frame_index, CASE WHEN count(value) OVER w = 5 THEN sum(value) OVER w END AS rolled FROM evtu WINDOW w AS (PARTITION BY series_id ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT series_id, frame_index, coalesce(rolled, 1e308) > 250 AS skip FROM s"))
@@ -221,31 +255,41 @@ def p8_first_matching(spark, sf):
     return first_matching(fx.emb(spark, sf).withColumn("ok", F.col("vec")[0] > 0), "ok", True, 25).select("frame_index")
 
 
-DECIDED = NEAREST + """, de AS (SELECT frame_index, frame_index % 7 = 0 AS skip, distance, CAST((a_no * 5 + b_no * 3 + frame_index) % 20 AS INTEGER) AS hd FROM nb),
-dd AS (SELECT frame_index, skip, CASE WHEN NOT skip THEN distance END AS distance, CASE WHEN NOT skip AND distance < 60 THEN hd END AS hash_distance FROM de)"""
+#: The boxes of a pair get signatures of embeddings, picked by frame and box number; the hash distance is theirs.
+DECIDED = NEAREST + SIGNED + """, ne AS (SELECT count(*) AS n FROM embeddings),
+de AS (SELECT nb.frame_index, nb.frame_index % 7 = 0 AS skip, distance, """ + " + ".join(f"bit_count(xor(l.s{k}, r.s{k}))" for k in range(4)) + """ AS hd
+FROM nb CROSS JOIN ne LEFT JOIN sg l ON l.frame_index = (nb.frame_index * 5 + a_no) % n LEFT JOIN sg r ON r.frame_index = (nb.frame_index * 5 + 3 * b_no) % n),
+dd AS (SELECT frame_index, skip, CASE WHEN NOT skip THEN distance END AS distance, CASE WHEN NOT skip AND distance < 60 THEN CAST(hd AS INTEGER) END AS hash_distance FROM de)"""
 
 
 def _decided(spark, sf):
     near = joins.nearest_boxes(fx.box(spark, sf)).withColumn("skip", F.col("frame_index") % 7 == 0)
-    hashes = near.select("frame_index", ((F.col("a_no") * 5 + F.col("b_no") * 3 + F.col("frame_index")) % 20).cast("int").alias("hash_distance"))
-    return joins.overlay_decision(near.select("frame_index", "skip", "distance"), hashes, 60.0, 9)
+    vectors = fx.emb(spark, sf).select("frame_index", "vec")
+    n = vectors.count()
+    pick = F.col("frame_index") * 5
+    pairs = near.select("frame_index", F.pmod(pick + F.col("a_no"), F.lit(n)).alias("left_id"), F.pmod(pick + 3 * F.col("b_no"), F.lit(n)).alias("right_id"))
+    hashes = joins.signature_distances(pairs, joins.signature(vectors).withColumnRenamed("frame_index", "id")).select("frame_index", "hash_distance")
+    return joins.overlay_decision(near.select("frame_index", "skip", "distance"), hashes, 60.0, 30)
 
 
-@query(with_tables("box", DECIDED + " SELECT frame_index, skip, round(distance, 6) + 0.0 AS distance, hash_distance, coalesce(hash_distance <= 9, false) AS overlay FROM dd"))
+@query(with_tables("box embx", DECIDED + " SELECT frame_index, skip, round(distance, 6) + 0.0 AS distance, hash_distance, coalesce(hash_distance <= 30, false) AS overlay FROM dd"))
 def p9_overlay_predicate(spark, sf):
     return _decided(spark, sf).select("frame_index", "skip", r6("distance", "distance"), "hash_distance", "overlay")
 
 
-@query(with_tables("box", DECIDED + ", fl AS (SELECT frame_index // 4096 AS series_id, frame_index, NOT skip AND distance IS NOT NULL AS flag, coalesce(hash_distance <= 9, false) AS overlay FROM dd), g AS (SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY frame_index) - row_number() OVER (PARTITION BY series_id, flag ORDER BY frame_index) AS g FROM fl) SELECT frame_index, overlay, flag AND count(*) OVER (PARTITION BY series_id, flag, g) >= 2 AS kept FROM g"))
+TRACKS = DECIDED + ", fl AS (SELECT frame_index, NOT skip AND distance IS NOT NULL AS flag, coalesce(hash_distance <= 30, false) AS overlay FROM dd), g AS (SELECT *, row_number() OVER (ORDER BY frame_index) - row_number() OVER (PARTITION BY flag ORDER BY frame_index) AS g FROM fl)"
+
+
+@query(with_tables("box embx", TRACKS + " SELECT frame_index, overlay, flag AND count(*) OVER (PARTITION BY flag, g) >= 2 AS kept FROM g"))
 def d10_overlay_tracks(spark, sf):
-    """Overlay decision of each frame, and whether it lies in a track of two or more usable frames; tracks end at every 4096th frame."""
-    d = _decided(spark, sf).withColumn("series_id", F.expr("frame_index div 4096")).withColumn("flag", ~F.col("skip") & F.col("distance").isNotNull())
+    """Overlay decision of each frame, and whether it lies in a track of two or more usable frames of the one sequence."""
+    d = _decided(spark, sf).withColumn("series_id", F.lit(0)).withColumn("flag", ~F.col("skip") & F.col("distance").isNotNull())
     return windows.keep_long_tracks(d, 2).select("frame_index", "overlay", "kept")
 
 
-@query(with_tables("box", DECIDED + ", fl AS (SELECT frame_index, NOT skip AND distance IS NOT NULL AS flag, coalesce(hash_distance <= 9, false) AS overlay FROM dd), g AS (SELECT *, row_number() OVER (ORDER BY frame_index) - row_number() OVER (PARTITION BY flag ORDER BY frame_index) AS g FROM fl) SELECT frame_index, overlay, flag AND count(*) OVER (PARTITION BY flag, g) >= 2 AS kept FROM g"))
+@query(with_tables("box embx", TRACKS + " SELECT frame_index, overlay, flag AND count(*) OVER (PARTITION BY flag, g) >= 2 AS kept FROM g"))
 def d10_overlay_tracks_whole(spark, sf):
-    """d10_overlay_tracks over one sequence: tracks run on from block to block."""
+    """d10_overlay_tracks with smaller blocks: tracks run on from block to block."""
     d = _decided(spark, sf).withColumn("series_id", F.lit(0)).withColumn("flag", ~F.col("skip") & F.col("distance").isNotNull())
     return windows.keep_long_tracks(d, 2, block=4096).select("frame_index", "overlay", "kept")
 
@@ -255,7 +299,10 @@ def d11_resample_lengths(spark, sf):
     return pipelines.sinc_resample(fx.line(spark, sf), 1.5).groupBy("series_id").agg(F.count("*").alias("samples"))
 
 
-@query()
+@query(with_tables("line", """, k AS (SELECT unnest(range(-32, 33)) AS k), kw AS (SELECT k, CASE WHEN k = 0 THEN 1.0 ELSE sin(pi() * k * 0.5) / (pi() * k * 0.5) END * (0.5 + 0.5 * cos(pi() * k * 0.5 / 16)) AS w FROM k),
+e AS (SELECT series_id, max(sample_index) + 1 AS n FROM line GROUP BY 1)
+SELECT l.series_id, (l.sample_index - k) // 2 AS sample_index, round(sum(l.value * w) / (SELECT sum(w) FROM kw), 6) + 0.0 AS value FROM line l, kw JOIN e ON e.series_id = l.series_id
+WHERE (l.sample_index - k) % 2 = 0 AND l.sample_index - k >= 0 AND (l.sample_index - k) // 2 < n // 2 GROUP BY 1, 2"""))
 def d11_sinc_resample(spark, sf):
     return pipelines.sinc_resample(fx.line(spark, sf), 0.5).select("series_id", "sample_index", r6("value", "value"))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import wave
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +36,19 @@ def copy_manifest(rows: DataFrame, directory: str, path: str = "path") -> DataFr
     return rows.withColumn("destination", F.concat(F.lit(directory.rstrip("/") + "/"), base_name(F.col(path))))
 
 
+def write_summary(counts: DataFrame, path: str) -> None:
+    """Totals by tier (rows of tier, rows_taken; the tier is null in the row for all) as one JSON record: total and one count a tier."""
+    tiers = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("tier").isNotNull(), F.struct(F.concat(F.lit("tier_"), "tier"), "rows_taken")))))
+    counts.agg(F.max(F.when(F.col("tier").isNull(), F.col("rows_taken"))).alias("total"), tiers.alias("tiers")).write.mode("overwrite").json(path)
+
+
+def read_summary(spark: SparkSession, path: str) -> DataFrame:
+    """(tier, rows_taken) of a summary, the total with a null tier."""
+    raw = spark.read.schema("total long, tiers map<string, long>").json(path)
+    each = raw.select(F.explode("tiers").alias("tier", "rows_taken")).select(F.regexp_extract("tier", r"(\d+)$", 1).cast("int").alias("tier"), "rows_taken")
+    return each.unionByName(raw.select(F.lit(None).cast("int").alias("tier"), F.col("total").alias("rows_taken")))
+
+
 def with_boxes(rows: DataFrame, boxes: str = "bounding_boxes") -> DataFrame:
     """Rows with at least one box; a null list was never scanned and doesn't count."""
     return rows.where(F.size(boxes) > 0)
@@ -64,52 +76,93 @@ def broken_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
     return found.where("image.height < 0").select(F.col("image.origin").alias("path"))
 
 
-def read_wavs(spark: SparkSession, path: str, pattern: str = "*.wav", block: int = BLOCK_SAMPLES) -> DataFrame:
-    """(path, sample_rate, channels, block, samples): PCM audio scaled to -1 .. 1, channels averaged, in blocks of block samples.
+def wav_layout(content: bytes, name: str) -> tuple[str, int, int, int, int]:
+    """(kind, channels, sample rate, begin, end) of the samples of a WAV file; kinds are numpy's. Anything but PCM and 32-bit floats is an error."""
+    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+        raise ValueError(f"{name}: not a WAV file")
+    at, form = 12, None
+    while at + 8 <= len(content):
+        kind, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+        if kind == b"fmt ":
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
+            # an extensible header names the real format in its first two bytes further on
+            form = (struct.unpack_from("<H", content, at + 32)[0] if tag == 0xFFFE and size >= 26 else tag, bits, channels, rate)
+        elif kind == b"data" and form:
+            if form[:2] not in SAMPLE_KINDS:
+                raise ValueError(f"{name}: {form[1]}-bit samples of format {form[0]} aren't supported")
+            whole = min(size, len(content) - at - 8) // (form[1] // 8 * form[2]) * (form[1] // 8 * form[2])
+            return SAMPLE_KINDS[form[:2]][0], form[2], form[3], at + 8, at + 8 + whole
+        at += 8 + size + size % 2
+    raise ValueError(f"{name}: no samples")
+
 
-    8-bit files are unsigned; 16- and 32-bit ones signed. A file is read by one task.
+#: By format tag (1 PCM, 3 float) and bits: numpy's kind and the range that becomes -1 .. 1; floats stay as they are.
+SAMPLE_KINDS = {(1, 8): ("u1", 0.0, 255.0), (1, 16): ("<i2", -32768.0, 32767.0), (1, 32): ("<i4", -2147483648.0, 2147483647.0), (3, 32): ("<f4", -1.0, 1.0)}
+
+
+def read_wavs(spark: SparkSession, path: str | list[str], pattern: str = "*.wav", block: int = BLOCK_SAMPLES) -> DataFrame:
+    """(path, sample_rate, channels, block, samples): audio as -1 .. 1, channels averaged, in blocks of block samples.
+
+    8-bit files are unsigned, 16- and 32-bit ones signed or, with 32 bits, floats that are passed on. A file is read by one task.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kinds = {1: ("u1", 0.0, 255.0), 2: ("<i2", -32768.0, 32767.0), 4: ("<i4", -2147483648.0, 2147483647.0)}
+        ranges = {kind: (lo, hi) for kind, lo, hi in SAMPLE_KINDS.values()}
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with wave.open(io.BytesIO(content)) as f:
-                    rate, channels, width = f.getframerate(), f.getnchannels(), f.getsampwidth()
-                    if width not in kinds:
-                        raise ValueError(f"{name}: {8 * width}-bit samples aren't supported")
-                    kind, lo, hi = kinds[width]
-                    first = 0
-                    while raw := f.readframes(block):
-                        x = np.frombuffer(raw, kind).astype(np.float64).reshape(-1, channels)
-                        y = ((x - lo) / (hi - lo) * 2 - 1).mean(axis=1)
-                        yield pd.DataFrame({"path": [name], "sample_rate": [rate], "channels": [channels], "block": [first], "samples": [y]})
-                        first += 1
+                kind, channels, rate, begin, end = wav_layout(content, name)
+                x = np.frombuffer(content, kind, (end - begin) // np.dtype(kind).itemsize, begin).reshape(-1, channels)
+                lo, hi = ranges[kind]
+                for first in range(0, len(x), block):
+                    part = x[first : first + block].astype(np.float64)
+                    y = (part if kind == "<f4" else (part - lo) / (hi - lo) * 2 - 1).mean(axis=1)
+                    yield pd.DataFrame({"path": [name], "sample_rate": [rate], "channels": [channels], "block": [first // block], "samples": [y]})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
     return files.select("path", "content").mapInPandas(decode, "path string, sample_rate int, channels int, block long, samples array<double>")
 
 
-def joined_signal(wavs: DataFrame, block: int = BLOCK_SAMPLES) -> DataFrame:
-    """(series_id 0, sample_index, value, sample_rate): all files one after another in path order. More than one rate is an error."""
-    sizes = wavs.groupBy("path", "sample_rate").agg(F.sum(F.size("samples")).alias("n"))
-    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("path", "start")
+def load_signal(spark: SparkSession, paths: list[str], length: int, fps: float | None = None, count: int | None = None, pad: bool = True) -> DataFrame:
+    """(series_id 0, sample_index, value, sample_rate): files joined in the order given, resampled to fps or count frames, padded to whole frames.
+
+    sample_rate stays that of the files; more than one rate is an error.
+    """
+    from strandline.operators.pipelines import scale_audio
+
+    if (fps is None) == (count is None):
+        raise ValueError("give either a frame rate or a frame count")
+    wavs = [read_wavs(spark, p).withColumn("file_no", F.lit(i)) for i, p in enumerate(paths)]
+    both = wavs[0]
+    for w in wavs[1:]:
+        both = both.unionByName(w)
+    signal = joined_signal(both, order="file_no")
+    rate = signal.select("sample_rate").first()["sample_rate"]
+    return scale_audio(signal.drop("sample_rate"), rate, length, fps, count, pad).withColumn("sample_rate", F.lit(rate))
+
+
+def joined_signal(wavs: DataFrame, block: int = BLOCK_SAMPLES, order: str = "path") -> DataFrame:
+    """(series_id 0, sample_index, value, sample_rate): all files one after another in path order, or by another column. More than one rate is an error.
+
+    The files' lengths are added up in one task: one row a file.
+    """
+    sizes = wavs.groupBy(order, "sample_rate").agg(F.sum(F.size("samples")).alias("n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(order, "start")
     rates = [r["sample_rate"] for r in sizes.select("sample_rate").distinct().limit(2).collect()]
     if len(rates) > 1:
         raise ValueError(f"files of different sample rates: {sorted(rates)}")
-    placed = wavs.join(starts, "path").select("sample_rate", "start", "block", F.posexplode("samples").alias("at", "value"))
+    placed = wavs.join(starts, order).select("sample_rate", "start", "block", F.posexplode("samples").alias("at", "value"))
     return placed.select(F.lit(0).alias("series_id"), (F.col("start") + F.col("block") * block + F.col("at")).alias("sample_index"), "value", "sample_rate")
 
 
 RECORD_FIELDS = ["network_path", "network_hash", "image_path", "image_hash"]
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """JSON records of versions 0, 1 and 2 (one a file): the four names, version and vec.
+def read_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON records of versions 0, 1 and 2 (one a file, or one a line): the four names, version and vec.
 
     No version is 0; below 2 the network names are model_path and model_hash; version 0 holds the vector inside another list.
     """
-    raw = spark.read.text(path, wholetext=True).withColumn("_file", F.input_file_name())
+    raw = spark.read.text(path, wholetext=not lines)
     get = lambda name: F.get_json_object("value", f"$.{name}")
     version = F.coalesce(get("version").cast("int"), F.lit(0))
     vec = F.when(version == 0, F.element_at(F.from_json(get("vector"), "array<array<double>>"), 1)).otherwise(F.from_json(get("vector"), "array<double>"))
@@ -122,7 +175,10 @@ def write_records(frames: DataFrame, path: str) -> None:
 
 
 def model_catalogue(spark: SparkSession, directory: str | None = None, paths: list[str] | None = None, json_path: str | None = None, pattern: str = "*.pkl") -> DataFrame:
-    """(model_index, path): the directory's entries by name, then the paths given, then those of a JSON list; copies stay. None at all is an error."""
+    """(model_index, path): the directory's entries by name, then the paths given, then those of a JSON list; copies stay. None at all is an error.
+
+    Models are few, so one task numbers them.
+    """
     parts = []
     if directory:
         parts.append(listing(spark, directory, pattern).select(F.lit(0).alias("source_no"), F.lit(0).alias("at"), "path"))

@@ -5,20 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Names of attributes in stores of version 1, and what they are now.
+RENAMED = {"model_md5_hash": "network_md5_hash", "original_model_path": "original_network_path"}
 
-def write_store(path: str, projections: DataFrame, frames: DataFrame, steps: DataFrame | None = None) -> None:
-    """Frames and histories first, partitioned by projection; the attributes, which say complete, last."""
-    frames.write.mode("overwrite").partitionBy("projection_id").parquet(f"{path}/frames")
+
+def begin_store(path: str, projections: DataFrame) -> None:
+    """The attributes with complete false: what a reader sees until finish_store()."""
+    projections.withColumn("complete", F.lit(False)).write.mode("overwrite").parquet(f"{path}/projections/state=open")
+
+
+def add_to_store(path: str, frames: DataFrame, steps: DataFrame | None = None) -> None:
+    """Frames, and histories if there are any, partitioned by projection."""
+    frames.write.mode("append").partitionBy("projection_id").parquet(f"{path}/frames")
     if steps is not None:
-        steps.write.mode("overwrite").partitionBy("projection_id").parquet(f"{path}/steps")
-    projections.withColumn("complete", F.lit(True)).write.mode("overwrite").parquet(f"{path}/projections")
+        steps.write.mode("append").partitionBy("projection_id").parquet(f"{path}/steps")
+
+
+def finish_store(spark: SparkSession, path: str, only: DataFrame | None = None) -> None:
+    """complete becomes true for all projections, or for those in only (projection_id); the frames must be written."""
+    done = spark.read.parquet(f"{path}/projections/state=open").withColumn("complete", F.lit(True))
+    if only is not None:
+        done = done.join(only.select("projection_id").distinct(), "projection_id", "left_semi")
+    done.write.mode("overwrite").parquet(f"{path}/projections/state=done")
+
+
+def write_store(path: str, projections: DataFrame, frames: DataFrame, steps: DataFrame | None = None) -> None:
+    """The whole sequence: open, frames and histories, done. A write that breaks off leaves projections that aren't complete."""
+    begin_store(path, projections)
+    add_to_store(path, frames, steps)
+    finish_store(projections.sparkSession, path)
 
 
 def read_store(spark: SparkSession, path: str, part: str = "frames") -> DataFrame:
-    """One of projections, frames and steps; only the columns and projections asked for are read."""
-    return spark.read.parquet(f"{path}/{part}")
+    """One of projections, frames and steps; only the columns and projections asked for are read.
+
+    Of projections, one row each: complete is true once the write was finished. Attributes of version 1 get their present names.
+    """
+    found = spark.read.parquet(f"{path}/{part}")
+    if part != "projections":
+        return found
+    found = found.withColumnsRenamed({k: v for k, v in RENAMED.items() if k in found.columns and v not in found.columns})
+    kept = [c for c in found.columns if c not in ("state", "projection_id")]
+    best = found.groupBy("projection_id").agg(F.max_by(F.struct(*kept), F.col("complete").cast("int")).alias("p"))
+    return best.select("projection_id", "p.*")
 
 
 def item_order(items: DataFrame, name: str = "name") -> DataFrame:
     """Items by the number behind their last underscore."""
-    return items.orderBy(F.regexp_extract(name, r"_(\d+)$", 1).cast("int"))
+    return items.orderBy(F.regexp_extract(name, r"_(\d+)$", 1).cast("long"))

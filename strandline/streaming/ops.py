@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from strandline.operators.joins import score_in_chunks
+
 
 def frame_source(spark: SparkSession, path: str, schema: StructType | str, files_per_batch: int = 4) -> DataFrame:
     """A stream of the Parquet files below path, at most files_per_batch in each micro-batch."""
@@ -19,7 +22,7 @@ def frame_source(spark: SparkSession, path: str, schema: StructType | str, files
 
 
 def forward(stream: DataFrame, first: Callable[[DataFrame], None], derived: Callable[[DataFrame], None]) -> DataStreamWriter:
-    """Each micro-batch goes to both sinks and is computed once."""
+    """Each micro-batch goes to both sinks and is computed once. run_forward() also makes an empty source an error."""
 
     def both(batch: DataFrame, _: int) -> None:
         batch.persist(StorageLevel.MEMORY_AND_DISK)
@@ -32,19 +35,22 @@ def forward(stream: DataFrame, first: Callable[[DataFrame], None], derived: Call
     return stream.writeStream.foreachBatch(both)
 
 
+def run_forward(stream: DataFrame, first: Callable[[DataFrame], None], derived: Callable[[DataFrame], None], checkpoint: str) -> int:
+    """forward() over all that the source holds now; the number of rows passed on. A source without any row is an error."""
+    query = forward(stream, first, derived).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = sum(p["numInputRows"] for p in query.recentProgress)
+    if not rows:
+        raise ValueError("the source is empty")
+    return rows
+
+
 def tee(frames: DataFrame, copies: int) -> list[DataFrame]:
     """1 + copies DataFrames over one spilled result; the caller unpersists the first when done."""
     kept = frames.persist(StorageLevel.DISK_ONLY)
     return [kept, *(kept.select("*") for _ in range(copies))]
 
 
-def require_rows(frames: DataFrame) -> DataFrame:
-    """frames, or an error if there is none."""
-    if frames.isEmpty():
-        raise ValueError("the source is empty")
-    return frames
-
-
 def windowed_rms(stream: DataFrame, window: str, late: str, ts: str = "ts", value: str = "value") -> DataFrame:
     """Root mean square by tumbling event-time window; rows later than the watermark are dropped."""
     timed = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
@@ -71,10 +77,10 @@ def run_lengths(stream: DataFrame, key: str = "series_id") -> DataFrame:
     return stream.select(key, "frame_index", "flag").groupBy(key).applyInPandasWithState(step, f"{key} long, frame_index long, run_length long", "length long", "append", GroupStateTimeout.NoTimeout)
 
 
-def score_stream(stream: DataFrame, score: Callable[[DataFrame], DataFrame], path: str) -> DataStreamWriter:
-    """Each micro-batch scored, frames grouped by model inside it, and appended to path."""
+def score_stream(stream: DataFrame, load: Callable[[int], Callable[[np.ndarray], np.ndarray]], path: str, salts: int = 8) -> DataStreamWriter:
+    """Each micro-batch scored by score_in_chunks(), frames grouped by model inside it, and appended to path."""
 
     def run(batch: DataFrame, _: int) -> None:
-        score(batch).write.mode("append").parquet(path)
+        score_in_chunks(batch, load, salts).write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(run)

@@ -39,6 +39,40 @@ def test_wav_blocks(spark, tmp_path):
         files.joined_signal(files.read_wavs(spark, str(tmp_path)))
 
 
+def float_wav(path, samples, rate=8000, extensible=False):
+    raw = np.asarray(samples, "<f4").tobytes()
+    tag = struct.pack("<HHIIHH", 0xFFFE if extensible else 3, 1, rate, 4 * rate, 4, 32)
+    form = tag + (struct.pack("<HHIH", 22, 32, 4, 3) + b"\0" * 14 if extensible else b"")
+    body = b"WAVEfmt " + struct.pack("<I", len(form)) + form + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(raw)) + raw
+    path.write_bytes(b"RIFF" + struct.pack("<I", len(body)) + body)
+
+
+def test_float_wav_passes_through(spark, tmp_path):
+    float_wav(tmp_path / "a.wav", [0.5, -0.25, 1.5])
+    float_wav(tmp_path / "b.wav", [0.125], extensible=True)
+    got = {r["path"][-5]: r["samples"] for r in files.read_wavs(spark, str(tmp_path)).collect()}
+    assert got == {"a": [0.5, -0.25, 1.5], "b": [0.125]}
+    (tmp_path / "c.wav").write_bytes(b"RIFFxxxxWAVEjunk")
+    with pytest.raises(Exception, match="no samples"):
+        files.read_wavs(spark, str(tmp_path), "c.wav").collect()
+
+
+def test_load_signal(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x, y = rng.integers(-9000, 9000, 500), rng.integers(-9000, 9000, 300)
+    wav(tmp_path / "z.wav", x), wav(tmp_path / "a.wav", y)
+    paths = [str(tmp_path / "z.wav"), str(tmp_path / "a.wav")]
+    got = files.load_signal(spark, paths, 64, count=25).orderBy("sample_index").toPandas()
+    whole = (np.concatenate([x, y]) + 32768.0) / 65535 * 2 - 1
+    assert len(got) == 1600 and set(got["sample_rate"]) == {8000} and np.allclose(got["value"][0:1600:2], whole, atol=1e-9)
+    slow = files.load_signal(spark, paths, 64, fps=30).orderBy("sample_index").toPandas()
+    assert len(slow) == -(-int(800 * 1920 / 8000) // 64) * 64 and (slow["value"][192:] == 0).all()
+    assert files.load_signal(spark, paths, 64, fps=30, pad=False).count() == 192
+    for wrong in ({}, {"fps": 1, "count": 1}):
+        with pytest.raises(ValueError):
+            files.load_signal(spark, paths, 64, **wrong)
+
+
 def test_records(spark, tmp_path):
     (tmp_path / "0.json").write_text(json.dumps({"model_path": "m", "model_hash": "h", "image_path": "i", "image_hash": "j", "vector": [[1.0, 2.0]]}))
     (tmp_path / "1.json").write_text(json.dumps({"version": 1, "model_path": "m1", "model_hash": "h", "image_path": "i", "image_hash": "j", "vector": [3.0]}))
@@ -78,5 +112,11 @@ def test_store(spark, tmp_path):
     store.write_store(str(tmp_path / "s"), attributes, frames, frames.withColumn("step", F.lit(0)))
     assert store.read_store(spark, str(tmp_path / "s")).where("projection_id = 1 and frame_index = 2").first()["latent"] == [5.0]
     assert all(r["complete"] for r in store.read_store(spark, str(tmp_path / "s"), "projections").collect())
+    open_one = str(tmp_path / "open")
+    store.begin_store(open_one, attributes.withColumn("model_md5_hash", F.lit("h")))
+    store.add_to_store(open_one, frames)
+    assert {(r["complete"], r["network_md5_hash"]) for r in store.read_store(spark, open_one, "projections").collect()} == {(False, "h")}
+    store.finish_store(spark, open_one, attributes.where("projection_id = 1"))
+    assert {r["projection_id"]: r["complete"] for r in store.read_store(spark, open_one, "projections").collect()} == {0: False, 1: True}
     names = spark.createDataFrame([("x_10",), ("x_9",)], "name string")
     assert [r["name"] for r in store.item_order(names).collect()] == ["x_9", "x_10"]

@@ -1,9 +1,10 @@
 """Stream forms give what the batch forms give."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import windows
+from strandline.operators import joins, windows
 from strandline.streaming import ops
 
 
@@ -50,9 +51,28 @@ def test_forward_tee_and_score(spark, tmp_path):
     a, b = str(tmp_path / "a"), str(tmp_path / "b")
     drain(ops.forward(stream, lambda d: d.write.mode("append").parquet(a), lambda d: d.where("flag").write.mode("append").parquet(b)), str(tmp_path / "c"))
     assert spark.read.parquet(a).count() == 120 and spark.read.parquet(b).count() == src.where("flag").count()
-    drain(ops.score_stream(stream, lambda d: d.withColumn("score", F.col("frame_index") * 2), str(tmp_path / "s")), str(tmp_path / "c2"))
-    assert spark.read.parquet(str(tmp_path / "s")).agg(F.sum("score")).first()[0] == src.agg(F.sum("frame_index") * 2).first()[0]
     for n in (1, 3):
         copies = ops.tee(src, n)
         assert len(copies) == n + 1 and all(c.exceptAll(src).count() == 0 for c in copies)
         copies[0].unpersist()
+
+
+def test_an_empty_source_is_an_error(spark, tmp_path):
+    src = flags(spark)
+    write_parts(src, str(tmp_path / "in"), [(0, 20), (20, 40)])
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    sinks = (lambda d: d.write.mode("append").parquet(a), lambda d: d.write.mode("append").parquet(b))
+    assert ops.run_forward(ops.frame_source(spark, str(tmp_path / "in"), src.schema, 1), *sinks, str(tmp_path / "c")) == 120
+    assert spark.read.parquet(a).count() == spark.read.parquet(b).count() == 120
+    src.where("false").write.parquet(str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="empty"):
+        ops.run_forward(ops.frame_source(spark, str(tmp_path / "none"), src.schema, 1), *sinks, str(tmp_path / "c2"))
+
+
+def test_scoring_a_stream_is_scoring_in_chunks(spark, tmp_path):
+    src = spark.range(60).select(F.lit(0).alias("series_id"), F.col("id").alias("frame_index"), (F.col("id") % 3).cast("int").alias("model_index"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("vec"))
+    write_parts(src, str(tmp_path / "in"), [(0, 25), (25, 60)])
+    load = lambda m: lambda x: x @ np.array([[m + 1.0, 2.0], [0.5, m]])
+    drain(ops.score_stream(ops.frame_source(spark, str(tmp_path / "in"), src.schema, 1), load, str(tmp_path / "s")), str(tmp_path / "c"))
+    want = sorted(map(str, joins.score_in_chunks(src, load).collect()))
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "s")).select("series_id", "frame_index", "model_index", "scores").collect())) == want
