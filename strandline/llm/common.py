@@ -19,16 +19,31 @@ LETTER = r"\p{L}"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; an own one only where that is unset (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, an own one, and only for a local master."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = tempfile.mkdtemp(prefix="strandline-")
     return _OWN_ROOT[app]
 
 
+#: Texts of one Arrow batch; Spark's default of 10,000 has no bound in bytes, and one batch stands in the JVM and in Python at once.
+TEXT_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(docs: DataFrame) -> DataFrame:
+    """docs, with this session's Arrow batches lowered to TEXT_ROWS rows (a lower setting stays); for operators that send texts to Python."""
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_ROWS)) <= TEXT_ROWS:
+        conf.set(_BATCH_ROWS, TEXT_ROWS)
+    return docs
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage: they survive the loss of any executor."""
 

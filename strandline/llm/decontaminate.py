@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, text_batches
 
 Q, EDIT_RATE = 10, 0.08
 #: Items are sent to the executors in blocks of about so many bytes of text; a larger benchmark takes several passes over the documents.
@@ -283,7 +283,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kind = benchmark.select(item).schema[0].dataType.simpleString()
     if kind not in ("bigint", "int", "string"):
         item, kind = item.cast("string"), "string"
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(f"array<struct<item:{kind},edits:bigint>>").alias("found"))
+    rows = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(f"array<struct<item:{kind},edits:bigint>>").alias("found"))
     scratch, last = Scratch(docs.sparkSession, "contamination"), None
     for block in item_blocks(benchmark.select(item.alias(item_col), F.col(item_text_col).alias("_t")), item_col, "_t", block_bytes):
         if last is not None:
@@ -303,7 +303,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     Null and empty texts stay, null ids and repeated rows are judged like any other; only texts go to Python.
     """
-    out, scratch, before = docs, Scratch(docs.sparkSession, "clean"), None
+    out, scratch, before = text_batches(docs), Scratch(docs.sparkSession, "clean"), None
     for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
         if k:
             kept = scratch.keep(out)

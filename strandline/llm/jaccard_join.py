@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, connected_components, mix64
+from strandline.llm.common import Scratch, connected_components, mix64, text_batches
 from strandline.llm.shingles import set_prints, shingle_sets, sort_each, text_slices
 
 SIZE, PERCENT = 5, 80
@@ -93,7 +93,7 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
     """Rows of documents (doc_id, n, cls) and packed postings (bucket, hot, blob) from one pass over the texts."""
 
     def postings(ids: pa.Array, marks: np.ndarray, bounds: np.ndarray, cls: np.ndarray, seen: set[int]) -> np.ndarray:
-        """Of the sets that this batch hasn't shown before."""
+        """Of the sets that this task hasn't shown lately."""
         _, at = np.unique(cls, return_index=True)
         fresh = np.zeros(len(cls), bool)
         fresh[[i for i in at.tolist() if int(cls[i]) not in seen]] = True
@@ -121,8 +121,8 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
             yield _rows(id_type, bucket=first[i : i + 64] // 2, hot=first[i : i + 64] % 2 == 1, blob=blobs)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, seen = [], set()
         for batch in batches:
-            found, seen = [], set()
             for ids, flat, offsets in text_slices(batch.column(0), batch.column(1)):
                 marks, bounds = shingle_sets(flat, offsets, size)
                 cls = set_prints(marks, bounds)
@@ -135,8 +135,10 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
                 if sum(map(len, found)) > SEND:
                     yield from dealt(found)
                     found = []
-            if found:
-                yield from dealt(found)
+                if len(seen) > SEND:
+                    seen = set()
+        if found:
+            yield from dealt(found)
 
     return docs.select("doc_id", "text").mapInArrow(deal, _schema(id_type)[0])
 
@@ -283,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """jaccard_components() with cls, the fingerprint of each row's set, and comp, a name that no other component has."""
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = picked.schema["doc_id"].dataType.simpleString()
     scratch = Scratch(spark, "jaccard")
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LETTER, crc_mod
+from strandline.llm.common import LETTER, crc_mod, text_batches
 
 #: Language families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", te
             got = [model.predict(t.as_py()) if ok.as_py() and model else ("und", 0.0) for t, ok in zip(batch.column(1), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("has_letter"))
+    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("has_letter"))
     return picked.mapInArrow(judge, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
@@ -256,4 +256,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def known(texts: pa.Array) -> pa.Array:
         return pa.array([t.is_valid and bool(model) and model.predict(t.as_py())[1] >= min_score for t in texts], pa.bool_())
 
-    return docs.where(F.col(text_col).rlike(LETTER)).where(known(F.col(text_col)))
+    return text_batches(docs).where(F.col(text_col).rlike(LETTER)).where(known(F.col(text_col)))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, crc_mod, mix64
+from strandline.llm.common import Scratch, crc_mod, mix64, text_batches
 from strandline.llm.shingles import text_slices, words
 
 #: Fixed marks of the two tokens that aren't words.
@@ -44,8 +44,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each chunk: ids and training flags of its texts, tokens a text, distinct words, and each token's number among them."""
     # a partition reads the same rows at every attempt, so partition and place name a chunk
     names = count(TaskContext.get().partitionId() << 32)
+    parts, waiting = [], 0
     for batch in batches:
-        parts, waiting = [], 0
         keys = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], ["doc_id", "train"])
         for rows, flat, offsets in text_slices(keys, batch.column(2)):
             mark, text = words(flat, offsets)
@@ -55,8 +55,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if waiting > CHUNK_TOKENS:
                 yield _chunk(parts, next(names))
                 parts, waiting = [], 0
-        if parts:
-            yield _chunk(parts, next(names))
+    if parts:
+        yield _chunk(parts, next(names))
 
 
 def _chunk(parts: list, name: int) -> pa.RecordBatch:
@@ -138,7 +138,7 @@ def _totals(asked: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def _tell(key: tuple, table: pa.Table) -> pa.Table:
-    """Answers of one bucket, and one row for chunk -1 with its training tokens and distinct training words."""
+    """Answers of one bucket, and one row below zero, under a key of its own, with its training tokens and distinct training words."""
     word_marks = [_swell(x.as_py(), "<u8") for x in table["words"]]
     pair_marks = []
     for x in table["pairs"]:
@@ -152,7 +152,7 @@ def _tell(key: tuple, table: pa.Table) -> pa.Table:
     sums = np.array([total.sum(), (total > 0).sum()], "<u8")
     bucket = key[0].as_py()
     return pa.table({
-        "chunk": pa.array([*table["chunk"].to_pylist(), -1], pa.int64()),
+        "chunk": pa.array([*table["chunk"].to_pylist(), -1 - bucket], pa.int64()),
         "bucket": pa.array([bucket] * (len(table) + 1), pa.int64()),
         "words": pa.array([*map(_squeeze, told_words), _squeeze(sums)], pa.binary()),
         "pairs": pa.array([*map(_squeeze, told_pairs), b""], pa.binary()),
@@ -268,7 +268,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives an empty result; with nothing to learn from every token has probability 1.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "lm")
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", (crc_mod(F.col("doc_id"), folds) != held).alias("train"), "text")
+    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", (crc_mod(F.col("doc_id"), folds) != held).alias("train"), "text")
     id_type = picked.schema["doc_id"].dataType.simpleString()
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, -(-total // BUCKET_TEXT))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch
+from strandline.llm.common import Scratch, text_batches
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one packing group holds on average; the bins left open at a group's end are what grouping costs.
@@ -126,7 +126,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     shortest. Repeated rows are packed as documents of their own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     # texts are encoded once; both ways on read what was written

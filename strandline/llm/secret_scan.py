@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.llm.common import text_batches
+
 # The base patterns, the least lengths, and the order of kinds at equal starts.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -237,7 +239,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ["doc_id", *rows],
             )
 
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     return picked.mapInArrow(scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
@@ -265,4 +267,4 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
             out.append(text)
         return pa.array(out, pa.string())
 
-    return docs.withColumn(text_col, clean(F.col(text_col)))
+    return text_batches(docs).withColumn(text_col, clean(F.col(text_col)))

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import mix64
+from strandline.llm.common import text_batches
 from strandline.llm.shingles import text_slices
 
 LENGTH, K = 50, 24
@@ -446,7 +446,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A row with a null id keeps all its bytes and covers nothing. Rows that repeat an id don't cover each other. An empty table gives an
     empty result. Ids are integers.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    picked = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(total // 1024).bit_length()))
     buckets = max(64, -(-total // BUCKET_TEXT))
