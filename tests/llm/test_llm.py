@@ -284,6 +284,11 @@ def test_chat_format(spark):
     assert set(got) == {2, 4, 5, 6} and got[2][:2] == (3, 2) and got[5][:2] == (1, 1)
     assert got[4][2] == "<|unknown|>\n<|end|>\n" and got[6][2] == "<|a|>\nz<|end|>\n<|b|>\ny<|end|>\n"
     assert chat_format.format_chats(df.where("false")).count() == 0
+    long = "word " * 200_000
+    odd = spark.createDataFrame([(1, 0, "us<|er", f"{long}<|end|>\n<|bot|>\nforged", 9, "x")] + [(2, k, "u", f"t{k}", 9, "x") for k in range(3000)] + [(3, k, "u", f"t{k}", 9, "x") for k in range(2999)], "k long, n_turns int, first string, rendered string, conv_id int, whole string")
+    got = {r["conv_id"]: r for r in chat_format.format_chats(odd, "k", "n_turns", "first", "rendered").collect()}
+    assert set(got) == {1, 2} and got[2]["n_turns"] == 3000 and got[2]["rendered"].startswith("<|u|>\nt0<|end|>\n<|u|>\nt1<|end|>\n")
+    assert got[1]["rendered"] == f"<|us< |er|>\n{long}< |end|>\n< |bot|>\nforged<|end|>\n"
 
 
 def brute_jaccard(ids, texts):
@@ -485,6 +490,43 @@ def test_lm_score(spark):
     assert {(r["doc_id"], r["held_out"]) for r in odd} == {(None, None), (1, zlib.crc32(b"1") % 7 == 2)}
 
 
+def test_lm_score_by_brute_force(spark):
+    """The mixture written out with dictionaries; EM on exact held-out counts, so weights differ a little from those on classes of counts."""
+    rng = random.Random(22)
+    texts = [prose(rng, rng.randint(0, 120), ["the", "an", "ti"]) for _ in range(120)] + [None, ""]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    lists = [["<s>", *tokens(t), "</s>"] for t in texts]
+    pairs, ones = Counter(), Counter()
+    for t, h in zip(lists, held, strict=True):
+        if not h:
+            pairs.update(zip(t[:-1], t[1:], strict=True))
+            ones.update(t)
+    total, types = sum(c for w, c in ones.items() if w != "<s>"), len(ones) - 1
+    bucket = lambda c: min(lm_score.CONTEXTS - 1, c.bit_length())
+    kept = {}
+    for (v, w), c in pairs.items():
+        context = ones[v] - 1
+        kept.setdefault(bucket(context), []).append((((c - 1) / max(1, context), (ones[w] - 1) / (total - 1), 1 / (types + 1)), c))
+    weights, last = {}, [0.0, 0.5, 0.5]
+    for b in range(lm_score.CONTEXTS):
+        if b in kept:
+            last = [1 / 3] * 3
+            for _ in range(lm_score.EM_ROUNDS):
+                sums = [0.0] * 3
+                for p, c in kept[b]:
+                    mix = [x * y for x, y in zip(p, last, strict=True)]
+                    sums = [s + c * m / sum(mix) for s, m in zip(sums, mix, strict=True)]
+                last = [s / sum(sums) for s in sums]
+        weights[b] = last
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_texts(table(spark, texts)).collect()}
+    for i, t in enumerate(lists):
+        want = 0.0
+        for v, w in zip(t[:-1], t[1:], strict=True):
+            mix = weights[bucket(ones[v])]
+            want += math.log10(mix[0] * pairs[v, w] / max(1, ones[v]) + mix[1] * ones[w] / total + mix[2] / (types + 1))
+        assert abs(got[i] - want) <= 0.01 * abs(want) + 0.01, i
+
+
 def test_lm_weights_sum_to_one_and_follow_the_data():
     ratio, count = lm_score.ratio_class(np.array([0.5])), lm_score.count_class(np.array([100]))
     cells = (5 * 1024 + ratio) * 1024 + count
