@@ -114,8 +114,8 @@ def test_interpolation(spark):
 
 
 def test_names(spark):
-    name = "april_27_cottage_session_1_04-28-2021_11-48-52-507461"
-    assert spark.range(1).select(S.capture_time(F.lit(name)).cast("string")).first()[0] == "2021-04-28 11:48:52.507461"
+    name = "june_3_harbour_take_2_06-03-2022_09-17-05-250013"
+    assert spark.range(1).select(S.capture_time(F.lit(name)).cast("string")).first()[0] == "2022-06-03 09:17:05.250013"
 
 
 @pytest.mark.parametrize("ratio", [2.0, 1.5, 0.3, 0.1, 10])
