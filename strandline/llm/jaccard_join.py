@@ -126,7 +126,9 @@ def _index(docs: DataFrame, classes, bits: int, buckets: int, size: int, id_type
             for ids, flat, offsets in text_slices(batch.column(0), batch.column(1)):
                 marks, bounds = shingle_sets(flat, offsets, size)
                 cls = set_prints(marks, bounds)
-                yield _rows(id_type, ids, np.diff(bounds), cls)
+                # rows of documents only pass through the index, under keys that grow in number with it
+                aside = mix64(cls.view(np.uint64) + np.arange(len(cls), dtype=np.uint64)) % np.uint64(8 * buckets)
+                yield _rows(id_type, ids, np.diff(bounds), cls, bucket=-1 - aside.astype(np.int64))
                 # an id that is null keeps its set from being shown, not that of another row
                 named = np.asarray(ids.is_valid())
                 p = postings(ids, marks, bounds, np.where(named, cls, -1 - np.arange(len(cls))), seen)
@@ -171,7 +173,6 @@ def _rows(id_type, ids=None, n=None, cls=None, bucket=None, hot=None, blob=None)
     size = len(ids) if ids is not None else len(blob)
     kind = ids.type if ids is not None else {"string": pa.string(), "int": pa.int32()}.get(id_type, pa.int64())
     column = lambda v, t: pa.nulls(size, t) if v is None else pa.array(v, t)
-    bucket = bucket if bucket is not None else -1 - (cls & 63)
     return pa.RecordBatch.from_arrays([ids if ids is not None else pa.nulls(size, kind), column(n, pa.int64()), column(cls, pa.int64()), column(bucket, pa.int64()), column(hot, pa.bool_()), column(blob, pa.binary())], _schema(id_type)[1])
 
 

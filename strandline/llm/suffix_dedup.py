@@ -456,7 +456,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     told = chunks.groupBy("chunk").applyInArrow(_ask(classes, bits, buckets), _TABLE).groupBy("bucket").applyInArrow(_tell, _TABLE)
     dealt = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_deal(classes, bits, buckets), _TABLE)
     # spans that a chunk found by itself pass through under keys of their own
-    spread = dealt.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod("chunk", F.lit(4096))).otherwise(F.col("bucket")))
+    spread = dealt.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - F.pmod(F.xxhash64("chunk"), F.lit(4 * buckets))).otherwise(F.col("bucket")))
 
     def meet(key: tuple, table: pa.Table) -> pa.Table:
         return table if key[0].as_py() < 0 else _bucket_spans(table)
