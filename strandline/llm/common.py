@@ -60,11 +60,12 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Delete a table that keep() returned and that no later plan reads."""
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that keep() returned and that no later plan reads."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(conf).delete(path, True)
+        for df in tables:
+            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:

@@ -327,17 +327,23 @@ def _components(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataF
         whole = scratch.keep(_sets(texts(reps.join(_classes_of(pairs), "cls", "left_semi")), size))
         left, right = (whole.select(F.col("cls").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")) for side in "ab")
         common = F.size(F.array_intersect("ma", "mb"))
-        return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT).select("a", "b").distinct()
+        linked = pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.col("na") + F.col("nb") - common) * PERCENT)
+        linked = scratch.keep(linked.select("a", "b").distinct())
+        scratch.drop(pairs, whole)
+        return linked
 
-    links = scratch.keep(verified(stars))
+    links = verified(stars)
     roots = _near_labels(links)
     placed = lists.join(roots, "cls", "left").select("list", "cls", "n", "left", F.coalesce("comp", "cls").alias("comp"))
     # of an open list's largest component no two sets need meet
     largest = placed.groupBy("list", "comp").agg(F.count("*").alias("size")).groupBy("list").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("comps"))
     still = scratch.keep(placed.join(largest.where("comps > 1").select("list", "main"), "list").withColumn("rest", F.col("comp") != F.col("main")))
     across = _sharing(still, still.where("rest")).union(_sharing(still.where("rest"), still.where("not rest"))).distinct()
-    more = scratch.keep(verified(scratch.keep(across.join(stars, ["a", "b"], "left_anti"))))
+    fresh = scratch.keep(across.join(stars, ["a", "b"], "left_anti"))
+    more = verified(fresh)
     roots2 = connected_components(links.unionByName(more), scratch).withColumnsRenamed({"node": "cls", "root": "comp"})
+    # the result is made of met and of the components' table alone
+    scratch.drop(lists, stars, reps, prefixes, links, still, fresh, more)
 
     owned = kinds.join(roots2, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"))
     named = owned.groupBy("comp").agg(F.min("first").alias("component_id"))
