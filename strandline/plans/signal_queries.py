@@ -323,3 +323,27 @@ def g3_square_wave_added(spark, sf):
 def g6_sine_added(spark, sf):
     added = fx.emb(spark, sf).withColumn("vec", F.zip_with("vec", generators.sine(FRAME, 2.0), lambda a, b: a + b))
     return _long(added)
+
+
+def _added(spark, sf, sweep):
+    """Embeddings with the frame of the same number of a sweep added, one frame for each embedding."""
+    both = fx.emb(spark, sf).join(sweep.select("frame_index", F.col("vec").alias("sweep")), "frame_index")
+    return _long(both.withColumn("vec", F.zip_with("vec", "sweep", lambda a, b: a + b)))
+
+
+COUNTED = "embx, (SELECT count(*) AS n FROM embeddings)"
+
+
+@query(with_tables("embx", f"SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v + ((frame_index * {FRAME} + pos) // n) * (9.0 / {FRAME - 1}), 6) + 0.0 AS value FROM {COUNTED}"))
+def g1_line_sweep_added(spark, sf):
+    return _added(spark, sf, generators.line_sweep(spark, 0, 9, FRAME, fx.emb(spark, sf).count()))
+
+
+@query(with_tables("embx", f"SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v + CASE WHEN pos BETWEEN frame_index AND frame_index + 3 THEN n ELSE 0 END, 6) + 0.0 AS value FROM {COUNTED}"))
+def g4_horizontal_sweep_added(spark, sf):
+    return _added(spark, sf, generators.horizontal_sweep(spark, FRAME, 3, 0, fx.emb(spark, sf).count()))
+
+
+@query(with_tables("embx", f"SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v + CASE WHEN pos BETWEEN 5 AND 8 THEN frame_index * (20.0 / n) - 10 ELSE -10 END, 6) + 0.0 AS value FROM {COUNTED}"))
+def g5_vertical_sweep_added(spark, sf):
+    return _added(spark, sf, generators.vertical_sweep(spark, FRAME, 5, 3, step=20.0 / max(1, fx.emb(spark, sf).count())))
