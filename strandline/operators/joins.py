@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import centre, dot, l1_distance
+from strandline.operators.placement import placed
 
 
 def nearest_boxes(boxes: DataFrame) -> DataFrame:
@@ -32,10 +33,10 @@ def in_set(rows: DataFrame, keys: DataFrame, on: str | list[str], inside: bool =
 def copy_plan(files: DataFrame, existing: DataFrame, order: list[str], skip_name: str = "submit_config.pkl") -> DataFrame:
     """Destination `{count}_{parent}_{name}` of each file, without those that exist with the same hash; skipped files count as well.
 
-    The running number is per parent directory, so no task sees all files.
+    The running number is that of the parent directory, counted over ranges of it (placed()).
     """
-    count = F.row_number().over(Window.partitionBy("parent").orderBy(*order)) - 1
-    named = files.withColumn("destination", F.concat_ws("_", count.cast("string"), "parent", "name"))
+    counted = placed(files, order, ["parent"], "_count", first=0)
+    named = counted.withColumn("destination", F.concat_ws("_", F.col("_count").cast("string"), "parent", "name")).drop("_count")
     return named.where(F.col("name") != skip_name).join(existing, ["destination", "md5"], "left_anti")
 
 

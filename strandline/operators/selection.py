@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import capture_time, portable_hash
-from strandline.operators.windows import around_matches
+from strandline.operators.placement import placed
+from strandline.operators.windows import near_matches
 
 
 def capture_sorted(rows: DataFrame) -> DataFrame:
@@ -22,17 +23,40 @@ def first_matching(candidates: DataFrame, flag: str, wanted: bool, count: int, o
 def tiers(catalogue: DataFrame, primary: int = 3, reach: int = 2, seed: int = 7) -> DataFrame:
     """Every row with its tier: 1 matches in primary directories (dir_no < primary), 2 matches in the others, 3 rows around matches, 4 the rest."""
     timed = catalogue.withColumn("capture_ts", capture_time(F.col("name")))
-    near = around_matches(timed, "dir_no", ["capture_ts", "name", "event_id"], "has_face", reach).select("event_id").withColumn("_near", F.lit(True))
-    tier = F.when(F.col("has_face") & (F.col("dir_no") < primary), 1).when(F.col("has_face"), 2).when(F.col("_near"), 3).otherwise(4)
-    return timed.join(near, "event_id", "left").withColumn("tier", tier).withColumn("shuffle_key", portable_hash(F.col("event_id"), seed)).drop("_near")
+    near = F.col("_near") & ~F.col("has_face")
+    tier = F.when(F.col("has_face") & (F.col("dir_no") < primary), 1).when(F.col("has_face"), 2).when(near, 3).otherwise(4)
+    seen = near_matches(timed, "dir_no", ["capture_ts", "name", "event_id"], "has_face", reach, out="_near")
+    return seen.withColumn("tier", tier).withColumn("shuffle_key", portable_hash(F.col("event_id"), seed)).drop("_near")
+
+
+def _inside() -> list[Column]:
+    """The order inside a tier: capture order in tiers 1 to 3, seeded hash order in tier 4."""
+    return [F.when(F.col("tier") == 4, F.col("shuffle_key")).otherwise(F.lit(0)), *map(F.col, ("dir_no", "capture_ts", "name", "event_id"))]
 
 
 def select_in_tiers(catalogue: DataFrame, target: int | None, primary: int = 3) -> DataFrame:
-    """At most target rows, tier by tier: in capture order in tiers 1 to 3, in seeded hash order in tier 4. None takes all."""
+    """At most target rows, tier by tier: in capture order in tiers 1 to 3, in seeded hash order in tier 4. None takes all.
+
+    The tiers are counted first: those before the cut are taken whole and those behind it left out, and only the rows of the tier that the
+    target cuts get places (placed()), so no task sorts or limits the selection, however large the target.
+    """
     ranked = tiers(catalogue, primary)
-    late = F.when(F.col("tier") == 4, F.col("shuffle_key"))
-    ordered = ranked.orderBy("tier", F.coalesce(late, F.lit(0)), "dir_no", "capture_ts", "name", "event_id")
-    return ordered if target is None else ordered.limit(target)
+    if target is not None:
+        left, whole, cut = target, [], None
+        for tier, n in sorted((r["tier"], r["count"]) for r in ranked.groupBy("tier").count().collect()):
+            if n <= left:
+                whole.append(tier)
+                left -= n
+            elif left > 0:
+                cut, need = tier, left
+                left = 0
+            else:
+                break
+        taken = ranked.where(F.col("tier").isin(whole))
+        if cut is not None:
+            taken = taken.unionByName(placed(ranked.where(F.col("tier") == cut), _inside(), out="_place").where(F.col("_place") <= need).drop("_place"))
+        ranked = taken
+    return ranked.orderBy("tier", *_inside())
 
 
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
@@ -50,26 +74,14 @@ def distinct_by(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.dropDuplicates(list(keys))
 
 
-def chain(*sources: DataFrame) -> DataFrame:
-    """All rows of the sources, copies kept, with source_no in the order given."""
+def chain(*sources: DataFrame, order: list[str | Column] | None = None) -> DataFrame:
+    """All rows of the sources, copies kept, with source_no in the order given; with order also position, the place in the whole chain from 0."""
     out = sources[0].withColumn("source_no", F.lit(0))
     for i, s in enumerate(sources[1:], 1):
         out = out.unionByName(s.withColumn("source_no", F.lit(i)))
-    return out
+    return out if order is None else placed(out, ["source_no", *order], out="position", first=0, ties=True)
 
 
 def numbered(rows: DataFrame, by: str, order: list[str], out: str = "position") -> DataFrame:
-    """Zero-based position in order inside each by."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1)
-
-
-def placed(rows: DataFrame, order: list[str | Column], block: Column, out: str = "place") -> DataFrame:
-    """All rows with their 1-based place in order; block must not be null and must not fall along order.
-
-    Places are counted inside blocks, and the rows of earlier blocks are added, so no task sorts the whole table.
-    """
-    blocked = rows.withColumn("_block", block)
-    ahead = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocked.groupBy("_block").agg(F.count("*").alias("_n")).select("_block", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    inside = F.row_number().over(Window.partitionBy("_block").orderBy(*order))
-    return blocked.withColumn("_inside", inside).join(offsets, "_block").withColumn(out, F.col("_inside") + F.col("_ahead")).drop("_block", "_inside", "_ahead")
+    """Zero-based position in order inside each by, however many rows it has."""
+    return placed(rows, order, [by], out, first=0)

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.placement import placed
 
 #: Frames of a series that one window task takes.
 BLOCK = 16_384
@@ -117,19 +118,26 @@ def keep_long_tracks(frames: DataFrame, least: int, flag: str = "flag", out: str
     return run_lengths(frames, flag, "_length", block).withColumn(out, F.col(flag) & (F.col("_length") >= least)).drop("_length")
 
 
-def around_matches(rows: DataFrame, by: str, order: list[str], match: str = "has_face", reach: int = 2, strict_window: bool = False) -> DataFrame:
-    """Rows that are no match but lie within reach rows of one, in order inside each by.
+def near_matches(rows: DataFrame, by: str, order: list[str], match: str = "has_face", reach: int = 2, strict_window: bool = False, out: str = "near", block: int = BLOCK) -> DataFrame:
+    """All rows with out: does a match lie within reach rows, in order inside each by.
 
-    strict_window: a match counts only if reach rows stand on both sides of it.
+    strict_window: a match counts only if reach rows stand on both sides of it. Rows get their places in ranges (placed()), and windows run
+    on blocks of so many places that also hold the reach last and first rows of their neighbours, so a directory of any size uses all tasks.
     """
-    w = Window.partitionBy(by).orderBy(*order)
+    at = placed(rows, order, [by], "frame_index", first=0).withColumn("series_id", F.col(by))
     counts = F.col(match)
     if strict_window:
-        n = F.count("*").over(Window.partitionBy(by))
-        at = F.row_number().over(w)
-        counts = counts & (at > reach) & (at <= n - reach)
-    marked = rows.withColumn("_counts", counts.cast("int"))
-    return marked.withColumn("_near", F.max("_counts").over(w.rowsBetween(-reach, reach))).where((F.col("_near") == 1) & ~F.col(match)).drop("_counts", "_near")
+        sizes = at.groupBy(F.col(by).alias("_dir")).agg(F.count("*").alias("_rows"))
+        at = at.join(sizes, F.col(by).eqNullSafe(F.col("_dir"))).drop("_dir")
+        counts = counts & (F.col("frame_index") >= reach) & (F.col("frame_index") < F.col("_rows") - reach)
+    marked = at.withColumn("_counts", counts.cast("int"))
+    seen = rolling(marked, reach, reach, lambda w: {out: F.coalesce(F.max("_counts").over(w), F.lit(0)) == 1}, block)
+    return seen.select(*[c for c in rows.columns if c != out], out)
+
+
+def around_matches(rows: DataFrame, by: str, order: list[str], match: str = "has_face", reach: int = 2, strict_window: bool = False, block: int = BLOCK) -> DataFrame:
+    """Rows that are no match but lie within reach rows of one, in order inside each by; see near_matches()."""
+    return near_matches(rows, by, order, match, reach, strict_window, "_near", block).where(F.col("_near") & ~F.coalesce(F.col(match), F.lit(False))).drop("_near")
 
 
 def gaussian_kernel(sigma: float) -> list[tuple[int, float]]:

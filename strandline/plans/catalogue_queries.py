@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import scalar as S
 from strandline.operators import aggregates, joins, selection, windows
+from strandline.operators.placement import placed
 from strandline.plans import fixtures as fx
 from strandline.plans.fixtures import with_tables
 from strandline.plans.registry import query
@@ -74,7 +75,7 @@ def w8_around_matches_strict(spark, sf):
 
 @query(with_tables("cat", "SELECT event_id, CAST(row_number() OVER (PARTITION BY dir_no ORDER BY name, event_id) - 1 AS INTEGER) AS position FROM cat"))
 def w12_numbered(spark, sf):
-    return selection.numbered(fx.cat(spark, sf), "dir_no", ["name", "event_id"]).select("event_id", "position")
+    return selection.numbered(fx.cat(spark, sf), "dir_no", ["name", "event_id"]).select("event_id", F.col("position").cast("int").alias("position"))
 
 
 @query(with_tables("cat", "SELECT event_id, dir_no, ts AS capture_ts FROM cat WHERE has_face ORDER BY dir_no, ts, name"))
@@ -87,8 +88,7 @@ def o1_capture_sorted(spark, sf):
 def o1_capture_sorted_all(spark, sf):
     """All matches with their place in capture order."""
     timed = fx.cat(spark, sf).where("has_face").withColumn("capture_ts", S.capture_time(F.col("name")))
-    hour = F.struct("dir_no", F.date_trunc("hour", "capture_ts").alias("hour"))
-    return selection.placed(timed, ["dir_no", "capture_ts", "name", "event_id"], hour).select("event_id", "dir_no", "place")
+    return placed(timed, ["dir_no", "capture_ts", "name", "event_id"]).select("event_id", "dir_no", "place")
 
 
 @query("SELECT event_id AS number, 'item_' || event_id AS name FROM events ORDER BY event_id")
@@ -103,7 +103,7 @@ def o2_natural_sort_all(spark, sf):
     """All names with their place by number, the largest first."""
     named = fx.table(spark, sf, "events").select(S.item_name(F.lit("item"), F.col("event_id")).alias("name"))
     numbered = named.withColumn("number", S.trailing_number(F.col("name")).cast("long"))
-    return selection.placed(numbered, [F.desc("number")], -F.floor(F.col("number") / 4096)).select("number", "name", "place")
+    return placed(numbered, [F.desc("number")]).select("number", "name", "place")
 
 
 @query(with_tables("cat", TIERS + " SELECT event_id, tier FROM t ORDER BY tier, CASE WHEN tier = 4 THEN shuffle_key ELSE 0 END, dir_no, ts, name, event_id LIMIT 3000"))
@@ -121,7 +121,7 @@ def o5_shuffled(spark, sf):
 def o5_shuffled_all(spark, sf):
     """All rows with their place in the shuffled order."""
     keyed = fx.cat(spark, sf).withColumn("shuffle_key", S.portable_hash(F.col("event_id"), 11))
-    return selection.placed(keyed, ["shuffle_key", "event_id"], F.floor(F.col("shuffle_key") / (1 << 20))).select("event_id", "shuffle_key", "place")
+    return placed(keyed, ["shuffle_key", "event_id"]).select("event_id", "shuffle_key", "place")
 
 
 @query(with_tables("cat", "SELECT dir_no || '/' || name AS path FROM cat ORDER BY 1"))
@@ -134,7 +134,7 @@ def o6_path_sort(spark, sf):
 def o6_path_sort_all(spark, sf):
     """All paths with their place in binary order."""
     paths = fx.cat(spark, sf).select(F.concat_ws("/", F.col("dir_no").cast("string"), "name").alias("path"))
-    return selection.placed(paths, ["path"], F.substring("path", 1, 24)).select("path", "place")
+    return placed(paths, ["path"], ties=True).select("path", "place")
 
 
 @query(with_tables("cat", TIERS + ", s AS (SELECT tier FROM t ORDER BY tier, CASE WHEN tier = 4 THEN shuffle_key ELSE 0 END, dir_no, ts, name, event_id LIMIT 3000) SELECT tier, count(*) AS rows_taken FROM s GROUP BY ROLLUP (tier)"))
@@ -142,10 +142,11 @@ def a6_tier_counts(spark, sf):
     return aggregates.tier_counts(selection.select_in_tiers(fx.cat(spark, sf), 3000))
 
 
-@query(with_tables("cat", "SELECT event_id, 0 AS source_no FROM cat WHERE dir_no < 3 UNION ALL SELECT event_id, 1 FROM cat WHERE dir_no >= 3 UNION ALL SELECT event_id, 2 FROM cat WHERE has_face"))
+@query(with_tables("cat", "SELECT event_id, source_no, row_number() OVER (ORDER BY source_no, name, event_id) - 1 AS position FROM (SELECT event_id, name, 0 AS source_no FROM cat WHERE dir_no < 3 UNION ALL SELECT event_id, name, 1 FROM cat WHERE dir_no >= 3 UNION ALL SELECT event_id, name, 2 FROM cat WHERE has_face)"))
 def u1_chain(spark, sf):
+    """Three sources one after another, each in its own order, with the place of every row in the chain."""
     c = fx.cat(spark, sf)
-    return selection.chain(c.where("dir_no < 3"), c.where("dir_no >= 3"), c.where("has_face")).select("event_id", "source_no")
+    return selection.chain(c.where("dir_no < 3"), c.where("dir_no >= 3"), c.where("has_face"), order=["name", "event_id"]).select("event_id", "source_no", "position")
 
 
 @query(with_tables("cat", "SELECT DISTINCT name FROM cat"))
