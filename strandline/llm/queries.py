@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, merkle, packing, secret_scan, suffix_dedup, url_filter
+from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, merkle, near_vectors, packing, ranked_search, secret_scan, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,5 +55,13 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_suffix_dedup, op6_embedding_dedup, op7_lm_score, op8_url_filter, op9_secret_scan, op10_best_fit_packing, op11_merkle_manifest)}
-ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_embedding_dedup": embedding_dedup.SQL, "op11_merkle_manifest": merkle.SQL}
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.nearest(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_chat_format, op4_jaccard_join, op5_suffix_dedup, op6_embedding_dedup, op7_lm_score, op8_url_filter, op9_secret_scan, op10_best_fit_packing, op11_merkle_manifest, op12_nearest_vectors, op13_ranked_search)}
+ORACLE: dict[str, str] = {"op3_chat_format": chat_format.SQL, "op4_jaccard_join": jaccard_join.SQL, "op5_suffix_dedup": suffix_dedup.SQL, "op6_embedding_dedup": embedding_dedup.SQL, "op11_merkle_manifest": merkle.SQL, "op13_ranked_search": ranked_search.SQL}
