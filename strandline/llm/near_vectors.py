@@ -6,7 +6,8 @@ so the index entries within that share of the query's substring are probed; what
 
 The radius is the query's own. A lower bound of its k-th best product (from a bounded sample, and from a first round that probes the
 query's own index entries) is an angle that all its nearest vectors are within, and bits differ with a chance of angle / pi: the radius is
-the CONFIDENCE quantile of that many differing bits.
+the CONFIDENCE quantile of that many differing bits. The bound is that of DEPTH times as many neighbours as are asked for, so that enough lie
+within the radius; a query that still finds too few is put to all codes.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ SAMPLE_BYTES = 8 << 20
 FIT_ROWS, FIT_ROUNDS, MAX_LENGTHS = 4096, 20, 16
 #: Chance that a vector as near as the bound lies within the radius.
 CONFIDENCE = 0.97
+#: Bounds are those of so many times the neighbours that are asked for.
+DEPTH = 1.5
 #: Entries of one cell of the index, and queries that one task puts to it.
 CELL_ROWS, QUERY_ROWS = 8192, 4096
 
@@ -119,8 +122,11 @@ def _code(coders: dict[int, Coder], top: int):
     return run
 
 
-def _routes(coders: dict[int, Coder], cell_bits: int, first_round: bool):
-    """Queries to the cells of the index that their probes reach: (cls, dim, word, cell, radius)."""
+def _routes(coders: dict[int, Coder], cell_bits: int, reach: str):
+    """Queries to the cells of the index that their probes reach: (cls, dim, word, cell, radius).
+
+    reach: own (the entries of the query's own substrings), bound (the radius of its bound) or all codes.
+    """
     masks = np.arange(1 << cell_bits, dtype=np.int64)
     masks = masks[np.argsort(np.bitwise_count(masks), kind="stable")]
     within = np.cumsum(np.bincount(np.bitwise_count(masks), minlength=WORD + 1))
@@ -132,10 +138,9 @@ def _routes(coders: dict[int, Coder], cell_bits: int, first_round: bool):
                 part = batch.filter(pa.array(length == dim))
                 coder, codes, bound = coders.get(int(dim)), rows_of(part["asked_code"]), np.asarray(part["bound"])
                 words = codes.shape[1]
-                if first_round:
-                    radius = np.full(len(codes), words - 1)
-                else:
-                    radius = coder.radius(rows_of(part["vec"]), bound) if coder else np.full(len(codes), WORD * words)
+                radius = np.full(len(codes), words - 1 if reach == "own" else WORD * words)
+                if reach == "bound" and coder:
+                    radius = coder.radius(rows_of(part["vec"]), bound)
                 share = shares(radius, words)
                 for w in range(words):
                     probed = np.flatnonzero(share[:, w] >= 0)
@@ -199,10 +204,10 @@ def _meet(top: int):
     return run
 
 
-def _round(coded: DataFrame, queries: DataFrame, coders: dict[int, Coder], cell_bits: int, top: int, scratch: Scratch, first_round: bool) -> DataFrame:
+def _round(coded: DataFrame, queries: DataFrame, coders: dict[int, Coder], cell_bits: int, top: int, scratch: Scratch, reach: str) -> DataFrame:
     """(q, cls, score): the top classes that each query's probes find."""
     keys = ["dim", "word", "cell"]
-    routes = scratch.keep(queries.select("cls", "dim", "vec", "asked_code", "bound").mapInArrow(_routes(coders, cell_bits, first_round), "cls long, dim int, word int, cell int, radius int"))
+    routes = scratch.keep(queries.select("cls", "dim", "vec", "asked_code", "bound").mapInArrow(_routes(coders, cell_bits, reach), "cls long, dim int, word int, cell int, radius int"))
     entries = coded.select("cls", "rep", "dim", "vec", "code", F.posexplode("code").alias("word", "sub")).withColumn("cell", F.shiftright("sub", WORD - cell_bits)).drop("sub")
     blocks = coded.select("dim", F.posexplode("code").alias("word", "sub")).groupBy("dim", "word", F.shiftright("sub", WORD - cell_bits).alias("cell")).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
     shape = scratch.keep(routes.groupBy(*keys).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("chunks")).join(blocks, keys))
@@ -247,13 +252,23 @@ def nearest(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str = "embed
         coders[r["dim"]] = Coder(rows_of(drawn["vec"]), r["longest"])
     cell_bits = min(WORD, max(0, math.ceil(math.log2(max(1, total / CELL_ROWS)))))
 
-    coded = scratch.keep(classes.mapInArrow(_code(coders, top + 1), "cls long, rep long, dim int, vec array<double>, asked boolean, code array<int>, asked_code array<int>, bound double"))
+    deep = math.ceil(DEPTH * (top + 1))
+    coded = scratch.keep(classes.mapInArrow(_code(coders, deep), "cls long, rep long, dim int, vec array<double>, asked boolean, code array<int>, asked_code array<int>, bound double"))
     # read once more, as Spark can't tell the two sides of a cogroup apart where both come from one DataFrame
     queries = spark.read.schema(coded.schema).parquet(coded._scratch_path).where("asked")
-    early = _round(coded, queries, coders, cell_bits, top + 1, scratch, True)
-    reached = early.groupBy("q").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(F.col("found") == top + 1)
+    early = _round(coded, queries, coders, cell_bits, deep, scratch, "own")
+    reached = early.groupBy("q").agg(F.count("*").alias("found"), F.min("score").alias("least")).where(F.col("found") == deep)
     sharper = queries.join(reached.select(F.col("q").alias("cls"), "least"), "cls", "left").withColumn("bound", F.greatest("bound", F.coalesce("least", "bound"))).drop("least")
-    found = _round(coded, scratch.keep(sharper), coders, cell_bits, top + 1, scratch, False)
+    sharper = scratch.keep(sharper)
+    found = _round(coded, sharper, coders, cell_bits, deep, scratch, "bound")
+    # a query without a bound was put to all codes already
+    enough = found.groupBy(F.col("q").alias("cls")).count().where(F.col("count") > top)
+    short = sharper.where(F.col("bound") > float("-inf")).join(enough, "cls", "left_anti")
+    if not short.isEmpty():
+        short = scratch.keep(short)
+        more = _round(coded, short, coders, cell_bits, deep, scratch, "all")
+        found = found.join(short.select(F.col("cls").alias("q")), "q", "left_anti").unionByName(more)
+    found = found.where(F.col("place") <= top + 1)
 
     named = found.join(members, "cls").select("q", "vec_id", "score")
     closest = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))

@@ -82,6 +82,13 @@ def test_every_code_within_the_radius_is_found_once():
         assert sorted(found) == [tuple(r) for r in np.argwhere(apart <= radius).tolist()]
 
 
+def test_queries_that_find_too_few_are_put_to_all_codes(spark, monkeypatch):
+    monkeypatch.setattr(near_vectors, "CONFIDENCE", 1e-9)
+    rows = clustered(300)
+    got, want = answers(near_vectors.nearest(table(spark, rows))), brute(rows)
+    assert recall(got, want) == 1
+
+
 def test_small_cells_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_vectors, "CELL_ROWS", 40)
     monkeypatch.setattr(near_vectors, "QUERY_ROWS", 7)
