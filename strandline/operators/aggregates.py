@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import remap, rms
+from strandline.operators.sides import join_small
 
 
 def frame_rms(frames: DataFrame, out: str = "rms") -> DataFrame:
@@ -23,7 +24,7 @@ def hop_rms(samples: DataFrame, length: int, hop: int) -> DataFrame:
     ends = samples.groupBy("series_id").agg((F.max("sample_index") + 1).alias("_n"))
     i = F.col("sample_index")
     first, last = F.greatest(F.ceil((i - length + 1) / hop), F.lit(0)), F.least(F.floor(i / hop), F.floor((F.col("_n") - length) / hop))
-    fed = samples.join(ends, "series_id").withColumn("_lo", first).withColumn("_hi", last).where("_lo <= _hi")
+    fed = join_small(samples, ends, "series_id").withColumn("_lo", first).withColumn("_hi", last).where("_lo <= _hi")
     fed = fed.select("series_id", F.explode(F.sequence("_lo", "_hi")).alias("frame_index"), "value")
     return fed.groupBy("series_id", "frame_index").agg(F.sqrt(F.avg(F.col("value") * F.col("value"))).alias("rms"))
 
@@ -33,10 +34,15 @@ def series_range(frames: DataFrame, vec: str = "vec") -> DataFrame:
     return frames.groupBy("series_id").agg(F.min(F.array_min(vec)).alias("lo"), F.max(F.array_max(vec)).alias("hi"))
 
 
+def with_range(frames: DataFrame, value: str = "value") -> DataFrame:
+    """Scalar frames with lo and hi, the least and most value of their series."""
+    return join_small(frames, frames.groupBy("series_id").agg(F.min(value).alias("lo"), F.max(value).alias("hi")), "series_id")
+
+
 def minmax_scale(frames: DataFrame, lo: float, hi: float, vec: str = "vec") -> DataFrame:
     """All samples of a series linearly to lo .. hi; a constant series becomes lo. Two passes."""
     scaled = F.transform(vec, lambda x: F.when(F.col("hi") == F.col("lo"), F.lit(lo)).otherwise(remap(x, F.col("lo"), F.col("hi"), lo, hi)))
-    return frames.join(series_range(frames, vec), "series_id").withColumn(vec, scaled).drop("lo", "hi")
+    return join_small(frames, series_range(frames, vec), "series_id").withColumn(vec, scaled).drop("lo", "hi")
 
 
 def context_ranges(frames: DataFrame, width: int, value: str = "value", margin: float = 5.0, empty: tuple[float, float] = (-5.0, 5.0)) -> DataFrame:
@@ -50,7 +56,7 @@ def unit_rms(frames: DataFrame, vec: str = "vec") -> DataFrame:
     """Each series divided by the root mean square of all its samples."""
     energy = F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x)
     norms = frames.groupBy("series_id").agg(F.sqrt(F.sum(energy) / F.sum(F.size(vec))).alias("_norm"))
-    return frames.join(norms, "series_id").withColumn(vec, F.transform(vec, lambda x: x / F.col("_norm"))).drop("_norm")
+    return join_small(frames, norms, "series_id").withColumn(vec, F.transform(vec, lambda x: x / F.col("_norm"))).drop("_norm")
 
 
 def require_one(df: DataFrame, column: str) -> DataFrame:

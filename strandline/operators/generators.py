@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import portable_hash
+from strandline.operators.aggregates import unit_rms
+from strandline.operators.windows import circular_smooth
 
 
 def line_sweep(spark: SparkSession, start: float, stop: float, length: int, count: int) -> DataFrame:
@@ -54,3 +56,8 @@ def noise_like(frames: DataFrame, length: int, seed: int = 1234, vec: str = "vec
     """A frame of normal noise for each frame of a table, by (frame_index, position)."""
     made = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda p: hash_normal(F.col("frame_index") * length + p, seed))
     return frames.select("series_id", "frame_index", made.alias(vec))
+
+
+def gaussian_noise(frames: DataFrame, length: int, sigma: float = 20.0, seed: int = 1234, vec: str = "vec") -> DataFrame:
+    """noise_like() smoothed over frames by a normal kernel of sigma frames, wrapped at the ends, each series brought to unit root mean square."""
+    return unit_rms(circular_smooth(noise_like(frames, length, seed, vec), sigma, vec), vec)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.scalar import centre, dot, l1_distance
 from strandline.operators.placement import placed
+from strandline.operators.sides import MOST_ROWS, kept
 
 
 def nearest_boxes(boxes: DataFrame) -> DataFrame:
@@ -40,12 +41,19 @@ def copy_plan(files: DataFrame, existing: DataFrame, order: list[str], skip_name
     return named.where(F.col("name") != skip_name).join(existing, ["destination", "md5"], "left_anti")
 
 
-def files_by_models(files: DataFrame, models: DataFrame, parts: int = 8) -> DataFrame:
-    """Every file with every model, and the name of the result. The model list is joined in parts, so neither side is one task's or the driver's."""
-    listed = models.select("model_index", "model_name").distinct().withColumn("_part", F.pmod(F.xxhash64("model_index", "model_name"), F.lit(parts)))
+def files_by_models(files: DataFrame, models: DataFrame, parts: int = 8, most: int = MOST_ROWS) -> DataFrame:
+    """Every file with every model, and the name of the result.
+
+    The model list is counted: up to most models it goes to all tasks and files stay where they are; above, it is joined in parts, so that
+    neither side is one task's.
+    """
+    named = F.concat(F.lit("network_"), F.col("model_name"), F.lit("_"), F.col("file_hash")).alias("output_name")
+    listed = kept(models.select("model_index", "model_name").distinct(), "models")
+    if listed.count() <= most:
+        return files.crossJoin(F.broadcast(listed)).select(*files.columns, "model_index", named)
+    cut = listed.withColumn("_part", F.pmod(F.xxhash64("model_index", "model_name"), F.lit(parts)))
     each = files.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
-    named = F.concat(F.lit("network_"), F.col("model_name"), F.lit("_"), F.col("file_hash"))
-    return each.join(listed, "_part").select(*files.columns, "model_index", named.alias("output_name"))
+    return each.join(cut, "_part").select(*files.columns, "model_index", named)
 
 
 def hash_mismatches(given: DataFrame, projections: DataFrame, waived: bool = False) -> DataFrame:
@@ -163,18 +171,18 @@ def near_signatures(signed: DataFrame, block: str, limit: int, cell: int = CELL)
     return met.select(F.col("a.frame_index").alias("left_frame"), F.col("b.frame_index").alias("right_frame"), far.cast("int").alias("distance"))
 
 
-# The band around a region's centre, in shares of the box.
-BAND_W, BAND_H = 0.058, 0.098
+# The band around a region, in shares of the image: above and below its centre, of the width; beyond its sides, of the height.
+BAND_OF_WIDTH, BAND_OF_HEIGHT = 0.058, 0.098
 
 
-def overlay_points(points: DataFrame, regions: DataFrame, cell: int = 32) -> DataFrame:
-    """Points (frame_index, x, y, fg, bg) with the value shown: fg inside any region band of the frame, else bg.
+def overlay_points(points: DataFrame, regions: DataFrame, width: int, height: int, cell: int = 32) -> DataFrame:
+    """Points (frame_index, x, y, fg, bg) of images of width x height with the value shown: fg inside any region band of the frame, else bg.
 
-    A band is BAND_W w above and below the centre of the box and BAND_H h beyond both its sides, edges included. Regions are spread over
-    the cells they touch, so points meet only regions nearby.
+    A band is BAND_OF_WIDTH * width above and below the centre of the box and BAND_OF_HEIGHT * height beyond both its sides, edges included;
+    it grows with the image and not with the box. Regions are spread over the cells they touch, so points meet only regions nearby.
     """
-    mid = F.col("y") + F.col("h") / 2
-    band = regions.select("frame_index", (F.col("x") - BAND_H * F.col("h")).alias("x0"), (F.col("x") + F.col("w") + BAND_H * F.col("h")).alias("x1"), (mid - BAND_W * F.col("w")).alias("y0"), (mid + BAND_W * F.col("w")).alias("y1"))
+    mid, up, aside = F.col("y") + F.col("h") / 2, BAND_OF_WIDTH * width, BAND_OF_HEIGHT * height
+    band = regions.select("frame_index", (F.col("x") - aside).alias("x0"), (F.col("x") + F.col("w") + aside).alias("x1"), (mid - up).alias("y0"), (mid + up).alias("y1"))
     cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
     near = band.withColumn("gx", cells("x0", "x1")).withColumn("gy", cells("y0", "y1")).withColumnRenamed("frame_index", "f2")
     placed = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))

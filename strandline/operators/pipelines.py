@@ -7,19 +7,20 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.functions.scalar import blend, decibel, promote, quantise, rotate_left, splice_depth
-from strandline.operators.aggregates import compressed_size, frame_rms, minmax_scale
-from strandline.operators.frames import repeat_frames, whole_quotient
+from strandline.functions.scalar import blend, decibel, promote, quantise, remap, rotate_left, splice_depth
+from strandline.operators.aggregates import compressed_size, frame_rms, minmax_scale, with_range
+from strandline.operators.frames import repeat_frames
 from strandline.operators.generators import noise_like
 from strandline.operators.linear import apply_matrix, derive_series, resample_matrix, smooth_over_time, smooth_series, smoothing_matrix, spectrogram
-from strandline.operators.windows import rolling_max, rolling_mean, rolling_sum
+from strandline.operators.sides import join_small, kept
+from strandline.operators.windows import circular_smooth, rolling_max, rolling_mean, rolling_sum
 
 
 def spectrogram_db(frames: DataFrame, bins: int, truncate: bool = True) -> DataFrame:
     """spectrogram() in decibels against the largest magnitude of the series."""
-    raw = spectrogram(frames, bins, truncate)
+    raw = kept(spectrogram(frames, bins, truncate), "spectrum")
     top = raw.groupBy("series_id").agg(F.max(F.array_max("vec")).alias("_top"))
-    return raw.join(top, "series_id").withColumn("vec", F.transform("vec", lambda x: decibel(x, F.col("_top")))).drop("_top")
+    return join_small(raw, top, "series_id").withColumn("vec", F.transform("vec", lambda x: decibel(x, F.col("_top")))).drop("_top")
 
 
 def spectrogram_vectors(frames: DataFrame, bins: int, length: int, amplitude: tuple[float, float] | None = None) -> DataFrame:
@@ -56,8 +57,7 @@ def reduce_compressed(frames: DataFrame, size: int = 3, window: int = 7, order:
 
 def levels_of(reduced: DataFrame, levels: int, value: str = "reduced", out: str = "model_index") -> DataFrame:
     """(series_id, frame_index, out): value quantised over the range of its series."""
-    ranges = reduced.groupBy("series_id").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    return reduced.join(ranges, "series_id").select("series_id", "frame_index", quantise(F.col(value), F.col("_lo"), F.col("_hi"), levels).alias(out))
+    return with_range(kept(reduced.select("series_id", "frame_index", value), "reduced"), value).select("series_id", "frame_index", quantise(F.col(value), F.col("lo"), F.col("hi"), levels).alias(out))
 
 
 def spectrum_layer(frames: DataFrame, length: int, amplitude: tuple[float, float], roll: bool) -> DataFrame:
@@ -73,10 +73,28 @@ def spectrum_layer(frames: DataFrame, length: int, amplitude: tuple[float, float
     return apply_matrix(turned, smoothing_matrix(length, min(51, length - 1 + length % 2), 2))
 
 
+#: Frames of the normal kernel that smooths the noise of a blend.
+NOISE_SIGMA = 50.0
+
+
+def scaled_noise(frames: DataFrame, length: int, sigma: float, seed: int, lo: float, hi: float) -> DataFrame:
+    """gaussian_noise() scaled to lo .. hi; its root mean square, least and most value come from one pass over the smoothed noise."""
+    smooth = kept(circular_smooth(noise_like(frames, length, seed), sigma), "noise")
+    energy = F.aggregate("vec", F.lit(0.0), lambda acc, x: acc + x * x)
+    stats = smooth.groupBy("series_id").agg(F.sqrt(F.sum(energy) / F.sum(F.size("vec"))).alias("_rms"), F.min(F.array_min("vec")).alias("_lo"), F.max(F.array_max("vec")).alias("_hi"))
+    rms = F.col("_rms")
+    placed = lambda x: F.when(F.col("_hi") == F.col("_lo"), F.lit(lo)).otherwise(remap(x / rms, F.col("_lo") / rms, F.col("_hi") / rms, lo, hi))
+    return join_small(smooth, stats, "series_id").withColumn("vec", F.transform("vec", placed)).drop("_rms", "_lo", "_hi")
+
+
 def noise_blend(frames: DataFrame, length: int, alpha: float, amplitude: tuple[float, float], models: int, roll: bool = False, seed: int = 1234) -> DataFrame:
-    """Per frame: noise (a_vec), spectrum (b_vec), their blend (combined), and the model that the frame's power picks."""
+    """Per frame: noise (a_vec), spectrum (b_vec), their blend (combined), and the model that the frame's power picks.
+
+    The noise is smoothed over NOISE_SIGMA frames, brought to unit root mean square and scaled to -4 .. 4.
+    """
+    frames = kept(frames, "frames")
     spectrum = spectrum_layer(frames, length, amplitude, roll).withColumnRenamed("vec", "b_vec")
-    noise = minmax_scale(noise_like(frames, length, seed), -4.0, 4.0).withColumnRenamed("vec", "a_vec")
+    noise = scaled_noise(frames, length, NOISE_SIGMA, seed, -4.0, 4.0).withColumnRenamed("vec", "a_vec")
     index = levels_of(reduce_rolling_average(power_series(frames)), models)
     both = noise.join(spectrum, ["series_id", "frame_index"]).join(index, ["series_id", "frame_index"])
     return both.withColumn("combined", blend(F.col("a_vec"), F.col("b_vec"), alpha))
@@ -174,6 +192,3 @@ def scale_audio(samples: DataFrame, sample_rate: float, length: int, fps: float
     rest = samples.select("series_id").limit(1).select("series_id", F.explode(missing).alias("sample_index"), F.lit(0.0).alias("value"))
     return scaled.unionByName(rest)
 
-
-def check_multiple(output_fps: float, projection_fps: float) -> int:
-    return whole_quotient(output_fps, projection_fps)

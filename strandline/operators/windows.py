@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.placement import placed
+from strandline.operators.sides import join_small
 
 #: Frames of a series that one window task takes.
 BLOCK = 16_384
@@ -45,7 +46,7 @@ def rolling_mean(frames: DataFrame, size: int = 3, value: str = "value", out: st
     """Trailing mean; where the window isn't full, the mean of the series."""
     means = frames.groupBy("series_id").agg(F.avg(value).alias("_mean"))
     done = rolling(frames, size - 1, 0, lambda w: {out: full_window(F.avg, value, w, size)}, block)
-    return done.join(means, "series_id").withColumn(out, F.coalesce(out, "_mean")).drop("_mean")
+    return join_small(done, means, "series_id").withColumn(out, F.coalesce(out, "_mean")).drop("_mean")
 
 
 def rolling_sum(frames: DataFrame, size: int, value: str = "value", out: str = "rolled", block: int | None = BLOCK) -> DataFrame:
@@ -161,7 +162,7 @@ def circular_smooth(frames: DataFrame, sigma: float, vec: str = "vec", block: in
     n = frames.groupBy("series_id").agg((F.max("frame_index") + 1).cast("long").alias("_n"))
     at = F.col("frame_index")
     turns = F.sequence(F.ceil((-radius - at) / F.col("_n")), F.floor((F.col("_n") - 1 + radius - at) / F.col("_n")))
-    placed = frames.select("series_id", "frame_index", vec).join(n, "series_id").withColumn("_turn", F.explode(turns)).withColumn("_at", at + F.col("_turn") * F.col("_n"))
+    placed = join_small(frames.select("series_id", "frame_index", vec), n, "series_id").withColumn("_turn", F.explode(turns)).withColumn("_at", at + F.col("_turn") * F.col("_n"))
     first, last = F.greatest(F.floor((F.col("_at") - radius) / block), F.lit(0)), F.least(F.floor((F.col("_at") + radius) / block), F.floor((F.col("_n") - 1) / block))
     spread = placed.withColumn("_block", F.explode(F.sequence(first, last)))
 

@@ -219,16 +219,12 @@ def v3_cubic(spark, sf):
 
 @query(with_tables("evtu", ", r AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM evtu GROUP BY 1) SELECT series_id, frame_index, round((value - lo) / (hi - lo) * 2 - 1, 6) + 0.0 AS mapped FROM evtu JOIN r USING (series_id) WHERE hi > lo"))
 def f4_remap(spark, sf):
-    src = fx.evtu(spark, sf)
-    ranges = src.groupBy("series_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).where("hi > lo")
-    return src.join(ranges, "series_id").select("series_id", "frame_index", r6(S.remap(F.col("value"), F.col("lo"), F.col("hi"), -1, 1), "mapped"))
+    return aggregates.with_range(fx.evtu(spark, sf)).where("hi > lo").select("series_id", "frame_index", r6(S.remap(F.col("value"), F.col("lo"), F.col("hi"), -1, 1), "mapped"))
 
 
 @query(with_tables("evtu", ", r AS (SELECT series_id, min(value) AS lo, max(value) AS hi FROM evtu GROUP BY 1) SELECT series_id, frame_index, value, CASE WHEN hi = lo THEN 0 ELSE CAST(round_even((value - lo) / (hi - lo) * 4, 0) AS INTEGER) END AS level FROM evtu JOIN r USING (series_id)"))
 def f5_quantise(spark, sf):
-    src = fx.evtu(spark, sf)
-    ranges = src.groupBy("series_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return src.join(ranges, "series_id").select("series_id", "frame_index", "value", S.quantise(F.col("value"), F.col("lo"), F.col("hi"), 5).alias("level"))
+    return aggregates.with_range(fx.evtu(spark, sf)).select("series_id", "frame_index", "value", S.quantise(F.col("value"), F.col("lo"), F.col("hi"), 5).alias("level"))
 
 
 @query(with_tables("embx", ", n AS (SELECT count(*) // 64 AS n FROM embx) SELECT a.frame_index, CAST(a.pos AS INTEGER) AS pos, round(a.v * 0.75 + b.v * 0.25, 6) + 0.0 AS value FROM embx a, n, embx b WHERE b.pos = a.pos AND b.frame_index = (a.frame_index + 1) % n"))

@@ -76,14 +76,24 @@ def d4_rolled_spectrum(spark, sf):
 
 
 _U, _V = _hash("k", 1234), _hash("k", 1235)
-NOISE = f"""nz AS (SELECT frame_index, pos, frame_index * {FRAME} + pos AS k FROM evtx),
-nn AS (SELECT frame_index, pos, sqrt(-2 * ln(({_U} + 1) / 2147483648.0)) * cos(2 * pi() * ({_V}) / 2147483648.0) AS z FROM nz),
-ns AS (SELECT frame_index, pos, (z - lo) / (hi - lo) * 8 - 4 AS v FROM nn, (SELECT min(z) AS lo, max(z) AS hi FROM nn))"""
+
+
+def _smoothed(source: str, sigma: float) -> str:
+    """SQL tables z(frame_index, pos, z), normal noise at the places of source, and nu(frame_index, pos, v): that smoothed over frames, wrapped, at unit RMS."""
+    kernel = ", ".join(f"({k}, CAST({w!r} AS DOUBLE))" for k, w in windows.gaussian_kernel(sigma))
+    return f"""nz AS (SELECT frame_index, pos, frame_index * {FRAME} + pos AS k FROM {source}),
+z AS (SELECT frame_index, pos, sqrt(-2 * ln(({_U} + 1) / 2147483648.0)) * cos(2 * pi() * ({_V}) / 2147483648.0) AS z FROM nz),
+gk(k, w) AS (VALUES {kernel}), zn AS (SELECT max(frame_index) + 1 AS n FROM z), gw AS (SELECT f.frame_index, ((f.frame_index + gk.k) % n + n) % n AS at, sum(gk.w) AS w FROM (SELECT DISTINCT frame_index FROM z) f, gk, zn GROUP BY ALL),
+zs AS (SELECT gw.frame_index, z.pos, sum(gw.w * z.z) AS v FROM gw JOIN z ON z.frame_index = gw.at GROUP BY ALL),
+nu AS (SELECT frame_index, pos, v / (SELECT sqrt(avg(v * v)) FROM zs) AS v FROM zs)"""
+
+
+NOISE = f"""{_smoothed('evtx', pipelines.NOISE_SIGMA)}, ns AS (SELECT frame_index, pos, (v - lo) / (hi - lo) * 8 - 4 AS v FROM nu, (SELECT min(v) AS lo, max(v) AS hi FROM nu))"""
 
 
 @query(f"WITH {CHAIN}, {POWER}, {NOISE} SELECT d3.frame_index, d3.pos, round(ns.v * 0.75 + d3.v * 0.25, 5) + 0.0 AS combined, model_index FROM d3 JOIN ns ON ns.frame_index = d3.frame_index AND ns.pos = d3.pos JOIN lv ON lv.frame_index = d3.frame_index")
 def d5_noise_blend(spark, sf):
-    """The flagship pipeline: noise blended with the smoothed spectrum, and a model number for each frame."""
+    """The flagship pipeline: smoothed noise blended with the smoothed spectrum, and a model number for each frame."""
     out = pipelines.noise_blend(_evt_frames(spark, sf), FRAME, 0.25, (-1.0, 1.0), 4)
     return out.select("frame_index", "model_index", F.posexplode("combined").alias("pos", "v")).select("frame_index", "pos", (F.round("v", 5) + 0.0).alias("combined"), "model_index")
 
@@ -163,13 +173,13 @@ def j8_score_in_chunks(spark, sf):
     return joins.score_in_chunks(src, _linear_model).select("frame_index", "model_index", F.posexplode("scores").alias("out_dim", "s")).select("frame_index", "model_index", "out_dim", r6("s", "score"))
 
 
-@query(with_tables("box", """, r AS (SELECT frame_index, x - 0.098 * h AS x0, x + w + 0.098 * h AS x1, y + h / 2.0 - 0.058 * w AS y0, y + h / 2.0 + 0.058 * w AS y1 FROM box WHERE side = 'a'),
+@query(with_tables("box", """, r AS (SELECT frame_index, x - 0.098 * 144 AS x0, x + w + 0.098 * 144 AS x1, y + h / 2.0 - 0.058 * 256 AS y0, y + h / 2.0 + 0.058 * 256 AS y1 FROM box WHERE side = 'a'),
 pt AS (SELECT DISTINCT frame_index, x + w // 2 AS x, y + h // 2 + 1 AS y FROM box)
 SELECT pt.frame_index, pt.x, pt.y, CASE WHEN EXISTS (SELECT 1 FROM r WHERE r.frame_index = pt.frame_index AND pt.x BETWEEN x0 AND x1 AND pt.y BETWEEN y0 AND y1) THEN 1 ELSE 0 END AS shown FROM pt"""))
 def j9_overlay_points(spark, sf):
     b = fx.box(spark, sf)
     points = b.select("frame_index", (F.col("x") + F.expr("w div 2")).alias("x"), (F.col("y") + F.expr("h div 2") + 1).alias("y")).distinct().withColumn("fg", F.lit(1)).withColumn("bg", F.lit(0))
-    return joins.overlay_points(points, b.where("side = 'a'"))
+    return joins.overlay_points(points, b.where("side = 'a'"), 256, 144)
 
 
 SIGNED = """, md AS (SELECT frame_index, median(v) AS m FROM embx GROUP BY 1),
@@ -312,6 +322,12 @@ def g2_noise_like(spark, sf):
     return _long(generators.noise_like(fx.emb(spark, sf), FRAME))
 
 
+@query(f"WITH {fx.SQL['embx']}, {_smoothed('embx', 20.0)} SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v, 6) + 0.0 AS value FROM nu")
+def g2_gaussian_noise(spark, sf):
+    """Noise smoothed over 20 frames at unit root mean square, one frame for each embedding."""
+    return _long(generators.gaussian_noise(fx.emb(spark, sf), FRAME))
+
+
 @query(with_tables("embx", "SELECT frame_index, CAST(pos AS INTEGER) AS pos, CASE WHEN v > 0 THEN CASE WHEN pos BETWEEN frame_index % 40 AND frame_index % 40 + 8 THEN v + 10.0 ELSE v END WHEN v < 0 THEN CASE WHEN pos BETWEEN frame_index % 40 AND frame_index % 40 + 8 THEN v + 10.0 ELSE v END ELSE 0.0 END AS value FROM embx"))
 def g3_square_wave_added(spark, sf):
     rise = F.col("frame_index") % 40

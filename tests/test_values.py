@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from strandline.operators import extension, joins, linear, windows
+from strandline.operators import extension, generators, joins, linear, pipelines, sides, windows
+from strandline.operators import frames as frame_ops
 from strandline.plans import fixtures as fx
 
 SF = "/root/testdata/sf0.001"
@@ -154,3 +155,70 @@ def test_extension_points(spark):
     assert extension.layer_frames(df, 3, index, layer).where("model_index = frame_index % 2 and size(combined) = 1").count() == 14
     longer = extension.map_vectors(df, lambda x: np.append(x, x.sum())).collect()
     assert all(np.isclose(r["vec"][3], sum(r["vec"][:3])) for r in longer)
+
+
+def hashed_normal(frames, length, seed):
+    """The generator's normal numbers: two modular hashes of frame * length + position, by Box and Muller."""
+
+    def uniform(k, s):
+        a = (k * 48271 + s * 69621 + 12345) % 2147483647
+        a = (a * a + 97) % 2147483647
+        return (a * 40692 + 7) % 2147483647
+
+    return np.array([[np.sqrt(-2 * np.log((uniform(f * length + p, seed) + 1) / 2**31)) * np.cos(2 * np.pi * uniform(f * length + p, seed + 1) / 2**31) for p in range(length)] for f in range(frames)])
+
+
+def wrapped_smooth(x, sigma):
+    """Normal smoothing of the first axis through its transform of the wrapped kernel."""
+    kernel, n, radius = np.zeros(len(x)), len(x), int(4 * sigma + 0.5)
+    for k in range(-radius, radius + 1):
+        kernel[k % n] += np.exp(-k * k / (2 * sigma * sigma))
+    return np.fft.ifft(np.fft.fft(x, axis=0) * np.fft.fft(kernel / kernel.sum())[:, None], axis=0).real
+
+
+@pytest.mark.parametrize(("n", "sigma"), [(150, 20.0), (37, 50.0)])
+def test_gaussian_noise_is_smooth_and_of_unit_power(spark, n, sigma):
+    frames = spark.range(n).select(F.lit(4).alias("series_id"), F.col("id").alias("frame_index"))
+    rows = sorted(generators.gaussian_noise(frames, 8, sigma).collect(), key=lambda r: r["frame_index"])
+    got = np.array([r["vec"] for r in rows])
+    want = wrapped_smooth(hashed_normal(n, 8, 1234), sigma)
+    assert np.isclose(np.mean(got**2), 1) and np.allclose(got, want / np.sqrt(np.mean(want**2)))
+
+
+def test_blend_uses_smoothed_noise(spark):
+    """The noise part of the flagship: what is left of its blend after the spectrum, against noise smoothed over 50 frames and scaled to -4 .. 4."""
+    frames = frame_ops.split_signal(fx.evt(spark, SF), 64)
+    rows = sorted(pipelines.noise_blend(frames, 64, 0.25, (-1.0, 1.0), 4).collect(), key=lambda r: r["frame_index"])
+    noise = wrapped_smooth(hashed_normal(len(rows), 64, 1234), 50.0)
+    noise /= np.sqrt(np.mean(noise**2))
+    noise = (noise - noise.min()) / (noise.max() - noise.min()) * 8 - 4
+    assert np.allclose([r["a_vec"] for r in rows], noise)
+    assert np.allclose([r["combined"] for r in rows], 0.75 * noise + 0.25 * np.array([r["b_vec"] for r in rows]))
+
+
+def test_overlay_bands_grow_with_the_image(spark):
+    """A pixel grid of two image sizes around two boxes, by the definition."""
+    boxes = [(1, 30, 40, 10, 6), (1, 90, 10, 4, 20), (2, 0, 0, 5, 5)]
+    regions = spark.createDataFrame(boxes, "frame_index long, x int, y int, w int, h int")
+    points = spark.createDataFrame([(f, x, y, 1, 0) for f in (1, 2, 3) for x in range(0, 120, 3) for y in range(0, 90, 2)], "frame_index long, x int, y int, fg int, bg int")
+    for width, height in ((120, 90), (200, 40)):
+        got = {(r["frame_index"], r["x"], r["y"]) for r in joins.overlay_points(points, regions, width, height).where("shown = 1").collect()}
+        want = set()
+        for f, x, y, w, h in boxes:
+            for px in range(0, 120, 3):
+                for py in range(0, 90, 2):
+                    if x - 0.098 * height <= px <= x + w + 0.098 * height and abs(py - (y + h / 2)) <= 0.058 * width:
+                        want.add((f, px, py))
+        assert got == want
+
+
+def test_small_sides_are_broadcast_only_below_a_bound(spark):
+    series = fx.evtu(spark, SF)
+    stats = series.groupBy("series_id").agg(F.avg("value").alias("m"))
+    for most, kind in ((10_000, "BroadcastHashJoin"), (3, "SortMergeJoin")):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            out = sides.join_small(series, stats, "series_id", most=most)
+            assert kind in out._jdf.queryExecution().executedPlan().toString() and out.count() == series.count()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
