@@ -232,14 +232,32 @@ def j11_with_final(spark, sf):
 def s5_store_read(spark, sf):
     """A store in the shared folder, written and read again; projection 3 stays open."""
     path, projections = shared_folder(spark, "store"), fx.projections(spark, sf)
-    store.begin_store(path, projections)
-    store.add_to_store(path, fx.proj_frames(spark, sf))
-    store.finish_store(spark, path, projections.where("projection_id <> 3"))
+    writer = store.begin_store(path, projections)
+    writer.add(fx.proj_frames(spark, sf))
+    writer.finish(projections.where("projection_id <> 3"))
     done = store.read_store(spark, path, "projections").select("projection_id", "complete")
     rows = store.read_store(spark, path).join(done, "projection_id")
     return rows.select("projection_id", "frame_index", F.posexplode("latent").alias("pos", "value"), "complete").withColumn("pos", F.col("pos").cast("long"))
 
 
+@query(with_tables("pf ps", "SELECT projection_id, frame_index, CASE WHEN projection_id % 3 = 0 THEN 2 ELSE 1 END AS written, projection_id <> 6 AS complete, round(sum(unnested * CASE WHEN projection_id % 3 = 0 THEN 2 ELSE 1 END), 6) + 0.0 AS total, CASE WHEN projection_id % 3 = 0 THEN 0 ELSE 10 END AS steps FROM (SELECT projection_id, frame_index, unnest(latent) AS unnested FROM pf) GROUP BY projection_id, frame_index"))
+def s6_store_rewrite(spark, sf):
+    """A store that is written, then rewritten for every third projection with doubled latents and no histories; projection 6 breaks off unfinished."""
+    path, projections, frames_ = shared_folder(spark, "store"), fx.projections(spark, sf), fx.proj_frames(spark, sf).withColumn("written", F.lit(1))
+    store.write_store(path, projections, frames_, fx.proj_steps(spark, sf))
+    third = projections.where("projection_id % 3 = 0")
+    again = frames_.where("projection_id % 3 = 0").withColumn("latent", F.transform("latent", lambda x: x * 2)).withColumn("written", F.lit(2))
+    writer = store.begin_store(path, third)
+    writer.add(again, part="all")
+    writer.add(again, part="all")
+    writer.finish(third.where("projection_id <> 6"))
+    steps = store.read_store(spark, path, "steps").groupBy("projection_id", "frame_index").agg(F.count("*").alias("steps"))
+    done = store.read_store(spark, path, "projections").select("projection_id", "complete")
+    total = F.aggregate("latent", F.lit(0.0), lambda a, x: a + x)
+    rows = store.read_store(spark, path).join(done, "projection_id").join(steps, ["projection_id", "frame_index"], "left")
+    return rows.select("projection_id", "frame_index", "written", "complete", r6(total, "total"), F.coalesce("steps", F.lit(0)).cast("int").alias("steps"))
+
+
 @query(with_tables("pf ps", "SELECT projection_id, frame_index, CAST(step AS INTEGER) AS step, round(sqrt(sum(v * v)), 6) + 0.0 AS norm FROM psx WHERE step % 2 = 0 GROUP BY ALL"))
 def x4_for_each_step(spark, sf):
     """A caller's function over every step of every history: the norm of even steps."""

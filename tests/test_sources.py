@@ -113,10 +113,70 @@ def test_store(spark, tmp_path):
     assert store.read_store(spark, str(tmp_path / "s")).where("projection_id = 1 and frame_index = 2").first()["latent"] == [5.0]
     assert all(r["complete"] for r in store.read_store(spark, str(tmp_path / "s"), "projections").collect())
     open_one = str(tmp_path / "open")
-    store.begin_store(open_one, attributes.withColumn("model_md5_hash", F.lit("h")))
-    store.add_to_store(open_one, frames)
+    writer = store.begin_store(open_one, attributes.withColumn("model_md5_hash", F.lit("h")))
+    writer.add(frames)
     assert {(r["complete"], r["network_md5_hash"]) for r in store.read_store(spark, open_one, "projections").collect()} == {(False, "h")}
-    store.finish_store(spark, open_one, attributes.where("projection_id = 1"))
+    writer.finish(attributes.where("projection_id = 1"))
     assert {r["projection_id"]: r["complete"] for r in store.read_store(spark, open_one, "projections").collect()} == {0: False, 1: True}
     names = spark.createDataFrame([("x_10",), ("x_9",)], "name string")
     assert [r["name"] for r in store.item_order(names).collect()] == ["x_9", "x_10"]
+
+
+def state(spark, path):
+    """({projection: complete}, {(projection, frame): latent}) as a reader sees them."""
+    complete = {r["projection_id"]: r["complete"] for r in store.read_store(spark, path, "projections").collect()}
+    rows = store.read_store(spark, path).collect()
+    frames = {(r["projection_id"], r["frame_index"]): r["latent"][0] for r in rows}
+    assert len(frames) == len(rows)
+    return complete, frames
+
+
+def test_store_is_written_twice(spark, tmp_path):
+    """A second write of some projections replaces them, and is not complete before its end."""
+    path = str(tmp_path / "s")
+    make = lambda ids, value: spark.createDataFrame([(p, f, [value]) for p in ids for f in range(3)], "projection_id long, frame_index long, latent array<double>")
+    attributes = lambda ids: spark.createDataFrame([(p, "h") for p in ids], "projection_id long, network_md5_hash string")
+    store.write_store(path, attributes([0, 1, 2]), make([0, 1, 2], 1.0), make([0, 1, 2], 1.0).withColumn("step", F.lit(0)))
+    before = state(spark, path)
+    assert before == ({0: True, 1: True, 2: True}, {(p, f): 1.0 for p in range(3) for f in range(3)})
+    writer = store.begin_store(path, attributes([1, 5]))
+    assert state(spark, path)[0] == {0: True, 1: False, 2: True, 5: False}
+    writer.add(make([1], 2.0), part="a")
+    writer.add(make([1], 3.0), part="a")  # the same part again: a retried job
+    complete, frames = state(spark, path)
+    assert not complete[1] and {v for (p, _), v in frames.items() if p == 1} == {3.0} and len(frames) == 9
+    writer.add(make([5], 4.0))
+    writer.finish()
+    complete, frames = state(spark, path)
+    assert all(complete.values()) and frames == {(p, f): {0: 1.0, 1: 3.0, 2: 1.0, 5: 4.0}[p] for p in (0, 1, 2, 5) for f in range(3)}
+    assert {r["projection_id"] for r in store.read_store(spark, path, "steps").collect()} == {0, 2}
+
+
+def test_broken_writes_leave_no_trace_in_finished_projections(spark, tmp_path):
+    path = str(tmp_path / "s")
+    attributes = spark.createDataFrame([(7, "h")], "projection_id long, network_md5_hash string")
+    good = spark.createDataFrame([(7, 0, [1.0])], "projection_id long, frame_index long, latent array<double>")
+    with pytest.raises(ValueError, match="no store"):
+        store.read_store(spark, path)
+    broken = store.begin_store(path, attributes)
+    with pytest.raises(Exception, match="broken"):
+        broken.add(good.withColumn("latent", F.array(F.raise_error(F.lit("broken")).cast("double"))))
+    assert {r["complete"] for r in store.read_store(spark, path, "projections").collect()} == {False}
+    store.begin_store(path, attributes).add(good)
+    store.write_store(path, attributes, good)
+    assert state(spark, path) == ({7: True}, {(7, 0): 1.0})
+    assert [c["version"] for c in store.commits(spark, path)] == [1, 2, 3, 4]
+    assert len(store.vacuum_store(spark, path)) == 2 and state(spark, path) == ({7: True}, {(7, 0): 1.0})
+
+
+def test_writers_take_different_versions(spark, tmp_path, monkeypatch):
+    """Two writers that both read the same last commit: the second one finds its number taken and goes on to the next."""
+    path = str(tmp_path / "s")
+    attributes = lambda p: spark.createDataFrame([(p, "h")], "projection_id long, network_md5_hash string")
+    store.begin_store(path, attributes(1))
+    stale = store.commits(spark, path)
+    store.begin_store(path, attributes(2))
+    monkeypatch.setattr(store, "commits", lambda *_: stale)
+    late = store.begin_store(path, attributes(3))
+    monkeypatch.undo()
+    assert [c["version"] for c in store.commits(spark, path)] == [1, 2, 3] and store.commits(spark, path)[2]["attempt"] == late.attempt
