@@ -12,7 +12,7 @@ from strandline.plans.catalogue_queries import _hash
 from strandline.plans.fixtures import FRAME, with_tables
 from strandline.plans.frame_queries import _matrix, _over_time, r6
 from strandline.plans.registry import query
-from strandline.sources import store
+from strandline.sources import files, store
 from strandline.sources.shared import shared_folder
 
 M = FRAME - 2
@@ -265,6 +265,31 @@ def x4_for_each_step(spark, sf):
     return extension.for_each_step(fx.proj_steps(spark, sf), norm, "projection_id int, frame_index long, step int, norm double").withColumn("norm", F.round("norm", 6) + 0.0)
 
 
+#: Event values as samples from -1 to 1 after 16-bit rounding; values are 0 to about 560.
+SAMPLES = "s AS (SELECT event_id AS sample_index, greatest(-32768, least(32767, round_even((least(value / 500 - 1, 1) + 1) / 2 * 65535 - 32768, 0))) AS raw FROM events)"
+
+
+def _recorded(spark, sf):
+    """The event signal written as WAV files of 5,000 samples to the shared folder."""
+    path = shared_folder(spark, "wavs")
+    files.write_wavs(fx.evt(spark, sf).withColumn("value", F.least(F.col("value") / 500 - 1, F.lit(1.0))), path, 8000, 5000)
+    return path
+
+
+@query(f"WITH {SAMPLES} SELECT sample_index // 5000 AS file_no, (sample_index % 5000) // 512 AS block, (sample_index % 5000) % 512 AS pos, 8000 AS sample_rate, round((raw + 32768) / 65535 * 2 - 1, 6) + 0.0 AS value FROM s")
+def s1_read_wavs(spark, sf):
+    """Every sample of WAV files, read in ranges of two blocks."""
+    blocks = files.read_wavs(spark, _recorded(spark, sf), block=512, range_bytes=2048)
+    number = F.regexp_extract("path", r"-(\d+)\.wav$", 1).cast("long")
+    return blocks.select(number.alias("file_no"), "block", "sample_rate", F.posexplode("samples").alias("pos", "v")).select("file_no", "block", F.col("pos").cast("long").alias("pos"), "sample_rate", r6("v", "value"))
+
+
+@query(f"WITH {SAMPLES} SELECT sample_index, 8000 AS sample_rate, round((raw + 32768) / 65535 * 2 - 1, 6) + 0.0 AS value FROM s")
+def s2_joined_signal(spark, sf):
+    """All WAV files joined in path order."""
+    return files.joined_signal(files.read_wavs(spark, _recorded(spark, sf))).select("sample_index", "sample_rate", r6("value", "value"))
+
+
 @query(with_tables("embx", "SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(v / sqrt(sum(v * v) OVER (PARTITION BY frame_index)), 6) + 0.0 AS value FROM embx"))
 def x5_map_vectors(spark, sf):
     """A caller's function over every vector: each scaled to length 1."""

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import base_name
+from strandline.operators.sides import kept
 
 BLOCK_SAMPLES = 65_536
 
@@ -76,21 +77,26 @@ def broken_images(spark: SparkSession, path: str, pattern: str = "*") -> DataFra
     return found.where("image.height < 0").select(F.col("image.origin").alias("path"))
 
 
-def wav_layout(content: bytes, name: str) -> tuple[str, int, int, int, int]:
-    """(kind, channels, sample rate, begin, end) of the samples of a WAV file; kinds are numpy's. Anything but PCM and 32-bit floats is an error."""
-    if content[:4] != b"RIFF" or content[8:12] != b"WAVE":
+def wav_layout(read_at: Callable[[int, int], bytes], length: int, name: str) -> tuple[str, int, int, int, int]:
+    """(kind, channels, sample rate, begin, end) of the samples of a WAV file; kinds are numpy's. Anything but PCM and 32-bit floats is an error.
+
+    read_at(place, size) gives bytes of the file, fewer at its end. Only the heads of chunks and the format are read.
+    """
+    head = read_at(0, 12)
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
         raise ValueError(f"{name}: not a WAV file")
     at, form = 12, None
-    while at + 8 <= len(content):
-        kind, size = content[at : at + 4], struct.unpack_from("<I", content, at + 4)[0]
+    while at + 8 <= length:
+        head = read_at(at, 48)
+        kind, size = head[:4], struct.unpack_from("<I", head, 4)[0]
         if kind == b"fmt ":
-            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", content, at + 8)
+            tag, channels, rate, _, _, bits = struct.unpack_from("<HHIIHH", head, 8)
             # an extensible header names the real format in its first two bytes further on
-            form = (struct.unpack_from("<H", content, at + 32)[0] if tag == 0xFFFE and size >= 26 else tag, bits, channels, rate)
+            form = (struct.unpack_from("<H", head, 32)[0] if tag == 0xFFFE and size >= 26 else tag, bits, channels, rate)
         elif kind == b"data" and form:
             if form[:2] not in SAMPLE_KINDS:
                 raise ValueError(f"{name}: {form[1]}-bit samples of format {form[0]} aren't supported")
-            whole = min(size, len(content) - at - 8) // (form[1] // 8 * form[2]) * (form[1] // 8 * form[2])
+            whole = min(size, length - at - 8) // (form[1] // 8 * form[2]) * (form[1] // 8 * form[2])
             return SAMPLE_KINDS[form[:2]][0], form[2], form[3], at + 8, at + 8 + whole
         at += 8 + size + size % 2
     raise ValueError(f"{name}: no samples")
@@ -100,26 +106,100 @@ def wav_layout(content: bytes, name: str) -> tuple[str, int, int, int, int]:
 SAMPLE_KINDS = {(1, 8): ("u1", 0.0, 255.0), (1, 16): ("<i2", -32768.0, 32767.0), (1, 32): ("<i4", -2147483648.0, 2147483647.0), (3, 32): ("<f4", -1.0, 1.0)}
 
 
-def read_wavs(spark: SparkSession, path: str | list[str], pattern: str = "*.wav", block: int = BLOCK_SAMPLES) -> DataFrame:
+#: Bytes of samples of one file that one task reads, and schemes whose files tasks can read in part.
+RANGE_BYTES = 32 << 20
+RANGED = ("file", "hdfs", "s3", "s3a", "gs")
+
+WAV_ROWS = "path string, sample_rate int, channels int, block long, samples array<double>"
+
+
+def _opened(path: str) -> tuple[Callable[[int, int], bytes], int]:
+    """(read_at, length) of a file that tasks can read in part."""
+    from pyarrow import fs
+
+    plain = path.replace("s3a://", "s3://", 1)
+    system, at = fs.FileSystem.from_uri("file://" + plain[5:] if plain.startswith("file:/") and not plain.startswith("file://") else plain)
+    file = system.open_input_file(at)
+    return (lambda place, size: file.read_at(max(0, min(size, file.size() - place)), place)), file.size()
+
+
+def _scaled(raw: bytes, kind: str, channels: int) -> np.ndarray:
+    """Samples as -1 .. 1, channels averaged."""
+    x = np.frombuffer(raw, kind).reshape(-1, channels).astype(np.float64)
+    lo, hi = next((lo, hi) for k, lo, hi in SAMPLE_KINDS.values() if k == kind)
+    return (x if kind == "<f4" else (x - lo) / (hi - lo) * 2 - 1).mean(axis=1)
+
+
+def read_wavs(spark: SparkSession, path: str | list[str], pattern: str = "*.wav", block: int = BLOCK_SAMPLES, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(path, sample_rate, channels, block, samples): audio as -1 .. 1, channels averaged, in blocks of block samples.
 
-    8-bit files are unsigned, 16- and 32-bit ones signed or, with 32 bits, floats that are passed on. A file is read by one task.
+    8-bit files are unsigned, 16- and 32-bit ones signed or, with 32 bits, floats that are passed on. Tasks read the heads of the files
+    first; then samples are read in ranges of about range_bytes, each by a task that reads nothing else, so a recording of any length
+    spreads over all of them and none holds it whole. In a store of another scheme than RANGED a file is read whole by one task.
     """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    first = listed.select("path").first()
+    if first is not None and first["path"].split(":", 1)[0] not in RANGED:
+        return _read_whole(listed, block)
 
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["path"]:
+                kind, channels, rate, begin, end = wav_layout(*_opened(name), name)
+                step = np.dtype(kind).itemsize * channels
+                blocks = max(1, range_bytes // (step * block))
+                count = (end - begin) // step
+                rows += [(name, rate, channels, kind, f // block, begin + f * step, min(count, f + blocks * block) - f) for f in range(0, count, blocks * block)]
+            yield pd.DataFrame(rows, columns=["path", "sample_rate", "channels", "kind", "block", "at", "n"])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, rate, channels, kind, number, at, n in pdf.itertuples(index=False):
+                read_at, _ = _opened(name)
+                step = np.dtype(kind).itemsize * channels
+                for k, f in enumerate(range(0, n, block)):
+                    y = _scaled(read_at(at + f * step, min(block, n - f) * step), kind, channels)
+                    yield pd.DataFrame({"path": [name], "sample_rate": [rate], "channels": [channels], "block": [number + k], "samples": [y]})
+
+    ranges = kept(listed.select("path").mapInPandas(plan, "path string, sample_rate int, channels int, kind string, block long, at long, n long"), "ranges")
+    tasks = max(1, ranges.count())
+    return ranges.repartition(min(tasks, 100_000), "path", "block").mapInPandas(read, WAV_ROWS)
+
+
+def _read_whole(listed: DataFrame, block: int) -> DataFrame:
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ranges = {kind: (lo, hi) for kind, lo, hi in SAMPLE_KINDS.values()}
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                kind, channels, rate, begin, end = wav_layout(content, name)
-                x = np.frombuffer(content, kind, (end - begin) // np.dtype(kind).itemsize, begin).reshape(-1, channels)
-                lo, hi = ranges[kind]
-                for first in range(0, len(x), block):
-                    part = x[first : first + block].astype(np.float64)
-                    y = (part if kind == "<f4" else (part - lo) / (hi - lo) * 2 - 1).mean(axis=1)
-                    yield pd.DataFrame({"path": [name], "sample_rate": [rate], "channels": [channels], "block": [first // block], "samples": [y]})
+                kind, channels, rate, begin, end = wav_layout(lambda place, size, c=content: c[place : place + size], len(content), name)
+                y = _scaled(content[begin:end], kind, channels)
+                for f in range(0, len(y), block):
+                    yield pd.DataFrame({"path": [name], "sample_rate": [rate], "channels": [channels], "block": [f // block], "samples": [y[f : f + block]]})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    return files.select("path", "content").mapInPandas(decode, "path string, sample_rate int, channels int, block long, samples array<double>")
+    return listed.select("path", "content").mapInPandas(decode, WAV_ROWS)
+
+
+def write_wavs(samples: DataFrame, path: str, sample_rate: int, length: int = BLOCK_SAMPLES) -> None:
+    """A signal of values from -1 to 1 as 16-bit WAV files below path, one for every length samples, named so that path order is sample order.
+
+    Each file is one task's; a task that runs again writes the same file again. path must be of a scheme in RANGED.
+    """
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        pdf = pdf.sort_values("sample_index")
+        raw = np.clip(np.rint((pdf["value"].to_numpy() + 1) / 2 * 65535 - 32768), -32768, 32767).astype("<i2").tobytes()
+        head = b"RIFF" + struct.pack("<I", 36 + len(raw)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, sample_rate, 2 * sample_rate, 2, 16) + b"data" + struct.pack("<I", len(raw))
+        name = f"{path.rstrip('/')}/{int(pdf['series_id'].iloc[0]):06d}-{int(pdf['part'].iloc[0]):012d}.wav"
+        system, at = fs.FileSystem.from_uri(name if "://" in name else "file://" + name.removeprefix("file:"))
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(at) as out:
+            out.write(head + raw)
+        return pd.DataFrame({"path": [name], "n": [len(pdf)]})
+
+    parts = samples.select("series_id", "sample_index", "value").withColumn("part", F.expr(f"sample_index div {length}"))
+    parts.groupBy("series_id", "part").applyInPandas(write, "path string, n long").write.format("noop").mode("overwrite").save()
 
 
 def load_signal(spark: SparkSession, paths: list[str], length: int, fps: float | None = None, count: int | None = None, pad: bool = True) -> DataFrame:

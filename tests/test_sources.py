@@ -57,6 +57,19 @@ def test_float_wav_passes_through(spark, tmp_path):
         files.read_wavs(spark, str(tmp_path), "c.wav").collect()
 
 
+def test_a_long_wav_is_read_in_ranges(spark, tmp_path):
+    """One recording by many tasks, each reading its own range, equal to the whole file read by one."""
+    rng = np.random.default_rng(2)
+    wav(tmp_path / "long.wav", rng.integers(-32768, 32768, 2 * 50_001), channels=2)
+    wav(tmp_path / "none.wav", [])
+    listed = spark.read.format("binaryFile").load(str(tmp_path))
+    ranged = files.read_wavs(spark, str(tmp_path), block=1000, range_bytes=16_000)
+    tasks = {r["t"] for r in ranged.select(F.spark_partition_id().alias("t")).distinct().collect()}
+    key = lambda df: sorted((r["path"], r["block"], r["channels"], r["samples"]) for r in df.collect())
+    assert key(ranged) == key(files._read_whole(listed, 1000)) and len(tasks) > 5
+    assert ranged.agg(F.sum(F.size("samples"))).first()[0] == 50_001
+
+
 def test_load_signal(spark, tmp_path):
     rng = np.random.default_rng(3)
     x, y = rng.integers(-9000, 9000, 500), rng.integers(-9000, 9000, 300)
