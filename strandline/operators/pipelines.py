@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,44 +137,63 @@ def over_threshold(x, threshold: float):
     return F.coalesce(x, F.lit(float("inf"))) > threshold
 
 
+@lru_cache(maxsize=64)
+def _sinc_weights(phases: bytes, cut: float, half_width: int, reach: int) -> np.ndarray:
+    """places x (2 reach + 1): the normalised kernel for outputs that lie at phases between two inputs."""
+    d = (np.arange(-reach, reach + 1)[None, :] - np.frombuffer(phases)[:, None]) * cut
+    weights = np.sinc(d) * np.where(np.abs(d) <= half_width, 0.5 + 0.5 * np.cos(np.pi * d / half_width), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _resampled(start: int, x: np.ndarray, first: int, last: int, ratio: float, cut: float, half_width: int, reach: int) -> np.ndarray:
+    """Outputs first .. last - 1 of a signal of which x, from place start on, is what their kernels reach; beyond x it is zero."""
+    centre = np.arange(first, last) / ratio
+    floor = np.floor(centre).astype(np.int64)
+    # outputs with the same place between two inputs share their weights; of a simple ratio there are few such places
+    phases, which = np.unique(np.round(centre - floor, 9), return_inverse=True)
+    weights = _sinc_weights(phases.tobytes(), cut, half_width, reach)
+    before, behind = max(0, start - int(floor[0]) + reach), max(0, int(floor[-1]) + reach + 1 - start - len(x))
+    padded = np.pad(x, (before, behind))
+    at = floor - reach - start + before
+    y = np.zeros(len(floor))
+    for k in range(2 * reach + 1):
+        y += weights[which, k] * padded[at + k]
+    return y
+
+
 def sinc_resample(samples: DataFrame, ratio: float, half_width: int = 16, block: int = 65_536) -> DataFrame:
-    """Band-limited resampling by ratio with a windowed-sinc kernel; int(n ratio) samples come out.
+    """Band-limited resampling by ratio with a windowed-sinc kernel; int(n ratio) samples come out. Sample numbers must be dense from 0.
 
-    Output is made in blocks; every input sample goes to the blocks whose kernels reach it, so one long signal spreads over all tasks.
+    Overlap and save: samples are gathered to blocks, arrays of block samples, where they stand; a block sends its first and last samples,
+    as far as a kernel reaches, to its neighbours, and makes the outputs whose centres it holds. A block is one row of every exchange, and
+    one long signal spreads over all tasks.
     """
     cut = min(1.0, ratio)
     reach = int(np.ceil(half_width / cut))
-    ends = samples.groupBy("series_id").agg((F.max("sample_index") + 1).alias("n"))
-    i = F.col("sample_index")
-    first = F.greatest(F.floor((i - reach) * ratio / block), F.lit(0))
-    last = F.greatest(F.floor((i + reach) * ratio / block), F.lit(0))
-    fed = samples.join(ends, "series_id").withColumn("blk", F.explode(F.sequence(first, last)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = int(int(pdf["n"].iloc[0]) * ratio)
-        at = np.arange(int(pdf["blk"].iloc[0]) * block, min(total, (int(pdf["blk"].iloc[0]) + 1) * block))
-        if not len(at):
-            return pd.DataFrame({"series_id": [], "sample_index": [], "value": []})
-        lo = int(pdf["sample_index"].min())
-        x = np.zeros(int(pdf["sample_index"].max()) - lo + 1)
-        x[pdf["sample_index"].to_numpy() - lo] = pdf["value"].to_numpy()
-        centre = at / ratio
-        floor = np.floor(centre).astype(np.int64)
-        # outputs with the same place between two inputs share their weights; of a simple ratio there are few such places
-        part, which = np.unique(np.round(centre - floor, 9), return_inverse=True)
-        steps = np.arange(-reach, reach + 1)
-        padded = np.concatenate([np.zeros(2 * reach + 1), x, np.zeros(2 * reach + 1)])
-        y, total_weight = np.zeros(len(at)), np.zeros(len(part))
-        for k in steps.tolist():
-            d = (k - part) * cut
-            weight = np.sinc(d) * np.where(np.abs(d) <= half_width, 0.5 + 0.5 * np.cos(np.pi * d / half_width), 0.0)
-            total_weight += weight
-            y += weight[which] * padded[np.clip(floor + k - lo + 2 * reach + 1, 0, len(padded) - 1)]
-        y /= total_weight[which]
-        return pd.DataFrame({"series_id": pdf["series_id"].iloc[0], "sample_index": at, "value": y})
-
+    block = max(block, reach)
     kind = samples.schema["series_id"].dataType.simpleString()
-    return fed.groupBy("series_id", "blk").applyInPandas(run, f"series_id {kind}, sample_index long, value double")
+    item = F.struct((F.col("sample_index") % block).cast("int").alias("pos"), F.col("value").cast("double").alias("value"))
+    gathered = samples.groupBy("series_id", F.expr(f"sample_index div {block}").alias("blk")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    blocks = kept(gathered.select("series_id", "blk", F.transform("items", lambda i: i["value"]).alias("x")), "blocks")
+    n = blocks.groupBy("series_id").agg(F.max(F.col("blk") * block + F.size("x")).alias("n"))
+    part = lambda to, start, x: F.struct(to.cast("long").alias("blk"), start.cast("long").alias("start"), x.alias("x"))
+    b, x = F.col("blk"), F.col("x")
+    edge = F.least(F.size("x"), F.lit(reach))
+    sent = F.array(part(b, b * block, x), part(b - 1, b * block, F.slice(x, F.lit(1), edge)), part(b + 1, b * block + F.size("x") - edge, F.slice(x, F.size("x") - edge + 1, edge)))
+    fed = join_small(blocks, n, "series_id").select("series_id", "n", F.explode(sent).alias("p")).where(F.col("p.blk").between(0, F.expr(f"(n - 1) div {block}")))
+    met = fed.groupBy("series_id", "n", F.col("p.blk").alias("blk")).agg(F.array_sort(F.collect_list(F.struct("p.start", "p.x"))).alias("parts"))
+    whole = met.select("series_id", "n", "blk", F.col("parts")[0]["start"].alias("start"), F.flatten(F.transform("parts", lambda p: p["x"])).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, blk, start = (batch[c][i].as_py() for c in ("n", "blk", "start"))
+                first, last = int(np.ceil(blk * block * ratio)), min(int(n * ratio), int(np.ceil((blk + 1) * block * ratio)))
+                if first < last:
+                    y = _resampled(start, np.asarray(batch["x"][i].values), first, last, ratio, cut, half_width, reach)
+                    yield pa.RecordBatch.from_arrays([batch["series_id"].take(pa.array(np.full(len(y), i))), pa.array(np.arange(first, last)), pa.array(y)], ["series_id", "sample_index", "value"])
+
+    return whole.mapInArrow(run, f"series_id {kind}, sample_index long, value double")
 
 
 def scale_audio(samples: DataFrame, sample_rate: float, length: int, fps: float | None = None, count: int | None = None, pad: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators.placement import placed
-from strandline.operators.sides import join_small
+from strandline.operators.sides import join_small, kept
 
 #: Frames of a series that one window task takes.
 BLOCK = 16_384
@@ -57,31 +57,48 @@ def rolling_sum(frames: DataFrame, size: int, value: str = "value", out: str = "
 def rolling_max(frames: DataFrame, share: int = 80, value: str = "value", out: str = "rolled", size: int | None = None, block: int | None = BLOCK) -> DataFrame:
     """Centred maximum over int(n / share) frames of an n-frame series (or size frames); size 0 is the value itself.
 
-    With size the windows are row frames, in blocks. Without it the size differs by series: a window of s frames that starts in one block
-    of s frames ends in the next, so its maximum is that of the rest of one block and the start of the other. Every frame sends its block's
-    maxima up to it and from it to the windows that they belong to; frame numbers must be dense from 0.
+    With size the windows are row frames, in blocks. Without it the size differs by series: frames are cut into blocks of so many frames
+    (or of the window, if that is shorter), and a window is the rest of the block where it starts, the whole blocks between, and the start
+    of the block where it ends. Every frame sends its block's maxima up to it and from it to the two windows that they belong to; maxima of
+    runs of whole blocks come from a table of the blocks, one row each, with the maxima of 1, 2, 4 ... blocks from each on. Frame numbers
+    must be dense from 0.
     """
     if size is not None:
         if size == 0:
             return frames.withColumn(out, F.col(value))
         return rolling(frames, size // 2, size - size // 2 - 1, lambda w: {out: F.max(value).over(w)}, block)
     sizes = frames.groupBy("series_id").agg((F.max("frame_index") + 1).cast("long").alias("_n"))
-    sizes = sizes.withColumn("_s", F.greatest(F.expr(f"_n div {share}"), F.lit(1)))
+    sizes = kept(sizes.withColumn("_s", F.greatest(F.expr(f"_n div {share}"), F.lit(1))).withColumn("_b", F.least("_s", F.lit(block or BLOCK))), "sizes")
     at, before = F.col("frame_index"), F.expr("_s div 2")
     behind = F.col("_s") - before - 1
-    placed = frames.join(sizes, "series_id").withColumn("_block", F.expr("frame_index div _s"))
+    placed = join_small(frames.select("series_id", "frame_index", value), sizes, "series_id").withColumn("_block", F.expr("frame_index div _b"))
     over = Window.partitionBy("series_id", "_block")
     upto = F.max(value).over(over.orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
     onward = F.max(value).over(over.orderBy(F.desc("frame_index")).rowsBetween(Window.unboundedPreceding, 0))
-    maxima = placed.withColumns({"_upto": upto, "_onward": onward})
-    # windows cut off at the end of the series end at its last frame; those that start in the last block hold only the rest of it
-    lo, hi = F.col("_n") - behind, F.least(F.col("_n") - 1, F.expr("(_n - 1) div _s * _s") + before)
     sent = lambda to, v: F.struct(to.cast("long").alias("to"), F.col(v).alias("v"))
-    ends = F.when((at == F.col("_n") - 1) & (lo <= hi), F.transform(F.sequence(lo, hi), lambda t: sent(t, "_upto")))
-    none = F.array().cast(f"array<struct<to:bigint,v:{frames.schema[value].dataType.simpleString()}>>")
-    fed = maxima.select("series_id", "_n", F.explode(F.concat(F.array(sent(at + before, "_onward"), sent(at - behind, "_upto")), F.coalesce(ends, none))).alias("m"))
-    best = fed.where("m.to >= 0 and m.to < _n").groupBy("series_id", F.col("m.to").alias("frame_index")).agg(F.max("m.v").alias(out))
-    return frames.join(best, ["series_id", "frame_index"])
+    fed = placed.withColumns({"_upto": upto, "_onward": onward}).select("series_id", "_n", F.explode(F.array(sent(at + before, "_onward"), sent(at - behind, "_upto"))).alias("m"))
+    edges = fed.where("m.to >= 0 and m.to < _n").groupBy("series_id", F.col("m.to").alias("frame_index")).agg(F.max("m.v").alias("_edge"))
+
+    widest = sizes.agg(F.max(F.expr("_s div _b"))).first()[0] or 1
+    steps = int(widest + 1).bit_length()
+    order = Window.partitionBy("series_id").orderBy("_block")
+    table = placed.groupBy("series_id", "_block").agg(F.max(value).alias("_m0"))
+    for k in range(steps):
+        table = table.withColumn(f"_m{k + 1}", F.greatest(f"_m{k}", F.lead(f"_m{k}", 1 << k).over(order)))
+    runs = table.select("series_id", "_block", F.array(*[f"_m{k}" for k in range(steps + 1)]).alias("_runs"))
+
+    lo, hi = at - before, at + behind
+    low = F.when(lo < 0, F.lit(0)).otherwise(F.floor(lo / F.col("_b")) + 1)
+    high = F.when(hi >= F.col("_n"), F.expr("(_n - 1) div _b")).otherwise(F.floor(hi / F.col("_b")) - 1)
+    spans = join_small(frames, sizes, "series_id").withColumns({"_low": low.cast("long"), "_high": high.cast("long")})
+    many = F.col("_high") - F.col("_low") + 1
+    power = F.when(many > 0, F.floor(F.log2(many.cast("double"))).cast("int"))
+    spans = spans.withColumn("_k", power).withColumn("_second", F.when(many > 0, F.col("_high") - F.pow(F.lit(2.0), F.col("_k")).cast("long") + 1))
+    side = lambda name: runs.select("series_id", F.col("_block").alias(name), F.col("_runs").alias(f"_runs{name}"))
+    joined = join_small(join_small(spans, side("_low"), ["series_id", "_low"], "left"), side("_second"), ["series_id", "_second"], "left")
+    inside = F.greatest(F.element_at("_runs_low", F.col("_k") + 1), F.element_at("_runs_second", F.col("_k") + 1))
+    found = joined.withColumn("_inside", F.when(F.col("_k").isNotNull(), inside)).join(edges, ["series_id", "frame_index"])
+    return found.withColumn(out, F.greatest("_inside", "_edge")).select(*[c for c in frames.columns if c != out], out)
 
 
 def running_total(frames: DataFrame, value: str = "value", out: str = "total", block: int = 4096) -> DataFrame:

@@ -192,6 +192,13 @@ def j10_near_signatures(spark, sf):
     return joins.near_signatures(joins.signature(src), "label", 22)
 
 
+@query(with_tables("embx", SIGNED + ", s AS (SELECT sg.*, e.label FROM sg JOIN embeddings e ON e.vec_id = frame_index), p AS (SELECT a.frame_index AS left_frame, b.frame_index AS right_frame, CAST(" + " + ".join(f"bit_count(xor(a.s{k}, b.s{k}))" for k in range(4)) + " AS INTEGER) AS distance FROM s a JOIN s b ON a.frame_index < b.frame_index) SELECT * FROM p WHERE distance <= 15"))
+def j10_signature_lookup(spark, sf):
+    """Near pairs of the whole table as one label, all looked up by words."""
+    signed = joins.signature(fx.emb(spark, sf).withColumnRenamed("series_id", "label"))
+    return joins.near_signatures(signed, "label", 15, lookup_from=0)
+
+
 LINES = ", li AS (SELECT projection_id, frame_index, step, sum(abs(fin - v)) AS line FROM psx GROUP BY ALL)"
 
 

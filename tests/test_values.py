@@ -222,3 +222,54 @@ def test_small_sides_are_broadcast_only_below_a_bound(spark):
             assert kind in out._jdf.queryExecution().executedPlan().toString() and out.count() == series.count()
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("block", [3, 16, 100_000])
+def test_rolling_maximum_from_blocks(spark, block):
+    """Windows of many whole blocks, of part of one block, and cut off at both ends."""
+    rng = np.random.default_rng(6)
+    data = {s: rng.normal(size=n) for s, n in enumerate([1, 5, 90, 400])}
+    frames = spark.createDataFrame([(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)], "series_id int, frame_index long, value double")
+    for share in (2, 4, 80):
+        got = {(r["series_id"], r["frame_index"]): r["m"] for r in windows.rolling_max(frames, share, out="m", block=block).collect()}
+        want = {}
+        for s, x in data.items():
+            size = max(1, len(x) // share)
+            for i in range(len(x)):
+                want[s, i] = x[max(0, i - size // 2) : i + size - size // 2].max()
+        assert got == want
+
+
+@pytest.mark.parametrize("limit", [0, 3, 6, 9, 13, 15])
+def test_signature_lookup_is_all_pairs(spark, limit):
+    rng = np.random.default_rng(limit)
+    base = rng.integers(0, 1 << 16, (12, 4))
+    rows = []
+    for i in range(150):
+        word = base[i % 12].copy()
+        for bit in rng.choice(64, rng.integers(0, 9), replace=False):
+            word[bit // 16] ^= 1 << (bit % 16)
+        rows.append((i, i % 2, *word.tolist()))
+    signed = spark.createDataFrame(rows, "frame_index long, label int, s0 int, s1 int, s2 int, s3 int")
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(a[2:], b[2:], strict=True))
+    want = sorted((a[0], b[0], apart(a, b)) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and apart(a, b) <= limit)
+    assert len(want) > 5 or limit < 3
+    for lookup in (0, 10**9, 75 if limit > 3 else 74):
+        assert sorted(tuple(r) for r in joins.near_signatures(signed, "label", limit, cell=20, lookup_from=lookup).collect()) == want
+
+
+@pytest.mark.parametrize("ratio", [2.5, 0.7, 0.125])
+def test_resampling_in_blocks_is_resampling_at_once(spark, ratio):
+    rng = np.random.default_rng(1)
+    data = {s: rng.normal(size=n) for s, n in enumerate([1, 37, 900])}
+    samples = spark.createDataFrame([(s, i, float(v)) for s, x in data.items() for i, v in enumerate(x)], "series_id int, sample_index long, value double").repartition(4)
+    cut, reach = min(1, ratio), int(np.ceil(16 / min(1, ratio)))
+    for block in (64, 65_536):
+        got = {(r["series_id"], r["sample_index"]): r["value"] for r in pipelines.sinc_resample(samples, ratio, block=block).collect()}
+        assert set(got) == {(s, t) for s, x in data.items() for t in range(int(len(x) * ratio))}
+        for (s, t), v in got.items():
+            x, mid = data[s], int(np.floor(t / ratio))
+            d = (np.arange(mid - reach, mid + reach + 1) - t / ratio) * cut
+            w = np.sinc(d) * np.where(np.abs(d) <= 16, 0.5 + 0.5 * np.cos(np.pi * d / 16), 0)
+            inside = [(k, a) for k, a in zip(range(mid - reach, mid + reach + 1), w, strict=True) if 0 <= k < len(x)]
+            assert abs(v - sum(a * x[k] for k, a in inside) / w.sum()) < 1e-8
