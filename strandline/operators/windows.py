@@ -76,10 +76,19 @@ def rolling_max(frames: DataFrame, share: int = 80, value: str = "value", out: s
     upto = F.max(value).over(over.orderBy("frame_index").rowsBetween(Window.unboundedPreceding, 0))
     onward = F.max(value).over(over.orderBy(F.desc("frame_index")).rowsBetween(Window.unboundedPreceding, 0))
     sent = lambda to, v: F.struct(to.cast("long").alias("to"), F.col(v).alias("v"))
-    fed = placed.withColumns({"_upto": upto, "_onward": onward}).select("series_id", "_n", F.explode(F.array(sent(at + before, "_onward"), sent(at - behind, "_upto"))).alias("m"))
+    maxima = placed.withColumns({"_upto": upto, "_onward": onward})
+    both = F.array(sent(at + before, "_onward"), sent(at - behind, "_upto"))
+    widest = sizes.agg(F.max(F.ceil(F.col("_s") / F.col("_b")))).first()[0] or 1
+    if widest == 1:
+        # no window is longer than a block, so those cut off at the end need the last frame's maximum alone: at most half a block of them
+        first, last = F.col("_n") - behind, F.least(F.col("_n") - 1, F.expr("(_n - 1) div _s * _s") + before)
+        ends = F.when((at == F.col("_n") - 1) & (first <= last), F.transform(F.sequence(first, last), lambda t: sent(t, "_upto")))
+        both = F.concat(both, F.coalesce(ends, F.array().cast(f"array<struct<to:bigint,v:{frames.schema[value].dataType.simpleString()}>>")))
+    fed = maxima.select("series_id", "_n", F.explode(both).alias("m"))
     edges = fed.where("m.to >= 0 and m.to < _n").groupBy("series_id", F.col("m.to").alias("frame_index")).agg(F.max("m.v").alias("_edge"))
+    if widest == 1:
+        return frames.drop(out).join(edges.withColumnRenamed("_edge", out), ["series_id", "frame_index"])
 
-    widest = sizes.agg(F.max(F.expr("_s div _b"))).first()[0] or 1
     steps = int(widest + 1).bit_length()
     order = Window.partitionBy("series_id").orderBy("_block")
     table = placed.groupBy("series_id", "_block").agg(F.max(value).alias("_m0"))
