@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,17 +29,19 @@ def scratch_root(spark: SparkSession) -> str:
     return _OWN_ROOT[app]
 
 
-#: Texts of one Arrow batch; Spark's default of 10,000 has no bound in bytes, and one batch stands in the JVM and in Python at once.
-TEXT_ROWS = 1000
-_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one Arrow batch in this subpackage's own queries and stages: a batch stands in the JVM and in Python at once.
+BATCH_BYTES = 2 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def text_batches(docs: DataFrame) -> DataFrame:
-    """docs, with this session's Arrow batches lowered to TEXT_ROWS rows (a lower setting stays); for operators that send texts to Python."""
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(_BATCH_ROWS)) <= TEXT_ROWS:
-        conf.set(_BATCH_ROWS, TEXT_ROWS)
-    return docs
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on bytes of an Arrow batch to BATCH_BYTES. For applications: operators leave the session as it is.
+
+    Spark's own bound is 64 MB, which two cores of a small executor can just hold; results are the same under any bound.
+    """
+    now = int(spark.conf.get(_BATCH_CONF).lower().rstrip("b"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, BATCH_BYTES)
 
 
 class Scratch:
@@ -73,12 +73,6 @@ def crc_mod(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % n
 
 
-def cheap_parts(df: DataFrame, bytes_each: int, per_row: Column) -> int:
-    """Partitions so that each holds about bytes_each of sum(per_row)."""
-    total = df.agg(F.sum(per_row.cast("double"))).first()[0] or 0.0
-    return max(1, int(-(-total // bytes_each)))
-
-
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(a, b) links between long or binary ids to (node, root): root is the smallest id reachable. Nodes without a link are not returned.
 
@@ -104,18 +98,6 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     raise RuntimeError("connected_components: no fixed point; raise max_rounds")
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int):
-    """Consecutive pieces of batch with about limit bytes of text each; a longer text stays whole."""
-    if batch.num_rows == 0:
-        return
-    col = batch.column(batch.schema.get_field_index(text))
-    sizes = np.asarray(col.fill_null("").cast(pa.large_binary()).value_lengths() if hasattr(col, "value_lengths") else pa.compute.binary_length(col.fill_null("")), dtype=np.int64)
-    ends = np.cumsum(sizes) // max(1, limit)
-    cuts = np.flatnonzero(np.diff(ends)) + 1
-    for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def blob_of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column without nulls: one flat uint8 array and where each value starts and ends."""
     col = col.cast(pa.large_binary())
@@ -134,10 +116,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)
-
-
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")

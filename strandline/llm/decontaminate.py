@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, text_batches
+from strandline.llm.common import Scratch
 
 Q, EDIT_RATE = 10, 0.08
 #: Items are sent to the executors in blocks of about so many bytes of text; a larger benchmark takes several passes over the documents.
@@ -76,10 +76,17 @@ class ItemIndex:
     #: The items' letters one after another, and where each item starts.
     flat: np.ndarray
     starts: np.ndarray
+    #: Items of fewer than Q characters, which are searched as whole words: ids by the item's words, by their number.
+    short: dict[int, dict[tuple[str, ...], list]]
 
     @staticmethod
     def build(rows: list[tuple[object, str]]) -> "ItemIndex":
-        kept = [(i, t) for i, t in ((i, normalise(t or "")) for i, t in rows) if len(t) >= Q]
+        plain = [(i, normalise(t or "")) for i, t in rows]
+        kept = [(i, t) for i, t in plain if len(t) >= Q]
+        short: dict[int, dict[tuple[str, ...], list]] = {}
+        for i, t in plain:
+            if 0 < len(t) < Q:
+                short.setdefault(t.count(" ") + 1, {}).setdefault(tuple(t.split(" ")), []).append(i)
         hashes = [gram_hashes(t) for _, t in kept]
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         items = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])
@@ -90,11 +97,21 @@ class ItemIndex:
         table[flat >> np.uint64(64 - _BITS)] = True
         sizes = np.array([len(t) for _, t in kept], np.int64)
         budgets = np.array([edit_budget(m) for m in sizes.tolist()], np.int64)
-        return ItemIndex([i for i, _ in kept], [t for _, t in kept], table, keys, (gram * max(1, len(kept)) + items)[order], offsets[order], sizes, budgets, letters("".join(t for _, t in kept)), np.cumsum(sizes) - sizes)
+        return ItemIndex([i for i, _ in kept], [t for _, t in kept], table, keys, (gram * max(1, len(kept)) + items)[order], offsets[order], sizes, budgets, letters("".join(t for _, t in kept)), np.cumsum(sizes) - sizes, short)
 
     def find(self, text: str) -> list[tuple[object, int]]:
         """(item id, edits) of each item that occurs within its budget."""
         raw = normalise(text)
+        return self._whole_words(raw) + self._near(raw)
+
+    def _whole_words(self, raw: str) -> list[tuple[object, int]]:
+        """Items too short for q-grams that stand in a normalised text as whole words, without an edit."""
+        if not self.short:
+            return []
+        words = raw.split(" ")
+        return [(i, 0) for n, held in self.short.items() for key in held.keys() & set(zip(*(words[k:] for k in range(n)))) for i in held[key]]
+
+    def _near(self, raw: str) -> list[tuple[object, int]]:
         h = gram_hashes(raw)
         at = np.flatnonzero(self.table[h >> np.uint64(64 - _BITS)])
         if not len(at) or not len(self.keys):
@@ -117,7 +134,8 @@ class ItemIndex:
     def _candidates(self, at: np.ndarray, slot: np.ndarray, first: int, last: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(item, begin, end) of text parts whose bands reach the bound, for items first .. last - 1 and hits at places of the text.
 
-        Too many hits at once are taken in parts: first by items, then by overlapping parts of the text.
+        Too many hits at once are taken in parts: first by items, then by overlapping parts of the text. Where one item has too many in a
+        part of the text that is short already, both repeat themselves, and grams are counted without making their pairs.
         """
         n = len(self.ids)
         begin, end = np.searchsorted(self.places, slot * n + first), np.searchsorted(self.places, slot * n + last)
@@ -136,6 +154,9 @@ class ItemIndex:
             yield from self._candidates(at[left], slot[left], first, last)
             yield from self._candidates(at[right], slot[right], first, last)
             return
+        if total > MAX_HITS:
+            yield from self._bands_of_repeats(at, slot, begin, end, first)
+            return
         where = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(total)
         item, offset = self.places[where] % n, self.offsets[where].astype(np.int64)
         diagonal = np.repeat(at, many) - offset
@@ -165,6 +186,27 @@ class ItemIndex:
         item, e = item[full], self.budgets[item[full]]
         yield item, np.maximum(0, low[full] - e), high[full] + self.sizes[item] + e
 
+    def _bands_of_repeats(self, at: np.ndarray, slot: np.ndarray, begin: np.ndarray, end: np.ndarray, item: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for one item, gram by gram: a place of the item counts in a band if its gram's first place in the text from the band's start on lies inside it."""
+        m, e = int(self.sizes[item]), int(self.budgets[item])
+        width = max(1, e)
+        bands = np.arange((int(at[0]) - m) // width - 1, int(at[-1]) // width + 1)
+        counts, low, high = np.zeros(len(bands), np.int64), np.full(len(bands), 1 << 60), np.full(len(bands), -(1 << 60))
+        by = np.argsort(slot, kind="stable")
+        for here in np.split(by, np.flatnonzero(np.diff(slot[by])) + 1):
+            text, places = at[here], self.offsets[begin[here[0]] : end[here[0]]].astype(np.int64)
+            step = max(1, MAX_CELLS // len(bands))
+            for k in range(0, len(places), step):
+                part = places[k : k + step, None]
+                start = part + bands[None, :] * width
+                a, b = np.searchsorted(text, start), np.searchsorted(text, start + 2 * width)
+                some = b > a
+                counts += some.sum(axis=0)
+                low = np.minimum(low, np.where(some, text[np.minimum(a, len(text) - 1)] - part, 1 << 60).min(axis=0))
+                high = np.maximum(high, np.where(some, text[np.maximum(b, 1) - 1] - part, -(1 << 60)).max(axis=0))
+        full = counts >= self._bound(np.array([item]))[0]
+        yield np.full(int(full.sum()), item), np.maximum(0, low[full] - e), high[full] + m + e
+
     def _bound(self, item: np.ndarray) -> np.ndarray:
         return self.sizes[item] + 1 - Q * (self.budgets[item] + 1)
 
@@ -274,8 +316,9 @@ def _clean_of(docs: DataFrame, rows: list[tuple]):
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, contaminated, n_items, least_edits (null if none), items (`item:edits` joined by commas, in item order).
 
-    A null or empty text is clean. Lengths, q-grams and edits are of characters after normalise(). Items under Q characters are no
-    evidence and are never searched for. Repeated rows and null ids are rows of their own, repeated items count each. An empty table gives
+    A null or empty text is clean. Lengths, q-grams and edits are of characters after normalise(). Items of fewer than Q characters have no
+    q-gram; they occur where their words stand in a row, without edits. Items without a letter or digit are none. Texts and items may be of
+    any length and repeat themselves: what is held at once is bounded by MAX_HITS and MAX_CELLS. Repeated rows and null ids are rows of their own, repeated items count each. An empty table gives
     an empty result, an empty benchmark clean rows. A benchmark over block_bytes takes one pass a block, and each row carries what the
     passes before found (a table in the shared folder), so the answer doesn't depend on the blocks.
     """
@@ -283,7 +326,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     kind = benchmark.select(item).schema[0].dataType.simpleString()
     if kind not in ("bigint", "int", "string"):
         item, kind = item.cast("string"), "string"
-    rows = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(f"array<struct<item:{kind},edits:bigint>>").alias("found"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast(f"array<struct<item:{kind},edits:bigint>>").alias("found"))
     scratch, last = Scratch(docs.sparkSession, "contamination"), None
     for block in item_blocks(benchmark.select(item.alias(item_col), F.col(item_text_col).alias("_t")), item_col, "_t", block_bytes):
         if last is not None:
@@ -303,7 +346,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     Null and empty texts stay, null ids and repeated rows are judged like any other; only texts go to Python.
     """
-    out, scratch, before = text_batches(docs), Scratch(docs.sparkSession, "clean"), None
+    out, scratch, before = docs, Scratch(docs.sparkSession, "clean"), None
     for k, block in enumerate(item_blocks(benchmark, item_col, item_text_col, block_bytes)):
         if k:
             kept = scratch.keep(out)

@@ -1,9 +1,10 @@
 """Language identification by hierarchical discrimination.
 
 First a linear SVM per language family picks the family; then one-versus-one linear SVMs among the languages of that family vote for
-the language. Both read one vector of hashed character trigrams of the whole text. Margins only say which language fits best, so a text
-is also held against the trigram frequencies of each language and is undetermined if it fits none. The models are fitted on the driver
-on a bounded sample of labelled texts, some of every language however rare; prediction is one pass over the texts without a shuffle.
+the language. Both read one vector of hashed character trigrams of the whole text. The models are fitted on the driver on a bounded sample of
+labelled texts, some of every language however rare; prediction is one pass over the texts without a shuffle, a few texts at a time as one
+matrix product. Margins only say which language fits best, so keep_identified(), which lets documents go, also holds a text against the trigram
+frequencies of each language; identify() always answers with the best one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import LETTER, crc_mod, text_batches
+from strandline.llm.common import LETTER, crc_mod
 
 #: Language families by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -35,6 +36,8 @@ FAMILIES = {
 #: fewer than LEAST_PER_LANG (where there are as many). Every language that has a row is learned.
 SAMPLE_PER_LANG, MAX_SAMPLE, LEAST_PER_LANG = 250, 4000, 8
 BITS = 13
+#: Texts that are judged by one matrix product, and bytes of a text that are counted at once.
+STACK, SLICE_BYTES = 64, 1 << 20
 #: A text fits a language if the mean log frequency of its words' trigrams, with FIT_SIGMAS standard errors for its length added, is at most FIT_SLACK
 #: below what all but FIT_SHARE of the language's sample reach when each half is scored by the other one. Fewer rows set no bound.
 FIT_SHARE, FIT_SLACK, FIT_SIGMAS, FIT_ROWS = 0.1, 2.0, 3.0, 4
@@ -44,9 +47,12 @@ _WORD = re.compile(r"\w+")
 
 def features(text: str) -> np.ndarray:
     """Square roots of hashed byte-trigram counts of the lower-cased text, scaled to length 1."""
-    raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
-    codes = (raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS)
-    x = np.sqrt(np.bincount(codes, minlength=1 << BITS).astype(np.float32))
+    counts = np.zeros(1 << BITS, np.int64)
+    raw = f" {text.lower()} ".encode("utf-8", "replace")
+    for at in range(0, len(raw) - 2, SLICE_BYTES):  # a very long text is counted in slices that share two bytes
+        part = np.frombuffer(raw, np.uint8, min(SLICE_BYTES + 2, len(raw) - at), at).astype(np.uint32)
+        counts += np.bincount((part[:-2] * np.uint32(0x9E3779B1) + part[1:-1] * np.uint32(0x85EBCA77) + part[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(32 - BITS), minlength=1 << BITS)
+    x = np.sqrt(counts.astype(np.float32))
     return x / max(np.float32(1e-12), np.sqrt(np.float32(x @ x)))
 
 
@@ -89,10 +95,15 @@ class Hierarchy:
     spread: np.ndarray | None = None
     least: np.ndarray | None = None
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """(language, score); `und` and 0 if the text fits no language."""
-        x = features(text)
-        margins = (self.weights[:, :-1] @ x + self.weights[:, -1]).astype(float)
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, score) of each text: the best family's best language, however little the text looks like it."""
+        out = []
+        for at in range(0, len(texts), STACK):
+            x = np.stack([features(t) for t in texts[at : at + STACK]])
+            out += [self._decide(m) for m in (x @ self.weights[:, :-1].T + self.weights[:, -1]).astype(float)]
+        return out
+
+    def _decide(self, margins: np.ndarray) -> tuple[str, float]:
         names = list(self.langs)
         if len(names) == 1:
             family, score = names[0], 1.0
@@ -107,13 +118,13 @@ class Hierarchy:
             votes[a][1] += m
             votes[b][1] -= m
         best = min(votes, key=lambda k: (-votes[k][0], -votes[k][1], k))
-        if best in self.bounded and not self.fits(text):
-            return "und", 0.0
         least = min((m if best == a else -m for (a, b), at in self.pair_at.items() if best in (a, b) for m in [margins[at]]), default=None)
         return best, float(score if least is None else score * _sure(2 * least))
 
     def fits(self, text: str) -> bool:
-        """Whether the words of text reach the bound of any language; true if there are none."""
+        """Whether the words of text reach the bound of any language; true if there are no words, or no bounds."""
+        if self.logs is None:
+            return True
         found, n = word_trigrams(text)
         return not n or bool((self.logs[:, found["at"]] @ found["share"] + FIT_SIGMAS * self.spread / np.sqrt(n) >= self.least).any())
 
@@ -225,28 +236,38 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
 
 
 def predict(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, lang_pred, score. `und` with score 0 if the text is null, has no letter or fits no language, or if there is no model.
+    """Per row: doc_id, lang_pred, score. `und` with score 0 if the text is null or has no letter, or if there is no model.
 
-    Repeated rows give a row each and a null id stays null. An empty table gives an empty result.
+    Any other text gets a language of the model, its score saying how clear that was. Repeated rows give a row each and a null id stays
+    null; texts count whole, very long ones in slices. An empty table gives an empty result.
     """
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [model.predict(t.as_py()) if ok.as_py() and model else ("und", 0.0) for t, ok in zip(batch.column(1), batch.column(2), strict=True)]
+            asked = np.flatnonzero(np.asarray(batch.column(2))) if model else np.zeros(0, np.int64)
+            got = [("und", 0.0)] * batch.num_rows
+            for a in range(0, len(asked), STACK):
+                some = asked[a : a + STACK]
+                for i, found in zip(some.tolist(), model.predict(batch.column(1).take(pa.array(some)).to_pylist()), strict=True):
+                    got[i] = found
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("has_letter"))
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(LETTER), F.lit(False)).alias("has_letter"))
     return picked.mapInArrow(judge, f"doc_id {picked.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
-    """Per row: doc_id, held_out, lang_pred, score; learned from rows whose crc32(id as text) modulo folds isn't 0."""
+    """Per row: doc_id, held_out, lang_pred, score; learned from rows whose crc32(id as text) modulo folds isn't 0.
+
+    lang_pred is `und`, score 0, for null and letter-free texts alone, or where no row teaches anything. Null ids are not held out; repeated
+    rows get a row each, and the same text the same answer, whatever its id, source or label. An empty table gives an empty result.
+    """
     model = train(docs.where(crc_mod(F.col(id_col), folds) != 0), text_col, lang_col)
     return predict(docs, model, id_col, text_col).select("doc_id", (crc_mod(F.col("doc_id"), folds) == 0).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.2) -> DataFrame:
-    """docs without the rows whose language isn't determined or scores under min_score; all columns stay as they are.
+    """docs without the rows that fit no language or score under min_score; all columns stay as they are.
 
     Null, empty and letter-free texts go; a null id or language doesn't matter; repeated rows are judged alike. Only texts go to Python.
     """
@@ -254,6 +275,10 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     @F.arrow_udf("boolean")
     def known(texts: pa.Array) -> pa.Array:
-        return pa.array([t.is_valid and bool(model) and model.predict(t.as_py())[1] >= min_score for t in texts], pa.bool_())
+        out = []
+        for at in range(0, len(texts) if model else 0, STACK):
+            some = texts.slice(at, STACK).to_pylist()
+            out += [score >= min_score and (lang not in model.bounded or model.fits(t)) for (lang, score), t in zip(model.predict(some), some, strict=True)]
+        return pa.array(out if model else [False] * len(texts), pa.bool_())
 
-    return text_batches(docs).where(F.col(text_col).rlike(LETTER)).where(known(F.col(text_col)))
+    return docs.where(F.col(text_col).rlike(LETTER)).where(known(F.col(text_col)))

@@ -6,6 +6,8 @@ open bin (sequence) whose choice makes the sum over gaps g of N(g)^2 smallest, N
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections import defaultdict
@@ -17,28 +19,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import Scratch, text_batches
+from strandline.llm.common import Scratch
 
 CAPACITY, END_ID = 2048, 0
 #: Pieces that one packing group holds on average; the bins left open at a group's end are what grouping costs.
 GROUP_ROWS = 40_000
-#: Fixed value: the pre-tokenizer's pattern of the byte-level tokenizer file.
+#: Fixed value: the pattern by which a byte-level pre-tokenizer (with its pattern on and no prefix blank) splits a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 _TOKENIZERS: dict[str, "TextIds"] = {}
 
 
+#: Runs of white space from this length on are taken out before the pattern is matched: its look-ahead keeps a step back for each character.
+LONG_BLANK = 10_000
+#: White space of the pattern: Unicode's White_Space, which is not Python's.
+_BLANK = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_RUN = re.compile(f"{_BLANK}{{{LONG_BLANK},}}")
+
+
 class TextIds:
     """Ids of whole texts under a byte-level BPE tokenizer file.
 
     The file's own vocabulary is loaded as ranks into the faster of the two installed byte-level encoders; the tests hold its ids to
-    those of the first. As there, the string of an added token in a text is that token.
+    those of the first. As there, the string of an added token in a text is that token. A file that doesn't split texts by PATTERN is an error.
     """
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        split = said.get("pre_tokenizer") or {}
+        if said.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or said["model"].get("type", "BPE") != "BPE":
+            raise ValueError(f"{path}: only byte-level BPE files with the usual pattern, no prefix blank and no normaliser can be used")
         as_byte = {shown: b for b, shown in enumerate(_byte_letters())}
         file = Tokenizer.from_file(path)
         added = {t.content: i for i, t in file.get_added_tokens_decoder().items()}
@@ -46,7 +60,21 @@ class TextIds:
         self.bpe = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.array(array("I", self.bpe.encode(text, allowed_special="all")), np.uint32)
+        if len(text) < LONG_BLANK:
+            return np.array(array("I", self.bpe.encode(text, allowed_special="all")), np.uint32)
+        parts, done = array("I"), 0
+        for run in _LONG_RUN.finditer(text):
+            # white space before a word gives up its last character to it, at the end of the text it is one piece
+            end = run.end() - (run.end() < len(text))
+            parts.extend(self.bpe.encode(text[done : run.start()], allowed_special="all"))
+            parts.extend(self.blanks(text[run.start() : end]))
+            done = end
+        parts.extend(self.bpe.encode(text[done:], allowed_special="all"))
+        return np.array(parts, np.uint32)
+
+    def blanks(self, run: str) -> list[int]:
+        """Ids of a run of white space, which is one piece."""
+        return self.bpe._encode_single_piece(run)
 
 
 def _byte_letters() -> list[str]:
@@ -120,13 +148,13 @@ def _pieces(path: str, capacity: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null or empty text is the end id alone; a null id stays null. Full pieces are sequences of their own and are not shuffled: they are
+    A null or empty text is the end id alone; a null id stays null. Texts are encoded whole, however long they or their runs of white space are. Full pieces are sequences of their own and are not shuffled: they are
     named by partition and place, below zero. The others, at most one of each document, are spread over groups by a hash of all but their
     text and a row number, so that no source, id or repeated row fills one; within a group they are placed from the longest to the
     shortest. Repeated rows are packed as documents of their own. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    picked = text_batches(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = picked.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     # texts are encoded once; both ways on read what was written

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm import chat_format, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, merkle, near_vectors, packing, ranked_search, secret_scan, suffix_dedup, url_filter
+from strandline.llm.common import bound_batches
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -1,15 +1,14 @@
 """URL filters: host and path rules first, then logistic regression on hashed character n-grams, in DataFrame functions only.
 
-The regression is fitted on a small labelled table of URLs (a parameter; labelled_urls.csv by default, invented sites that no given table
-holds): their n-grams are hashed by the same Spark expression that scores pages, at most MAX_LABELLED rows come to the driver, and the
-weights (a fixed number, 2^BITS) go back as one constant array.
+The regression is fitted on a small labelled table of URLs (a parameter; by default labelled_urls(), sites invented by a rule from words
+of trades that block lists and link collections name, without a look at any table that is to be judged): their n-grams are hashed by the same
+Spark expression that scores pages, at most MAX_LABELLED rows come to the driver, and the weights (a fixed number, 2^BITS) go back as one
+constant array.
 """
 
 from __future__ import annotations
 
-import csv
 import math
-from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +20,33 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the query, action and rule (host, then the path's start).
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
-#: The labelled table that is used if none is given: url, and 1 if it is to be blocked.
-LABELLED = Path(__file__).with_name("labelled_urls.csv")
+#: Words of invented sites: what they deal in, what such sites add to their names, and where their pages stand; to be blocked, and clean.
+BLOCKED = (
+    "poker roulette jackpot blackjack wager lottery slots bingo viagra cialis steroid slimming replica counterfeit warez keygen crack torrent nulled hacktool "
+    "popunder clickbait botnet phish sexcam porn escort hookup nude payday forex doubler giveaway prize quickcash getrich miracle weightloss".split(),
+    "bonus vip hot mega 24 online deals cash king club xl best".split(),
+    ["/go", "/bonus/claim", "/out?id=3", "/hot/new", "/signup/now", "/vip/1", "/offer/2", "/buy/now", "/click/9", ""],
+)
+CLEAN = (
+    "library museum garden recipe weather university school physics history bakery cycling hiking orchestra theatre council railway hospital astronomy chess "
+    "knitting pottery birdwatch gazette herald chronicle journal atlas dictionary grammar botany geology harbour parish festival observatory aquarium forest choir".split(),
+    "society trust guide notes review centre college town house field group works".split(),
+    ["/about", "/articles/2021/05", "/docs/intro", "/wiki/page", "/news/story-7.html", "/events/12", "/contact", "/people/8", "/en/start", ""],
+)
+ENDINGS = ("example", "test", "example.org", "example.net", "invalid")
+
+
+def labelled_urls(each: int = 6) -> list[tuple[str, int]]:
+    """(url, 1 to block, else 0): each sites for every word, with a second word, an ending and a path dealt out in turn."""
+    rows = []
+    for label, (words, more, paths) in ((1, BLOCKED), (0, CLEAN)):
+        for i, word in enumerate(words):
+            for k in range(each):
+                n = i * each + k
+                second, front = more[(5 * i + 7 * k) % len(more)], ("", "www.", "shop.", "m.", "blog.")[n % 5]
+                name = f"{word}{'-' if n % 3 == 0 else ''}{second}" if n % 4 else f"{second}{'-' if n % 3 == 0 else ''}{word}"
+                rows.append((f"https://{front}{name}.{ENDINGS[(3 * i + k) % len(ENDINGS)]}{paths[(i + 3 * k) % len(paths)]}", label))
+    return rows
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -85,9 +109,8 @@ def probability(slots: Column, weights: list[float]) -> Column:
 
 
 def default_labelled(spark: SparkSession) -> DataFrame:
-    """LABELLED, read on the driver: it comes with the library and has a few hundred rows at most."""
-    with LABELLED.open(newline="") as f:
-        return spark.createDataFrame([(r["url"], int(r["label"])) for r in csv.DictReader(f)], "url string, label int")
+    """labelled_urls() as a table; a few hundred rows."""
+    return spark.createDataFrame(labelled_urls(), "url string, label int")
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame | None = None, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url", cut: float = 0.5) -> DataFrame:

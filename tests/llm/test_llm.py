@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
@@ -113,7 +114,21 @@ def test_language_id_rejects_other_languages(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r["doc_id"] for r in language_id.keep_identified(df).collect()} == set(range(400))
     model = language_id.train(df)
-    assert {(r["lang_pred"], r["score"]) for r in language_id.predict(df.where("doc_id >= 1000"), model).collect()} == {("und", 0.0)}
+    answers = language_id.predict(df.where("doc_id >= 1000"), model).collect()
+    assert len(answers) == 10 and {r["lang_pred"] for r in answers} <= set(parts) and not any(model.fits(t) for t in none)
+
+
+def test_every_text_with_a_letter_gets_a_language(spark):
+    """Short, odd, foreign and very long texts; only null and letter-free ones are undetermined."""
+    rng = random.Random(9)
+    parts = {"en": ["the", "ing", "wh", "th"], "de": ["sch", "ung", "ß", "ei"], "fr": ["eau", "è", "oi", "que"], "es": ["ción", "ñ", "os", "ll"]}
+    rows = [(i, prose(rng, rng.choice([3, 30]), parts[v]), v) for i in range(200) for v in [list(parts)[i % 4]]]
+    odd = ["Xk", "zzzz qqqq wwww", "def f(x): return x+1", "Lorem ipsum dolor sit amet", "Это русское предложение", "漢字", "x" * 3_000_000, prose(rng, 300_000, parts["de"]), "é"]
+    rows += [(1000 + i, t, None) for i, t in enumerate(odd)] + [(2000 + i, t, None) for i, t in enumerate([None, "", "12 34", "\n\t --", "١٢٣"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(df).collect()}
+    assert all(got[1000 + i]["lang_pred"] in parts and 0 < got[1000 + i]["score"] <= 1 for i in range(len(odd))) and got[1007]["lang_pred"] == "de"
+    assert all((got[2000 + i]["lang_pred"], got[2000 + i]["score"]) == ("und", 0.0) for i in range(5))
 
 
 def test_language_id_learns_every_language(spark, monkeypatch):
@@ -146,6 +161,16 @@ def brute_vote(model, text):
     return min(model.langs[family], key=lambda v: (-wins[v], -sums[v], v))
 
 
+def brute_score(model, text):
+    """How clear the vote was, from the margins alone: the lead of the best family, times the narrowest pair of the best language."""
+    x = language_id.features(text).astype(float)
+    margin = lambda row: float(np.dot(model.weights[row, :-1].astype(float), x) + model.weights[row, -1])
+    sure = lambda m: 1 / (1 + math.exp(-min(30, max(-30, 2 * m))))
+    best, lead = brute_vote(model, text), sorted((margin(row) for row in model.family_at.values()), reverse=True)
+    pairs = [margin(row) * (1 if best == a else -1) for (a, b), row in model.pair_at.items() if best in (a, b)]
+    return (sure(lead[0] - lead[1]) if len(lead) > 1 else 1.0) * (sure(2 * min(pairs)) if pairs else 1.0)
+
+
 def test_language_id_votes_and_ties(spark):
     rng = random.Random(13)
     parts = {"en": ["the", "ing", "wh"], "de": ["sch", "ung", "ei"], "nl": ["ij", "oe", "aa"], "sv": ["sk", "å", "ör"], "fr": ["eau", "è", "oi"], "es": ["ción", "ñ", "os"]}
@@ -153,11 +178,10 @@ def test_language_id_votes_and_ties(spark):
     mixed = [prose(rng, 20, parts["en"] + parts["de"]) for _ in range(30)] + [rows[0][1]] * 3
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.train(df)
-    model.bounded = []  # the vote alone
-    for text in [r[1] for r in rows] + mixed:
-        assert model.predict(text)[0] == brute_vote(model, text)
+    texts = [r[1] for r in rows] + mixed
+    assert [lang for lang, _ in model.predict(texts)] == [brute_vote(model, t) for t in texts]
     tie = language_id.Hierarchy({"f": ["a", "b", "c"]}, np.zeros((3, (1 << language_id.BITS) + 1), np.float32), {}, {("a", "b"): 0, ("a", "c"): 1, ("b", "c"): 2})
-    assert tie.predict("any text") == ("a", 0.5) and brute_vote(tie, "any text") == "a"
+    assert tie.predict(["any text"]) == [("a", 0.5)] and brute_vote(tie, "any text") == "a"
     clash = df.withColumnsRenamed({"lang": "lang_pred", "doc_id": "score"}).withColumn("held_out", F.lit("x")).withColumn("has_letter", F.lit("y"))
     got = language_id.identify(clash, "score", "text", "lang_pred")
     assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == 300
@@ -547,7 +571,7 @@ def brute_rule(host, path):
 
 
 def test_url_filter(spark):
-    urls = ["http://A.Example.COM/en/7x?q=/", "https://b.example.com/en/1#f", "http://x.net/de/8", "http://y.example.net/de/8/z", "ftp://q.org/es/", "http://notcom/en/", "no scheme", None, "", "http://h", "http://h?a/b", "x://a.com://b/en/", "http://casino-bets.example.org/fr/1", "http://www.garden.example.org/en/2"]
+    urls = ["http://A.Example.COM/en/7x?q=/", "https://b.example.com/en/1#f", "http://x.net/de/8", "http://y.example.net/de/8/z", "ftp://q.org/es/", "http://notcom/en/", "no scheme", None, "", "http://h", "http://h?a/b", "x://a.com://b/en/", "http://poker-bonus.example.org/fr/1", "http://www.garden-notes.example.org/en/2"]
     df = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
     got = {r["page_id"]: r for r in url_filter.filter_urls(df).collect()}
     for i, u in enumerate(urls):
@@ -587,7 +611,7 @@ def brute_regression(rows, urls):
 
 
 def test_url_regression_against_plain_descent(spark):
-    rows = [(r["url"], r["label"]) for r in url_filter.default_labelled(spark).collect()][::40]
+    rows = [(r["url"], r["label"]) for r in url_filter.default_labelled(spark).collect()][::91]
     urls = ["http://www.megacasino.example/x", "https://library.example/en/7?q", None, "none", "x://" + "long" * 60 + ".test/" + "p/" * 200, "http://a.b/c"]
     df = spark.createDataFrame([(k if k else None, u) for k, u in enumerate(urls)] + [(5, urls[5])], "page_id long, url string")
     got = url_filter.filter_urls(df, spark.createDataFrame(rows, "url string, label int"), rules=[]).collect()
@@ -597,19 +621,29 @@ def test_url_regression_against_plain_descent(spark):
         assert abs(r["p_block"] - want[r["page_id"]]) < 1e-4 and r["verdict"] == ("block" if r["p_block"] >= 0.5 else "allow")
 
 
+def url_rates(spark, group):
+    """{label: (precision, recall)} of the regression on folds by group(place in the table), each judged by a fit that never saw it."""
+    rows = [(u, y, group(i)) for i, (u, y) in enumerate(url_filter.labelled_urls())]
+    pairs = []
+    for fold in range(4):
+        out = [r for r in rows if zlib.crc32(str(r[2]).encode()) % 4 == fold]
+        fit = spark.createDataFrame([r[:2] for r in rows if r not in out], "url string, label int")
+        got = url_filter.filter_urls(spark.createDataFrame([(i, r[0]) for i, r in enumerate(out)], "page_id long, url string"), fit, rules=[]).collect()
+        pairs += [(out[r["page_id"]][1], int(r["verdict"] == "block")) for r in got]
+    assert len(pairs) == len(rows)
+    hit = Counter(pairs)
+    return {y: (hit[y, y] / max(1, hit[0, y] + hit[1, y]), hit[y, y] / (hit[y, 0] + hit[y, 1])) for y in (0, 1)}
+
+
 def test_url_regression_on_hosts_left_out(spark):
-    """Folds by host: sites that the fit has never seen. No host of the labelled table stands in the given pages."""
-    rows = url_filter.default_labelled(spark).collect()
+    """Folds by host, and by the word of the trade: sites of trades that the fit has never seen. No host stands in the given pages."""
+    rows = url_filter.labelled_urls()
     host = lambda u: re.match(r".*?://([^/?#]*)", u)[1]
-    assert not {host(r["url"]) for r in rows} & {host(u[0]) for u in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct().collect()}
-    right = []
-    for fold in range(4):
-        out = [r for r in rows if zlib.crc32(host(r["url"]).encode()) % 4 == fold]
-        fit = spark.createDataFrame([r for r in rows if r not in out])
-        got = url_filter.filter_urls(spark.createDataFrame([(i, r["url"]) for i, r in enumerate(out)], "page_id long, url string"), fit, rules=[]).collect()
-        right += [(out[r["page_id"]]["label"], (r["verdict"] == "block") == bool(out[r["page_id"]]["label"])) for r in got]
-    assert len(right) == len(rows)
-    assert np.mean([ok for _, ok in right]) > 0.7 and np.mean([ok for y, ok in right if not y]) > 0.85
+    assert len(rows) == len(set(rows)) and len({host(u) for u, _ in rows}) > 400
+    assert not {host(u) for u, _ in rows} & {host(u[0]) for u in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct().collect()}
+    by_host, by_word = url_rates(spark, lambda i: host(rows[i][0])), url_rates(spark, lambda i: i // 6)
+    print("url regression, precision and recall of allow and block:", by_host, by_word)
+    assert all(v > 0.85 for pair in by_host.values() for v in pair) and all(v > 0.7 for pair in by_word.values() for v in pair)
 
 
 def brute_spans(t):
@@ -765,3 +799,56 @@ def test_sum_of_squares_rule():
         assert cost[64 - o if b in fill else 64] == min(cost.values())
         fill[b] = o + n
     assert sum(fill.values()) == lengths.sum() and max(fill.values()) <= 64
+
+
+def test_short_items_and_texts_that_repeat_themselves(spark):
+    items = [(0, "cat"), (1, "The cat."), (2, "a b c d"), (3, "é!"), (4, "..!"), (5, "ab " * 700), (6, "a" * 2000), (7, None), (8, "cat")]
+    texts = ["my CAT, sat", "the\ncat", "concatenate", "x a-b c. d", "xa b c d", "É", None, "", "ab " * 5000, "a" * 8000, "a" * 1990 + "b" * 30, "b" * 500 + "a" * 1900, "ab " * 500]
+    want = {0: {0, 8}, 1: {0, 1, 8}, 2: set(), 3: {2}, 4: set(), 5: {3}, 6: set(), 7: set(), 8: {5}, 9: {6}, 10: {6}, 11: {6}, 12: set()}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {i: {int(v.split(":")[0]) for v in r["items"].split(",") if v} for i, r in got.items()} == want
+    assert got[10]["items"] == "6:10" and got[11]["items"] == "6:100"
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_bands_of_repeats_are_those_of_pairs(monkeypatch, seed):
+    rng = random.Random(seed)
+    piece = "".join(rng.choice("aab") for _ in range(7))
+    item = (piece * 60)[: rng.randint(150, 400)]
+    index = decontaminate.ItemIndex.build([(1, item)])
+    for text in (piece * 200, item[:100] + "x" + item[101:], "".join(rng.choice("ab") for _ in range(1500)) + item, (piece + "b") * 100):
+        raw = decontaminate.normalise(text)
+        monkeypatch.setattr(decontaminate, "MAX_HITS", 1 << 20)
+        want = index._near(raw)
+        monkeypatch.setattr(decontaminate, "MAX_HITS", 50)
+        assert index._near(raw) == want
+
+
+def test_long_white_space_is_tokenised_as_the_file_does(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    file, ours = Tokenizer.from_file(path), packing.tokenizer_at(path)
+    blanks = [" " * 12_000, "\n" * 10_001, "\r\n" * 8_000, "\u3000" * 11_000, " \t" * 9_000, " " * 9_000 + "\x1c" + " " * 10_500, " " * 9_999]
+    for run in blanks:
+        for text in (run, "a" + run, run + "b", "it's" + run + "x" + run + "\n", run + "\u00e9<|endoftext|>"):
+            assert ours.encode(text).tolist() == file.encode(text, add_special_tokens=False).ids
+    rows = [(1, "a" + " " * 2_000_000 + "b", "x"), (2, "\n" * 2_000_000, "x"), (None, "c", "x"), (None, "c", "x"), (3, "q" * 300_000, "x")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, piece string")).collect()
+    counts = Counter()
+    for r in got:
+        counts[r["doc_id"]] += r["length"]
+    assert counts == {1: 2_000_002, 2: len(ours.encode("\n" * 2_000_000)) + 1, None: 4, 3: len(ours.encode("q" * 300_000)) + 1}
+    said = json.loads(open(path, encoding="utf-8").read())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(said))
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.TextIds(str(tmp_path / "other.json"))
+
+
+def test_operators_leave_the_session_as_it_is(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")}
+    docs = table(spark, corpus())
+    language_id.identify(docs), secret_scan.scan_secrets(docs), packing.pack(docs), jaccard_join.jaccard_components(docs)
+    assert before == {k: spark.conf.get(k) for k in before}

@@ -7,7 +7,7 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import pytest
-from test_llm import brute_jaccard, brute_spans, brute_vote, edits
+from test_llm import brute_jaccard, brute_score, brute_spans, brute_vote, edits
 
 from strandline.llm import language_id, packing, secret_scan
 
@@ -41,7 +41,7 @@ def known(model, text):
         reach = [sum(model.logs[k, s] * v for s, v in shares.items()) + language_id.FIT_SIGMAS * model.spread[k] / n**0.5 >= model.least[k] for k in range(len(model.bounded))]
         if not any(reach):
             return False
-    return model.predict(text)[1] >= 0.2
+    return brute_score(model, text) >= 0.2
 
 
 def plain(text):
