@@ -111,3 +111,32 @@ def l1_distance(a: Column, b: Column) -> Column:
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def whole_quotient(numerator: Column, denominator: Column) -> Column:
+    """numerator / denominator of whole numbers, an error where a remainder is left."""
+    return F.when(numerator % denominator == 0, ((numerator - numerator % denominator) / denominator).cast("long")).otherwise(F.raise_error(F.lit("a remainder is left")).cast("long"))
+
+
+def with_absolute(value: str, out: str = "absolute") -> list[Column]:
+    """A value as a layer and its absolute value beside it."""
+    return [F.col(value), F.abs(value).alias(out)]
+
+
+def flatten_parts(parts: Column) -> Column:
+    """A list of arrays laid end to end, and the size of each, from which they can be cut again."""
+    return F.struct(F.flatten(parts).alias("flat"), F.transform(parts, lambda p: F.size(p)).alias("sizes"))
+
+
+def scaled_rate(rate: int, length: int, samples: Column, fps: float | None = None, count: int | None = None) -> Column:
+    """The sample rate at which a signal of so many samples gives frames of length samples at fps a second (a whole number), or count frames in all."""
+    if (fps is None) == (count is None):
+        raise ValueError("give either a frame rate or a frame count")
+    if fps is not None:
+        return F.round(F.lit(rate) * (F.lit(length) * (F.lit(fps) * (samples / F.lit(float(rate))))) / samples, 6).cast("long")
+    return F.lit(rate) * F.lit(count) / (samples / F.lit(float(length)))
+
+
+def output_label(prefix: str, path: Column, index: Column) -> Column:
+    """`prefix_name_index`, name being the last part of path."""
+    return F.concat_ws("_", F.lit(prefix), base_name(path), index.cast("string"))

@@ -29,7 +29,7 @@ START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 CHUNK_TOKENS, BUCKET_TEXT = 1_000_000, 8 << 20
 #: Buckets of context frequency (by powers of two), and steps an octave of the histogram's count and ratio classes.
 CONTEXTS, STEPS, EM_ROUNDS = 20, 3, 60
-_PAIR_BITS = 40
+_PAIR_BITS = 64
 
 
 def _squeeze(x: np.ndarray) -> bytes:

@@ -60,7 +60,7 @@ def f3_item_names(spark, sf):
 @query(with_tables("cat", "SELECT event_id, 'network_' || name || '_' || dir_no AS label FROM cat"))
 def f20_labels(spark, sf):
     path = F.concat(F.lit("/a/"), F.col("dir_no"), F.lit("/"), F.col("name"))
-    return fx.cat(spark, sf).select("event_id", F.format_string("network_%s_%d", S.base_name(path), F.col("dir_no")).alias("label"))
+    return fx.cat(spark, sf).select("event_id", S.output_label("network", path, F.col("dir_no")).alias("label"))
 
 
 @query(with_tables("cat", TIERS + " SELECT event_id, dir_no, tier FROM t WHERE tier = 3"))
@@ -198,11 +198,12 @@ def s12_summary(spark, sf):
 
 @query("SELECT row_number() OVER (ORDER BY s, k) - 1 AS model_index, path FROM (SELECT 1 AS s, n_nationkey AS k, '/models/' || n_name || '.pkl' AS path FROM nation UNION ALL SELECT 2, r_regionkey, '/listed/' || r_name || '.pkl' FROM region)")
 def s7_model_catalogue(spark, sf):
-    """Given paths, then those of a JSON list in the shared folder."""
-    named = lambda table, key, folder, name: [r[0] for r in fx.table(spark, sf, table).orderBy(key).select(F.concat(F.lit(folder), name, F.lit(".pkl"))).collect()]
+    """Given paths, then those of a JSON list in the shared folder. Neither list passes through the driver."""
+    named = lambda table, key, folder, name: fx.table(spark, sf, table).select(F.col(key).alias("at"), F.concat(F.lit(folder), name, F.lit(".pkl")).alias("path"))
     path = shared_folder(spark, "models")
-    spark.range(1).select(F.to_json(F.array(*map(F.lit, named("region", "r_regionkey", "/listed/", "r_name"))))).write.text(path)
-    return files.model_catalogue(spark, paths=named("nation", "n_nationkey", "/models/", "n_name"), json_path=path).withColumn("model_index", F.col("model_index").cast("long"))
+    listed = named("region", "r_regionkey", "/listed/", "r_name").agg(F.array_sort(F.collect_list(F.struct("at", "path"))).alias("l"))
+    listed.select(F.to_json(F.transform("l", lambda r: r["path"]))).write.text(path)
+    return files.model_catalogue(spark, paths=named("nation", "n_nationkey", "/models/", "n_name"), json_path=path)
 
 
 def _records(spark, sf):

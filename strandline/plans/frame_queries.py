@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strandline.functions import scalar as S
-from strandline.operators import aggregates, frames, linear, windows
+from strandline.operators import aggregates, frames, linear, sides, windows
 from strandline.plans import fixtures as fx
 from strandline.plans.fixtures import FRAME, with_tables
 from strandline.plans.registry import query
@@ -165,10 +165,11 @@ def w11_circular_smooth(spark, sf):
     return windows.circular_smooth(fx.emb(spark, sf), 2.0).select("frame_index", F.posexplode("vec").alias("pos", "v")).select("frame_index", "pos", r6("v", "value"))
 
 
-@query(with_tables("emb", "SELECT a.frame_index, round(a.vec[1] + b.vec[2], 6) + 0.0 AS mixed FROM emb a JOIN emb b ON b.frame_index = a.frame_index WHERE b.frame_index % 3 = 0"))
+@query(with_tables("embx", "SELECT a.frame_index, CAST(a.pos AS INTEGER) AS pos, round(a.v + 2 * b.v, 6) + 0.0 AS mixed FROM embx a JOIN embx b ON b.frame_index = a.frame_index AND b.pos = 63 - a.pos WHERE b.frame_index % 3 = 0"))
 def j1_align(spark, sf):
     right = fx.emb(spark, sf).where("frame_index % 3 = 0").withColumnRenamed("vec", "other")
-    return frames.align(fx.emb(spark, sf), right).select("frame_index", r6(F.col("vec")[0] + F.col("other")[1], "mixed"))
+    both = frames.align(fx.emb(spark, sf), right).withColumn("vec", F.zip_with("vec", F.reverse("other"), lambda a, b: a + b * 2))
+    return frames.explode_frames(both).select("frame_index", "pos", r6("value", "mixed"))
 
 
 @query(with_tables("evtx rms", "SELECT r.frame_index, r.frame_index // 9 AS window_id, round(sum(o.rms), 6) + 0.0 AS around FROM rms r JOIN rms o ON o.frame_index // 9 = r.frame_index // 9 GROUP BY 1, 2"))
@@ -177,21 +178,21 @@ def j2_context_windows(spark, sf):
     return out.select("frame_index", "window_id", r6(F.aggregate("surrounding", F.lit(0.0), lambda a, x: a + x), "around"))
 
 
-@query(with_tables("emb", ", n AS (SELECT count(*) AS n FROM emb), g AS (SELECT i AS t, i * (n - 1) / 299.0 AS pt, n FROM (SELECT unnest(range(0, 300)) AS i), n) SELECT t AS frame_index, round(a.vec[1] * (1 - (pt - floor(pt))) + b.vec[1] * (pt - floor(pt)), 6) + 0.0 AS first FROM g JOIN emb a ON a.frame_index = CAST(floor(pt) AS BIGINT) JOIN emb b ON b.frame_index = least(CAST(floor(pt) AS BIGINT) + 1, n - 1)"))
+@query(with_tables("emb", ", n AS (SELECT count(*) AS n FROM emb), g AS (SELECT i AS t, i * (n - 1) / 299.0 AS pt, n FROM (SELECT unnest(range(0, 300)) AS i), n) SELECT t AS frame_index, CAST(p AS INTEGER) AS pos, round(a.vec[p + 1] * (1 - (pt - floor(pt))) + b.vec[p + 1] * (pt - floor(pt)), 6) + 0.0 AS value FROM g JOIN emb a ON a.frame_index = CAST(floor(pt) AS BIGINT) JOIN emb b ON b.frame_index = least(CAST(floor(pt) AS BIGINT) + 1, n - 1), (SELECT unnest(range(0, 64)) AS p)"))
 def v4_interpolate_frames(spark, sf):
-    return frames.interpolate_frames(fx.emb(spark, sf), 300).select("frame_index", r6(F.col("vec")[0], "first"))
+    return frames.explode_frames(frames.interpolate_frames(fx.emb(spark, sf), 300)).select("frame_index", "pos", r6("value", "value"))
 
 
-@query(with_tables("emb", "SELECT frame_index * 3 + k AS frame_index, vec[1] AS first FROM emb, (SELECT unnest(range(0, 3)) AS k)"))
+@query(with_tables("embx", "SELECT frame_index * 3 + k AS frame_index, CAST(pos AS INTEGER) AS pos, v AS value FROM embx, (SELECT unnest(range(0, 3)) AS k)"))
 def v5_repeat_frames(spark, sf):
-    return frames.repeat_frames(fx.emb(spark, sf), 3).select("frame_index", F.col("vec")[0].alias("first"))
+    return frames.explode_frames(frames.repeat_frames(fx.emb(spark, sf), 3)).select("frame_index", "pos", "value")
 
 
-@query(with_tables("emb", "SELECT a.frame_index AS series_id, k AS frame_index, round(a.vec[1] + (b.vec[1] - a.vec[1]) * k / 4.0, 6) + 0.0 AS first FROM emb a JOIN emb b ON b.frame_index = a.frame_index + 1, (SELECT unnest(range(0, 5)) AS k)"))
+@query(with_tables("embx", "SELECT a.frame_index AS series_id, k AS frame_index, CAST(a.pos AS INTEGER) AS pos, round(a.v + (b.v - a.v) * k / 4.0, 6) + 0.0 AS value FROM embx a JOIN embx b ON b.frame_index = a.frame_index + 1 AND b.pos = a.pos, (SELECT unnest(range(0, 5)) AS k)"))
 def v6_between_vectors(spark, sf):
     nxt = fx.emb(spark, sf).select((F.col("frame_index") - 1).alias("frame_index"), F.col("vec").alias("end_vec"))
     ends = fx.emb(spark, sf).join(nxt, "frame_index").select(F.col("frame_index").alias("series_id"), F.col("vec").alias("start_vec"), "end_vec")
-    return frames.between_vectors(ends, 5).select("series_id", "frame_index", r6(F.col("vec")[0], "first"))
+    return frames.explode_frames(frames.between_vectors(ends, 5)).select("series_id", "frame_index", "pos", r6("value", "value"))
 
 
 def _per_frame(m) -> str:
@@ -239,14 +240,12 @@ def f6_blend(spark, sf):
 @query(with_tables("embx", ", t AS (SELECT max(abs(v)) AS top FROM embx) SELECT frame_index, CAST(pos AS INTEGER) AS pos, round(20 * log10(greatest(abs(v) / top, 1e-10)), 6) + 0.0 AS db FROM embx, t"))
 def f7_decibel(spark, sf):
     long = frames.explode_frames(fx.emb(spark, sf)).withColumn("value", F.abs("value"))
-    top = long.groupBy("series_id").agg(F.max("value").alias("top"))
-    return long.join(top, "series_id").select("frame_index", "pos", r6(S.decibel(F.col("value"), F.col("top")), "db"))
+    return sides.join_small(long, long.groupBy("series_id").agg(F.max("value").alias("top")), "series_id").select("frame_index", "pos", r6(S.decibel(F.col("value"), F.col("top")), "db"))
 
 
 @query("SELECT o_orderkey, (o_orderkey * 6) // 3 AS quotient FROM orders")
 def f8_whole_quotient(spark, sf):
-    k = F.col("o_orderkey") * 6
-    return fx.table(spark, sf, "orders").select("o_orderkey", F.when(k % 3 == 0, F.expr("(o_orderkey * 6) div 3")).otherwise(F.raise_error(F.lit("remainder")).cast("long")).alias("quotient"))
+    return fx.table(spark, sf, "orders").select("o_orderkey", S.whole_quotient(F.col("o_orderkey") * 6, F.lit(3)).alias("quotient"))
 
 
 @query(with_tables("evtu", "SELECT series_id, frame_index, CASE WHEN frame_index % 5 = 0 THEN 0.0 ELSE value END AS value FROM evtu"))
@@ -255,9 +254,9 @@ def f9_nan_to_zero(spark, sf):
     return fx.evtu(spark, sf).select("series_id", "frame_index", S.nan_to_zero(holed).alias("value"))
 
 
-@query(with_tables("evtu", "SELECT series_id, frame_index, value, abs(value - 50) AS absolute FROM evtu"))
+@query(with_tables("evtu", "SELECT series_id, frame_index, value - 50 AS value, abs(value - 50) AS absolute FROM evtu"))
 def f10_absolute(spark, sf):
-    return fx.evtu(spark, sf).select("series_id", "frame_index", "value", F.abs(F.col("value") - 50).alias("absolute"))
+    return fx.evtu(spark, sf).withColumn("value", F.col("value") - 50).select("series_id", "frame_index", *S.with_absolute("value"))
 
 
 @query(with_tables("emb", "SELECT frame_index, CAST(len(vec) AS INTEGER) AS length, 4 AS depth, vec[3] AS third, len(vec) * 4 AS cells FROM emb"))
@@ -272,10 +271,10 @@ def f14_rotate(spark, sf):
     return frames.explode_frames(turned).select("frame_index", "pos", "value")
 
 
-@query(with_tables("emb", "SELECT frame_index, d AS row_no, CASE WHEN d < 2 THEN -1.0 ELSE vec[1] END AS first FROM emb, (SELECT unnest(range(0, 4)) AS d)"))
+@query(with_tables("embx", "SELECT frame_index, d AS row_no, CAST(pos AS INTEGER) AS pos, CASE WHEN d < 2 THEN -1.0 ELSE v END AS value FROM embx, (SELECT unnest(range(0, 4)) AS d)"))
 def f15_splice_depth(spark, sf):
     spliced = fx.emb(spark, sf).withColumn("mat", S.splice_depth(S.promote(F.col("vec"), 4), F.array_repeat(F.lit(-1.0), 64), 2))
-    return spliced.select("frame_index", F.posexplode("mat").alias("d", "row")).select("frame_index", F.col("d").cast("long").alias("row_no"), F.col("row")[0].alias("first"))
+    return spliced.select("frame_index", F.posexplode("mat").alias("d", "row")).select("frame_index", F.col("d").cast("long").alias("row_no"), F.posexplode("row").alias("pos", "value"))
 
 
 @query(with_tables("emb", "SELECT frame_index, 80 AS padded, round(list_sum(vec), 6) + 0.0 AS total FROM emb"))
@@ -297,22 +296,21 @@ def f17_tight_box(spark, sf):
     return points.select("frame_index", S.tight_box(F.col("xs"), F.col("ys")).alias("b")).select("frame_index", "b.x", "b.y", "b.w", "b.h")
 
 
-@query(with_tables("emb", "SELECT frame_index, len(vec) + len(vec) // 2 AS flat_size, '64,32' AS shapes FROM emb"))
+@query(with_tables("embx", "SELECT frame_index, CAST(pos AS INTEGER) AS pos, v AS value, '64,32' AS shapes FROM embx UNION ALL SELECT frame_index, CAST(pos + 64 AS INTEGER), v, '64,32' FROM embx WHERE pos < 32"))
 def f18_flatten(spark, sf):
-    parts = fx.emb(spark, sf).withColumn("parts", F.array("vec", F.slice("vec", 1, 32)))
-    return parts.select("frame_index", F.size(F.flatten("parts")).cast("long").alias("flat_size"), F.array_join(F.transform("parts", lambda p: F.size(p).cast("string")), ",").alias("shapes"))
+    """Two arrays of each frame laid end to end, every value, and their sizes."""
+    flat = fx.emb(spark, sf).select("frame_index", S.flatten_parts(F.array("vec", F.slice("vec", 1, 32))).alias("p"))
+    return flat.select("frame_index", F.array_join(F.transform("p.sizes", lambda n: n.cast("string")), ",").alias("shapes"), F.posexplode("p.flat").alias("pos", "value"))
 
 
 @query(with_tables("line", "SELECT series_id, CAST(8000 * (64 * (30 * (count(*) / 8000.0))) / count(*) AS BIGINT) AS by_rate, round(8000 * 12 / (count(*) / 64.0), 6) + 0.0 AS by_count FROM line GROUP BY 1"))
 def f19_scaled_rate(spark, sf):
-    n = F.count("*")
-    by_rate = F.lit(8000) * (F.lit(64) * (F.lit(30) * (n / F.lit(8000.0)))) / n
-    return fx.line(spark, sf).groupBy("series_id").agg(F.round(by_rate, 0).cast("long").alias("by_rate"), r6(F.lit(8000) * 12 / (n / F.lit(64.0)), "by_count"))
+    sizes = fx.line(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"))
+    return sizes.select("series_id", S.scaled_rate(8000, 64, F.col("n"), fps=30).alias("by_rate"), r6(S.scaled_rate(8000, 64, F.col("n"), count=12), "by_count"))
 
 
 @query(with_tables("evtx rms", ", w AS (SELECT frame_index, rms, coalesce(CASE WHEN count(rms) OVER x = 3 THEN avg(rms) OVER x END, avg(rms) OVER ()) AS rolled FROM rms WINDOW x AS (ORDER BY frame_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)), r AS (SELECT min(rolled) AS lo, max(rolled) AS hi FROM w) SELECT frame_index, round(rms, 6) + 0.0 AS rms, round(rolled, 6) + 0.0 AS rolled, CASE WHEN hi = lo THEN 0 ELSE CAST(round_even((rolled - lo) / (hi - lo) * 3, 0) AS INTEGER) END AS model_index FROM w, r"))
 def m0_model_index(spark, sf):
     """Model number of each frame: rolling mean of the frames' power, quantised."""
     rolled = windows.rolling_mean(_rms(spark, sf), 3, block=1024)
-    ranges = rolled.groupBy("series_id").agg(F.min("rolled").alias("lo"), F.max("rolled").alias("hi"))
-    return rolled.join(ranges, "series_id").select("frame_index", r6("value", "rms"), r6("rolled", "rolled"), S.quantise(F.col("rolled"), F.col("lo"), F.col("hi"), 4).alias("model_index"))
+    return aggregates.with_range(sides.kept(rolled), "rolled").select("frame_index", r6("value", "rms"), r6("rolled", "rolled"), S.quantise(F.col("rolled"), F.col("lo"), F.col("hi"), 4).alias("model_index"))

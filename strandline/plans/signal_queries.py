@@ -303,6 +303,33 @@ def x5_map_vectors(spark, sf):
     return _long(extension.map_vectors(fx.emb(spark, sf), lambda x: x / np.sqrt(x @ x)))
 
 
+def _spread(frames_, length):
+    """A caller's reducer: most less least sample of each frame, with the length of its frames as a layer."""
+    return frames_.select("series_id", "frame_index", (F.array_max("vec") - F.array_min("vec")).alias("value"), F.lit(length).alias("frame_length"))
+
+
+@query(with_tables("evtx", "SELECT frame_index, round(sqrt(avg(v * v)), 6) + 0.0 AS power, round(max(v) - min(v), 6) + 0.0 AS spread FROM evtx GROUP BY 1"))
+def x1_reduce_frames(spark, sf):
+    """A library reducer and a caller's own one beside each other."""
+    out = extension.reduce_frames(_evt_frames(spark, sf), FRAME, {"power": lambda f, _: pipelines.power_series(f), "spread": _spread})
+    return out.select("frame_index", r6("power", "power"), r6("spread", "spread"))
+
+
+def _mirrored(frames_, length, index):
+    """A caller's layer: a frame, itself backwards, and their mean weighted by the frame's model number."""
+    both = frames_.withColumn("b_vec", F.reverse("vec")).join(index, ["series_id", "frame_index"])
+    return both.select("series_id", "frame_index", F.col("vec").alias("a_vec"), "b_vec", F.zip_with("vec", "b_vec", lambda a, b: (a * F.col("model_index") + b) / (F.col("model_index") + 1)).alias("combined"))
+
+
+@query(with_tables("evtx", "SELECT a.frame_index, CAST(a.frame_index % 4 AS INTEGER) AS model_index, CAST(a.pos AS INTEGER) AS pos, round(a.v, 6) + 0.0 AS a, round(b.v, 6) + 0.0 AS b, round((a.v * (a.frame_index % 4) + b.v) / (a.frame_index % 4 + 1), 6) + 0.0 AS combined FROM evtx a JOIN evtx b ON b.frame_index = a.frame_index AND b.pos = 63 - a.pos"))
+def x2_layer_frames(spark, sf):
+    """A caller's layer function on the event frames, every value of its three layers."""
+    src = _evt_frames(spark, sf)
+    index = src.select("series_id", "frame_index", (F.col("frame_index") % 4).cast("int").alias("model_index"))
+    out = extension.layer_frames(src, FRAME, index, _mirrored)
+    return out.select("frame_index", "model_index", F.posexplode(F.arrays_zip("a_vec", "b_vec", "combined")).alias("pos", "z")).select("frame_index", "model_index", "pos", r6("z.a_vec", "a"), r6("z.b_vec", "b"), r6("z.combined", "combined"))
+
+
 @query(with_tables("evtu", ", s AS (SELECT series_id, frame_index, CASE WHEN count(value) OVER w = 5 THEN sum(value) OVER w END AS rolled FROM evtu WINDOW w AS (PARTITION BY series_id ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) SELECT series_id, frame_index, coalesce(rolled, 1e308) > 250 AS skip FROM s"))
 def p7_skip_mask(spark, sf):
     return windows.rolling_sum(fx.evtu(spark, sf), 5).select("series_id", "frame_index", pipelines.over_threshold(F.col("rolled"), 250).alias("skip"))

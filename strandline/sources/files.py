@@ -254,23 +254,27 @@ def write_records(frames: DataFrame, path: str) -> None:
     frames.select(*RECORD_FIELDS, F.col("vec").alias("vector"), F.lit(2).alias("version")).write.mode("overwrite").json(path)
 
 
-def model_catalogue(spark: SparkSession, directory: str | None = None, paths: list[str] | None = None, json_path: str | None = None, pattern: str = "*.pkl") -> DataFrame:
+def model_catalogue(spark: SparkSession, directory: str | None = None, paths: list[str] | DataFrame | None = None, json_path: str | None = None, pattern: str = "*.pkl") -> DataFrame:
     """(model_index, path): the directory's entries by name, then the paths given, then those of a JSON list; copies stay. None at all is an error.
 
-    Models are few, so one task numbers them.
+    paths is a list, or a table (at, path) in order of at. Numbers are counted over ranges (placed()), so lists may be of any length.
     """
+    from strandline.operators.placement import placed
+
     parts = []
     if directory:
-        parts.append(listing(spark, directory, pattern).select(F.lit(0).alias("source_no"), F.lit(0).alias("at"), "path"))
-    if paths:
-        parts.append(spark.createDataFrame([(1, i, p) for i, p in enumerate(paths)], "source_no int, at int, path string"))
+        parts.append(listing(spark, directory, pattern).select(F.lit(0).alias("source_no"), F.lit(0).cast("long").alias("at"), "path"))
+    if isinstance(paths, DataFrame):
+        parts.append(paths.select(F.lit(1).alias("source_no"), F.col("at").cast("long").alias("at"), "path"))
+    elif paths:
+        parts.append(spark.createDataFrame([(1, i, p) for i, p in enumerate(paths)], "source_no int, at long, path string"))
     if json_path:
         raw = spark.read.text(json_path, wholetext=True).select(F.from_json(F.coalesce(F.get_json_object("value", "$.networks"), F.col("value")), "array<string>").alias("l"))
-        parts.append(raw.select(F.lit(2).alias("source_no"), F.posexplode("l").alias("at", "path")))
-    out = parts[0] if parts else spark.createDataFrame([], "source_no int, at int, path string")
+        parts.append(raw.select(F.lit(2).alias("source_no"), F.posexplode("l").alias("at", "path")).withColumn("at", F.col("at").cast("long")))
+    out = parts[0] if parts else spark.createDataFrame([], "source_no int, at long, path string")
     for p in parts[1:]:
         out = out.unionByName(p)
-    listed = out.withColumn("model_index", (F.row_number().over(Window.orderBy("source_no", "at", "path")) - 1)).select("model_index", "path")
+    listed = placed(out, ["source_no", "at", "path"], out="model_index", first=0).select("model_index", "path")
     if listed.isEmpty():
         raise ValueError("no model found")
     return listed
