@@ -1,7 +1,8 @@
 """Embedding near-dedup through a pivot-permutation index.
 
 Every vector is described by the NEAREST pivots (reference vectors) that are closest to it, in order. An inverted list for each label and
-pivot holds the vectors with that pivot among theirs. Two vectors of a list are candidates if their shared pivots count MIN_SHARED or more,
+set of pivots holds the vectors with those pivots among theirs; sets have one pivot in small tables and up to MAX_DEPTH in large ones, so
+that lists stay about equally short at any size. Two vectors of a list are candidates if their shared pivots count MIN_SHARED or more,
 a shared pivot counting the more the nearer it stands in both orders; candidates are verified by their exact cosine in double precision.
 Equal vectors are one class from the start; a list beyond BLOCK vectors is taken block against block.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +25,11 @@ CUT = 0.93
 #: so the same nearest pivot is enough alone.
 NEAREST, MIN_SHARED = 6, 0.75
 #: Pivots: about 2 sqrt(vectors) of each dimension, a bounded sample of the vectors themselves; none within PIVOT_CUT of another.
-MIN_PIVOTS, MAX_PIVOTS, PIVOT_CUT = 64, 4096, 0.8
+MIN_PIVOTS, MAX_PIVOTS, PIVOT_CUT = 64, 1024, 0.8
+#: Pivots that name a list: as few as keep lists of all labels together at LIST_ROWS vectors on average. Near vectors share the more pivots the
+#: fewer there are, which is why large tables get longer names and not more pivots.
+MAX_DEPTH, LIST_ROWS = 4, 1000
+_NAME_BITS = 12
 #: Vectors of a list that are compared as one block, and postings that one task takes.
 BLOCK, BUCKET_ROWS = 512, 20_000
 
@@ -38,8 +44,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
-    """By dimension: pivots as unit rows. Drawn by a hash of the vector, so the same table gives the same pivots."""
+def depth_of(vectors: int, pivots: int) -> int:
+    """Pivots in the name of a list."""
+    depths = range(1, min(MAX_DEPTH, NEAREST, pivots) + 1)
+    return next((d for d in depths if math.comb(NEAREST, d) * vectors <= LIST_ROWS * math.comb(pivots, d)), max(depths))
+
+
+def choose_pivots(classes: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
+    """By dimension: pivots as unit rows, and depth_of(). Drawn by a hash of the vector, so the same table gives the same pivots."""
     out = {}
     for r in classes.groupBy("dim").count().orderBy(F.desc("count")).limit(64).collect():
         want = min(MAX_PIVOTS, max(MIN_PIVOTS, math.ceil(2 * math.sqrt(r["count"]))))
@@ -49,7 +61,7 @@ def choose_pivots(classes: DataFrame) -> dict[int, np.ndarray]:
         for i in range(len(x)):
             if not kept or near[i, kept].max() < PIVOT_CUT:
                 kept.append(i)
-        out[r["dim"]] = x[kept]
+        out[r["dim"]] = x[kept], depth_of(r["count"], len(kept))
     return out
 
 
@@ -61,17 +73,24 @@ def permutations(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(np.take_along_axis(near, some, axis=1), axis=1, kind="stable"), axis=1)
 
 
-def _postings(pivots: dict[int, np.ndarray]):
+def list_names(order: np.ndarray, depth: int) -> np.ndarray:
+    """For each row of pivots a number for each set of depth of them: that of the lists it is on."""
+    ascending = np.sort(order.astype(np.int64), axis=1)
+    return np.stack([sum(ascending[:, c] << (_NAME_BITS * k) for k, c in enumerate(some)) for some in combinations(range(order.shape[1]), depth)], axis=1)
+
+
+def _postings(pivots: dict[int, tuple[np.ndarray, int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vecs, dims = rows_of(batch["vec"]), np.asarray(batch["dim"])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
                 basis = pivots.get(int(dim))
-                order = np.zeros((len(at), 1), np.int64) if basis is None else permutations(np.stack([vecs[i] for i in at]), basis)
-                again, shown = np.repeat(at, order.shape[1]), np.repeat(order, order.shape[1], axis=0).astype(np.int32)
+                order, depth = (np.zeros((len(at), 1), np.int64), 1) if basis is None else (permutations(np.stack([vecs[i] for i in at]), basis[0]), basis[1])
+                names = list_names(order, min(depth, order.shape[1]))
+                again, shown = np.repeat(at, names.shape[1]), np.repeat(order, names.shape[1], axis=0).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(shown) + 1) * shown.shape[1], pa.int32()), pa.array(shown.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*(batch[c].take(again) for c in ("cls", "label", "dim")), pa.array(order.reshape(-1).astype(np.int32)), lists], ["cls", "label", "dim", "pivot", "nearest"])
+                yield pa.RecordBatch.from_arrays([*(batch[c].take(again) for c in ("cls", "label", "dim")), pa.array(np.full(len(again), min(depth, order.shape[1]), np.int32)), pa.array(names.reshape(-1)), lists], ["cls", "label", "dim", "depth", "name", "nearest"])
 
     return run
 
@@ -88,14 +107,16 @@ def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sides[0] @ sides[1].T
 
 
-def _first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest pivot that each row of a has in common with the same row of b."""
-    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
-    return np.where(both, a, np.iinfo(a.dtype).max).min(axis=1)
+def _first_shared(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """The list of the depth smallest pivots that each row of a has in common with the same row of b; -1 if they share fewer."""
+    none = np.iinfo(np.int64).max
+    shared = np.sort(np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, none), axis=1)[:, :depth]
+    name = sum(shared[:, k] % (1 << _NAME_BITS) << (_NAME_BITS * k) for k in range(depth))
+    return np.where((shared == none).any(axis=1), -1, name)
 
 
-def _cell_links(x: np.ndarray, nearest: np.ndarray, pivot: int, cut: float, across: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), i before j, of linked vectors of one cell. A pair is looked at on the list of its first shared pivot alone.
+def _cell_links(x: np.ndarray, nearest: np.ndarray, name: int, depth: int, cut: float, across: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i before j, of linked vectors of one cell. A pair is looked at on the list of its first shared pivots alone.
 
     across: if given, the block of each vector; only pairs of different blocks count.
     """
@@ -103,7 +124,7 @@ def _cell_links(x: np.ndarray, nearest: np.ndarray, pivot: int, cut: float, acro
     if across is not None:
         apart = across[i] != across[j]
         i, j = i[apart], j[apart]
-    here = _first_shared(nearest[i], nearest[j]) == pivot
+    here = _first_shared(nearest[i], nearest[j], depth) == name
     i, j = i[here], j[here]
     linked = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65_536]], x[j[k : k + 65_536]]) >= cut for k in range(0, len(i), 65_536)] or [np.zeros(0, bool)])
     return i[linked], j[linked]
@@ -112,19 +133,19 @@ def _cell_links(x: np.ndarray, nearest: np.ndarray, pivot: int, cut: float, acro
 def _verify(table: pa.Table, cut: float) -> pa.Table:
     """(cls, links, root) of the cells of one bucket: links counts vectors, root is a class that this one is linked with inside the cell."""
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    cols = {c: np.asarray(table[c].combine_chunks()) for c in ("cls", "dim", "pivot", "lo", "hi", "block", "mult")}
+    cols = {c: np.asarray(table[c].combine_chunks()) for c in ("cls", "dim", "depth", "name", "lo", "hi", "block", "mult")}
     cols["label"] = np.unique(np.asarray(table["label"].combine_chunks(), dtype=object).astype(str), return_inverse=True)[1]
-    order = np.lexsort((cols["cls"], cols["hi"], cols["lo"], cols["pivot"], cols["dim"], cols["label"]))
+    order = np.lexsort((cols["cls"], cols["hi"], cols["lo"], cols["name"], cols["dim"], cols["label"]))
     cols = {k: v[order] for k, v in cols.items()}
     vecs, nearest = rows_of(table["vec"].combine_chunks()), rows_of(table["nearest"].combine_chunks())
-    keys = np.stack([cols[k] for k in ("label", "dim", "pivot", "lo", "hi")])
+    keys = np.stack([cols[k] for k in ("label", "dim", "name", "lo", "hi")])
     starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
     for a, b in zip(starts, np.append(starts[1:], len(order)), strict=True):
         if b - a < 2:
             continue
         x = unit(np.stack([vecs[i] for i in order[a:b]]))
         pivots = np.stack([nearest[i] for i in order[a:b]]).astype(np.int64)
-        i, j = _cell_links(x, pivots, int(cols["pivot"][a]), cut, cols["block"][a:b] if cols["lo"][a] != cols["hi"][a] else None)
+        i, j = _cell_links(x, pivots, int(cols["name"][a]), int(cols["depth"][a]), cut, cols["block"][a:b] if cols["lo"][a] != cols["hi"][a] else None)
         if not len(i):
             continue
         cls, mult = cols["cls"][a:b], cols["mult"][a:b]
@@ -162,14 +183,14 @@ def dedup_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vec_col: str
     classes = scratch.keep(marked.where("good").groupBy("cls").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"), F.first("label").alias("label"), F.first("vec").alias("vec"), F.first(F.size("vec")).alias("dim")))
     pivots = choose_pivots(classes)
 
-    posted = scratch.keep(classes.select("cls", "label", "dim", "vec").mapInArrow(_postings(pivots), "cls long, label string, dim int, pivot int, nearest array<int>"))
-    lists = posted.groupBy("label", "dim", "pivot").agg(F.count("*").alias("size")).where("size > 1")
+    posted = scratch.keep(classes.select("cls", "label", "dim", "vec").mapInArrow(_postings(pivots), "cls long, label string, dim int, depth int, name long, nearest array<int>"))
+    lists = posted.groupBy("label", "dim", "name").agg(F.count("*").alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = posted.join(lists, ["label", "dim", "pivot"]).withColumn("blocks", blocks).withColumn("block", F.pmod("cls", F.col("blocks")).cast("int"))
-    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cls", "label", "dim", "pivot", "nearest", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    placed = posted.join(lists, ["label", "dim", "name"]).withColumn("blocks", blocks).withColumn("block", F.pmod("cls", F.col("blocks")).cast("int"))
+    cells = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("cls", "label", "dim", "depth", "name", "nearest", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     n = cells.count()
     buckets = max(64, -(-n // BUCKET_ROWS))
-    full = cells.join(classes.select("cls", "vec", "mult"), "cls").withColumn("bucket", F.pmod(F.xxhash64("label", "dim", "pivot", "lo", "hi"), F.lit(buckets)))
+    full = cells.join(classes.select("cls", "vec", "mult"), "cls").withColumn("bucket", F.pmod(F.xxhash64("label", "dim", "name", "lo", "hi"), F.lit(buckets)))
 
     def verify(table: pa.Table) -> pa.Table:
         return _verify(table, cut)

@@ -469,8 +469,9 @@ def test_embedding_dedup_of_repeated_ids_and_text_labels(spark):
     assert got == sorted([(1, 2, 1, True), (5, 2, 1, False), (5, 1, 5, True), (7, 1, 5, False), (5, 0, 5, True), (9, 0, 9, True), (5, 2, 1, False)])
 
 
-def test_embedding_recall_against_brute_force(spark):
-    """Vectors of the given table with noisy copies of every 20th (cosines on both sides of the cut); ids divisible by 20 against all rows."""
+@pytest.mark.parametrize(("list_rows", "depth"), [(1000, 1), (10, 2), (1, 3)])
+def test_embedding_recall_against_brute_force(spark, monkeypatch, list_rows, depth):
+    """Lists named by one pivot, and by two and three as in large tables. Vectors of the given table with noisy copies of every 20th (cosines on both sides of the cut); ids divisible by 20 against all rows."""
     rng = np.random.default_rng(20)
     given = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").toPandas()
     x, label = np.stack(given["embedding"].to_numpy()).astype(float), given["label"].to_numpy()
@@ -478,6 +479,8 @@ def test_embedding_recall_against_brute_force(spark):
     copies = [x[some] + rng.normal(size=(len(some), x.shape[1])) * size * np.linalg.norm(x[some], axis=1, keepdims=True) / math.sqrt(x.shape[1]) for size in (0.05, 0.2, 0.3, 0.36, 0.4)]
     x, label = np.concatenate([x, *copies]), np.concatenate([label, *[label[some]] * len(copies)])
     df = spark.createDataFrame([(i, v, int(y)) for i, (v, y) in enumerate(zip(x.tolist(), label.tolist(), strict=True))], "vec_id long, embedding array<double>, label int")
+    monkeypatch.setattr(embedding_dedup, "LIST_ROWS", list_rows)
+    assert embedding_dedup.depth_of(len(x), math.ceil(2 * math.sqrt(len(x)))) == depth
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.dedup_embeddings(df).collect()}
     u = embedding_dedup.unit(x)
     queries = np.arange(0, len(x), 20)
@@ -486,6 +489,19 @@ def test_embedding_recall_against_brute_force(spark):
     assert want.sum() > 500 and (found <= want).all() and found.sum() >= 0.95 * want.sum()
 
 
+def test_lists_stay_short_at_any_size():
+    """Vectors of an average list as the table grows, with all the pivots that may be used."""
+    for n in (10**5, 10**7, 10**8, 10**9):
+        pivots = min(embedding_dedup.MAX_PIVOTS, math.ceil(2 * math.sqrt(n)))
+        depth = embedding_dedup.depth_of(n, pivots)
+        assert math.comb(embedding_dedup.NEAREST, depth) * n / math.comb(pivots, depth) <= embedding_dedup.LIST_ROWS
+    order = np.array([[7, 3, 9, 1, 4, 2], [9, 7, 5, 1, 8, 0]])
+    names = embedding_dedup.list_names(order, 3)
+    assert names.shape == (2, 20) and len(set(names[0]) & set(names[1])) == 1
+    assert embedding_dedup._first_shared(order[:1], order[1:], 3)[0] in set(names[0]) & set(names[1])
+    assert embedding_dedup._first_shared(order[:1], order[1:], 4)[0] == -1
+
+
 def test_pivot_orders_count_by_place():
     a, b = np.array([[3, 1, 2, 9, 8, 7]]), np.array([[3, 5, 6, 1, 4, 0], [0, 4, 5, 6, 2, 3]])
     n = embedding_dedup.NEAREST
