@@ -5,7 +5,8 @@ in it that comes first in one global order (rare first, by a frequency sketch ov
 anchors at equal places. Consecutive windows with one anchor form a piece of at most 2 LENGTH - K bytes. Texts are gathered in chunks;
 a chunk first asks which of its anchors another chunk has as well (5 bytes an anchor), and then deals only the pieces of such anchors to
 buckets by anchor, so that all windows that could be equal meet. Each bucket is a collection of many short documents: the pieces that have
-a window's length around their anchor in common with another one, cut to that.
+a window's length around their anchor in common with another one, cut to that. An anchor with very many different texts is taken in
+several collections, by where it stands in the windows and by the bytes that those share.
 
 In a bucket the Burrows-Wheeler transform and the common prefixes of the collection are built column by column from the right: each
 round puts the next symbol in front of every piece's suffix, and the whole list is read once in order and dealt to one run per symbol,
@@ -364,6 +365,61 @@ def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start[fresh], end[np.append(np.flatnonzero(fresh)[1:] - 1, len(end) - 1)]
 
 
+def _collections(texts: np.ndarray, groups: np.ndarray, pieces_of: np.ndarray, rows: np.ndarray, length: np.ndarray, place: np.ndarray) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Texts in collections of at most COLLECTION: (texts, least and most bytes before the anchor of the windows that are compared there).
+
+    Texts of one anchor stay together; an anchor of more texts, such as a line with a counter, is narrowed by _narrow().
+    """
+    name, begin = groups[texts], 0
+    while begin < len(texts):
+        end = min(len(texts), begin + COLLECTION)
+        if end < len(texts) and name[end] == name[end - 1]:
+            end = int(np.searchsorted(name, name[end]))
+            if end == begin:
+                end = int(np.searchsorted(name, name[begin], side="right"))
+                yield from _narrow(texts[begin:end], pieces_of, rows, length, place, 0, LENGTH - K)
+                begin = end
+                continue
+        yield texts[begin:end], 0, LENGTH - K
+        begin = end
+
+
+def _narrow(part: np.ndarray, pieces_of: np.ndarray, rows: np.ndarray, length: np.ndarray, place: np.ndarray, low: int, high: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Collections of one anchor's texts, for windows with low to high bytes before it.
+
+    The windows are split in two by where the anchor stands in them. All windows of a half hold certain bytes on both sides of the anchor, so
+    only texts that agree in those can have equal ones; where such texts are still too many, their half is split again. In the end windows
+    have one place, and texts that agree in all their bytes have one window.
+    """
+    middle = (low + high) // 2
+    for least, most in ((low, middle), (middle + 1, high)):
+        at = pieces_of[part]
+        fits = (place[at] >= least) & (length[at] - place[at] >= LENGTH - most)
+        mine, at = part[fits], at[fits]
+        if len(mine) < 2:
+            continue
+        agreed = np.ascontiguousarray(rows[at[:, None], (place[at] - least)[:, None] + np.arange(least + LENGTH - most)[None, :]])
+        group = np.unique(agreed.view(f"V{agreed.shape[1]}").reshape(-1), return_inverse=True)[1]
+        by = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.append(True, np.diff(group[by]) != 0))
+        waiting: list[np.ndarray] = []
+        for a, b in zip(starts, np.append(starts[1:], len(by)), strict=True):
+            if b - a < 2:
+                continue
+            some = mine[by[a:b]]
+            if least == most:
+                yield some, least, most
+            elif len(some) > COLLECTION:
+                yield from _narrow(some, pieces_of, rows, length, place, least, most)
+            else:
+                if sum(map(len, waiting)) + len(some) > COLLECTION:
+                    yield np.concatenate(waiting), least, most
+                    waiting = []
+                waiting.append(some)
+        if waiting:
+            yield np.concatenate(waiting), least, most
+
+
 def _bucket_spans(table: pa.Table) -> pa.Table:
     """Spans to remove that one bucket finds, a row for each chunk."""
     unpack = zstandard.ZstdDecompressor().decompress
@@ -386,28 +442,29 @@ def _bucket_spans(table: pa.Table) -> pa.Table:
     early = order[~late]
     entries_of = np.argsort(text[~late], kind="stable")
     bounds = np.searchsorted(text[~late][entries_of], np.arange(len(first) + 1))
-    begin = 0
-    while begin < len(texts):
-        end = min(len(texts), begin + COLLECTION)
-        while end < len(texts) and groups[texts[end]] == groups[texts[end - 1]]:
-            end += 1
-        part = texts[begin:end]
-        begin = end
-        at = order[first[part]]
-        before, behind = shared_reach(rows[at], length[at], place[at], anchor[at])
-        wide = before + behind >= LENGTH - K
-        part, at, before, behind = part[wide], at[wide], before[wide], behind[wide]
-        if not len(part):
-            continue
-        cut, size = place[at] - before, K + before + behind
-        group, piece, offset = equal_windows(piece_rows(rows[at].reshape(-1), np.arange(len(at)) * rows.shape[1] + cut, size), size)
-        if not len(group):
-            continue
-        offset += cut[piece]
-        fresh_group = np.append(True, group[1:] != group[:-1])
-        low = np.minimum.reduceat(least[part[piece]], np.flatnonzero(fresh_group))[np.cumsum(fresh_group) - 1]
-        hit = least[part[piece]] > low
-        owner, offset = part[piece[hit]], offset[hit]
+    pieces_of = order[first]
+    for part, least_before, most_before in _collections(texts, groups, pieces_of, rows, length, place):
+        at = pieces_of[part]
+        if least_before == most_before:
+            # one window, which all of the part hold
+            owner = part[least[part] > least[part].min()]
+            offset = place[pieces_of[owner]] - least_before
+        else:
+            before, behind = shared_reach(rows[at], length[at], place[at], anchor[at])
+            before, behind = np.minimum(before, most_before), np.minimum(behind, LENGTH - K - least_before)
+            wide = before + behind >= LENGTH - K
+            part, at, before, behind = part[wide], at[wide], before[wide], behind[wide]
+            if not len(part):
+                continue
+            cut, size = place[at] - before, K + before + behind
+            group, piece, offset = equal_windows(piece_rows(rows[at].reshape(-1), np.arange(len(at)) * rows.shape[1] + cut, size), size)
+            if not len(group):
+                continue
+            offset += cut[piece]
+            fresh_group = np.append(True, group[1:] != group[:-1])
+            low = np.minimum.reduceat(least[part[piece]], np.flatnonzero(fresh_group))[np.cumsum(fresh_group) - 1]
+            hit = least[part[piece]] > low
+            owner, offset = part[piece[hit]], offset[hit]
         size = bounds[owner + 1] - bounds[owner]
         entry = early[entries_of[np.repeat(bounds[owner] - np.cumsum(size) + size, size) + np.arange(size.sum())]]
         got.append((entry, np.repeat(offset, size), np.full(len(entry), LENGTH)))
@@ -442,7 +499,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, null is empty; a byte goes if a LENGTH-byte string over it also starts in a document with a smaller id.
-    A row with a null id keeps all its bytes and covers nothing. Rows that repeat an id don't cover each other. An empty table gives an
+    A row with a null id keeps all its bytes and covers nothing. Rows that repeat an id don't cover each other. Texts are taken whole, however
+    long; of equal strings the one of the smallest id stays. An empty table gives an
     empty result. Ids are integers.
     """
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

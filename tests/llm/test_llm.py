@@ -868,3 +868,34 @@ def test_operators_leave_the_session_as_it_is(spark):
     docs = table(spark, corpus())
     language_id.identify(docs), secret_scan.scan_secrets(docs), packing.pack(docs), jaccard_join.jaccard_components(docs)
     assert before == {k: spark.conf.get(k) for k in before}
+
+
+def bucket_spans_of(texts):
+    """{document: removed spans} that one bucket finds for a chunk of texts whose pieces are all dealt to it."""
+    import zstandard
+
+    raws = [t.encode() for t in texts]
+    row = {"chunk": 0, "ids": list(range(len(raws))), "offsets": np.cumsum([0, *map(len, raws)]).astype("<i8").tobytes(), "body": zstandard.ZstdCompressor().compress(b"".join(raws))}
+    c = suffix_dedup.Cut(row, np.zeros(1 << suffix_dedup.MIN_BITS, np.uint8), suffix_dedup.MIN_BITS, 1)
+    g = np.sort(c.stay)
+    body = zstandard.ZstdCompressor().compress(suffix_dedup._pack(np.arange(len(c.ids)), c.ids, c.doc[g], c.start[g], c.length[g], c.place[g], c.rows[g]))
+    found = suffix_dedup._bucket_spans(suffix_dedup._table([0], [0], [body]))
+    doc, start, end = np.concatenate([np.frombuffer(b.as_py(), "<i8").reshape(3, -1) for b in found["body"]] or [np.zeros((3, 0), np.int64)], axis=1)
+    return {int(d): [tuple(map(int, s)) for s in zip(*suffix_dedup.merge_spans(start[doc == d], end[doc == d]), strict=True)] for d in np.unique(doc)}
+
+
+@pytest.mark.parametrize("collection", [2, 40, 700])
+def test_an_anchor_of_many_texts_is_taken_in_collections(monkeypatch, collection):
+    """Lines with a counter before, behind, and on both sides of what they share, and some whole copies; the same spans as in one collection."""
+    rng = random.Random(collection)
+    line = "licensed under the terms of the agreement number nine of the year"
+    texts = [f"{rng.randrange(10**6):06d} {line} {rng.randrange(10**4):04d}-{k % 7}" for k in range(600)] + [f"{line} {k % 90:03d} end of the file" for k in range(300)] + [line[k % 9 :] + f"{k % 5}" for k in range(100)]
+    rng.shuffle(texts)
+    whole = bucket_spans_of(texts)
+    monkeypatch.setattr(suffix_dedup, "COLLECTION", collection)
+    assert bucket_spans_of(texts) == whole
+    brute = brute_repeats(range(len(texts)), texts)
+    for i, t in enumerate(texts):  # one bucket and one chunk: nothing else removes anything, but equal texts inside the chunk are found before
+        if i in whole:
+            assert sum(b - a for a, b in whole[i]) <= brute[i][1]
+    assert sum(sum(b - a for a, b in s) for s in whole.values()) > 10_000
