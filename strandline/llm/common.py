@@ -2,33 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOT: dict[str, str] = {}
+from strandline.sources.shared import delete, shared_folder
 
-#: An input name that a result column would clash with never reaches a plan: operators select what they need under these names.
+#: Texts with a letter.
 LETTER = r"\p{L}"
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where that is unset, an own one, and only for a local master."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOT:
-        _OWN_ROOT[app] = tempfile.mkdtemp(prefix="strandline-")
-    return _OWN_ROOT[app]
-
-
 #: Bytes of one Arrow batch in this subpackage's own queries and stages: a batch stands in the JVM and in Python at once.
 BATCH_BYTES = 2 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -39,16 +21,19 @@ def bound_batches(spark: SparkSession) -> None:
 
     Spark's own bound is 64 MB, which two cores of a small executor can just hold; results are the same under any bound.
     """
-    now = int(spark.conf.get(_BATCH_CONF).lower().rstrip("b"))
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_CONF))
     if not 0 < now <= BATCH_BYTES:
         spark.conf.set(_BATCH_CONF, BATCH_BYTES)
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage: they survive the loss of any executor."""
+    """Tables written to the shared folder to cut lineage: they survive the loss of any executor.
+
+    drop() deletes one that no plan reads any more; the rest go when the driver's Python ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.path = spark, shared_folder(spark, name)
         self._n = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
@@ -62,10 +47,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that keep() returned and that no later plan reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            delete(self.spark, df._scratch_path)
 
 
 def crc_mod(id_col: Column, n: int) -> Column:
