@@ -33,19 +33,23 @@ CLEAN = (
     "society trust guide notes review centre college town house field group works".split(),
     ["/about", "/articles/2021/05", "/docs/intro", "/wiki/page", "/news/story-7.html", "/events/12", "/contact", "/people/8", "/en/start", ""],
 )
+#: Paths of either kind of site.
+COMMON_PATHS = ("/", "/index.html", "/p/18", "/2023/06/item-4", "/en/about", "")
 ENDINGS = ("example", "test", "example.org", "example.net", "invalid")
 
 
 def labelled_urls(each: int = 6) -> list[tuple[str, int]]:
-    """(url, 1 to block, else 0): each sites for every word, with a second word, an ending and a path dealt out in turn."""
+    """(url, 1 to block, else 0): each sites for every word, dealt an ending, a path (every other one of either kind) and, but for the last, a second word."""
     rows = []
     for label, (words, more, paths) in ((1, BLOCKED), (0, CLEAN)):
         for i, word in enumerate(words):
             for k in range(each):
                 n = i * each + k
                 second, front = more[(5 * i + 7 * k) % len(more)], ("", "www.", "shop.", "m.", "blog.")[n % 5]
-                name = f"{word}{'-' if n % 3 == 0 else ''}{second}" if n % 4 else f"{second}{'-' if n % 3 == 0 else ''}{word}"
-                rows.append((f"https://{front}{name}.{ENDINGS[(3 * i + k) % len(ENDINGS)]}{paths[(i + 3 * k) % len(paths)]}", label))
+                hyphen = "-" if n % 3 == 0 else ""
+                name = word if k == each - 1 else f"{word}{hyphen}{second}" if n % 4 else f"{second}{hyphen}{word}"
+                path = COMMON_PATHS[(i + k) % len(COMMON_PATHS)] if k % 2 else paths[(i + 3 * k) % len(paths)]
+                rows.append((f"https://{front}{name}.{ENDINGS[(3 * i + k) % len(ENDINGS)]}{path}", label))
     return rows
 
 
