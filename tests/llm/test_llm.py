@@ -21,6 +21,16 @@ SYLLABLES = ["the", "an", "ti", "on", "er", "re", "ed", "nd", "ha", "ou", "wh",
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, bucket int, cls string, score int, tag string"
 
 
+def slowness():
+    """How many times a millisecond this machine takes just now for what takes one on the machine that the limits were set on; at least 1."""
+    took = []
+    for _ in range(21):
+        began = time.thread_time()
+        sum(range(50_000))
+        took.append((time.thread_time() - began) * 1000)
+    return max(1.0, sorted(took)[10])
+
+
 def prose(rng, n, parts=SYLLABLES):
     return " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
 
@@ -274,7 +284,7 @@ def test_decontamination_of_templated_items(monkeypatch):
     text = " ".join(f"{stem}{prose(rng, 4)}." if k % 3 else items[k][1] + "x" for k in range(90))[:10_000]
     began = time.process_time()
     got = index.find(text)
-    assert time.process_time() - began < 5
+    assert time.process_time() - began < 5 * slowness()
     raw = decontaminate.normalise(text)
     some = [0, 3, 6, *rng.sample(range(1000), 12)]
     want = {i: e for i in some for e in [edits(index.texts[i], raw)] if e <= index.budgets[i]}
@@ -760,7 +770,7 @@ def test_secret_scan_of_hostile_texts():
     secret_scan.find_spans("token = " + "a+" * 300_000 + "a")
     secret_scan.find_spans("password = 'Xy12abCD9kk' " * 20_000)
     secret_scan.find_spans("password " * 50_000 + '="' * 50_000 + "api_key" + " " * 200_000)
-    assert time.process_time() - began < 40
+    assert time.process_time() - began < 40 * slowness()
 
 
 def test_tokenizer_ids_are_the_files(spark):
