@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions.scalar import centre, dot, l1_distance
@@ -152,6 +153,12 @@ def signature_distances(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 #: Signatures of a label that one cell compares with as many others.
 CELL = 2048
 WORD_BITS = 16
+#: Parts of a label that is looked up: fewer where they would be smaller than SMALL, more only where they would be larger than LARGE.
+PARTS, SMALL, LARGE = 16, 512, 1 << 20
+#: Comparisons that take as long as one value asked for, and as one signature met by it (measured on cells of 6,400 and 38,000).
+ASKING, MEETING = 7, 35
+#: Signatures, and values or signatures, of one step inside a cell; candidates of one step.
+STEP, ACROSS, MOST_MET = 32, 2048, 1 << 16
 
 
 def word_shares(limit: int, words: int = 4) -> list[int]:
@@ -164,40 +171,121 @@ def near_signatures(signed: DataFrame, block: str, limit: int, cell: int = CELL,
 
     Such pairs differ in some 16-bit word by no more than its share of limit, so every signature looks up the values within that share of
     each of its words: 4 x 17 values for limits under 8, 4 x 137 under 12, 4 x 697 under 16, about 23,000 for 22. Labels with more rows than
-    that (or than lookup_from) are looked up; in smaller ones a comparison of all pairs is less work. Those are cut into parts by hash, and
-    each part meets each other one in a cell of its own, so no task gets more than cell^2 pairs.
+    that (or than lookup_from) are cut into up to PARTS parts by hash, and each part meets each other one in a cell of its own, where values are
+    looked up; unless lookup_from is given, a cell compares all its pairs where that is less work. So a signature is sent PARTS times,
+    however many values it asks for. Smaller labels are cut by cell, and all pairs are compared, so no task gets more than cell^2 pairs.
     """
     shares = word_shares(limit)
-    masks = [[m for m in range(1 << WORD_BITS) if m.bit_count() <= s] if s >= 0 else [] for s in shares]
+    masks = [_within(share) for share in shares]
+    signed = kept(signed, "signed")
     least = sum(map(len, masks)) if lookup_from is None else lookup_from
     sizes = kept(signed.groupBy(block).agg(F.count("*").alias("_rows")), "labels")
     sized = join_small(signed, sizes, block)
-    return _met_by_words(sized.where(F.col("_rows") > least), block, limit, shares, masks).unionByName(_met_in_cells(sized.where(F.col("_rows") <= least), block, limit, cell))
-
-
-def _met_by_words(signed: DataFrame, block: str, limit: int, shares: list[int], masks: list[list[int]]) -> DataFrame:
-    """Pairs within limit that look each other up by a word; a pair counts at the first word that is within its share."""
-    values = signed.sparkSession.createDataFrame([(k, m) for k, own in enumerate(masks) for m in own], "word int, mask int").coalesce(1)
-    words = F.posexplode(F.array(*[F.col(f"s{k}") for k in range(len(shares))])).alias("word", "value")
-    keys = signed.select(block, "frame_index", "s0", "s1", "s2", "s3", words)
-    # the mask list has a bound: 4 x 2^16 rows
-    asked = keys.join(F.broadcast(values), "word").withColumn("value", F.col("value").bitwiseXOR(F.col("mask"))).drop("mask")
-    a, b = asked.alias("a"), keys.alias("b")
-    far = hamming("a", "b")
-    earlier = F.lit(False)
-    for k, share in enumerate(shares):
-        within = F.bit_count(F.col(f"a.s{k}").bitwiseXOR(F.col(f"b.s{k}"))) <= share
-        earlier = earlier | ((F.col("a.word") > k) & within)
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (block, "word", "value")] + [F.col("a.frame_index") < F.col("b.frame_index"), far <= limit, ~earlier])
-    return met.select(F.col("a.frame_index").alias("left_frame"), F.col("b.frame_index").alias("right_frame"), far.cast("int").alias("distance"))
+    return _met_by_words(sized.where(F.col("_rows") > least), block, limit, shares, masks, lookup_from is not None).unionByName(_met_in_cells(sized.where(F.col("_rows") <= least), block, limit, cell))
+
+
+def _met_by_words(sized: DataFrame, block: str, limit: int, shares: list[int], masks: list[np.ndarray], always: bool) -> DataFrame:
+    """Pairs within limit of cells of two parts, looked up by words inside the cell; always, or where that is less work than to compare them."""
+    kind = sized.schema["frame_index"].dataType.simpleString()
+    values = sum(map(len, masks))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        frames, first = rows["frame_index"].combine_chunks(), np.asarray(rows["_first"])
+        codes = np.asarray(rows["code"]).view(np.uint64)
+        # a part's own cell has rows of one side only, and meets itself
+        asks, has = np.flatnonzero(first), np.flatnonzero(~first) if not first.all() else np.arange(len(first))
+        asking, having = codes[asks], codes[has]
+        look = always or ASKING * values + MEETING * values / (1 << WORD_BITS) * len(having) < len(having)
+        for left, right in _gathered(_looked_up(asking, having, limit, shares, masks) if look else _compared(asking, having, limit)):
+            far = np.bitwise_count(asking[left] ^ having[right]).astype(np.int32)
+            a, b = frames.take(pa.array(asks[left])), frames.take(pa.array(has[right]))
+            ordered = pc.less(a, b)
+            if first.all():
+                made = [x.filter(ordered) for x in (a, b, pa.array(far))]
+            else:
+                made = [pc.if_else(ordered, a, b), pc.if_else(ordered, b, a), pa.array(far)]
+            yield pa.RecordBatch.from_arrays(made, ["left_frame", "right_frame", "distance"])
+
+    last = len(shares) - 1
+    code = sum((F.shiftleft(F.col(f"s{k}").cast("long"), WORD_BITS * (last - k)) for k in range(last)), F.col(f"s{last}").cast("long"))
+    coded = sized.select(block, "frame_index", "_rows", code.alias("code")).where("frame_index is not null and code is not null")
+    celled = _in_pairs_of_parts(coded, F.greatest(F.least(F.lit(PARTS), F.ceil(F.col("_rows") / SMALL)), F.ceil(F.col("_rows") / LARGE)).cast("int"))
+    dealt = celled.select(block, "_lo", "_hi", (F.col("_mine") == F.col("_lo")).alias("_first"), "frame_index", "code")
+    # by number, as partitions that were put together again because they are small would be few tasks with all the work
+    keys, tasks = [block, "_lo", "_hi"], int(sized.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, *keys).groupBy(*keys).applyInArrow(meet, f"left_frame {kind}, right_frame {kind}, distance int")
+
+
+def _within(share: int) -> np.ndarray:
+    """All differences of a word of at most share bits."""
+    every = np.arange(1 << WORD_BITS)
+    return every[np.bitwise_count(every) <= share].astype(np.uint16)
+
+
+def _compared(asking: np.ndarray, having: np.ndarray, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of all pairs within limit, some at a time."""
+    for i in range(0, len(asking), STEP):
+        for j in range(0, len(having), ACROSS):
+            far = np.bitwise_count(asking[i : i + STEP, None] ^ having[None, j : j + ACROSS])
+            at, to = np.divmod(np.flatnonzero(far <= limit), far.shape[1])
+            yield at + i, to + j
+
+
+def _looked_up(asking: np.ndarray, having: np.ndarray, limit: int, shares: list[int], masks: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same by values: a signature asks for all values within its share of each word, and a pair counts at the first word within its share."""
+    word = lambda codes, k: (codes >> np.uint64(WORD_BITS * (len(shares) - 1 - k))).astype(np.uint16)
+    step = STEP * ACROSS // max(1, min(len(asking), ACROSS))
+    for k, differences in enumerate(masks):
+        own, held = word(asking, k), word(having, k)
+        order = np.argsort(held, kind="stable")
+        counts = np.bincount(held, minlength=1 << WORD_BITS)
+        starts = np.cumsum(counts) - counts
+        for i in range(0, len(asking), ACROSS):
+            for m in range(0, len(differences), step):
+                values = differences[m : m + step, None] ^ own[None, i : i + ACROSS]
+                hit = np.flatnonzero(counts[values.ravel()])
+                found, at = values.ravel()[hit], hit % values.shape[1] + i
+                ends = np.cumsum(counts[found])
+                done = 0
+                while done < len(hit):
+                    met = ends[done - 1] if done else 0
+                    upto = max(done + 1, int(np.searchsorted(ends, met + MOST_MET, "right")))
+                    n = counts[found[done:upto]]
+                    left = np.repeat(at[done:upto], n)
+                    right = order[np.arange(met, ends[upto - 1]) + np.repeat(starts[found[done:upto]] - ends[done:upto] + n, n)]
+                    done = upto
+                    differ = asking[left] ^ having[right]
+                    near = np.flatnonzero(np.bitwise_count(differ) <= limit)
+                    for earlier in range(k):
+                        near = near[np.bitwise_count(word(differ[near], earlier)).astype(int) > shares[earlier]]
+                    yield left[near], right[near]
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places in lists of MOST_MET or some more."""
+    lists, size = [], 0
+    for pair in pairs:
+        if len(pair[0]):
+            lists.append(pair)
+            size += len(pair[0])
+        if size >= MOST_MET:
+            yield tuple(map(np.concatenate, zip(*lists, strict=True)))
+            lists, size = [], 0
+    if lists:
+        yield tuple(map(np.concatenate, zip(*lists, strict=True)))
+
+
+def _in_pairs_of_parts(sized: DataFrame, parts: Column) -> DataFrame:
+    """Every row in the cells (_lo, _hi) that its part (_mine) has with each part of its label."""
+    mine = F.pmod(F.xxhash64("frame_index"), parts).cast("int")
+    placed = sized.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return placed.withColumn("_lo", F.least("_mine", "_other")).withColumn("_hi", F.greatest("_mine", "_other")).drop("_rows", "_other")
 
 
 def _met_in_cells(sized: DataFrame, block: str, limit: int, cell: int) -> DataFrame:
     """All pairs of a label compared, part against part."""
-    parts = F.ceil(F.col("_rows") / cell).cast("int")
-    mine = F.pmod(F.xxhash64("frame_index"), parts).cast("int")
-    placed = sized.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    celled = placed.withColumn("_lo", F.least("_mine", "_other")).withColumn("_hi", F.greatest("_mine", "_other")).drop("_rows", "_other")
+    celled = _in_pairs_of_parts(sized, F.ceil(F.col("_rows") / cell).cast("int"))
     a, b = celled.alias("a"), celled.alias("b")
     far = hamming("a", "b")
     # in a cell of two parts, pairs inside one part belong to that part's own cell

@@ -273,3 +273,66 @@ def test_resampling_in_blocks_is_resampling_at_once(spark, ratio):
             w = np.sinc(d) * np.where(np.abs(d) <= 16, 0.5 + 0.5 * np.cos(np.pi * d / 16), 0)
             inside = [(k, a) for k, a in zip(range(mid - reach, mid + reach + 1), w, strict=True) if 0 <= k < len(x)]
             assert abs(v - sum(a * x[k] for k, a in inside) / w.sum()) < 1e-8
+
+
+def _shuffled(spark, run):
+    """Rows that the stages of run() write to shuffles."""
+    store, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+    none, full = jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(jvm.double, 0)
+
+    def written():
+        store.listenerBus().waitUntilEmpty(30_000)
+        found = store.statusStore().stageList(none, False, False, full, none)
+        return sum(found.apply(i).shuffleWriteRecords() for i in range(found.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def _signed(spark, codes, frame="frame_index long"):
+    words = [[int(c) >> s & 0xFFFF for s in (48, 32, 16, 0)] for c in codes]
+    return spark.createDataFrame([(i, 0, *w) for i, w in enumerate(words)], f"{frame}, label int, s0 int, s1 int, s2 int, s3 int")
+
+
+def test_signature_lookup_sends_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(joins, "SMALL", 4, raising=False)
+    codes = np.random.default_rng(8).integers(0, 1 << 63, 240)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sent = [_shuffled(spark, _signed(spark, codes[:n]).transform(joins.near_signatures, "label", 15, lookup_from=0).collect) for n in (120, 240)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert 16 * 240 <= sent[1] <= 18 * 240 and sent[1] <= 2 * sent[0]
+
+
+@pytest.mark.parametrize("limit, lookup_from", [(6, None), (6, 0), (11, 0), (22, 0), (15, 0)])
+def test_signature_lookup_in_pairs_of_parts(spark, monkeypatch, limit, lookup_from):
+    monkeypatch.setattr(joins, "SMALL", 40)
+    rng = np.random.default_rng(limit)
+    codes = rng.integers(0, 1 << 63, 150, dtype=np.uint64) << np.uint64(1)
+    codes[60:] = codes[rng.integers(0, 60, 90)] ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64))
+    codes[120:] = codes[0]
+    far = np.bitwise_count(codes[:, None] ^ codes[None])
+    want = sorted((i, j, int(far[i, j])) for i in range(150) for j in range(i + 1, 150) if far[i, j] <= limit)
+    assert sorted(map(tuple, joins.near_signatures(_signed(spark, codes), "label", limit, lookup_from=lookup_from).collect())) == want
+    missing = _signed(spark, codes).withColumns({"s1": F.expr("if(frame_index = 7, null, s1)"), "label": F.expr("if(frame_index = 8, null, label)")})
+    named = missing.withColumn("frame_index", F.format_string("%03d", "frame_index"))
+    named = named.withColumn("frame_index", F.expr("if(frame_index = '009', null, frame_index)"))
+    got = sorted((int(a), int(b), d) for a, b, d in joins.near_signatures(named, "label", limit, lookup_from=lookup_from).collect())
+    assert got == [w for w in want if not {7, 8, 9} & set(w[:2])]
+
+
+@pytest.mark.parametrize("limit", [2, 9, 15])
+def test_lookup_inside_a_cell_is_comparison(monkeypatch, limit):
+    monkeypatch.setattr(joins, "MOST_MET", 50)
+    monkeypatch.setattr(joins, "STEP", 3)
+    monkeypatch.setattr(joins, "ACROSS", 64)
+    rng = np.random.default_rng(limit)
+    a = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
+    b = np.concatenate([a[:70] ^ (np.uint64(1) << rng.integers(0, 64, 70).astype(np.uint64)), a[:40], np.repeat(a[:1], 90)])
+    shares = joins.word_shares(limit)
+    every = np.argwhere(np.bitwise_count(a[:, None] ^ b[None]) <= limit).tolist()
+    for found in (joins._compared(a, b, limit), joins._looked_up(a, b, limit, shares, [joins._within(s) for s in shares])):
+        assert sorted([int(i), int(j)] for left, right in found for i, j in zip(left, right, strict=True)) == every
+    assert list(joins._compared(a[:0], b, limit)) == [] and not sum(len(i) for i, _ in joins._looked_up(a[:0], b, limit, shares, [joins._within(s) for s in shares]))
